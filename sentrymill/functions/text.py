@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sentrymill.session import sql_literal
+
 # characters for which str.isspace() holds
 SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0         "
          "       　")
@@ -63,3 +65,8 @@ def basename(path: Column) -> Column:
 
 def unix_path(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def contains_any_sql(column: str, fragments: Iterable[str]) -> str:
+    """SQL text of ``contains_any`` for a named column."""
+    return "(" + " OR ".join(f"contains({column}, {sql_literal(f)})" for f in fragments) + ")"

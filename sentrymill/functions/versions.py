@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sentrymill.fixed_values import packages as P
+from sentrymill.session import let
 
 
 def version_key(version: Column) -> Column:
     """All digit runs as numbers; arrays compare like tuples, a prefix sorting first."""
     runs = F.regexp_extract_all(version, F.lit(r"\d+"), F.lit(0))
-    key = F.transform(runs, lambda x: x.cast("decimal(38,0)"))
-    return F.when(F.size(key) > 0, key).otherwise(F.array(F.lit(0).cast("decimal(38,0)")))
+    # a run of more than 38 digits (a hash) ranks as the largest number
+    key = F.transform(runs, lambda x: F.coalesce(x.try_cast("decimal(38,0)"), F.lit("9" * 38).cast("decimal(38,0)")))
+    return F.when(version.rlike(r"\d"), key).otherwise(F.array(F.lit(0).cast("decimal(38,0)")))
 
 
 def package_key(name: Column) -> Column:
@@ -20,10 +22,8 @@ def package_key(name: Column) -> Column:
 
 
 def _weight(letter: Column, table: dict[str, float]) -> Column:
-    value = F.lit(None).cast("double")
-    for key, weight in table.items():
-        value = F.when(letter == key, F.lit(weight)).otherwise(value)
-    return value
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.try_element_at(entries, letter)
 
 
 def cvss3_score(vector: Column) -> Column:
@@ -33,17 +33,28 @@ def cvss3_score(vector: Column) -> Column:
         return F.regexp_extract(vector, rf"(?:.*/|\A){name}:([^/]*)", 1)
 
     changed = metric("S") == "C"
-    av, ac, ui = (_weight(metric(m), P.CVSS3_WEIGHTS[m]) for m in ("AV", "AC", "UI"))
-    privileges = F.when(changed, _weight(metric("PR"), P.CVSS3_PRIVILEGES["C"])).otherwise(
+    weights = {m.lower(): _weight(metric(m), P.CVSS3_WEIGHTS[m]) for m in P.CVSS3_WEIGHTS}
+    weights["pr"] = F.when(changed, _weight(metric("PR"), P.CVSS3_PRIVILEGES["C"])).otherwise(
         _weight(metric("PR"), P.CVSS3_PRIVILEGES["U"]))
-    conf, integ, avail = (_weight(metric(m), P.CVSS3_WEIGHTS[m]) for m in ("C", "I", "A"))
-    base = 1 - (1 - conf) * (1 - integ) * (1 - avail)
-    impact = F.when(changed, 7.52 * (base - 0.029) - 3.25 * F.pow(base - 0.02, F.lit(15.0))).otherwise(6.42 * base)
-    exploit = 8.22 * av * ac * privileges * ui
-    raw = F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit)
-    rounded = F.ceil(F.least(raw, F.lit(10.0)) * 10).cast("double") / 10
-    return F.when(exploit.isNull() | impact.isNull(), F.lit(None).cast("double")).when(
-        impact <= 0, F.lit(0.0)).otherwise(rounded)
+
+    def parts(w: Column) -> Column:
+        base = 1 - (1 - w["c"]) * (1 - w["i"]) * (1 - w["a"])
+        exploit = 8.22 * w["av"] * w["ac"] * w["pr"] * w["ui"]
+        return F.struct(w["changed"].alias("changed"), base.alias("base"), exploit.alias("exploit"))
+
+    def with_impact(p: Column) -> Column:
+        wide = 7.52 * (p["base"] - 0.029) - 3.25 * F.pow(p["base"] - 0.02, F.lit(15.0))
+        return F.struct(p["changed"].alias("changed"), p["exploit"].alias("exploit"),
+                        F.when(p["changed"], wide).otherwise(6.42 * p["base"]).alias("impact"))
+
+    def score(p: Column) -> Column:
+        total = p["impact"] + p["exploit"]
+        raw = F.when(p["changed"], 1.08 * total).otherwise(total)
+        rounded = F.ceil(F.least(raw, F.lit(10.0)) * 10).cast("double") / 10
+        return F.when(total.isNull(), F.lit(None).cast("double")).when(p["impact"] <= 0, F.lit(0.0)).otherwise(rounded)
+
+    start = F.struct(changed.alias("changed"), *[w.alias(n) for n, w in weights.items()])
+    return let(let(let(start, parts), with_impact), score)
 
 
 def label_of_score(score: Column) -> Column:

@@ -33,7 +33,7 @@ def flagged(files: DataFrame, use_defaults: bool = True, ignore_file: str | None
     if ignore_file is None:
         return files.withColumn("ignored", ignored)
     joined = spread_join(files, repo_rules(files, ignore_file), ["repo"], "left")
-    own = F.coalesce(path.rlike(F.col("rule_regex")), F.lit(False))
+    own = F.coalesce(F.rlike(path, F.col("rule_regex")), F.lit(False))
     return joined.withColumn("ignored", ignored | own).drop("rule_regex")
 
 

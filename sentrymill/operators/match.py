@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sentrymill.fixed_values import rules as R
 from sentrymill.functions.suppress import suppressed
-from sentrymill.functions.text import contains_any, context, raw_pieces, regex, split_lines
-from sentrymill.session import literal_table
+from sentrymill.functions.text import contains_any_sql, context, raw_pieces, regex, split_lines
+from sentrymill.session import literal_table, once, sql_literal
 
 RULE_COLUMNS = ["rule", "issue_type", "category", "severity", "description"]
 FINDING = ["repo", "path", "line_no", "issue_type", "category", "severity", "description", "context"]
@@ -35,22 +35,32 @@ def lines(files: DataFrame, keep_empty: bool = False) -> DataFrame:
     return exploded.select(*others, (F.col("_pos") + 1).alias("line_no"), "line")
 
 
-def hits(line: Column, rule: Sequence) -> Column:
+def hits(rule: Sequence) -> str:
+    """SQL condition over ``line`` and its lower-cased form ``low``.
+
+    Rule sets are long; as text they reach the JVM in one call.
+    """
     pattern, needs = rule[3], rule[5]
-    found = line.rlike(regex(pattern))
+    found = f"line RLIKE {sql_literal(regex(pattern))}"
     if needs:
-        text = F.lower(line) if pattern.startswith("(?i") else line
-        found = contains_any(text, needs) & found
+        found = f"{contains_any_sql('low' if pattern.startswith('(?i') else 'line', needs)} AND {found}"
     return found
 
 
-def first_match(line: Column, rules: Sequence[Sequence]) -> Column:
-    """Index of the first rule that matches, exploded so that it is computed once per line."""
-    return F.explode(F.array(F.coalesce(*[F.when(hits(line, r), F.lit(i)) for i, r in enumerate(rules)])))
+def with_lower(numbered: DataFrame) -> DataFrame:
+    return numbered.withColumn("low", F.lower("line"))
+
+
+def first_match(rules: Sequence[Sequence]) -> Column:
+    """Index of the first rule that matches the line, or null."""
+    chain = " ".join(f"WHEN {hits(r)} THEN {i}" for i, r in enumerate(rules))
+    return once(F.expr(f"CASE {chain} END")).alias("rule")
 
 
-def all_matches(line: Column, rules: Sequence[Sequence]) -> Column:
-    return F.explode(F.array(*[F.when(hits(line, r), F.lit(i)) for i, r in enumerate(rules)]))
+def all_matches(rules: Sequence[Sequence]) -> Column:
+    """One row per rule, holding its index where it matches and null elsewhere."""
+    each = ", ".join(f"CASE WHEN {hits(r)} THEN {i} END" for i, r in enumerate(rules))
+    return F.explode(F.expr(f"array({each})")).alias("rule")
 
 
 def rule_table(spark, rules: Sequence[Sequence]) -> DataFrame:
@@ -68,13 +78,13 @@ def _report(matched: DataFrame, rules: Sequence[Sequence]) -> DataFrame:
 def code_findings(files: DataFrame, rules: Sequence[Sequence] = R.CODE_RULES) -> DataFrame:
     """First matching rule per line of code files."""
     wanted = files.where(F.col("file_kind") == "code").select("repo", "path", "content")
-    return _report(lines(wanted).select("*", first_match(F.col("line"), rules).alias("rule")), rules)
+    return _report(with_lower(lines(wanted)).select("*", first_match(rules)), rules)
 
 
 def _uncommented(files: DataFrame, kind: str, rules: Sequence[Sequence]) -> DataFrame:
     wanted = files.where(F.col("file_kind") == kind).select("repo", "path", "content")
     live = lines(wanted).where(~F.col("line").rlike(regex(r"\A\s*#")))
-    return _report(live.select("*", first_match(F.col("line"), rules).alias("rule")), rules)
+    return _report(with_lower(live).select("*", first_match(rules)), rules)
 
 
 def iac_findings(files: DataFrame, rules: Sequence[Sequence] = R.IAC_RULES) -> DataFrame:
@@ -88,7 +98,7 @@ def workflow_findings(files: DataFrame, rules: Sequence[Sequence] = R.WORKFLOW_R
 def docker_findings(files: DataFrame, rules: Sequence[Sequence] = R.DOCKER_RULES) -> DataFrame:
     """Every matching rule per Dockerfile line, plus the whole-file rule."""
     wanted = files.where(F.col("file_kind") == "dockerfile").select("repo", "path", "content")
-    matched = lines(wanted).select("*", all_matches(F.col("line"), rules).alias("rule"))
+    matched = with_lower(lines(wanted)).select("*", all_matches(rules))
     return _report(matched, rules).unionByName(_without_user(wanted))
 
 

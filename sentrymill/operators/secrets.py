@@ -9,24 +9,13 @@ from pyspark.sql import functions as F
 
 from sentrymill.fixed_values.secrets import SECRET_RULES
 from sentrymill.functions.suppress import suppressed
-from sentrymill.functions.text import contains_any, context, regex
-from sentrymill.operators.match import lines
-from sentrymill.session import literal_table, spread_join
+from sentrymill.functions.text import contains_any, contains_any_sql, context, regex
+from sentrymill.operators.match import lines, with_lower
+from sentrymill.session import literal_table, once, spread_join, sql_literal
 
 COLUMNS = ["repo", "path", "line_no", "secret_type", "category", "severity", "matched_value", "masked_context"]
 
 
-def _candidate(line: Column, rule: Sequence) -> Column:
-    pattern, needs = rule[3], rule[5]
-    text = F.lower(line) if pattern.startswith("(?i") else line
-    return contains_any(text, needs)
-
-
-def _values(line: Column, rule: Sequence) -> Column:
-    found = F.regexp_extract_all(line, F.lit(regex(rule[3])), F.lit(rule[4]))
-    return F.when(_candidate(line, rule), found).otherwise(F.array().cast("array<string>"))
-
-
 def mask(value: Column) -> Column:
     return F.concat(F.left(value, F.lit(4)), F.lit("****"))
 
@@ -35,11 +24,17 @@ def _allowed(value: Column, allow_words: Sequence[str]) -> Column:
     return contains_any(F.lower(value), [w.lower() for w in allow_words]) if allow_words else F.lit(False)
 
 
-def _found(line: Column, rules: Sequence[Sequence], allow_words: Sequence[str]) -> Column:
+def _candidate(rule: Sequence) -> str:
+    return contains_any_sql("low" if rule[3].startswith("(?i") else "line", rule[5])
+
+
+def _found(rules: Sequence[Sequence], allow_words: Sequence[str]) -> Column:
     """Array of (rule, value) over all rules; several values of one rule on a line all appear."""
-    per_rule = [F.transform(_values(line, r), lambda v, i=i: F.struct(F.lit(i).alias("rule"), v.alias("value")))
-                for i, r in enumerate(rules)]
-    return F.filter(F.concat(*per_rule), lambda h: (h["value"] != "") & ~_allowed(h["value"], allow_words))
+    per_rule = ", ".join(
+        f"CASE WHEN {_candidate(r)} THEN transform(regexp_extract_all(line, {sql_literal(regex(r[3]))}, {r[4]}), "
+        f"v -> named_struct('rule', {i}, 'value', v)) ELSE array() END" for i, r in enumerate(rules))
+    return F.filter(F.expr(f"concat({per_rule})"),
+                    lambda h: (h["value"] != "") & ~_allowed(h["value"], allow_words))
 
 
 def _masked(line: Column, values: Column) -> Column:
@@ -48,15 +43,14 @@ def _masked(line: Column, values: Column) -> Column:
     return F.aggregate(longest, line, lambda text, v: F.replace(text, v, mask(v)))
 
 
-def guard(rules: Sequence[Sequence] = SECRET_RULES) -> str:
-    """One expression that holds for every line any rule can match."""
-    return regex("|".join(f"(?:{r[3].replace('(?i)', '(?i:') + ')' if r[3].startswith('(?i)') else r[3]})"
-                          for r in rules))
-
-
-def masked_line(line: Column, rules: Sequence[Sequence] = SECRET_RULES) -> Column:
-    """A line with every value any secret rule finds replaced by its mask."""
-    return _masked(line, F.transform(_found(line, rules, ()), lambda h: h["value"]))
+def mask_lines(df: DataFrame, column: str, rules: Sequence[Sequence] = SECRET_RULES) -> DataFrame:
+    """``df`` with every value any secret rule finds in ``column`` replaced by its mask."""
+    keep = [F.col(c) for c in df.columns]
+    values = F.transform("_found", lambda h: h["value"])
+    found = (df.select(*keep, F.col(column).alias("line"), F.lower(column).alias("low"))
+             .select(*keep, once(_found(rules, ())).alias("_found")))
+    return found.withColumn(column, F.when(F.size("_found") > 0, _masked(F.col(column), values))
+                            .otherwise(F.col(column))).drop("_found")
 
 
 def secret_findings(files: DataFrame, rules: Sequence[Sequence] = SECRET_RULES, allow_words: Sequence[str] = (),
@@ -67,11 +61,9 @@ def secret_findings(files: DataFrame, rules: Sequence[Sequence] = SECRET_RULES,
     ``keyed`` a salted hash of the raw value is added for comparing findings
     whose masks may collide.
     """
-    any_rule = F.lit(False)
-    for rule in rules:
-        any_rule = any_rule | _candidate(F.col("line"), rule)
-    candidates = lines(files.select("repo", "path", *extra, "content")).where(any_rule)
-    found = candidates.select("*", _found(F.col("line"), rules, allow_words).alias("found"))
+    any_rule = F.expr(" OR ".join(_candidate(rule) for rule in rules))
+    candidates = with_lower(lines(files.select("repo", "path", *extra, "content"))).where(any_rule)
+    found = candidates.select("*", once(_found(rules, allow_words)).alias("found"))
     live = found.where((F.size("found") > 0) & ~suppressed(F.col("line"), "secret"))
     masked = live.select(
         "repo", "path", *extra, "line_no",

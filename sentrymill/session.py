@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +50,48 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain file scan at least one partition per core.
+
+    Matching is CPU-bound, and a small table arrives as one split.  A scan that
+    already has enough splits is returned as it is, so nothing is shuffled at
+    scale.  Call it on scans only: it asks the plan for its partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if splits >= cores else scan.repartition(cores)
+
+
+def sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        # \u0024 keeps a "${...}" in the text from being taken for a variable reference
+        value = value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+        return "'" + value + "'"
+    return str(value)
+
+
 def literal_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
-    """A small constant dimension, built inside the JVM."""
-    structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A small constant dimension, known to the optimizer with its exact size."""
+    cells = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {cells} AS t({', '.join(columns)})")
+
+
+def once(c: Column) -> Column:
+    """Evaluate an expensive expression a single time per row.
+
+    Filters on a projected column are pushed below the projection together
+    with a copy of its expression; they are not pushed below a generator.
+    """
+    return F.explode(F.array(c))
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -114,8 +152,7 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: st
     before = _prefix_by_partition(counts, keys)
     joined = ranged.withColumn("_part", part)
     return (spread_join(joined, before, [*keys, "_part"])
-            .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
-            .drop("_at", "_part", "_first", "_before", "_n"))
+            .select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name)))
 
 
 def _prefix_by_partition(counts: DataFrame, keys: list[str]) -> DataFrame:

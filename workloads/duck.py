@@ -140,3 +140,159 @@ ci_f AS ({first_match_sql('workflow', R.WORKFLOW_RULES, True)})
 
 def with_(*ctes: str) -> str:
     return "WITH " + ", ".join(c.strip() for c in ctes) + " "
+
+
+def _filled(template: str) -> str:
+    text = q(template)
+    for key, value in (("{o}", "l_orderkey"), ("{p}", "l_partkey"), ("{s}", "l_suppkey"), ("{l}", "l_linenumber"),
+                       ("{q}", "l_quantity::INT")):
+        text = f"replace({text}, '{key}', ({value})::VARCHAR)"
+    return text
+
+
+def _manifests() -> str:
+    from workloads import views as v
+    names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(v.MANIFEST_NAMES))
+    texts = " ".join(f"WHEN {i} THEN {_filled(t)}" for i, t in enumerate(v.MANIFEST_TEXTS))
+    return f"""manifests AS (SELECT 'repo-' || l_suppkey AS repo,
+      'o' || l_orderkey || '/svc-' || l_linenumber || '-' || l_partkey || '/' || CASE l_orderkey % 7 {names} END AS file,
+      l_orderkey % 7 AS fmt, CASE l_orderkey % 7 {texts} END AS content FROM lineitem)"""
+
+
+MANIFESTS = _manifests()
+_L = lines_of("manifests", "repo, file, fmt")
+PACKAGES = rf"""
+mlines AS MATERIALIZED {_L},
+pk_req AS (SELECT repo, file, regexp_extract(trim(line), '^([A-Za-z0-9_\-\.]+)\s*[=<>!~^]{{1,2}}\s*([0-9][^\s,;#]*)', 1) AS package,
+    regexp_extract(trim(line), '^([A-Za-z0-9_\-\.]+)\s*[=<>!~^]{{1,2}}\s*([0-9][^\s,;#]*)', 2) AS version, 'PyPI' AS ecosystem
+  FROM mlines WHERE fmt = 0 AND NOT regexp_matches(trim(line), '^(#|-|git\+|http)')
+    AND regexp_matches(trim(line), '^([A-Za-z0-9_\-\.]+)\s*[=<>!~^]{{1,2}}\s*([0-9][^\s,;#]*)')),
+pk_npm AS (SELECT repo, file, k AS package, regexp_replace(json_extract_string(content, '$.' || sec || '."' || k || '"'), '^[^0-9]*', '') AS version,
+    'npm' AS ecosystem
+  FROM (SELECT repo, file, content, sec, unnest(json_keys(content, '$.' || sec)) AS k FROM manifests, (VALUES ('dependencies'), ('devDependencies')) s(sec)
+        WHERE fmt = 1) WHERE regexp_replace(json_extract_string(content, '$.' || sec || '."' || k || '"'), '^[^0-9]*', '') <> ''),
+go_lines AS (SELECT repo, file, line_no, trim(replace(string_split(line, '//')[1], chr(9), ' ')) AS line FROM mlines WHERE fmt = 2),
+go_state AS (SELECT *, last_value(CASE WHEN starts_with(line, 'require') AND contains(line, '(') THEN 1 WHEN line = ')' THEN 0 END IGNORE NULLS)
+    OVER (PARTITION BY repo, file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM go_lines),
+go_kept AS (SELECT repo, file, trim(CASE WHEN starts_with(line, 'require ') THEN substr(line, 9) ELSE line END) AS line FROM go_state
+    WHERE line NOT IN ('', ')') AND NOT (starts_with(line, 'require') AND contains(line, '(')) AND (starts_with(line, 'require ') OR open = 1)),
+pk_go AS (SELECT repo, file, regexp_extract(line, '^(\S+)\s+v([0-9]\S*)', 1) AS package, regexp_extract(line, '^(\S+)\s+v([0-9]\S*)', 2) AS version,
+    'Go' AS ecosystem FROM go_kept WHERE regexp_matches(line, '^(\S+)\s+v([0-9]\S*)')),
+pk_gem AS (SELECT repo, file, regexp_extract(line, '^    (\S+) \(([0-9][^)]*)\)\s*$', 1) AS package, regexp_extract(line, '^    (\S+) \(([0-9][^)]*)\)\s*$', 2) AS version,
+    'RubyGems' AS ecosystem FROM mlines WHERE fmt = 3 AND regexp_matches(line, '^    (\S+) \(([0-9][^)]*)\)\s*$')),
+pk_composer AS (SELECT repo, file, p->>'name' AS package, ltrim(p->>'version', 'v') AS version, 'Packagist' AS ecosystem
+  FROM (SELECT repo, file, unnest(list_concat(json_extract(content, '$.packages[*]'), json_extract(content, '$."packages-dev"[*]'))) AS p
+        FROM manifests WHERE fmt = 4) WHERE regexp_matches(ltrim(p->>'version', 'v'), '^[0-9]')),
+toml_blocks AS (SELECT repo, file, fmt, unnest(string_split(content, '[[package]]')[2:]) AS block FROM manifests WHERE fmt IN (5, 6)),
+pk_toml AS (SELECT repo, file, regexp_extract(block, 'name = "([^"]*)"', 1) AS package, regexp_extract(block, 'version = "([^"]*)"', 1) AS version,
+    CASE fmt WHEN 5 THEN 'crates.io' ELSE 'PyPI' END AS ecosystem FROM toml_blocks),
+packages AS (SELECT * FROM pk_req UNION ALL SELECT * FROM pk_npm UNION ALL SELECT * FROM pk_go UNION ALL SELECT * FROM pk_gem
+  UNION ALL SELECT * FROM pk_composer UNION ALL SELECT * FROM pk_toml)
+"""
+
+
+def vkey(column: str) -> str:
+    runs = rf"regexp_extract_all({column}, '\d+')"
+    return f"(CASE WHEN len({runs}) > 0 THEN list_transform({runs}, lambda x: x::HUGEINT) ELSE [0::HUGEINT] END)"
+
+
+_LET = {"AV": (1, "NALP"), "AC": (4, "LH"), "PR": (8, "NLH"), "UI": (24, "NR"), "S": (48, "UC"), "C": (96, "HLN"),
+        "I": (288, "HLN"), "A": (864, "HLN")}
+
+
+def _letter(metric: str) -> str:
+    divisor, letters = _LET[metric]
+    return f"substr('{letters}', ((p_partkey % 2592) // {divisor} % {len(letters)} + 1)::INT, 1)"
+
+
+ADVISORIES = f"""
+adv_raw AS (SELECT *, {', '.join(f'{_letter(m)} AS m_{m}' for m in _LET)},
+   ['PyPI', 'npm', 'Go', 'RubyGems', 'Packagist', 'crates.io'][p_partkey % 6 + 1] AS ecosystem FROM part),
+adv_w AS (SELECT *, CASE m_AV WHEN 'N' THEN 0.85::DOUBLE WHEN 'A' THEN 0.62 WHEN 'L' THEN 0.55 ELSE 0.2 END AS av,
+   CASE m_AC WHEN 'L' THEN 0.77::DOUBLE ELSE 0.44 END AS ac, CASE m_UI WHEN 'N' THEN 0.85::DOUBLE ELSE 0.62 END AS ui,
+   CASE WHEN m_PR = 'N' THEN 0.85::DOUBLE WHEN m_PR = 'L' THEN CASE m_S WHEN 'C' THEN 0.68::DOUBLE ELSE 0.62 END
+        ELSE CASE m_S WHEN 'C' THEN 0.5::DOUBLE ELSE 0.27 END END AS pr,
+   CASE m_C WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END AS wc,
+   CASE m_I WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END AS wi,
+   CASE m_A WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END AS wa FROM adv_raw),
+adv_iss AS (SELECT *, 1 - (1 - wc) * (1 - wi) * (1 - wa) AS iss FROM adv_w),
+adv_imp AS (SELECT *, CASE m_S WHEN 'C' THEN 7.52::DOUBLE * (iss - 0.029::DOUBLE) - 3.25::DOUBLE * pow(iss - 0.02::DOUBLE, 15)
+   ELSE 6.42::DOUBLE * iss END AS impact, 8.22::DOUBLE * av * ac * pr * ui AS expl FROM adv_iss),
+adv_score AS (SELECT *, CASE WHEN p_partkey % 10 = 0 THEN 7.5::DOUBLE WHEN p_partkey % 10 = 3 THEN 4.0 WHEN p_partkey % 10 IN (1, 2, 4) THEN NULL
+   WHEN impact <= 0 THEN 0.0 ELSE ceil(least(CASE m_S WHEN 'C' THEN 1.08::DOUBLE * (impact + expl) ELSE impact + expl END, 10.0::DOUBLE) * 10) / 10
+   END AS score FROM adv_imp),
+advisories AS (SELECT p_partkey, 'ADV-' || p_partkey AS vuln_id, ecosystem, 'pkg-' || p_partkey AS package,
+   CASE WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MEDIUM' WHEN score IS NOT NULL THEN 'LOW'
+        WHEN p_partkey % 10 = 2 THEN 'LOW' ELSE 'MEDIUM' END AS severity,
+   CASE WHEN p_partkey % 11 = 0 THEN 'No summary available.' ELSE p_name || ' flaw in ' || p_type END AS summary,
+   CASE WHEN p_partkey % 4 = 0 THEN '0' ELSE (p_size % 20) || '.0.0' END AS introduced,
+   CASE WHEN p_partkey % 7 <> 0 THEN (p_size % 20 + 5 + p_partkey % 20) || '.1.0' END AS fixed_version,
+   p_partkey % 5 = 0 AS second_range FROM adv_score)
+"""
+
+
+def in_range(version: str) -> str:
+    return (f"(({vkey(version)} >= {vkey('introduced')} AND (fixed_version IS NULL OR {vkey(version)} < {vkey('fixed_version')}))"
+            f" OR (second_range AND {vkey(version)} >= {vkey(chr(39) + '45.0.0' + chr(39))}))")
+
+
+def remediation() -> str:
+    from sentrymill.fixed_values import packages as P
+    cases = " ".join(
+        f"WHEN '{e}' THEN " + "replace(replace(" + q(t) + ", '{pkg}', package), '{fix}', fixed_version)"
+        for e, _, t in P.ECOSYSTEMS)
+    return (f"CASE WHEN fixed_version IS NULL THEN {q(P.NO_FIX_TEXT)} ELSE 'Upgrade to ' || fixed_version || '  ·  ' || "
+            f"CASE ecosystem {cases} END END")
+
+
+VULNERABLE = f"""
+vulnerable AS (SELECT p.repo, p.file, p.package, p.version, p.ecosystem, a.severity, a.vuln_id, substr(a.summary, 1, 200) AS summary,
+   a.fixed_version FROM packages p JOIN advisories a ON p.ecosystem = a.ecosystem AND p.package = a.package AND {in_range('p.version')}),
+dep_f AS (SELECT *, {remediation()} AS remediation FROM vulnerable)
+"""
+
+
+def _licences() -> str:
+    from workloads import views as v
+    ecos = ", ".join(f"'{e}'" for e in v.MANIFEST_ECOSYSTEMS)
+    lists = " ".join(f"WHEN {i} THEN " + ("NULL" if c is None else "[" + ", ".join(q(x) for x in c) + "]::VARCHAR[]")
+                     for i, c in enumerate(v.LICENCE_CHOICES))
+    return f"""licences AS (SELECT DISTINCT [{ecos}][l_orderkey % 7 + 1] AS ecosystem, 'pkg-' || l_partkey AS package,
+      l_quantity::INT || '.' || l_linenumber || '.0' AS version, CASE l_partkey % {len(v.LICENCE_CHOICES)} {lists} END AS licenses FROM lineitem)"""
+
+
+LICENCES = _licences()
+BUMPS = f"""
+editable AS (SELECT *, replace(lower(package), '_', '-') AS package_key FROM vulnerable
+   WHERE fixed_version IS NOT NULL AND regexp_extract(file, '[^/]+$') IN ('requirements.txt', 'package.json')),
+bumps AS (SELECT repo, file, package_key, package, version AS old_version, fixed_version AS new_version, ecosystem, vuln_id AS advisory, severity
+   FROM (SELECT *, row_number() OVER (PARTITION BY repo, file, package_key
+      ORDER BY {vkey('fixed_version')} DESC, vuln_id, version, package, fixed_version) AS rn FROM editable) WHERE rn = 1)
+"""
+
+
+def secret_ctes(source: str, columns: str = "repo, path", prefix: str = "") -> str:
+    """Secret findings in SQL: per rule all values of a line, masked in the line and alone."""
+    from sentrymill.fixed_values.secrets import SECRET_RULES
+    rules = values([(i, *r[:3]) for i, r in enumerate(SECRET_RULES)], "rule, secret_type, category, severity")
+    found = ", ".join(f"list_transform(regexp_extract_all(line, {q(r[3])}, {r[4]}), lambda v: {{'rule': {i}, 'value': v}})"
+                      for i, r in enumerate(SECRET_RULES))
+    cols = columns.split(", ")
+    return f"""{prefix}hits AS MATERIALIZED (SELECT *, flatten([{found}]) AS found FROM {lines_of(source, columns)}
+       WHERE NOT {suppressed('secret')}),
+    {prefix}vals AS (SELECT {columns}, line_no, line, unnest(list_distinct(found)) AS h,
+       list_reverse_sort(list_transform(list_distinct(list_transform(found, lambda h: h.value)),
+         lambda v: lpad(length(v)::VARCHAR, 6, '0') || v)) AS ordered FROM {prefix}hits WHERE len(found) > 0),
+    {prefix}secret_f AS (SELECT DISTINCT {columns}, line_no, r.secret_type, r.category, r.severity, left(h.value, 4) || '****' AS matched_value,
+       substr(trim(list_reduce(list_concat([line], list_transform(ordered, lambda v: substr(v, 7))),
+          lambda acc, v: replace(acc, v, left(v, 4) || '****')), ' ' || chr(9)), 1, 120) AS masked_context, h.value AS value
+       FROM {prefix}vals JOIN (SELECT * FROM {rules}) r ON r.rule = h.rule)"""
+
+
+VERSIONS = f"""
+last_turn AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+file_versions AS (SELECT 'conv' || conv_id AS repo, turn AS commit, 'notes/' || role || '.py' AS path,
+   text || chr(10) || CASE WHEN turn < last OR conv_id % 3 = 0 THEN 'key = "{planted.AWS[:16]}' || lpad((conv_id % 10000)::VARCHAR, 4, '0') || '"'
+     ELSE 'key = load()' END AS content FROM conversations JOIN last_turn USING (conv_id)),
+current_files AS (SELECT repo, path, arg_max(content, commit) AS content FROM file_versions GROUP BY repo, path)
+"""

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill import schema
+from sentrymill.fixed_values import packages as P
+from sentrymill.fixed_values import posture as checks_values
 from sentrymill.functions.suppress import scopes, suppressed
-from sentrymill.operators import classify, hygiene, ignore, match, secrets
+from sentrymill.operators import advisories, bumps, classify, hygiene, ignore, manifests, match, secrets
 from sentrymill.session import tune
-from workloads import duck, views
+from workloads import duck, planted, views
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +65,195 @@ def iac_findings(spark, d):
 @query(f"{_W} SELECT {duck.FINDING} FROM ci_f")
 def workflow_findings(spark, d):
     return match.workflow_findings(_files(spark, d))
+
+
+# --- ignore rules, suppression, hygiene, secrets ---------------------------------------------
+
+@query(duck.with_(duck.FILES) + f"""SELECT repo, path,
+   (regexp_matches(path, '^(?:examples(?:/.*)?|(?:.*/)?[^/]*\\.min\\.js)$')
+    OR (dot = {duck.q(planted.IGNORE_FILES[1])} AND ends_with(path, '.php'))
+    OR (dot = {duck.q(planted.IGNORE_FILES[2])} AND (starts_with(path, 'infra/') OR regexp_matches(path, '^(.*/)?app_[^/]\\.js$')
+        OR regexp_matches(path, '^core/[^/]*\\.java$')))) AS ignored
+   FROM files LEFT JOIN (SELECT repo, content AS dot FROM files WHERE path = '{ignore.IGNORE_FILE}') USING (repo)""")
+def ignored_paths(spark, d):
+    return ignore.flagged(views.files(spark, d)).select("repo", "path", "ignored")
+
+
+@query(duck.with_(duck.FILES) + f"""SELECT repo, path, line_no, array_to_string(list_sort({duck.scope_list()}), ',') AS scopes,
+   {duck.suppressed('code')} AS code, {duck.suppressed('secret')} AS secret, {duck.suppressed('dep')} AS dep
+   FROM {duck.lines_of('files')} WHERE regexp_matches(line, '(?i)(?:#|//|/\\*|<!--)\\s*nosec\\b')""")
+def suppressed_lines(spark, d):
+    marked = match.lines(views.files(spark, d)).withColumn("_s", scopes(F.col("line"))).where(F.col("_s").isNotNull())
+    return marked.select("repo", "path", "line_no", F.array_join(F.array_sort("_s"), ",").alias("scopes"),
+                         *[suppressed(F.col("line"), s).alias(s) for s in ("code", "secret", "dep")])
+
+
+@query(duck.with_(duck.FILES) + f"""SELECT repo, path, line_no, line FROM {duck.lines_of('files')} l
+   WHERE NOT (line = '' AND line_no = (SELECT len(string_split(content, chr(10))) FROM files f WHERE f.repo = l.repo AND f.path = l.path))""")
+def file_lines(spark, d):
+    return match.lines(views.files(spark, d), keep_empty=True).select("repo", "path", "line_no", "line")
+
+
+_HYG = """sens AS (SELECT DISTINCT repo, CASE WHEN regexp_matches(path, '(^|/)\\.env$') THEN '.env' WHEN ends_with(path, '.pem') THEN '*.pem'
+   WHEN ends_with(path, '/id_rsa') THEN 'id_rsa' END AS kind FROM files),
+gi AS (SELECT repo, trim(line) AS e FROM (SELECT repo, unnest(string_split(lower(content), chr(10))) AS line FROM files WHERE path = '.gitignore')
+   WHERE NOT starts_with(line, '#') AND trim(line) <> '')"""
+_HYG_SELECT = """SELECT repo, '.gitignore' AS path, 0 AS line_no, 'Sensitive file type not git-ignored: ' || kind AS issue_type,
+   'hygiene' AS category, 'MEDIUM' AS severity, 'Files matching ''' || kind || ''' are present but not covered by .gitignore — they risk being committed. Add an ignore rule.' AS description,
+   '' AS context FROM sens s WHERE kind IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gi WHERE gi.repo = s.repo
+     AND (contains(e, ltrim(kind, '*')) OR contains(kind, ltrim(e, '*'))))"""
+
+
+@query(duck.with_(duck.FILES, _HYG) + _HYG_SELECT)
+def gitignore_hygiene(spark, d):
+    return hygiene.gitignore_findings(views.files(spark, d))
+
+
+@query(duck.with_(duck.FILES, duck.secret_ctes("files")) + "SELECT * EXCLUDE (value) FROM secret_f")
+def secret_findings_masked(spark, d):
+    return secrets.secret_findings(ignore.visible(views.files(spark, d), use_defaults=False, ignore_file=None))
+
+
+@query(duck.with_(duck.VERSIONS, duck.secret_ctes("file_versions", "repo, path, commit", "past_"),
+                  duck.secret_ctes("current_files", "repo, path", "now_")) + """
+   SELECT p.* EXCLUDE (value) FROM past_secret_f p WHERE NOT EXISTS (SELECT 1 FROM now_secret_f n WHERE n.repo = p.repo
+     AND n.path = p.path AND n.secret_type = p.secret_type AND n.value = p.value)""")
+def history_only_secrets(spark, d):
+    versions = views.file_versions(spark, d)
+    return secrets.history_findings(versions, views.current_files(versions))
+
+
+# --- packages, advisories, licences, upgrades ------------------------------------------------
+
+_P = duck.with_(duck.MANIFESTS, duck.PACKAGES)
+_PA = duck.with_(duck.MANIFESTS, duck.PACKAGES, duck.ADVISORIES, duck.VULNERABLE, duck.BUMPS)
+_PACKAGE = "repo, file, package, version, ecosystem"
+
+
+def _register_packages(label: str, names: list[str], cte: str) -> None:
+    extractors = {n: manifests.EXTRACTORS[n] for n in names}
+
+    @query(f"{_P} SELECT {_PACKAGE} FROM {cte}", name=f"packages_{label}")
+    def run(spark, d):
+        return manifests.packages(views.manifests(spark, d), extractors)
+
+
+_register_packages("requirements", ["requirements.txt"], "pk_req")
+_register_packages("npm", ["package.json"], "pk_npm")
+_register_packages("go", ["go.mod"], "pk_go")
+_register_packages("gem", ["Gemfile.lock"], "pk_gem")
+_register_packages("composer", ["composer.lock"], "pk_composer")
+_register_packages("toml", ["Cargo.lock", "poetry.lock"], "pk_toml")
+
+
+def _declared(spark, d) -> DataFrame:
+    return manifests.packages(views.manifests(spark, d))
+
+
+def _advisories(spark, d) -> DataFrame:
+    return advisories.parsed(views.advisory_documents(spark, d))
+
+
+@query(f"{_P} SELECT ecosystem, count(*) AS declarations, count(DISTINCT package || '@' || version) AS coordinates FROM packages GROUP BY 1")
+def packages_all(spark, d):
+    once_each = _declared(spark, d).groupBy("ecosystem", "package", "version").agg(F.count("*").alias("n"))
+    return once_each.groupBy("ecosystem").agg(F.sum("n").alias("declarations"), F.count("*").alias("coordinates"))
+
+
+_PURL = ("'pkg:' || CASE ecosystem WHEN 'PyPI' THEN 'pypi' WHEN 'Go' THEN 'golang' WHEN 'RubyGems' THEN 'gem' "
+         "WHEN 'Packagist' THEN 'composer' WHEN 'crates.io' THEN 'cargo' ELSE lower(ecosystem) END || '/' || name || '@' || version")
+
+
+@query(f"{_P} SELECT *, {_PURL} AS purl FROM (SELECT repo, ecosystem, package AS name, version, min(file) AS file FROM packages GROUP BY ALL)")
+def sbom_components(spark, d):
+    return manifests.components(_declared(spark, d))
+
+
+@query(f"""{_P} SELECT ecosystem, package, version, (row_number() OVER (ORDER BY ecosystem, package, version) - 1) // 100 AS batch
+   FROM (SELECT DISTINCT ecosystem, package, version FROM packages)""")
+def lookup_batches(spark, d):
+    return manifests.lookup_batches(_declared(spark, d), P.LOOKUP_BATCH)
+
+
+@query(f"{_PA} SELECT * FROM dep_f")
+def vulnerable_dependencies(spark, d):
+    return advisories.dependency_findings(_declared(spark, d), _advisories(spark, d))
+
+
+@query(duck.with_(duck.ADVISORIES) + "SELECT vuln_id, severity, summary, fixed_version FROM advisories")
+def advisory_severity(spark, d):
+    return advisories.summarised(_advisories(spark, d)).drop("affected")
+
+
+_LIC = duck.with_(duck.MANIFESTS, duck.PACKAGES, duck.LICENCES, """
+named AS (SELECT *, CASE WHEN len(licenses) > 0 THEN licenses[1] WHEN licenses IS NOT NULL THEN 'UNKNOWN' END AS raw FROM licences),
+license_f AS (SELECT p.repo, p.file, p.package, p.version, p.ecosystem, CASE WHEN raw = '' THEN 'UNKNOWN' ELSE raw END AS license,
+   CASE WHEN trim(raw) IN ('', 'UNKNOWN', 'NOASSERTION', 'NONE') THEN 'LOW' WHEN regexp_matches(trim(raw), '^A?GPL-') THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+   CASE WHEN trim(raw) IN ('', 'UNKNOWN', 'NOASSERTION', 'NONE') THEN 'No license metadata found — verify usage rights manually.'
+        WHEN regexp_matches(trim(raw), '^A?GPL-') THEN trim(raw) || ' is a strong copyleft license — may require releasing source of derivative/linked works.'
+        ELSE trim(raw) || ' is a weak copyleft / reciprocal license — review obligations for modifications and distribution.' END AS reason
+   FROM packages p JOIN named n ON p.ecosystem = n.ecosystem AND p.package = n.package AND p.version = n.version
+   WHERE regexp_matches(trim(raw), '^((A?GPL|LGPL|MPL|EPL|CDDL)-.*|UNKNOWN|NOASSERTION|NONE|)$'))""")
+
+
+@query(f"{_LIC} SELECT * FROM license_f")
+def license_findings(spark, d):
+    return advisories.licence_findings(_declared(spark, d), views.licence_feed(spark, d))
+
+
+@query(f"{_LIC} SELECT raw AS license, count(*) AS coordinates FROM named GROUP BY 1")
+def licence_lookup(spark, d):
+    feed = views.licence_feed(spark, d)
+    name = F.when(F.size("licenses") > 0, F.element_at("licenses", 1)).when(F.col("licenses").isNotNull(), "UNKNOWN")
+    return feed.groupBy(name.alias("license")).agg(F.count("*").alias("coordinates"))
+
+
+def _bumps(spark, d) -> DataFrame:
+    return bumps.plan(vulnerable_dependencies(spark, d))
+
+
+@query(f"{_PA} SELECT * FROM bumps")
+def bump_plan(spark, d):
+    return _bumps(spark, d)
+
+
+@query(rf"""{_PA}, fixes AS (SELECT m.repo, m.file, line_no, line,
+     CASE WHEN b.new_version IS NOT NULL AND NOT regexp_matches(trim(line), '^(#|-|git\+)|://')
+          THEN regexp_extract(line, '^(\s*)([A-Za-z0-9][A-Za-z0-9_.\-]*)(\[[^\]]*\])?', 0) || '>=' || b.new_version ELSE line END AS fixed
+   FROM mlines m LEFT JOIN bumps b ON b.repo = m.repo AND b.file = m.file
+     AND b.package_key = replace(lower(regexp_extract(line, '^\s*([A-Za-z0-9][A-Za-z0-9_.\-]*)', 1)), '_', '-')
+   WHERE m.fmt = 0 AND (m.repo, m.file) IN (SELECT repo, file FROM bumps))
+   SELECT repo, file AS path, string_agg(fixed, chr(10) ORDER BY line_no) AS content FROM fixes GROUP BY ALL""")
+def manifest_rewrite(spark, d):
+    return bumps.requirements_edits(views.manifests(spark, d), _bumps(spark, d))
+
+
+@query(f"""{_PA} SELECT m.repo, m.file AS path, sec AS section, k AS package,
+     coalesce('^' || b.new_version, json_extract_string(content, '$.' || sec || '."' || k || '"')) AS version
+   FROM (SELECT *, unnest(json_keys(content, '$.' || sec)) AS k FROM manifests, (VALUES ('dependencies'), ('devDependencies')) s(sec) WHERE fmt = 1) m
+   LEFT JOIN bumps b ON b.repo = m.repo AND b.file = m.file AND b.package = k
+   WHERE (m.repo, m.file) IN (SELECT repo, file FROM bumps)""")
+def npm_manifest_rewrite(spark, d):
+    return bumps.package_json_edits(views.manifests(spark, d), _bumps(spark, d))
+
+
+_SPECS = """specs AS (SELECT DISTINCT target, CASE WHEN pre = '' THEN 'PyPI' WHEN pre IN ('pip:') THEN 'PyPI' WHEN pre = 'npm:' THEN 'npm'
+   WHEN pre = 'go:' THEN 'Go' WHEN pre = 'gem:' THEN 'RubyGems' WHEN pre = 'composer:' THEN 'Packagist' ELSE 'crates.io' END AS ecosystem, package, version
+   FROM (SELECT *, pre || package || '@' || version AS target FROM (SELECT ['', 'pip:', 'npm:', 'go:', 'gem:', 'composer:', 'Cargo:', 'crates.io:'][l_orderkey % 8 + 1] AS pre,
+     'pkg-' || l_partkey AS package, l_quantity::INT || '.' || l_linenumber AS version FROM lineitem)))"""
+
+
+@query(duck.with_(duck.ADVISORIES, _SPECS) + f"""SELECT target, severity, vuln_id AS title,
+     CASE WHEN summary = 'No summary available.' THEN '' ELSE substr(summary, 1, 150) END || coalesce(' — fixed in ' || fixed_version, '') AS detail
+   FROM specs JOIN advisories a USING (ecosystem, package) WHERE {duck.in_range('version')}""")
+def package_lookup(spark, d):
+    return advisories.package_lookup(views.package_specs(spark, d), _advisories(spark, d))
+
+
+@query("""WITH c AS (SELECT 'CVE-2024-' || lpad(p_partkey::VARCHAR, 9, '0') AS cve_id, p_name || ' in ' || p_type AS detail,
+     coalesce(CASE WHEN p_partkey % 4 = 0 THEN p_size / 5.0::DOUBLE END, CASE WHEN p_partkey % 3 = 0 THEN p_size / 6.0::DOUBLE END,
+              CASE WHEN p_partkey % 2 = 0 THEN p_size / 7.0::DOUBLE END) AS s FROM part), hit AS (SELECT * FROM c WHERE contains(lower(detail), 'ring'))
+   SELECT cve_id, CASE WHEN s >= 9 THEN 'CRITICAL' WHEN s >= 7 THEN 'HIGH' WHEN s >= 4 THEN 'MEDIUM' WHEN s IS NOT NULL THEN 'LOW' ELSE 'MEDIUM' END AS severity,
+     substr(detail, 1, 200) AS detail, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY cve_id LIMIT 10""")
+def cve_search(spark, d):
+    return advisories.cve_search(views.cves(spark, d), "Ring", checks_values.CVE_CAP)

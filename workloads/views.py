@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.operators.ignore import IGNORE_FILE
-from sentrymill.session import literal_table
+from sentrymill.session import literal_table, spread
 from workloads import planted
 
 FAMILIES = {"code": planted.CODE, "docker": planted.DOCKER, "iac": planted.IAC, "ci": planted.WORKFLOW}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a given table."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def planted_table(spark: SparkSession) -> DataFrame:
@@ -27,7 +28,7 @@ def planted_table(spark: SparkSession) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(repo, path, content): one per document, plus two dot-files per source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     i = F.col("doc_id").cast("string")
 
     def p(before: str, after: str) -> F.Column:
@@ -68,7 +69,7 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A key stands in every version but the last turn of a conversation.
     """
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     marked = turns.join(last, "conv_id")
     key = F.concat(F.lit('key = "' + planted.AWS[:16]), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"),
@@ -84,3 +85,123 @@ def current_files(versions: DataFrame) -> DataFrame:
     """The newest version of every file."""
     newest = versions.groupBy("repo", "path").agg(F.max_by("content", "commit").alias("content"))
     return newest.select("repo", "path", "content")
+
+
+ECOSYSTEMS = ["PyPI", "npm", "Go", "RubyGems", "Packagist", "crates.io"]
+MANIFEST_NAMES = ["requirements.txt", "package.json", "go.mod", "Gemfile.lock", "composer.lock", "Cargo.lock",
+                  "poetry.lock"]
+MANIFEST_ECOSYSTEMS = ["PyPI", "npm", "Go", "RubyGems", "Packagist", "crates.io", "PyPI"]
+# {o} order, {p} part, {s} supplier, {l} line number, {q} quantity
+MANIFEST_TEXTS = [
+    '# order {o}\npkg-{p}=={q}.{l}.0\nSup_{s}>={l}.{q}.1 ; python_version > "3"\n-r base.txt\nbare-name\nother[extra]==1.0\n',
+    '{"name": "svc", "dependencies": {"pkg-{p}": "^{q}.{l}.0", "sup-{s}": ">={l}.2 <9"}, '
+    '"devDependencies": {"pkg-{p}": "~{q}.9", "tool": "latest"}}',
+    'module example.org/svc\n\ngo 1.22\nrequire example.org/lib v1.{l}.3 // indirect\nrequire (\n\tpkg-{p} v{q}.{l}.0\n'
+    '\tsup-{s} v{l}.0.{q} // indirect\n)\nreplace x => y v1.0.0\n',
+    'GEM\n  specs:\n    pkg-{p} ({q}.{l}.0)\n      dep-x (>= 1.0)\n    sup-{s} ({l}.1)\n',
+    '{"packages": [{"name": "pkg-{p}", "version": "v{q}.{l}.0"}], "packages-dev": [{"name": "sup-{s}", '
+    '"version": "{l}.3"}, {"name": "dev", "version": "dev-main"}]}',
+    'version = 3\n\n[[package]]\nname = "pkg-{p}"\nversion = "{q}.{l}.0"\ndependencies = [\n "x",\n]\n\n[[package]]\n'
+    'name = "sup-{s}"\nversion = "{l}.4.0"\n\n[metadata]\nname = "not-a-package"\n',
+    '[[package]]\nname = "pkg-{p}"\nversion = "{q}.{l}.0"\n\n[[package]]\nname = "sup-{s}"\nversion = "{l}.5"\n',
+]
+
+
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(repo, path, content): one manifest per line item, its format from the order key."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    values = {"{o}": F.col("l_orderkey").cast("string"), "{p}": F.col("l_partkey").cast("string"),
+              "{s}": F.col("l_suppkey").cast("string"), "{l}": F.col("l_linenumber").cast("string"),
+              "{q}": F.col("l_quantity").cast("int").cast("string")}
+    kind = (F.col("l_orderkey") % 7).cast("int") + 1
+    name = F.element_at(F.array(*[F.lit(n) for n in MANIFEST_NAMES]), kind)
+    text = F.element_at(F.array(*[F.lit(t) for t in MANIFEST_TEXTS]), kind)
+    for key, value in values.items():
+        text = F.replace(text, F.lit(key), value)
+    return items.select(
+        F.concat(F.lit("repo-"), values["{s}"]).alias("repo"),
+        F.concat(F.lit("o"), values["{o}"], F.lit("/svc-"), values["{l}"], F.lit("-"), values["{p}"], F.lit("/"),
+                 name).alias("path"), text.alias("content"))
+
+
+def advisory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc STRING: one nested advisory per part, as JSON text."""
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size")
+    p, size = F.col("p_partkey"), F.col("p_size")
+
+    def letter(divisor: int, letters: str) -> F.Column:
+        n = F.floor((p % 2592) / divisor) % len(letters) + 1
+        return F.substr(F.lit(letters), n.cast("int"), F.lit(1))
+
+    vector = F.concat(F.lit("CVSS:3.1/AV:"), letter(1, "NALP"), F.lit("/AC:"), letter(4, "LH"), F.lit("/PR:"),
+                      letter(8, "NLH"), F.lit("/UI:"), letter(24, "NR"), F.lit("/S:"), letter(48, "UC"), F.lit("/C:"),
+                      letter(96, "HLN"), F.lit("/I:"), letter(288, "HLN"), F.lit("/A:"), letter(864, "HLN"))
+    kind = p % 10
+
+    def score(kind_: str, text) -> F.Column:
+        return F.struct(F.lit(kind_).alias("type"), text.alias("score"))
+
+    scores = (F.when(kind == 0, F.array(score("CVSS_V3", F.lit("7.5"))))
+              .when(kind.isin(1, 4), F.array().cast("array<struct<type:string,score:string>>"))
+              .when(kind == 2, F.array(score("CVSS_V3", F.lit("CVSS:3.1/AV:X"))))
+              .when(kind == 3, F.array(score("CVSS_V2", F.lit("AV:N/AC:L")), score("CVSS_V3", F.lit("4.0"))))
+              .otherwise(F.array(score("CVSS_V3", vector))))
+    word = F.when(kind == 1, "MODERATE").when(kind == 2, "low")
+    introduced = F.when(p % 4 == 0, "0").otherwise(F.concat((size % 20).cast("string"), F.lit(".0.0")))
+    fixed = F.when(p % 7 != 0, F.concat((size % 20 + 5 + p % 20).cast("string"), F.lit(".1.0")))
+
+    def event(introduced_, fixed_) -> F.Column:
+        return F.struct(introduced_.alias("introduced"), fixed_.alias("fixed"))
+
+    none = F.lit(None).cast("string")
+    first = F.when(fixed.isNotNull(), F.array(event(introduced, none), event(none, fixed))).otherwise(
+        F.array(event(introduced, none)))
+    second = F.array(event(F.lit("45.0.0"), none))
+    ranges = F.when(p % 5 == 0, F.array(F.struct(first.alias("events")), F.struct(second.alias("events")))).otherwise(
+        F.array(F.struct(first.alias("events"))))
+    eco = F.element_at(F.array(*[F.lit(e) for e in ECOSYSTEMS]), (p % 6 + 1).cast("int"))
+    package = F.struct(eco.alias("ecosystem"), F.concat(F.lit("pkg-"), p.cast("string")).alias("name"))
+    summary = F.when(p % 11 == 0, "").otherwise(F.concat_ws(" flaw in ", "p_name", "p_type"))
+    return parts.select(F.to_json(F.struct(
+        F.concat(F.lit("ADV-"), p.cast("string")).alias("id"), summary.alias("summary"), scores.alias("severity"),
+        F.array(F.struct(package.alias("package"), ranges.alias("ranges"))).alias("affected"),
+        F.struct(word.alias("severity")).alias("database_specific"))).alias("doc"))
+
+
+LICENCE_CHOICES = [["MIT"], ["GPL-3.0"], ["AGPL-3.0-only"], ["LGPL-2.1"], ["MPL-2.0"], [""], ["NOASSERTION"],
+                   ["Apache-2.0"], ["gpl-3.0"], ["EPL-2.0"], [], None, ["MIT", "GPL-2.0"]]
+
+
+def licence_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ecosystem, package, version, licenses) for every part version that occurs; null = failed lookup."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    eco = F.element_at(F.array(*[F.lit(e) for e in MANIFEST_ECOSYSTEMS]), (F.col("l_orderkey") % 7 + 1).cast("int"))
+    choices = F.array(*[F.lit(None).cast("array<string>") if c is None else
+                        F.array(*[F.lit(x) for x in c]).cast("array<string>") for c in LICENCE_CHOICES])
+    version = F.concat_ws(".", F.col("l_quantity").cast("int"), "l_linenumber", F.lit("0"))
+    return items.select(eco.alias("ecosystem"), F.concat(F.lit("pkg-"), F.col("l_partkey").cast("string")).alias("package"),
+                        version.alias("version"),
+                        F.element_at(choices, (F.col("l_partkey") % len(LICENCE_CHOICES) + 1).cast("int"))
+                        .alias("licenses")).distinct()
+
+
+def cves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cve_id, description, v31, v30, v2) per part."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size").select(
+        F.concat(F.lit("CVE-2024-"), F.lpad(p.cast("string"), 9, "0")).alias("cve_id"),
+        F.concat_ws(" in ", "p_name", "p_type").alias("description"),
+        F.when(p % 4 == 0, size / 5.0).alias("v31"), F.when(p % 3 == 0, size / 6.0).alias("v30"),
+        F.when(p % 2 == 0, size / 7.0).alias("v2"))
+
+
+def package_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """target STRING: an ad-hoc lookup per order line part, in several spellings."""
+    prefixes = F.array(*[F.lit(x) for x in ["", "pip:", "npm:", "go:", "gem:", "composer:", "Cargo:", "crates.io:"]])
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    return items.select(F.concat(
+        F.element_at(prefixes, (F.col("l_orderkey") % 8 + 1).cast("int")), F.lit("pkg-"),
+        F.col("l_partkey").cast("string"), F.lit("@"), F.col("l_quantity").cast("int").cast("string"), F.lit("."),
+        F.col("l_linenumber").cast("string")).alias("target")).distinct()
