@@ -15,23 +15,27 @@ from pyspark.sql import functions as F
 from sentrymill.fixed_values import rules as R
 from sentrymill.functions.suppress import suppressed
 from sentrymill.functions.text import contains_any_sql, context, raw_pieces, regex, split_lines
-from sentrymill.session import literal_table, once, sql_literal
+from sentrymill.session import literal_table, sql_literal
 
 RULE_COLUMNS = ["rule", "issue_type", "category", "severity", "description"]
+# file kind -> its rules, in order of precedence
+RULE_SETS = {"code": R.CODE_RULES, "iac": R.IAC_RULES, "workflow": R.WORKFLOW_RULES,
+             "dockerfile": [R.DOCKER_ABSENCE_RULE, *R.DOCKER_RULES]}
+COMMENTED = ("iac", "workflow")  # kinds in which a line starting with # is skipped
 FINDING = ["repo", "path", "line_no", "issue_type", "category", "severity", "description", "context"]
 
 
 def lines(files: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One row per line, numbered from 1.
 
-    Matching never needs empty lines; with ``keep_empty`` the result is exactly
-    the lines of the file.
+    Matching never needs empty lines after the first; with ``keep_empty`` the
+    result is exactly the lines of the file.
     """
     others = [c for c in files.columns if c != "content"]
     pieces = split_lines(F.col("content")) if keep_empty else raw_pieces(F.col("content"))
     exploded = files.select(*others, F.posexplode(pieces).alias("_pos", "line"))
     if not keep_empty:
-        exploded = exploded.where(F.col("line") != "")
+        exploded = exploded.where((F.col("line") != "") | (F.col("_pos") == 0))
     return exploded.select(*others, (F.col("_pos") + 1).alias("line_no"), "line")
 
 
@@ -47,66 +51,61 @@ def hits(rule: Sequence) -> str:
     return found
 
 
-def with_lower(numbered: DataFrame) -> DataFrame:
-    return numbered.withColumn("low", F.lower("line"))
 
+def _first(rules: Sequence[Sequence], start: int) -> str:
+    chain = " ".join(f"WHEN {hits(r)} THEN {i}" for i, r in enumerate(rules, start))
+    return f"CASE {chain} END"
 
-def first_match(rules: Sequence[Sequence]) -> Column:
-    """Index of the first rule that matches the line, or null."""
-    chain = " ".join(f"WHEN {hits(r)} THEN {i}" for i, r in enumerate(rules))
-    return once(F.expr(f"CASE {chain} END")).alias("rule")
 
+def _matched(kind: str, rules: Sequence[Sequence], start: int) -> str:
+    """SQL array of matched rule numbers of one line (nulls where nothing matched)."""
+    if kind == "dockerfile":  # every rule counts; the whole-file rule is reported on line 1
+        each = [f"CASE WHEN {'line_no = 1 AND no_user' if r is R.DOCKER_ABSENCE_RULE else hits(r)} THEN {i} END"
+                for i, r in enumerate(rules, start)]
+        return f"array({', '.join(each)})"
+    first = _first(rules, start)
+    if kind in COMMENTED:
+        comment = sql_literal(regex(r"\A\s*#"))
+        first = f"CASE WHEN NOT line RLIKE {comment} THEN {first} END"
+    return f"array({first})"
 
-def all_matches(rules: Sequence[Sequence]) -> Column:
-    """One row per rule, holding its index where it matches and null elsewhere."""
-    each = ", ".join(f"CASE WHEN {hits(r)} THEN {i} END" for i, r in enumerate(rules))
-    return F.explode(F.expr(f"array({each})")).alias("rule")
 
+def line_findings(files: DataFrame, rule_sets: dict[str, Sequence[Sequence]] = RULE_SETS) -> DataFrame:
+    """Findings of all given file kinds in one pass over the text.
 
-def rule_table(spark, rules: Sequence[Sequence]) -> DataFrame:
-    """The rule dimension: one row per rule, at most a few dozen."""
-    rows = [(i, r[0], r[1], r[2], r[4]) for i, r in enumerate(rules)]
-    return literal_table(spark, RULE_COLUMNS, rows)
-
-
-def _report(matched: DataFrame, rules: Sequence[Sequence]) -> DataFrame:
-    kept = matched.where(F.col("rule").isNotNull() & ~suppressed(F.col("line"), "code"))
-    described = kept.join(F.broadcast(rule_table(kept.sparkSession, rules)), "rule")
-    return described.withColumn("context", context(F.col("line"))).select(*FINDING)
-
-
-def code_findings(files: DataFrame, rules: Sequence[Sequence] = R.CODE_RULES) -> DataFrame:
-    """First matching rule per line of code files."""
-    wanted = files.where(F.col("file_kind") == "code").select("repo", "path", "content")
-    return _report(with_lower(lines(wanted)).select("*", first_match(rules)), rules)
-
-
-def _uncommented(files: DataFrame, kind: str, rules: Sequence[Sequence]) -> DataFrame:
-    wanted = files.where(F.col("file_kind") == kind).select("repo", "path", "content")
-    live = lines(wanted).where(~F.col("line").rlike(regex(r"\A\s*#")))
-    return _report(with_lower(live).select("*", first_match(rules)), rules)
+    A line of code, IaC or workflow takes the first rule that matches, a
+    Dockerfile line all of them.  Each kind's rules stand in one branch of one
+    expression, evaluated once per line inside the generator.
+    """
+    kind = F.col("file_kind")
+    # (?d): only \n ends a line for ^, as in Python
+    no_user = (kind == "dockerfile") & ~F.col("content").rlike("(?Ud)" + R.DOCKER_ABSENCE_RULE[3])
+    wanted = files.where(kind.isin(list(rule_sets))).select("repo", "path", kind, no_user.alias("no_user"), "content")
+    rules, branches = [], []
+    for name, members in rule_sets.items():
+        branches.append(f"WHEN file_kind = {sql_literal(name)} THEN {_matched(name, members, len(rules))}")
+        rules.extend(members)
+    matched = lines(wanted).withColumn("low", F.lower("line")).select(
+        "repo", "path", "line_no", "line", F.explode(F.expr(f"CASE {' '.join(branches)} END")).alias("rule"))
+    whole_file = [i for i, r in enumerate(rules) if r is R.DOCKER_ABSENCE_RULE]
+    kept = matched.where(F.col("rule").isNotNull()
+                         & (F.col("rule").isin(whole_file) | ~suppressed(F.col("line"), "code")))
+    table = literal_table(files.sparkSession, RULE_COLUMNS,
+                          [(i, r[0], r[1], r[2], r[4]) for i, r in enumerate(rules)])
+    return kept.join(F.broadcast(table), "rule").withColumn("context", context(F.col("line"))).select(*FINDING)
 
 
-def iac_findings(files: DataFrame, rules: Sequence[Sequence] = R.IAC_RULES) -> DataFrame:
-    return _uncommented(files, "iac", rules)
+def code_findings(files: DataFrame) -> DataFrame:
+    return line_findings(files, {"code": RULE_SETS["code"]})
 
 
-def workflow_findings(files: DataFrame, rules: Sequence[Sequence] = R.WORKFLOW_RULES) -> DataFrame:
-    return _uncommented(files, "workflow", rules)
+def iac_findings(files: DataFrame) -> DataFrame:
+    return line_findings(files, {"iac": RULE_SETS["iac"]})
 
 
-def docker_findings(files: DataFrame, rules: Sequence[Sequence] = R.DOCKER_RULES) -> DataFrame:
-    """Every matching rule per Dockerfile line, plus the whole-file rule."""
-    wanted = files.where(F.col("file_kind") == "dockerfile").select("repo", "path", "content")
-    matched = with_lower(lines(wanted)).select("*", all_matches(rules))
-    return _report(matched, rules).unionByName(_without_user(wanted))
+def workflow_findings(files: DataFrame) -> DataFrame:
+    return line_findings(files, {"workflow": RULE_SETS["workflow"]})
 
 
-def _without_user(files: DataFrame) -> DataFrame:
-    name, category, severity, pattern, description, _ = R.DOCKER_ABSENCE_RULE
-    # (?d): only \n ends a line for ^, as in Python
-    missing = files.where(~F.col("content").rlike("(?Ud)" + pattern))
-    first = F.coalesce(F.try_element_at(raw_pieces(F.col("content")), F.lit(1)), F.lit(""))
-    return missing.select(
-        "repo", "path", F.lit(1).alias("line_no"), F.lit(name).alias("issue_type"), F.lit(category).alias("category"),
-        F.lit(severity).alias("severity"), F.lit(description).alias("description"), context(first).alias("context"))
+def docker_findings(files: DataFrame) -> DataFrame:
+    return line_findings(files, {"dockerfile": RULE_SETS["dockerfile"]})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentrymill.fixed_values.secrets import SECRET_RULES
 from sentrymill.functions.suppress import suppressed
 from sentrymill.functions.text import contains_any, contains_any_sql, context, regex
-from sentrymill.operators.match import lines, with_lower
+from sentrymill.operators.match import lines
 from sentrymill.session import literal_table, once, spread_join, sql_literal
 
 COLUMNS = ["repo", "path", "line_no", "secret_type", "category", "severity", "matched_value", "masked_context"]
@@ -62,7 +62,8 @@ def secret_findings(files: DataFrame, rules: Sequence[Sequence] = SECRET_RULES,
     whose masks may collide.
     """
     any_rule = F.expr(" OR ".join(_candidate(rule) for rule in rules))
-    candidates = with_lower(lines(files.select("repo", "path", *extra, "content"))).where(any_rule)
+    candidates = lines(
+        files.select("repo", "path", *extra, "content")).withColumn("low", F.lower("line")).where(any_rule)
     found = candidates.select("*", once(_found(rules, allow_words)).alias("found"))
     live = found.where((F.size("found") > 0) & ~suppressed(F.col("line"), "secret"))
     masked = live.select(
