@@ -296,3 +296,79 @@ file_versions AS (SELECT 'conv' || conv_id AS repo, turn AS commit, 'notes/' ||
      ELSE 'key = load()' END AS content FROM conversations JOIN last_turn USING (conv_id)),
 current_files AS (SELECT repo, path, arg_max(content, commit) AS content FROM file_versions GROUP BY repo, path)
 """
+
+
+# --- runs, users, schedules, cases, observations ---------------------------------------------
+
+def _case(column: str, mapping: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items()) + " END"
+
+
+def _runs() -> str:
+    from workloads import views as v
+    return f"""scan_runs AS (SELECT *, critical + high + medium + low AS total FROM (
+      SELECT event_id AS id, user_id, {_case('event_type', v.RUN_KINDS)} AS kind, 'repo-' || (user_id % 20) AS target, ts AS created_at,
+        k % 3 AS critical, k % 5 AS high, k % 7 AS medium, k % 11 AS low FROM (SELECT *, (props->>'$.k')::INT AS k FROM events))),
+    fps AS (SELECT run_id, target, kind, created_at, i AS ord, substr(sha1(target || '|' || num), 1, 12) AS id,
+        ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][i % 4 + 1] AS severity, 'rule ' || num || ' @ f.py:' || i AS label
+      FROM (SELECT *, ((run_id * 7 + i) % 31)::VARCHAR AS num FROM (SELECT id AS run_id, target, kind, created_at, unnest(range(0, total + 1))::INT AS i FROM scan_runs))),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY created_at DESC, id DESC) AS rn FROM scan_runs WHERE kind = 'repo'),
+    cur AS (SELECT f.* FROM fps f JOIN ranked r ON r.id = f.run_id AND r.rn = 1),
+    prev AS (SELECT f.* FROM fps f JOIN ranked r ON r.id = f.run_id AND r.rn = 2),
+    cur1 AS (SELECT target, id, arg_max({{'severity': severity, 'kind': kind, 'label': label}}, ord) AS it FROM cur GROUP BY ALL),
+    prev1 AS (SELECT target, id, arg_max({{'severity': severity, 'kind': kind, 'label': label}}, ord) AS it FROM prev GROUP BY ALL),
+    diff AS (SELECT coalesce(c.target, p.target) AS target, coalesce(c.id, p.id) AS id, coalesce(c.it, p.it).severity AS severity,
+        coalesce(c.it, p.it).kind AS kind, coalesce(c.it, p.it).label AS label,
+        CASE WHEN p.id IS NULL THEN 'new' WHEN c.id IS NULL THEN 'fixed' ELSE 'unchanged' END AS state
+      FROM cur1 c FULL JOIN prev1 p ON c.target = p.target AND c.id = p.id),
+    users AS (SELECT c_custkey AS id, CASE WHEN pro THEN 'pro' ELSE 'free' END AS plan,
+        CASE WHEN pro AND c_acctbal >= 0 THEN DATE '2023-12-01' + floor(c_acctbal / 100)::INT END AS pro_until
+      FROM (SELECT *, c_mktsegment IN ('BUILDING', 'MACHINERY') AS pro FROM customer)),
+    schedules AS (SELECT o_orderkey AS id, o_custkey AS owner, ['repo', 'check:dns', 'check:nothing', 'other', 'repo', 'check:tls'][o_orderkey % 6 + 1] AS kind,
+        CASE o_orderkey % 6 WHEN 0 THEN 'https://github.com/org/app-' || o_orderkey WHEN 4 THEN 'http://gitlab.com/org/app-' || o_orderkey || '.git'
+          WHEN 5 THEN '  ' ELSE 'example.com' END AS target,
+        CASE left(o_orderpriority, 1) WHEN '1' THEN 'hourly' WHEN '2' THEN 'daily' WHEN '3' THEN 'weekly' WHEN '4' THEN 'monthly' ELSE ' daily ' END AS interval,
+        o_orderstatus <> 'F' AS active, CASE WHEN o_orderkey % 10 = 9 THEN 'not a time' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS next_run FROM orders)"""
+
+
+RUNS = _runs()
+CASES = """
+cases AS (SELECT 'case-' || source AS id, source AS repo, 'owner-' || (first % 7) AS owner,
+   CASE WHEN first % 2 = 0 THEN 'https://github.com/org/' ELSE 'https://gitlab.com/org/' END || source AS repo_url,
+   ['pending', 'pending', 'approved', 'dismissed'][first % 4 + 1] AS status, TIMESTAMP '2024-01-01' + (first % 9) * INTERVAL 1 DAY AS created_at
+   FROM dot_first)
+"""
+
+
+def _http() -> str:
+    from workloads import views as v
+    cookies = ", ".join("[" + ", ".join(q(c) for c in cs) + "]::VARCHAR[]" for cs in v.COOKIES)
+    return f"""http_obs AS (SELECT page_id, url, host, CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '^https://', 'http://')
+        ELSE regexp_replace(url, '^http://', 'https://') END AS final_url,
+      CASE WHEN page_id % 9 = 0 THEN 301 WHEN page_id % 9 = 1 THEN 404 ELSE 200 END AS status,
+      CASE WHEN page_id % 2 = 0 THEN [{', '.join(q(h) for h in v.HSTS)}][page_id % 3 + 1] END AS hsts, page_id % 3 = 0 AS csp, page_id % 4 <> 0 AS xcto,
+      page_id % 5 <> 1 AS xfo, page_id % 6 = 0 AS referrer, page_id % 7 = 0 AS permissions,
+      CASE page_id % 3 WHEN 0 THEN 'nginx/1.18.0' WHEN 1 THEN 'cloudflare' END AS server, CASE WHEN page_id % 8 = 0 THEN 'PHP/8.1' END AS powered,
+      CASE WHEN page_id % 6 <= 1 THEN '{v.PROBE_ORIGIN}' WHEN page_id % 6 = 2 THEN '*' END AS acao, page_id % 6 = 0 AS acac,
+      [{cookies}][page_id % 5 + 1] AS cookies,
+      CASE page_id % 3 WHEN 0 THEN 'https://' || host || '/' WHEN 1 THEN 'http://other.example/' END AS location,
+      html || CASE WHEN page_id % 4 = 0 THEN '<img src="http://cdn' || (page_id % 7) || '.example.com/a.png"><a href=''http://x.example.org/' || page_id || '''>' ELSE '' END AS body
+      FROM (SELECT *, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages)),
+    hosts AS (SELECT host, (ascii(h[1]) * 16 + ascii(h[2])) % 97 - 30 AS n, ascii(h[2]) % 6 AS m, ascii(h[3]) % 4 AS x
+      FROM (SELECT DISTINCT host, sha1(host) AS h FROM http_obs)),
+    tls_obs AS (SELECT host, x = 0 AS tls10, x <= 1 AS tls11, trunc((n * 24 + x * 6) / 24.0)::INT AS days, CASE WHEN m > 0 THEN 'CA ' || m END AS issuer FROM hosts)"""
+
+
+HTTP = _http()
+
+
+def union_rules(source: str, check_id: str, target: str, rules) -> str:
+    """UNION ALL of (condition, severity, title, detail) given as SQL."""
+    return " UNION ALL ".join(
+        f"SELECT '{check_id}' AS check_id, {target} AS target, {sev} AS severity, {title} AS title, {detail} AS detail FROM {source} WHERE {cond}"
+        for cond, sev, title, detail in rules)
+
+
+EXPIRY = [("days < 0", "'CRITICAL'", "'TLS certificate expired'", "'Expired ' || abs(days) || ' day(s) ago.'"),
+          ("days >= 0 AND days < 15", "'HIGH'", "'TLS certificate expiring soon'", "days || ' day(s) left.'"),
+          ("days >= 15 AND days < 30", "'MEDIUM'", "'TLS certificate expiring soon'", "days || ' day(s) left.'")]

@@ -205,3 +205,309 @@ def package_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(prefixes, (F.col("l_orderkey") % 8 + 1).cast("int")), F.lit("pkg-"),
         F.col("l_partkey").cast("string"), F.lit("@"), F.col("l_quantity").cast("int").cast("string"), F.lit("."),
         F.col("l_linenumber").cast("string")).alias("target")).distinct()
+
+
+# --- runs, users, schedules, cases -----------------------------------------------------------
+
+RUN_KINDS = {"view": "repo", "purchase": "repo", "click": "check:website", "error": "check:dns", "signup": "check:all"}
+TODAY = "2024-01-15"
+NOW = "2024-01-15 12:00:00"
+SCHEDULE_NOW = "1998-06-01 00:00:00"
+SEVERITY_CYCLE = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
+
+
+def at(text: str) -> F.Column:
+    return F.lit(text).cast("timestamp")
+
+
+def scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, user_id, kind, target, created_at, critical, high, medium, low, total) per event."""
+    events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.lit(None).cast("string")
+    for name, value in RUN_KINDS.items():
+        kind = F.when(F.col("event_type") == name, value).otherwise(kind)
+    counted = events.select(
+        F.col("event_id").alias("id"), "user_id", kind.alias("kind"),
+        F.concat(F.lit("repo-"), (F.col("user_id") % 20).cast("string")).alias("target"),
+        F.col("ts").cast("timestamp").alias("created_at"), (k % 3).alias("critical"), (k % 5).alias("high"),
+        (k % 7).alias("medium"), (k % 11).alias("low"))
+    return counted.withColumn("total", F.col("critical") + F.col("high") + F.col("medium") + F.col("low"))
+
+
+def run_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, target, kind, created_at, ord, id, severity, label) of every run; runs of a target overlap."""
+    runs = scan_runs(spark, sf_dir).select("id", "target", "kind", "created_at", "total")
+    number = F.pmod(F.col("run_id") * 7 + F.col("i"), F.lit(31)).cast("string")
+    each = runs.select(F.col("id").alias("run_id"), "target", "kind", "created_at",
+                       F.explode(F.sequence(F.lit(0), F.col("total"))).alias("i"))
+    return each.select(
+        "run_id", "target", "kind", "created_at", F.col("i").alias("ord"),
+        F.substring(F.sha1(F.concat_ws("|", "target", number)), 1, 12).alias("id"),
+        F.element_at(F.array(*[F.lit(s) for s in SEVERITY_CYCLE]), (F.col("i") % 4 + 1).cast("int")).alias("severity"),
+        F.concat(F.lit("rule "), number, F.lit(" @ f.py:"), F.col("i").cast("string")).alias("label"))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, plan, pro_until) per customer."""
+    rows = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
+    pro = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
+    until = F.date_add(F.lit("2023-12-01").cast("date"), F.floor(F.col("c_acctbal") / 100).cast("int"))
+    return rows.select(F.col("c_custkey").alias("id"), F.when(pro, "pro").otherwise("free").alias("plan"),
+                       F.when(pro & (F.col("c_acctbal") >= 0), until).alias("pro_until"))
+
+
+def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, owner, kind, target, interval, active, next_run STRING) per order."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    n = F.col("o_orderkey")
+    pick = F.substring("o_orderpriority", 1, 1)
+    interval = (F.when(pick == "1", "hourly").when(pick == "2", "daily").when(pick == "3", "weekly")
+                .when(pick == "4", "monthly").otherwise(" daily "))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ["repo", "check:dns", "check:nothing", "other", "repo", "check:tls"]]),
+                        (n % 6 + 1).cast("int"))
+    target = (F.when(n % 6 == 0, F.concat(F.lit("https://github.com/org/app-"), n.cast("string")))
+              .when(n % 6 == 4, F.concat(F.lit("http://gitlab.com/org/app-"), n.cast("string"), F.lit(".git")))
+              .when(n % 6 == 5, F.lit("  ")).otherwise("example.com"))
+    next_run = F.when(n % 10 == 9, "not a time").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return rows.select(n.alias("id"), F.col("o_custkey").alias("owner"), kind.alias("kind"), target.alias("target"),
+                       interval.alias("interval"), (F.col("o_orderstatus") != "F").alias("active"),
+                       next_run.alias("next_run"))
+
+
+def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url STRING per order, in accepted and rejected spellings."""
+    n = F.col("o_orderkey").cast("string")
+    forms = F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, b in [
+        ("https://github.com/org/app-", ""), ("http://github.com/org/app-", ".git"), ("https://github.com/org/app-", "/"),
+        ("https://gitlab.com/org/app-", ""), ("https://example.com/org/app-", ""), ("https://github.com/app-", "")]])
+    return table(spark, sf_dir, "orders", "o_orderkey").select(
+        F.element_at(forms, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("url"))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, repo, owner, repo_url, status, created_at) per document source."""
+    first = table(spark, sf_dir, "documents", "doc_id", "source").groupBy("source").agg(F.min("doc_id").alias("first"))
+    status = F.element_at(F.array(*[F.lit(s) for s in ["pending", "pending", "approved", "dismissed"]]),
+                          (F.col("first") % 4 + 1).cast("int"))
+    url = F.concat(F.when(F.col("first") % 2 == 0, "https://github.com/org/").otherwise("https://gitlab.com/org/"), "source")
+    return first.select(F.concat(F.lit("case-"), "source").alias("id"), F.col("source").alias("repo"),
+                        F.concat(F.lit("owner-"), (F.col("first") % 7).cast("string")).alias("owner"), url.alias("repo_url"),
+                        status.alias("status"),
+                        F.timestamp_add("DAY", (F.col("first") % 9).cast("int"), at("2024-01-01")).alias("created_at"))
+
+
+# --- observations ----------------------------------------------------------------------------
+
+PROBE_ORIGIN = "https://cors-probe.example"
+PROBE_HOST = "redirect-probe.example"
+HSTS = ["max-age=31536000; includeSubDomains; preload", "max-age=300", "includeSubDomains"]
+COOKIES = [[], ["sid=abc; Secure; HttpOnly; SameSite=Lax"], ["sid=abc", "theme=dark; Secure"], ["t=1; SameSite=None"],
+           ["__Secure-x=1; httponly; samesite=none"]]
+
+
+def _host(url) -> F.Column:
+    return F.regexp_extract(url, r"^https?://([^/:?#]+)", 1)
+
+
+def http_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, host, final_url, status, headers, cookies, location, body) per page."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    p = F.col("page_id")
+
+    def pick(texts, index) -> F.Column:
+        return F.element_at(F.array(*[F.lit(t) for t in texts]), (index + 1).cast("int"))
+
+    def header(name: str, condition, value) -> F.Column:
+        return F.when(condition, F.struct(F.lit(name).alias("k"), value.alias("v")))
+
+    yes = F.lit("x")
+    headers = F.map_from_entries(F.array_compact(F.array(
+        header("Strict-Transport-Security", p % 2 == 0, pick(HSTS, p % 3)),
+        header("Content-Security-Policy", p % 3 == 0, yes), header("X-Content-Type-Options", p % 4 != 0, yes),
+        header("x-frame-options", p % 5 != 1, yes), header("Referrer-Policy", p % 6 == 0, yes),
+        header("Permissions-Policy", p % 7 == 0, yes),
+        header("Server", p % 3 != 2, pick(["nginx/1.18.0", "cloudflare"], p % 3)),
+        header("X-Powered-By", p % 8 == 0, F.lit("PHP/8.1")),
+        header("Access-Control-Allow-Origin", p % 6 <= 2, pick([PROBE_ORIGIN, PROBE_ORIGIN, "*"], p % 3)),
+        header("Access-Control-Allow-Credentials", p % 6 == 0, F.lit("true")))))
+    cookies = F.element_at(F.array(*[F.array(*[F.lit(c) for c in cs]).cast("array<string>") for cs in COOKIES]),
+                           (p % 5 + 1).cast("int"))
+    host = _host("url")
+    resources = F.concat(F.lit('<img src="http://cdn'), (p % 7).cast("string"), F.lit('.example.com/a.png"><a href=\'http://x.example.org/'),
+                         p.cast("string"), F.lit("'>"))
+    return pages.select(
+        "page_id", "url", host.alias("host"),
+        F.when(p % 5 == 0, F.regexp_replace("url", "^https://", "http://"))
+        .otherwise(F.regexp_replace("url", "^http://", "https://")).alias("final_url"),
+        F.when(p % 9 == 0, 301).when(p % 9 == 1, 404).otherwise(200).alias("status"), headers.alias("headers"),
+        cookies.alias("cookies"),
+        F.when(p % 3 == 0, F.concat(F.lit("https://"), host, F.lit("/"))).when(p % 3 == 1, "http://other.example/")
+        .alias("location"),
+        F.when(p % 4 == 0, F.concat("html", resources)).otherwise(F.col("html")).alias("body"))
+
+
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, n, m, x): distinct page hosts with numbers drawn from their hash."""
+    named = table(spark, sf_dir, "pages", "url").select(_host("url").alias("host")).distinct()
+    h = F.sha1("host")
+    first, second, third = (F.ascii(F.substring(h, i, 1)) for i in (1, 2, 3))
+    return named.select("host", ((first * 16 + second) % 97 - 30).alias("n"), (second % 6).alias("m"), (third % 4).alias("x"))
+
+
+def tls_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expiry = F.timestamp_add("HOUR", (F.col("n") * 24 + F.col("x") * 6).cast("int"), at(NOW))
+    return hosts(spark, sf_dir).select(
+        "host", (F.col("x") == 0).alias("tls10"), (F.col("x") <= 1).alias("tls11"), expiry.alias("not_after"),
+        F.when(F.col("m") > 0, F.concat(F.lit("CA "), F.col("m").cast("string"))).alias("issuer"))
+
+
+def rdap_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def iso(hours) -> F.Column:
+        return F.date_format(F.timestamp_add("HOUR", hours.cast("int"), at(NOW)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    registered, expires = iso(-(F.col("n") + 31) * 40), iso(F.col("n") * 24 + F.col("x") * 6)
+
+    def event(action: str, date) -> F.Column:
+        return F.struct(F.lit(action).alias("eventAction"), date.alias("eventDate"))
+
+    events = F.array(event("last changed", iso(F.col("n") * 0)),
+                     event("registration", F.when(F.col("m") == 5, "unknown").otherwise(registered)),
+                     event("expiration", expires))
+    return hosts(spark, sf_dir).select(
+        F.col("host").alias("domain"), F.when(F.col("m") == 0, F.slice(events, 1, 2)).otherwise(events).alias("events"),
+        F.when(F.col("x") > 0, F.concat(F.lit("Registrar "), F.col("x").cast("string"))).alias("registrar"))
+
+
+def dns_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(domain, rtype, answers, ad): five record types per host."""
+    m, x = F.col("m"), F.col("x")
+
+    def row(domain, rtype: str, answers, ad=None) -> F.Column:
+        return F.struct(domain.alias("domain"), F.lit(rtype).alias("rtype"), answers.cast("array<string>").alias("answers"),
+                        (F.lit(False) if ad is None else ad).alias("ad"))
+
+    host = F.col("host")
+    txt = (F.when(m <= 2, F.array(F.lit('"v=spf1 include:x ~all"'), F.lit('"site=1"')))
+           .when(m == 3, F.array(F.lit('"V=SPF1 +ALL"'))).otherwise(F.array(F.lit('"hello"'))))
+    dmarc = (F.when(x == 0, F.array(F.lit('"v=DMARC1; p=none"'))).when(x == 1, F.array(F.lit('"v=DMARC1; p=reject"')))
+             .otherwise(F.array()))
+    caa = F.when(x == 2, F.array(F.lit('0 issue "a.example"'), F.lit("  "), F.lit('0 issue "b.example"'))).otherwise(F.array())
+    return hosts(spark, sf_dir).select(F.inline(F.array(
+        row(host, "TXT", txt), row(F.concat(F.lit("_dmarc."), host), "TXT", dmarc),
+        row(host, "A", F.array(F.lit("203.0.113.9")), m % 2 == 0), row(host, "MX", F.when(m != 4, F.array(F.lit("mx"))).otherwise(F.array())),
+        row(host, "CAA", caa))))
+
+
+def ct_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(domain, name_value): one log entry per page; most fall under a few domains."""
+    host = _host("url")
+    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    return table(spark, sf_dir, "pages", "page_id", "url").select(
+        domain.alias("domain"), F.concat(
+            host, F.lit("\n*."), F.upper(host), F.lit("\nnot"), domain, F.lit("\n"), domain, F.lit("\np"),
+            (F.col("page_id") % 400).cast("string"), F.lit("."), domain).alias("name_value"))
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts(spark, sf_dir).select(F.col("host").alias("domain"))
+
+
+def registered_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts themselves, under other top-level domains, and with their first or second letter lost."""
+    host = F.col("host")
+    name = F.regexp_extract(host, r"^(.*)\.[^.]*$", 1)
+    forms = F.array(host, F.concat(name, F.lit(".io")), F.concat(name, F.lit(".net")), F.substring(host, 2, 200),
+                    F.concat(F.substring(host, 1, 1), F.substring(host, 3, 200)),
+                    F.concat(F.substring(host, 1, 1), host))
+    return hosts(spark, sf_dir).select(F.explode(forms).alias("domain")).distinct()
+
+
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select(F.concat(
+        F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@mail"), F.col("c_nationkey").cast("string"),
+        F.lit(".example.com")).alias("email"))
+
+
+def breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(email, title, breach_date, data_classes) per order; the mail host is the one customers of that key use."""
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    classes = (F.when(F.col("o_orderstatus") == "F", F.array(F.lit("Emails"), F.lit("Passwords")))
+               .when(F.col("o_orderstatus") == "O", F.array(F.lit("Emails"))).otherwise(F.array().cast("array<string>")))
+    return orders.select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@mail"), (F.col("o_custkey") % 25).cast("string"),
+                 F.lit(".example.com")).alias("email"),
+        F.col("o_orderpriority").alias("title"),
+        F.when(F.col("o_custkey") % 5 != 0, F.to_date("o_orderdate")).alias("breach_date"), classes.alias("data_classes"))
+
+
+def password_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prefix, suffix, count) of the hashes of part names with sizes."""
+    digest = F.upper(F.sha1(F.concat("p_name", F.col("p_size").cast("string"))))
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    return parts.groupBy(F.left(digest, F.lit(5)).alias("prefix"), F.substring(digest, 6, 35).alias("suffix")).agg(
+        F.sum(F.col("p_partkey")).alias("count"))
+
+
+def passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    return parts.select(F.col("p_partkey").alias("id"),
+                        F.concat("p_name", (F.col("p_size") + F.col("p_partkey") % 3 * 20).cast("string")).alias("password"))
+
+
+def security_txt_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, path, status, body): three paths per host."""
+    m, x = F.col("m"), F.col("x")
+    row = lambda path, status, body: F.struct(
+        F.lit(path).alias("path"), status.cast("int").alias("status"), body.alias("body"))
+    good, bad = F.lit("Contact: mailto:a@example.com"), F.lit("nothing")
+    return hosts(spark, sf_dir).select("host", F.inline(F.array(
+        row("/security.txt", F.when(x <= 1, 200).otherwise(404), good),
+        row("/.well-known/security.txt", F.when(m <= 2, 200).otherwise(404), F.when(m == 0, bad).otherwise(good)),
+        row("/other.txt", F.lit(200), good))))
+
+
+def exposed_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(base, path, status, body) of eight paths per page."""
+    p = F.col("page_id")
+    paths = ["/.git/HEAD", "/.env", "/.svn/entries", "/.DS_Store", "/.aws/credentials", "/server-status", "/backup.zip",
+             "/robots.txt"]
+    bodies = ["REF: refs/heads/main", "A=1", "", "x", "[default]", "apache status", "PK", "ok"]
+    probe = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("path"), F.lit(b).alias("body"))
+                      for i, (a, b) in enumerate(zip(paths, bodies))])
+    return (table(spark, sf_dir, "pages", "page_id", "url").select("page_id", "url", F.inline(probe))
+            .select(F.concat(F.lit("https://"), _host("url"), F.lit("/"), p.cast("string")).alias("base"), "path",
+                    F.when((p + F.col("i")) % 3 == 0, 200).otherwise(404).alias("status"), "body"))
+
+
+def redirect_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, param, payload, status, location): every listed parameter with two payloads per page."""
+    from sentrymill.fixed_values.posture import REDIRECT_PARAMS
+    p = F.col("page_id")
+    probe = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("param"), F.lit(j).alias("payload"))
+                      for i, name in enumerate(REDIRECT_PARAMS) for j in range(2)])
+    k = p + F.col("i") * 3 + F.col("payload")
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", "url", F.inline(probe)).select(
+        "url", "param", "payload", F.when(k % 5 == 0, 302).when(k % 5 == 1, 307).otherwise(200).alias("status"),
+        F.when(k % 2 == 0, f"https://{PROBE_HOST}/").when(k % 7 == 0, "/home").alias("location"))
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """target STRING: page URLs and hosts, e-mail addresses, package specs and words."""
+    def named(df, c) -> DataFrame:
+        return df.select(c.alias("target"))
+
+    pages = table(spark, sf_dir, "pages", "url")
+    return (named(pages, F.col("url")).unionByName(named(pages, _host("url")))
+            .unionByName(named(emails(spark, sf_dir), F.col("email")))
+            .unionByName(package_specs(spark, sf_dir))
+            .unionByName(named(table(spark, sf_dir, "part", "p_name"), F.col("p_name"))).distinct())
+
+
+def resolved_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, addresses) per document: the addresses its text mentions and one more."""
+    found = F.regexp_extract_all("text", F.lit(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), F.lit(0))
+    more = F.element_at(F.array(*[F.lit(a) for a in ["10.1.2.3", "8.8.8.8", "not-an-address", "172.32.0.1", "::1",
+                                                     "2606:4700::1111"]]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select(
+        F.concat(F.lit("host-"), F.col("doc_id").cast("string")).alias("host"), F.concat(found, F.array(more)).alias("addresses"))
