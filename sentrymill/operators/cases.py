@@ -113,20 +113,20 @@ def guidance(findings: DataFrame, order: list[str]) -> DataFrame:
 
 
 def until_n(repos: DataFrame, findings: DataFrame, severities: list[str], target: int = DEFAULT_TARGET,
-            max_repos: int = MAX_REPOS) -> DataFrame:
+            max_repos: int = MAX_REPOS, found: int = 0, scanned: int = 0) -> DataFrame:
     """The feed job: untracked repositories in arrival order until ``target`` findings are reached.
 
     ``repos``: (repo, arrival).  The test comes before each repository, so the
-    last one may overshoot.  The job never looks at more than ``max_repos``
+    last one may overshoot.  ``found`` and ``scanned`` continue an earlier step.  The job never looks at more than ``max_repos``
     repositories; that bound is what makes one running sum enough.
     """
-    looked_at = repos.orderBy("arrival", "repo").limit(max_repos)
+    looked_at = repos.orderBy("arrival", "repo").limit(max(max_repos - scanned, 0))
     wanted = findings if not severities else findings.where(
         F.upper(F.coalesce("severity", F.lit(""))).isin([s.upper() for s in severities]))
     counted = (spread_join(wanted.select("repo"), looked_at, ["repo"], "left_semi")
                .groupBy("repo").agg(F.count("*").alias("found")))
     joined = looked_at.join(counted, "repo", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("bigint")))
     before = F.coalesce(F.sum("found").over(
-        Window.orderBy("arrival", "repo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+        Window.orderBy("arrival", "repo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")) + F.lit(found)
     return (joined.withColumn("found_before", before).where(F.col("found_before") < target)
             .select("repo", "arrival", "found", "found_before", (F.col("found") > 0).alias("queued")))

@@ -21,18 +21,20 @@ def repo_rules(files: DataFrame, ignore_file: str = IGNORE_FILE) -> DataFrame:
             .groupBy("repo").agg(F.min("rule_regex").alias("rule_regex")))
 
 
-def flagged(files: DataFrame, use_defaults: bool = True, ignore_file: str | None = IGNORE_FILE) -> DataFrame:
+def flagged(files: DataFrame, use_defaults: bool = True, ignore_file: str | None = IGNORE_FILE,
+            rules: DataFrame | None = None) -> DataFrame:
     """``files`` with a boolean ``ignored``.
 
     Built-in patterns are one constant expression; each repository's own file
-    becomes one expression joined by repository.
+    becomes one expression joined by repository.  ``rules`` replaces the
+    expressions read from ``files``.
     """
     path = unix_path(F.col("path"))
     built_in = globs.ignore_regex(DEFAULT_IGNORES) if use_defaults else None
     ignored = path.rlike(built_in) if built_in else F.lit(False)
-    if ignore_file is None:
+    if rules is None and ignore_file is None:
         return files.withColumn("ignored", ignored)
-    joined = spread_join(files, repo_rules(files, ignore_file), ["repo"], "left")
+    joined = spread_join(files, repo_rules(files, ignore_file) if rules is None else rules, ["repo"], "left")
     own = F.coalesce(F.rlike(path, F.col("rule_regex")), F.lit(False))
     return joined.withColumn("ignored", ignored | own).drop("rule_regex")
 

@@ -105,6 +105,9 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+LENIENT = ["requirements.txt", "go.mod", "Gemfile.lock"]
+
+
 def manifests(files: DataFrame) -> DataFrame:
     """The manifest files among ``files``; decided from the path alone."""
     path = F.col("path")
@@ -120,6 +123,8 @@ def packages(files: DataFrame, extractors: dict[str, Callable[[Column], Column]]
     pairs = F.lit(None).cast(PAIRS)
     for extractor, names in by_extractor.items():
         pairs = F.when(name.isin(names), extractor(F.col("content"))).otherwise(pairs)
+    if "valid_utf8" in files.columns:  # these formats are read strictly: malformed bytes, no packages
+        pairs = F.when(F.col("valid_utf8") | name.isin(LENIENT), pairs)
     return (manifests(files).where(name.isin(list(extractors)))
             .select("repo", F.col("path").alias("file"), manifest_ecosystem(F.col("path")).alias("ecosystem"),
                     F.inline(pairs))

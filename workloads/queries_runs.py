@@ -435,3 +435,42 @@ def notify_payload(spark, d):
    '{{"event":"scan_complete","target":"' || target || '","counts":{{"CRITICAL":' || critical || ',"HIGH":' || high || ',"MEDIUM":' || medium || ',"LOW":' || low || '}},"total":' || total || '}}' AS body FROM scan_runs""")
 def run_summaries(spark, d):
     return exports.summary_payload(views.scan_runs(spark, d))
+
+
+_RESCAN = duck.with_(duck.MANIFESTS, duck.PACKAGES, duck.ADVISORIES, duck.VULNERABLE, duck.RUNS, """
+now_fp AS (SELECT DISTINCT repo AS target, substr(sha1(concat('dep|', package, '|', version, '|', vuln_id)), 1, 12) AS id FROM dep_f),
+scanned AS (SELECT DISTINCT repo AS target FROM manifests),
+old_fp AS (SELECT DISTINCT target, id FROM cur WHERE target IN (SELECT target FROM scanned)),
+both_fp AS (SELECT coalesce(n.target, o.target) AS target, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'fixed' ELSE 'unchanged' END AS state
+   FROM now_fp n FULL JOIN old_fp o ON n.target = o.target AND n.id = o.id),
+st AS (SELECT target, count(*) FILTER (state = 'new') AS new, count(*) FILTER (state = 'fixed') AS fixed, count(*) FILTER (state = 'unchanged') AS unchanged FROM both_fp GROUP BY target),
+ct AS (SELECT repo AS target, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
+   count(*) FILTER (severity = 'LOW') AS low, count(*) AS total FROM dep_f GROUP BY repo)""")
+
+
+@query(f"""{_RESCAN} SELECT target, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(total, 0) AS total,
+   coalesce(new, 0) AS new, coalesce(fixed, 0) AS fixed, coalesce(unchanged, 0) AS unchanged, target IN (SELECT target FROM ranked WHERE rn = 1) AS baseline_existed
+   FROM scanned LEFT JOIN ct USING (target) LEFT JOIN st USING (target)""")
+def rescan(spark, d):
+    from sentrymill.plans import rescan as plan
+    files = views.manifests(spark, d)
+    found = scan.scan(files, ("deps",), _advisories(spark, d), use_default_ignores=False, ignore_file=None)
+    targets = files.select(F.col("repo").alias("target")).distinct()
+    return plan.compared(targets, found, views.scan_runs(spark, d), views.run_fingerprints(spark, d))[0]
+
+
+@query("""WITH a AS (SELECT 'org/app-' || o_orderkey AS full_name, 'https://github.com/org/app-' || o_orderkey AS url, 'org' AS owner, 'github' AS source FROM orders),
+   b AS (SELECT coalesce(CASE WHEN c_custkey % 3 <> 0 THEN 'team/' || c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_name END, '') AS full_name,
+     coalesce(CASE WHEN c_custkey % 5 <> 0 THEN 'https://gitlab.com/' || c_name END, '') AS url, CASE WHEN c_custkey % 4 <> 0 THEN 'team' ELSE '' END AS owner, 'gitlab' AS source FROM customer)
+   SELECT * FROM a UNION ALL SELECT * FROM b""")
+def repository_feeds(spark, d):
+    n = F.col("o_orderkey").cast("string")
+    items = views.table(spark, d, "orders", "o_orderkey").select(
+        F.concat(F.lit("org/app-"), n).alias("full_name"), F.concat(F.lit("https://github.com/org/app-"), n).alias("html_url"),
+        F.struct(F.lit("org").alias("login")).alias("owner"))
+    k, name = F.col("c_custkey"), F.col("c_name")
+    projects = views.table(spark, d, "customer", "c_custkey", "c_name").select(
+        F.when(k % 3 != 0, F.concat(F.lit("team/"), name)).alias("path_with_namespace"), F.when(k % 2 == 0, name).alias("name"),
+        F.when(k % 5 != 0, F.concat(F.lit("https://gitlab.com/"), name)).alias("web_url"),
+        F.when(k % 4 != 0, F.struct(F.lit("team").alias("path"))).alias("namespace"))
+    return cases.normalised_feeds(items, projects)
