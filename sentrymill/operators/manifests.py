@@ -87,7 +87,8 @@ def toml_lock(content: Column) -> Column:
                       lambda b: F.element_at(F.split(b, r"(?m)^[ \t]*\["), 1))
 
     def key(block: Column, name: str) -> Column:
-        return F.regexp_extract(block, rf"""(?m)^[ \t]*{name}[ \t]*=[ \t]*(?:"([^"\n]*)"|'[^'\n]*')""", 1)
+        assignment = rf"""(?m)^[ \t]*{name}[ \t]*=[ \t]*(?:"([^"\n]*)"|'([^'\n]*)')"""
+        return F.concat(*[F.regexp_extract(block, assignment, g) for g in (1, 2)])  # one of them is empty
 
     return F.filter(F.transform(own, lambda b: _pair(key(b, "name"), key(b, "version"))),
                     lambda p: (p["package"] != "") & (p["version"] != ""))
