@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from sentrymill import schema
 from sentrymill.fixed_values import packages as P
 from sentrymill.functions import versions as V
-from sentrymill.session import let, spread_join
+from sentrymill.session import let, once, spread_join
 
 
 def parsed(documents: DataFrame, column: str = "doc") -> DataFrame:
     """One row per advisory document (nested JSON text); unreadable or empty ones drop out."""
-    return (documents.select(F.from_json(column, schema.ADVISORY).alias("a")).select("a.*")
-            .where(F.col("id").isNotNull()))
+    return (documents.select(once(F.from_json(column, schema.ADVISORY)).alias("a"))
+            .where(F.col("a.id").isNotNull()).select("a.*"))
 
 
 def severity(scores: Column, qualitative: Column) -> Column:
@@ -100,27 +100,27 @@ def licence_findings(declared: DataFrame, feed: DataFrame) -> DataFrame:
         "repo", "file", "package", "version", "ecosystem", "license", "severity", "reason")
 
 
-def parse_spec(target: Column) -> tuple[Column, Column, Column]:
-    """(ecosystem, name, version) of an ad-hoc ``[ecosystem:]name@version``; nulls without an @."""
-    spec = F.trim(target)
-    at, colon = F.instr(spec, F.lit("@")), F.instr(spec, F.lit(":"))
-    prefixed = (colon > 0) & (at > 0) & (colon < at)
-    given = F.when(prefixed, F.substring_index(spec, ":", 1)).otherwise(F.lit("PyPI"))
-    ecosystem = given
-    for alias, name in P.ECOSYSTEM_ALIASES.items():
-        ecosystem = F.when(F.lower(given) == alias, F.lit(name)).otherwise(ecosystem)
-    rest = F.when(prefixed, F.regexp_extract(spec, r"(?s)\A[^:]*:(.*)\z", 1)).otherwise(spec)
-    split = r"(?s)\A(.*)@([^@]*)\z"
-    ok = F.contains(rest, F.lit("@"))
-    return (F.when(ok, ecosystem), F.when(ok, F.trim(F.regexp_extract(rest, split, 1))),
-            F.when(ok, F.trim(F.regexp_extract(rest, split, 2))))
+def parse_spec(target: Column) -> Column:
+    """struct(ecosystem, package, version) of an ad-hoc ``[ecosystem:]name@version``; null without an @."""
+    aliases = F.create_map(*[F.lit(x) for pair in P.ECOSYSTEM_ALIASES.items() for x in pair])
+    # a prefix counts when its colon stands before the first @
+    parts = r"(?s)\A(?:([^:@]*):)?(.*)@([^@]*)\z"
+
+    def named(spec: Column) -> Column:
+        prefix = F.regexp_extract(spec, parts, 1)
+        given = F.when(spec.rlike(r"\A[^:@]*:"), prefix).otherwise(F.lit("PyPI"))
+        return F.when(spec.rlike(parts), F.struct(
+            F.coalesce(F.try_element_at(aliases, F.lower(given)), given).alias("ecosystem"),
+            F.trim(F.regexp_extract(spec, parts, 2)).alias("package"),
+            F.trim(F.regexp_extract(spec, parts, 3)).alias("version")))
+
+    return let(F.trim(target), named)
 
 
 def package_lookup(targets: DataFrame, advisories: DataFrame) -> DataFrame:
     """Advisories of each ``target`` of the form ``[ecosystem:]name@version``."""
-    ecosystem, name, version = parse_spec(F.col("target"))
-    specs = targets.select("target", ecosystem.alias("ecosystem"), name.alias("package"), version.alias("version"))
-    found = matched(specs.where(F.col("package").isNotNull()), advisories)
+    specs = targets.select("target", once(parse_spec(F.col("target"))).alias("s")).where(F.col("s").isNotNull())
+    found = matched(specs.select("target", "s.*"), advisories)
     summary = F.when(F.col("summary") == P.NO_SUMMARY_TEXT, F.lit("")).otherwise(F.substring("summary", 1, 150))
     fix = F.coalesce(F.concat(F.lit(" — fixed in "), F.col("fixed_version")), F.lit(""))
     return found.select("target", "severity", F.col("vuln_id").alias("title"), F.concat(summary, fix).alias("detail"))

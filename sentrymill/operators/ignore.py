@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill.fixed_values.rules import DEFAULT_IGNORES
@@ -21,6 +21,11 @@ def repo_rules(files: DataFrame, ignore_file: str = IGNORE_FILE) -> DataFrame:
             .groupBy("repo").agg(F.min("rule_regex").alias("rule_regex")))
 
 
+def built_in(path: Column) -> Column:
+    """Hidden by the built-in patterns: one constant expression."""
+    return unix_path(path).rlike(globs.ignore_regex(DEFAULT_IGNORES))
+
+
 def flagged(files: DataFrame, use_defaults: bool = True, ignore_file: str | None = IGNORE_FILE,
             rules: DataFrame | None = None) -> DataFrame:
     """``files`` with a boolean ``ignored``.
@@ -30,8 +35,7 @@ def flagged(files: DataFrame, use_defaults: bool = True, ignore_file: str | None
     expressions read from ``files``.
     """
     path = unix_path(F.col("path"))
-    built_in = globs.ignore_regex(DEFAULT_IGNORES) if use_defaults else None
-    ignored = path.rlike(built_in) if built_in else F.lit(False)
+    ignored = built_in(path) if use_defaults else F.lit(False)
     if rules is None and ignore_file is None:
         return files.withColumn("ignored", ignored)
     joined = spread_join(files, repo_rules(files, ignore_file) if rules is None else rules, ["repo"], "left")

@@ -7,7 +7,7 @@ formats need (an open ``require`` block) never crosses a row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,8 +115,12 @@ def manifests(files: DataFrame) -> DataFrame:
     return files.where(basename(path).isin([m for m, _ in MANIFESTS]) & ~skipped_for_dependencies(path))
 
 
-def packages(files: DataFrame, extractors: dict[str, Callable[[Column], Column]] = EXTRACTORS) -> DataFrame:
-    """(repo, file, package, version, ecosystem): one row per declaration, duplicates kept."""
+def packages(files: DataFrame, extractors: dict[str, Callable[[Column], Column]] = EXTRACTORS,
+             extra: Sequence[str] = ()) -> DataFrame:
+    """(repo, file, package, version, ecosystem): one row per declaration, duplicates kept.
+
+    ``extra`` carries further columns of ``files`` through.
+    """
     name = basename(F.col("path"))
     by_extractor: dict[Callable, list[str]] = {}
     for manifest, extractor in extractors.items():
@@ -127,9 +131,9 @@ def packages(files: DataFrame, extractors: dict[str, Callable[[Column], Column]]
     if "valid_utf8" in files.columns:  # these formats are read strictly: malformed bytes, no packages
         pairs = F.when(F.col("valid_utf8") | name.isin(LENIENT), pairs)
     return (manifests(files).where(name.isin(list(extractors)))
-            .select("repo", F.col("path").alias("file"), manifest_ecosystem(F.col("path")).alias("ecosystem"),
+            .select("repo", F.col("path").alias("file"), manifest_ecosystem(F.col("path")).alias("ecosystem"), *extra,
                     F.inline(pairs))
-            .select("repo", "file", "package", "version", "ecosystem"))
+            .select("repo", "file", "package", "version", "ecosystem", *extra))
 
 
 def components(declared: DataFrame) -> DataFrame:

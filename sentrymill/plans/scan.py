@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sentrymill import schema
 from sentrymill.operators import advisories, classify, hygiene, ignore, manifests, match, secrets
+from sentrymill.session import durable
 
 ALL_PHASES = ("secrets", "deps", "code")
 
@@ -48,18 +49,32 @@ def secrets_phase(visible: DataFrame) -> DataFrame:
     return _secret_columns(secrets.secret_findings(shown), "secrets")
 
 
-def dependency_phase(visible: DataFrame, advisory_table: DataFrame) -> DataFrame:
-    found = advisories.dependency_findings(manifests.packages(visible), advisory_table)
+def declared_packages(files: DataFrame, use_default_ignores: bool, ignore_file: str | None) -> DataFrame:
+    """Declared packages with two flags: hidden from the dependency phase, and from the licence phase.
+
+    The licence phase always honours the built-in patterns, whatever the others use.
+    """
+    wanted = manifests.manifests(files)
+    if ignore_file is not None:  # the rules come from the ignore files themselves
+        rules = ignore.repo_rules(files, ignore_file)
+        own = ignore.flagged(wanted, False, None, rules)
+    else:
+        own = wanted.withColumn("ignored", F.lit(False))
+    built_in = ignore.built_in(F.col("path"))
+    hidden = F.col("ignored") | built_in
+    flags = own.withColumn("no_deps", hidden if use_default_ignores else F.col("ignored")).withColumn("no_licence", hidden)
+    return manifests.packages(flags.where(~(F.col("no_deps") & F.col("no_licence"))), extra=("no_deps", "no_licence"))
+
+
+def dependency_phase(declared: DataFrame, advisory_table: DataFrame) -> DataFrame:
+    found = advisories.dependency_findings(declared.where(~F.col("no_deps")).drop("no_deps", "no_licence"), advisory_table)
     return _unified(found.withColumn("_category", F.lit("dep")), "deps", "Dependency", file="file", category="_category",
                     description="summary", package="package", version="version", ecosystem="ecosystem",
                     vuln_id="vuln_id", fixed_version="fixed_version")
 
 
-def licence_phase(files: DataFrame, licence_feed: DataFrame, ignore_file: str | None) -> DataFrame:
-    """Always under the built-in ignore patterns, whatever the other phases use."""
-    declared = manifests.packages(ignore.visible(manifests.manifests(files).unionByName(
-        files.where(F.col("path") == ignore_file)), True, ignore_file))
-    found = advisories.licence_findings(declared, licence_feed)
+def licence_phase(declared: DataFrame, licence_feed: DataFrame) -> DataFrame:
+    found = advisories.licence_findings(declared.where(~F.col("no_licence")).drop("no_deps", "no_licence"), licence_feed)
     return _unified(found.withColumn("_category", F.lit("license")), "licenses", "License", file="file",
                     category="_category", description="reason", package="package", version="version",
                     ecosystem="ecosystem", license="license")
@@ -72,20 +87,28 @@ def history_phase(versions: DataFrame, files: DataFrame) -> DataFrame:
 def scan(files: DataFrame, phases: Iterable[str] = ALL_PHASES, advisory_table: DataFrame | None = None,
          licence_feed: DataFrame | None = None, versions: DataFrame | None = None, use_default_ignores: bool = True,
          ignore_file: str | None = ignore.IGNORE_FILE) -> DataFrame:
-    """Findings of the requested phases; a phase that is not requested is not in the plan."""
+    """Findings of the requested phases; a phase that is not requested is not in the plan.
+
+    Two phases that read the manifests share one extraction, kept durably.
+    """
+    phases = tuple(phases)
+    if {"deps", "licenses"} & set(phases):
+        declared = declared_packages(files, use_default_ignores, ignore_file)
+        if {"deps", "licenses"} <= set(phases):
+            declared = durable(declared)
     visible = ignore.visible(files, use_default_ignores, ignore_file)
     parts = []
     for phase in phases:
         if phase == "secrets":
             parts.append(secrets_phase(visible))
         elif phase == "deps":
-            parts.append(dependency_phase(visible, advisory_table))
+            parts.append(dependency_phase(declared, advisory_table))
         elif phase == "code":
             parts.append(code_phase(files, visible))
         elif phase == "git_history":
             parts.append(history_phase(versions, files))
         elif phase == "licenses":
-            parts.append(licence_phase(files, licence_feed, ignore_file))
+            parts.append(licence_phase(declared, licence_feed))
         else:
             raise ValueError(f"unknown phase {phase!r}")
     out = parts[0]

@@ -108,14 +108,19 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
                 condition: Column | None = None, salts: int = SALTS) -> DataFrame:
     """Equi-join whose left side may have a key holding a large share of its rows.
 
-    When the right side's estimate is within the broadcast limit Spark
-    broadcasts it and no left row moves.  Otherwise each left row draws a salt
-    and the right side carries one copy per salt, so one hot key becomes
-    ``salts`` reduce groups; adaptive skew splitting divides those further.
+    Three cases, by the optimizer's estimates.  A right side within the
+    broadcast limit is broadcast by Spark and no left row moves.  One that is
+    small beside the left side is copied ``salts`` times while each left row
+    draws one salt, so a hot key becomes that many reduce groups; the copies
+    are limited to a quarter of the left side's size.  Two large sides are
+    joined as they are: adaptive execution measures the shuffled partitions and
+    splits the left part of any that is much larger than the median.
     ``keys`` must have the same names on both sides; ``condition`` is a
     residual over both.
     """
-    if estimated_bytes(right) <= broadcast_limit(left.sparkSession):
+    right_bytes = max(estimated_bytes(right), 1)
+    salts = min(salts, estimated_bytes(left) // (4 * right_bytes))
+    if right_bytes <= broadcast_limit(left.sparkSession) or salts < 2:
         salted_left, salted_right, on = left, right, list(keys)
     else:
         row_hash = F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes

@@ -133,6 +133,16 @@ def test_hot_package_without_broadcast(spark, no_broadcast):
     assert advisories.dependency_findings(declared, docs(spark, ADVISORY)).groupBy("version").count().count() == 3
 
 
+def test_licences_honour_built_in_patterns_always(spark, make_files):
+    from sentrymill.plans import scan
+    files = make_files({"examples/requirements.txt": "requests==2.0\n", "requirements.txt": "requests==2.0\n", "own/requirements.txt": "requests==2.0\n",
+                        ".scanignore": "own/\n"})
+    feed = spark.createDataFrame([("PyPI", "requests", "2.0", ["GPL-3.0"])], "ecosystem string, package string, version string, licenses array<string>")
+    found = scan.scan(files, ("deps", "licenses"), docs(spark, ADVISORY), feed, use_default_ignores=False)
+    assert sorted((f.phase, f.file) for f in found.collect()) == [
+        ("deps", "examples/requirements.txt"), ("deps", "requirements.txt"), ("licenses", "requirements.txt")]
+
+
 def test_version_keys(spark):
     order = ["", "0.9", "1", "1.0", "1.2", "1.10", "2.0", "2.0rc1", "10", "1" * 45]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").withColumn("k", V.version_key(F.col("v")))
@@ -177,9 +187,11 @@ def test_package_lookup(spark):
     found = advisories.package_lookup(targets, docs(spark, ADVISORY)).collect()
     assert {f.target.strip() for f in found} == {"requests@2.0", "pip:requests@2.0", "PyPI:requests@2.0"}
     assert found[0].detail == "bad — fixed in 2.20.0" and found[0].severity == "CRITICAL"
-    eco, name, version = advisories.parse_spec(F.col("target"))
-    scoped = targets.where("target like '%scope%'").select(eco.alias("e"), name.alias("n"), version.alias("v")).first()
-    assert tuple(scoped) == ("npm", "@scope/x", "1.0")
+    specs = {r.target.strip(): r.s and tuple(r.s) for r in targets.select("target", advisories.parse_spec(F.col("target")).alias("s")).collect()}
+    assert specs["npm:@scope/x@1.0"] == ("npm", "@scope/x", "1.0") and specs["requests"] is None
+    odd = spark.createDataFrame([("a@b:c@1",), ("x:y",), ("maven:a:b@2",)], "target string")
+    assert [r.s and tuple(r.s) for r in odd.select(advisories.parse_spec(F.col("target")).alias("s")).collect()] == [
+        ("PyPI", "a@b:c", "1"), None, ("maven", "a:b", "2")]
 
 
 def test_cve_search(spark):

@@ -10,7 +10,7 @@ from sentrymill import schema
 from sentrymill.fixed_values.guidance import GENERIC_GUIDANCE, GUIDANCE
 from sentrymill.operators import cases, diff, explain, exports, manifests, rollups, schedules
 from sentrymill.plans import scan
-from sentrymill.session import spread_join
+from sentrymill.session import durable, spread_join
 from workloads import duck, views
 from workloads.queries import _LIC, _PA, _bumps, _declared, _advisories, query
 
@@ -456,7 +456,7 @@ def rescan(spark, d):
     files = views.manifests(spark, d)
     found = scan.scan(files, ("deps",), _advisories(spark, d), use_default_ignores=False, ignore_file=None)
     targets = files.select(F.col("repo").alias("target")).distinct()
-    return plan.compared(targets, found, views.scan_runs(spark, d), views.run_fingerprints(spark, d))[0]
+    return plan.compared(targets, durable(found), views.scan_runs(spark, d), views.run_fingerprints(spark, d))[0]
 
 
 @query("""WITH a AS (SELECT 'org/app-' || o_orderkey AS full_name, 'https://github.com/org/app-' || o_orderkey AS url, 'org' AS owner, 'github' AS source FROM orders),
