@@ -16,8 +16,8 @@ SECRET_RULES = [
     ("DigitalOcean Token", "cloud", "HIGH", r"\bdo[opr]_v1_[a-f0-9]{64}\b", 0, ("_v1_",)),
     ("Heroku API Key", "cloud", "HIGH",
      r"(?i)heroku[a-z_ -]*['\"]?\s*[:=]\s*['\"]([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})['\"]",
-     1, ("hero",)),
-    ("GitHub Token", "vcs", "CRITICAL", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", 0, ("gh",)),
+     1, ("heroku",)),
+    ("GitHub Token", "vcs", "CRITICAL", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     ("GitHub Fine-Grained Token", "vcs", "CRITICAL", r"\bgithub_pat_[A-Za-z0-9_]{36,255}\b", 0, ("github_pat_",)),
     ("GitLab Token", "vcs", "CRITICAL", r"\bglpat-[A-Za-z0-9_-]{20,}", 0, ("glpat-",)),
     ("Bitbucket App Password", "vcs", "HIGH", r"\bATBB[A-Za-z0-9]{32}\b", 0, ("ATBB",)),
@@ -48,13 +48,13 @@ SECRET_RULES = [
     ("Basic Auth in URL", "credential", "HIGH",
      r"(?i)\bhttps?://[^\s:/@'\"]+:([^\s:/@'\"]{3,})@[^\s'\"]+", 1, ("://",)),
     ("Hardcoded Password", "credential", "HIGH",
-     r"(?i)\b(?:password|passwd|pwd)['\"]?\s*[:=]\s*['\"]([^'\"\s]{8,})['\"]", 1, ("pa", "pwd")),
+     r"(?i)\b(?:password|passwd|pwd)['\"]?\s*[:=]\s*['\"]([^'\"\s]{8,})['\"]", 1, ("word", "wd")),
     ("Hardcoded API Key", "credential", "MEDIUM",
-     r"(?i)\b(?:api|app|auth)[_-]?key['\"]?\s*[:=]\s*['\"]([A-Za-z0-9_-]{16,})['\"]", 1, ("ap", "auth")),
+     r"(?i)\b(?:api|app|auth)[_-]?key['\"]?\s*[:=]\s*['\"]([A-Za-z0-9_-]{16,})['\"]", 1, ("key",)),
     ("Hardcoded Secret", "credential", "MEDIUM",
      r"(?i)\b(?:client_?)?secret(?:_?key)?['\"]?\s*[:=]\s*['\"]([^'\"\s]{8,})['\"]", 1, ("ecret",)),
     ("Hardcoded Token", "credential", "MEDIUM",
-     r"(?i)\b(?:access_?|auth_?)?token['\"]?\s*[:=]\s*['\"]([A-Za-z0-9._-]{20,})['\"]", 1, ("to",)),
+     r"(?i)\b(?:access_?|auth_?)?token['\"]?\s*[:=]\s*['\"]([A-Za-z0-9._-]{20,})['\"]", 1, ("token",)),
     ("OpenAI API Key", "ai", "CRITICAL", r"\bsk-(?:proj-)?[A-Za-z0-9_]{32,}", 0, ("sk-",)),
     ("Hugging Face Token", "ai", "HIGH", r"\bhf_[A-Za-z0-9]{34,}\b", 0, ("hf_",)),
     ("Replicate Token", "ai", "HIGH", r"\br8_[A-Za-z0-9]{37,}\b", 0, ("r8_",)),
@@ -64,7 +64,7 @@ SECRET_RULES = [
     ("RubyGems API Key", "package", "HIGH", r"\brubygems_[a-f0-9]{48}\b", 0, ("rubygems_",)),
     ("Docker Hub Token", "package", "HIGH", r"\bdckr_pat_[A-Za-z0-9_-]{27}", 0, ("dckr_pat_",)),
     ("NuGet API Key", "package", "HIGH", r"\boy2[a-z0-9]{43}\b", 0, ("oy2",)),
-    ("Shopify Access Token", "saas", "HIGH", r"\bshp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}\b", 0, ("shp",)),
+    ("Shopify Access Token", "saas", "HIGH", r"\bshp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}\b", 0, ("shpat_", "shpca_", "shppa_", "shpss_")),
     ("Atlassian API Token", "saas", "HIGH", r"\bATATT3[A-Za-z0-9_=-]{50,}", 0, ("ATATT3",)),
     ("Linear API Key", "saas", "HIGH", r"\blin_api_[A-Za-z0-9]{40}\b", 0, ("lin_api_",)),
     ("Notion Integration Token", "saas", "HIGH", r"\bntn_[A-Za-z0-9]{40,}\b", 0, ("ntn_",)),

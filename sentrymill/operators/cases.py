@@ -20,7 +20,7 @@ STATUSES = ["pending", "approved", "disclosed", "dismissed"]
 DEFAULT_TARGET, MAX_REPOS = 10, 120  # fixed values of the feed job
 
 
-def normalised_feeds(search_items: DataFrame, projects: DataFrame, limit: int | None = None) -> DataFrame:
+def normalised_feeds(search_items: DataFrame, projects: DataFrame) -> DataFrame:
     """Two feed shapes as (full_name, url, owner, source)."""
     first = search_items.select("full_name", F.col("html_url").alias("url"), F.col("owner.login").alias("owner"),
                                 F.lit("github").alias("source"))

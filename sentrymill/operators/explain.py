@@ -20,7 +20,8 @@ def prompts(findings: DataFrame, model: str) -> DataFrame:
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("Issue: "), issue),
-        F.concat(F.lit("Category: "), F.coalesce("category", F.lit("?"))),
+        F.concat(F.lit("Category: "), F.when(F.col("phase").isin("deps", "licenses"), "?").otherwise(
+            F.coalesce("category", F.lit("?")))),
         F.concat(F.lit("Severity: "), F.upper(F.coalesce("severity", F.lit("info")))),
         F.concat(F.lit("File: "), F.coalesce("file", F.lit("?")), F.lit(":"),
                  F.coalesce(F.col("line_no").cast("string"), F.lit("?"))),

@@ -34,7 +34,7 @@ def validated(requests: DataFrame, plan: Column, is_admin: Column | None = None)
     known = kind.isin(["check:" + c[0] for c in CHECKS])
     allowed = (plan == "pro") if is_admin is None else (plan == "pro") | is_admin
     reason = (F.when(~allowed, "plan")
-              .when(~F.trim("interval").isin(list(INTERVALS)), "interval")
+              .when(~F.coalesce(F.trim("interval"), F.lit("daily")).isin(list(INTERVALS)), "interval")
               .when((kind == "repo") & ~target.rlike(STRICT_REPO), "repository")
               .when(F.startswith(kind, F.lit("check:")) & ~known, "check")
               .when((kind != "repo") & ~F.startswith(kind, F.lit("check:")), "kind")

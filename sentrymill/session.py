@@ -119,8 +119,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     residual over both.
     """
     right_bytes = max(estimated_bytes(right), 1)
-    salts = min(salts, estimated_bytes(left) // (4 * right_bytes))
-    if right_bytes <= broadcast_limit(left.sparkSession) or salts < 2:
+    small = right_bytes <= broadcast_limit(left.sparkSession)
+    salts = 1 if small else min(salts, estimated_bytes(left) // (4 * right_bytes))
+    if salts < 2:
         salted_left, salted_right, on = left, right, list(keys)
     else:
         row_hash = F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes

@@ -62,3 +62,14 @@ def test_families(make_files, line, kind):
 def test_mask_lines_keeps_other_lines(spark):
     df = spark.createDataFrame([("nothing here",), (None,)], "t string")
     assert [r.t for r in secrets.mask_lines(df, "t").orderBy(F.col("t").isNull()).collect()] == ["nothing here", None]
+
+
+def test_guards_lose_nothing(spark):
+    from sentrymill.fixed_values.secrets import SECRET_RULES
+    from sentrymill.functions.text import regex
+    texts = [t for ls in (planted.CODE, planted.DOCKER, planted.IAC, planted.WORKFLOW) for l in ls for t in l.split("\n")]
+    texts += [t.upper() for t in texts] + [t.lower() for t in texts] + ["PASSWD: 'abcdefgh1'", "pwd='abcdefgh1'", "ToKEN = 'abcdefghijklmnopqrstu'"]
+    df = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("low", F.lower("line"))
+    lost = [(~F.expr(secrets._candidate(r)) & F.col("line").rlike(regex(r[3]))).alias(f"c{i}") for i, r in enumerate(SECRET_RULES)]
+    for row in df.select(*lost).distinct().collect():
+        assert not any(row), [SECRET_RULES[i][0] for i, bad in enumerate(row) if bad]

@@ -127,7 +127,7 @@ def advanced_schedules(spark, d):
    FROM schedules s JOIN users u ON u.id = s.owner""")
 def schedule_validation(spark, d):
     users = views.users(spark, d).select(F.col("id").alias("owner"), "plan", "pro_until")
-    requests = views.schedules(spark, d).join(users, "owner")
+    requests = spread_join(views.schedules(spark, d), users, ["owner"])
     plan = rollups.effective_plan(F.lit(views.TODAY).cast("date"))
     return schedules.validated(requests, plan).select("id", "reason")
 
@@ -244,7 +244,7 @@ case_f AS (SELECT target AS repo, kind, type, CASE WHEN line % 7 <> 0 THEN sever
 def _disclosed(spark, d) -> DataFrame:
     found = _code_and_secrets(spark, d).withColumn("repo", F.col("target"))
     urls = views.cases(spark, d).select("repo", "repo_url")
-    return cases.disclosure_findings(found.join(urls, "repo"), F.col("repo_url"))
+    return cases.disclosure_findings(spread_join(found, urls, ["repo"]), F.col("repo_url"))
 
 
 def _case_findings(spark, d) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.operators.ignore import IGNORE_FILE
-from sentrymill.session import literal_table, spread
+from sentrymill.session import literal_table, spread, spread_join
 from workloads import planted
 
 FAMILIES = {"code": planted.CODE, "docker": planted.DOCKER, "iac": planted.IAC, "ci": planted.WORKFLOW}
@@ -71,7 +71,7 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    marked = turns.join(last, "conv_id")
+    marked = spread_join(turns, last, ["conv_id"])
     key = F.concat(F.lit('key = "' + planted.AWS[:16]), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"),
                    F.lit('"'))
     return marked.select(
