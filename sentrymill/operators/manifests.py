@@ -16,7 +16,7 @@ from sentrymill.fixed_values.packages import MANIFESTS
 from sentrymill.functions.text import basename, regex, split_lines, strip
 from sentrymill.functions.versions import purl
 from sentrymill.operators.classify import manifest_ecosystem, skipped_for_dependencies
-from sentrymill.session import numbered
+from sentrymill.session import let, numbered
 
 PAIRS = "array<struct<package:string,version:string>>"
 
@@ -31,6 +31,10 @@ def _matching(lines: Column, pattern: str) -> Column:
     return F.transform(kept, lambda line: _pair(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2)))
 
 
+def _after_first(items: Column) -> Column:
+    return F.slice(items, F.lit(2), F.size(items))
+
+
 def requirements(content: Column) -> Column:
     wanted = F.filter(F.transform(split_lines(content), strip),
                       lambda line: ~line.rlike(r"\A(?:#|-|git\+|http)"))
@@ -38,13 +42,15 @@ def requirements(content: Column) -> Column:
 
 
 def package_json(content: Column) -> Column:
-    parsed = F.from_json(content, "dependencies map<string,string>, devDependencies map<string,string>")
+    def pairs(parsed: Column) -> Column:
+        def section(name: str) -> Column:
+            entries = F.coalesce(F.map_entries(parsed[name]), F.array().cast("array<struct<key:string,value:string>>"))
+            return F.transform(entries, lambda e: _pair(e["key"], F.regexp_replace(e["value"], r"\A[^0-9]*", "")))
 
-    def section(name: str) -> Column:
-        entries = F.coalesce(F.map_entries(parsed[name]), F.array().cast("array<struct<key:string,value:string>>"))
-        return F.transform(entries, lambda e: _pair(e["key"], F.regexp_replace(e["value"], r"\A[^0-9]*", "")))
+        return F.concat(section("dependencies"), section("devDependencies"))
 
-    return F.filter(F.concat(section("dependencies"), section("devDependencies")), lambda p: p["version"] != "")
+    parsed = F.from_json(content, "dependencies map<string,string>, devDependencies map<string,string>")
+    return F.filter(let(parsed, pairs), lambda p: p["version"] != "")
 
 
 def go_mod(content: Column) -> Column:
@@ -57,14 +63,12 @@ def go_mod(content: Column) -> Column:
     opener = r"(?m)^require[^\n]*\([^\n]*$"
     inside = regex(r"\A(\S+)\s+v([0-9]\S*)")
 
-    def from_piece(piece: Column) -> Column:
-        parts = F.split(piece, opener)
-        outside = F.filter(F.split(F.element_at(parts, 1), "\n"), lambda line: line.rlike(r"\Arequire "))
-        block = F.flatten(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.split(p, "\n")))
-        lines = F.transform(F.concat(outside, block), lambda line: strip(F.regexp_replace(line, r"\Arequire ", "")))
-        return _matching(lines, inside)
+    def from_parts(parts: Column) -> Column:
+        outside = F.filter(F.split(F.element_at(parts, 1), "\n"), lambda line: F.startswith(line, F.lit("require ")))
+        block = F.flatten(F.transform(_after_first(parts), lambda p: F.split(p, "\n")))
+        return F.transform(F.concat(outside, block), lambda line: strip(F.regexp_replace(line, r"\Arequire ", "")))
 
-    return F.flatten(F.transform(pieces, from_piece))
+    return F.flatten(F.transform(pieces, lambda piece: _matching(let(F.split(piece, opener), from_parts), inside)))
 
 
 def gemfile_lock(content: Column) -> Column:
@@ -75,7 +79,7 @@ def composer_lock(content: Column) -> Column:
     item = "array<struct<name:string,version:string>>"
     parsed = F.from_json(content, f"packages {item}, `packages-dev` {item}")
     none = F.array().cast(item)
-    both = F.concat(F.coalesce(parsed["packages"], none), F.coalesce(parsed["packages-dev"], none))
+    both = let(parsed, lambda d: F.concat(F.coalesce(d["packages"], none), F.coalesce(d["packages-dev"], none)))
     pairs = F.transform(both, lambda p: _pair(p["name"], F.ltrim(p["version"], F.lit("v"))))
     return F.filter(pairs, lambda p: (F.coalesce(p["package"], F.lit("")) != "") & p["version"].rlike(r"\A[0-9]"))
 
@@ -83,8 +87,7 @@ def composer_lock(content: Column) -> Column:
 def toml_lock(content: Column) -> Column:
     """Every well-formed [[package]] table, even if another part of the file is malformed."""
     blocks = F.split(content, r"(?m)^[ \t]*\[\[[ \t]*package[ \t]*\]\][ \t]*(?:#.*)?$")
-    own = F.transform(F.slice(blocks, F.lit(2), F.size(blocks)),
-                      lambda b: F.element_at(F.split(b, r"(?m)^[ \t]*\["), 1))
+    own = F.transform(let(blocks, _after_first), lambda b: F.element_at(F.split(b, r"(?m)^[ \t]*\["), 1))
 
     def key(block: Column, name: str) -> Column:
         assignment = rf"""(?m)^[ \t]*{name}[ \t]*=[ \t]*(?:"([^"\n]*)"|'([^'\n]*)')"""
