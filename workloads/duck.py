@@ -156,11 +156,11 @@ def _manifests() -> str:
     texts = " ".join(f"WHEN {i} THEN {_filled(t)}" for i, t in enumerate(v.MANIFEST_TEXTS))
     return f"""manifests AS (SELECT 'repo-' || l_suppkey AS repo,
       'o' || l_orderkey || '/svc-' || l_linenumber || '-' || l_partkey || '/' || CASE l_orderkey % 7 {names} END AS file,
-      l_orderkey % 7 AS fmt, CASE l_orderkey % 7 {texts} END AS content FROM lineitem)"""
+      l_orderkey % 7 AS fmt, CASE l_orderkey % 7 {texts} END AS content, row_number() OVER () AS mid FROM lineitem)"""
 
 
 MANIFESTS = _manifests()
-_L = lines_of("manifests", "repo, file, fmt")
+_L = lines_of("manifests", "repo, file, fmt, mid")
 PACKAGES = rf"""
 mlines AS MATERIALIZED {_L},
 pk_req AS (SELECT repo, file, regexp_extract(trim(line), '^([A-Za-z0-9_\-\.]+)\s*[=<>!~^]{{1,2}}\s*([0-9][^\s,;#]*)', 1) AS package,
@@ -171,9 +171,9 @@ pk_npm AS (SELECT repo, file, k AS package, regexp_replace(json_extract_string(c
     'npm' AS ecosystem
   FROM (SELECT repo, file, content, sec, unnest(json_keys(content, '$.' || sec)) AS k FROM manifests, (VALUES ('dependencies'), ('devDependencies')) s(sec)
         WHERE fmt = 1) WHERE regexp_replace(json_extract_string(content, '$.' || sec || '."' || k || '"'), '^[^0-9]*', '') <> ''),
-go_lines AS (SELECT repo, file, line_no, trim(replace(string_split(line, '//')[1], chr(9), ' ')) AS line FROM mlines WHERE fmt = 2),
+go_lines AS (SELECT repo, file, mid, line_no, trim(replace(string_split(line, '//')[1], chr(9), ' ')) AS line FROM mlines WHERE fmt = 2),
 go_state AS (SELECT *, last_value(CASE WHEN starts_with(line, 'require') AND contains(line, '(') THEN 1 WHEN line = ')' THEN 0 END IGNORE NULLS)
-    OVER (PARTITION BY repo, file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM go_lines),
+    OVER (PARTITION BY mid ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM go_lines),
 go_kept AS (SELECT repo, file, trim(CASE WHEN starts_with(line, 'require ') THEN substr(line, 9) ELSE line END) AS line FROM go_state
     WHERE line NOT IN ('', ')') AND NOT (starts_with(line, 'require') AND contains(line, '(')) AND (starts_with(line, 'require ') OR open = 1)),
 pk_go AS (SELECT repo, file, regexp_extract(line, '^(\S+)\s+v([0-9]\S*)', 1) AS package, regexp_extract(line, '^(\S+)\s+v([0-9]\S*)', 2) AS version,

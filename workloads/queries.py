@@ -217,13 +217,13 @@ def bump_plan(spark, d):
     return _bumps(spark, d)
 
 
-@query(rf"""{_PA}, fixes AS (SELECT m.repo, m.file, line_no, line,
+@query(rf"""{_PA}, fixes AS (SELECT m.repo, m.file, m.mid, line_no, line,
      CASE WHEN b.new_version IS NOT NULL AND NOT regexp_matches(trim(line), '^(#|-|git\+)|://')
           THEN regexp_extract(line, '^(\s*)([A-Za-z0-9][A-Za-z0-9_.\-]*)(\[[^\]]*\])?', 0) || '>=' || b.new_version ELSE line END AS fixed
    FROM mlines m LEFT JOIN bumps b ON b.repo = m.repo AND b.file = m.file
      AND b.package_key = replace(lower(regexp_extract(line, '^\s*([A-Za-z0-9][A-Za-z0-9_.\-]*)', 1)), '_', '-')
    WHERE m.fmt = 0 AND (m.repo, m.file) IN (SELECT repo, file FROM bumps))
-   SELECT repo, file AS path, string_agg(fixed, chr(10) ORDER BY line_no) AS content FROM fixes GROUP BY ALL""")
+   SELECT repo, file AS path, string_agg(fixed, chr(10) ORDER BY line_no) AS content FROM fixes GROUP BY repo, file, mid""")
 def manifest_rewrite(spark, d):
     return bumps.requirements_edits(views.manifests(spark, d), _bumps(spark, d))
 
