@@ -114,13 +114,16 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     draws one salt, so a hot key becomes that many reduce groups; the copies
     are limited to a quarter of the left side's size.  Two large sides are
     joined as they are: adaptive execution measures the shuffled partitions and
-    splits the left part of any that is much larger than the median.
+    splits the left part of any that is much larger than the median.  A stream
+    always draws salts against a static side it cannot broadcast.
     ``keys`` must have the same names on both sides; ``condition`` is a
     residual over both.
     """
     right_bytes = max(estimated_bytes(right), 1)
-    small = right_bytes <= broadcast_limit(left.sparkSession)
-    salts = 1 if small else min(salts, estimated_bytes(left) // (4 * right_bytes))
+    if right_bytes <= broadcast_limit(left.sparkSession):
+        salts = 1
+    elif not left.isStreaming:  # a stream has no size; its micro-batches are not split adaptively either
+        salts = min(salts, estimated_bytes(left) // (4 * right_bytes))
     if salts < 2:
         salted_left, salted_right, on = left, right, list(keys)
     else:
