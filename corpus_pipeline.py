@@ -5,23 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sentrymill.llm import lines, toxicity
+from sentrymill.llm import jaccard, lines, mixing, tokens, toxicity
 from sentrymill.llm.common import stored
 
 
+def with_length(docs: DataFrame) -> DataFrame:
+    """n_chars after a stage that changes texts."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs).select(*docs.columns)
+    return with_length(lines.dedup_lines(docs).select(*docs.columns))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(docs).where("kept").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each pass over a document; n_chars follows the text."""
+    return with_length(mixing.mixed_documents(docs))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokens.encoded(docs).select(*docs.columns, "ids", "scores", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", without_toxic),
     ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard", one_of_near_copies),
+    ("mixing", mixed),
+    ("sentencepiece", encoded),
 ]
 
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import jaccard, lines, toxicity, vectors
+from sentrymill.llm import jaccard, lines, mixing, tokens, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,23 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def token_digest(ids: str = "ids"):
+    """Hex SHA-256 of the ids, joined by commas."""
+    return F.sha2(F.array_join(F.col(ids), ","), 256)
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.encoded(given(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), token_digest().alias("ids_sha256"), "scores", "round_trip")
+
+
+@query()
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, mix = mixing.mixed_pieces(given(spark, sf_dir, "documents"))
+    return mixing.taken(documents, mix).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
