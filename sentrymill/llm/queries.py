@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import jaccard, lines, mixing, tokens, toxicity, vectors
+from sentrymill.llm import jaccard, lines, mixing, quality, tokens, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -68,6 +68,13 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(given(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents")
+    model = quality.fitted(docs, given(spark, sf_dir, "labels"))
+    return quality.judged(docs.select("doc_id", "text"), model).drop("text")
+
+
 @query()
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_groups(given(spark, sf_dir, "documents"))
