@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import jaccard, lines, mixing, quality, tokens, toxicity, vectors
+from sentrymill.llm import jaccard, lines, mixing, quality, tokens, toxicity, vectors, warc
+from sentrymill.session import checkpoint_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -63,6 +66,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to FROM m""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/llm-warc-{uuid.uuid4().hex}"
+    warc.write_archives(given(spark, sf_dir, "pages"), folder)
+    found = warc.pages_of(warc.read_archives(spark, folder))
+    sound = F.when(F.coalesce("digest_ok", F.lit(True)), F.col("payload_digest"))  # null if the bytes read are others
+    return found.select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
+
+
 @query()
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(given(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
