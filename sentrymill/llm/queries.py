@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import jaccard, lines, mixing, quality, tokens, toxicity, vectors, warc
+from sentrymill.llm import jaccard, lines, mixing, quality, quotes, secret_forest, tokens, toxicity, vectors, warc
 from sentrymill.session import checkpoint_folder
 
 QUERIES: dict = {}
@@ -66,6 +66,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query()
+def op4_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.reply_ordered(quotes.with_quotes(given(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "turn", "role", "place", "parent", "depth", "position", "quote_levels", "n_linked",
+                        F.sha2("own_text", 256).alias("own_sha256"))
+
+
 @query("""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
@@ -99,6 +106,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "group_id", "kept")
 
 
+@query()
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_forest.secret_findings(given(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "at", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+
+
 @query()
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents")
