@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,17 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def others(df: DataFrame, *results: str) -> list[str]:
+    """The columns that no result column takes the place of; names are compared as Spark does, without case."""
+    taken = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow for columns of any name; the function sees them by place."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(function, schema)
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrymill.llm.common import bounds, column, pairs_within, roots, stored, whole_groups
+from sentrymill.llm.common import bounds, column, others, pairs_within, roots, stored, whole_groups
 
 #: Members of one group that meet in one task, and pairs that are compared in one numpy step.
 BLOCK, PAIRS = 1_000, 100_000
@@ -112,12 +112,12 @@ def with_groups(df: DataFrame, id_col: str, every: DataFrame, classes: DataFrame
     linked = links.groupBy("id").agg(F.sum("links").alias("links"))
     of_class = (classes.join(linked, "id", "left")
                 .join(components(links).select(F.col("node").alias("id"), "component"), "id", "left")
-                .select("hi", "lo", F.col("id").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"),
-                        F.coalesce("component", "id").alias("_component")))
-    result = every.select("key", "hi", "lo").join(of_class, ["hi", "lo"]).drop("hi", "lo").withColumnRenamed("key", "_key")
+                .select("hi", "lo", F.col("id").alias("_class_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links_"),
+                        F.coalesce("component", "id").alias("_component_")))
+    result = every.select("key", "hi", "lo").join(of_class, ["hi", "lo"]).drop("hi", "lo").withColumnRenamed("key", "_key_")
     here = column(id_col).cast("long")
-    kept = [c for c in df.columns if c not in names]
-    joined = df.select(*[column(c) for c in kept], here.alias("_here")).join(result, F.col("_here") == F.col("_key"), "left")
-    values = [F.coalesce("_class", "_here"), F.coalesce("_links", F.lit(0).cast("long")), F.coalesce("_component", "_here"),
-              F.coalesce(F.col("_here") == F.col("_component"), F.lit(True))]
+    kept = others(df, *names)
+    joined = df.select(*[column(c) for c in kept], here.alias("_here_")).join(result, F.col("_here_") == F.col("_key_"), "left")
+    values = [F.coalesce("_class_", "_here_"), F.coalesce("_links_", F.lit(0).cast("long")), F.coalesce("_component_", "_here_"),
+              F.coalesce(F.col("_here_") == F.col("_component_"), F.lit(True))]
     return joined.select(*[column(c) for c in kept], *[v.alias(n) for v, n in zip(values, names, strict=True)])

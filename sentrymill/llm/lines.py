@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrymill.llm.common import column, mixed, own_name, pieces, raw, ready, stored
+from sentrymill.llm.common import column, map_batches, mixed, others, own_name, pieces, raw, ready, stored
 
 LEAST = 10
 #: Repeated lines of one shard, and probed lines that meet one copy of a shard.
@@ -186,8 +186,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops, key = own_name(docs, "_drops"), own_name(docs, "_doc")
     lost = hits.groupBy("doc_id").agg(F.collect_set("print").alias(drops)).withColumnRenamed("doc_id", key)
     joined = docs.join(lost, column(id_col).cast("long") == F.col(key), "left").drop(key)
-    kept = joined.schema.names[:-1]
-    names = [c for c in kept if c not in ("n_lines", "n_dropped")]
+    names = others(docs, "n_lines", "n_dropped")
     place = names.index(text_col)
     types = {f.name: f.dataType for f in docs.schema}
     types[text_col] = T.StringType()
@@ -216,7 +215,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                                              [f.name for f in schema])
 
-    return joined.select(*[column(c) for c in names], column(drops)).mapInArrow(without, schema)
+    return map_batches(joined.select(*[column(c) for c in names], column(drops)), without, schema)
 
 
 def _copies_of(shard, at: dict[int, int]):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrymill.llm.common import column, pieces, raw, ready, stored
+from sentrymill.llm.common import column, map_batches, pieces, raw, ready, stored
 
 WEIGHTS, TOTAL, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK = 256
@@ -174,4 +174,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
 
-    return docs.join(used, same).select(*[column(c) for c in docs.columns], "_words").mapInArrow(cut, schema)
+    return map_batches(docs.join(used, same).select(*[column(c) for c in docs.columns], "_words"), cut, schema)

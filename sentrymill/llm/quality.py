@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrymill.llm.common import column, raw, ready
+from sentrymill.llm.common import column, map_batches, others, raw, ready
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -223,8 +223,7 @@ _RESULT = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols"
 def judged(docs: DataFrame, model: Trees, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """All rows and columns, with the statistics, base_failed, quality_score (0 to 1) and kept."""
     ready(docs.sparkSession)
-    own = {n for n, _ in _RESULT}
-    names = [c for c in docs.columns if c not in own]
+    names = others(docs, *[n for n, _ in _RESULT])
     place = names.index(text_col)
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(n, t) for n, t in _RESULT])
 
@@ -238,4 +237,4 @@ def judged(docs: DataFrame, model: Trees, text_col: str = "text", cut: float = C
             values = [*np.array(stats, np.int64).reshape(len(texts), 5).T, failed, score, ~failed & (score >= cut)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, values)], [f.name for f in schema])
 
-    return docs.select(*[column(c) for c in names]).mapInArrow(run, schema)
+    return map_batches(docs.select(*[column(c) for c in names]), run, schema)

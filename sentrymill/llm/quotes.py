@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrymill.llm.common import column, own_name, ready, stored
+from sentrymill.llm.common import column, others, own_name, ready, stored
 from sentrymill.session import numbered
 
 #: Normalised code points from which a passage or line is distinctive enough to link by.
@@ -100,7 +100,7 @@ def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     quote_levels (deepest level), n_linked (quoted passages whose original is known)."""
     ready(messages.sparkSession)
     results = ["own_text", "place", "parent", "depth", "position", "quote_levels", "n_linked"]
-    given = [c for c in messages.columns if c not in results]
+    given = others(messages, *results)
     body = own_name(messages, "_body")
     rows = messages.select(F.struct(*[column(c) for c in given]).alias(body), column(conv_col).cast("long").alias("_conv"),
                            column(turn_col).cast("long").alias("_turn"), column(text_col).cast("string").alias("_text"))

@@ -22,6 +22,7 @@ import re
 import struct
 import sys
 import types
+from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -30,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sentrymill.llm.common import column, raw, ready
+from sentrymill.llm.common import column, map_batches, others, raw, ready
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
 SPACE = "▁"
-#: Words kept per worker.
-WORDS = 1_000_000
+SIGN = SPACE.encode()
+#: Words kept per worker; they change no result.
+WORDS = 800_000
+#: Characters up to which a search keeps all open ways.
+SHORT = 64
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
@@ -68,7 +72,10 @@ def _fields(data: bytes):
 
 @dataclass
 class Pieces:
-    """A vocabulary: pieces, scores and types by id, and whether texts get a word start in front."""
+    """A vocabulary: pieces, scores and types by id, and whether texts get a word start in front.
+
+    ``look`` has (id, score) of each piece, and None for what is only the start of one.
+    """
 
     names: list[str]
     scores: list[float]
@@ -129,19 +136,36 @@ class Pieces:
                 into[i + 1].append((i, -1 - i, self.worst))
                 if here + self.worst > score[i + 1]:
                     score[i + 1] = here + self.worst
-        out, heap, made = [], [(-score[size], 0, size, 0.0, None)], 0
+        if not size:
+            return [(0.0, ())]
+        out: list = []
+        heap, made, whole = [], 0, size <= SHORT
+
+        def push(at: int, k: int, after: float, path):
+            """Ways into a place: all of them, or in a long lattice the k-th best, the next one only when that is taken."""
+            nonlocal made
+            ways = into[at]
+            if not whole and k == 0:
+                ways.sort(key=lambda e: (-(score[e[0]] + e[2]), e[0]))
+            for i, piece, value in ways if whole else ways[k:k + 1]:
+                made += 1
+                # of equal ones the one nearest to the start is finished first
+                heapq.heappush(heap, (round(-(score[i] + value + after), 9), i, made, at, k, after, path, piece, value))
+
+        push(size, 0, 0.0, None)
         while heap and len(out) < n:
-            cost, _, at, after, path = heapq.heappop(heap)
-            if at == 0:
-                ids: list[int] = []
-                while path is not None:
-                    ids.extend((path[0],) if path[0] >= 0 else self.without_piece(word[-1 - path[0]]))
-                    path = path[1]
-                out.append((-cost, tuple(ids)))
+            _, i, _, at, k, after, path, piece, value = heapq.heappop(heap)
+            if not whole:
+                push(at, k + 1, after, path)
+            path, after = (piece, path), after + value
+            if i:
+                push(i, 0, after, path)
                 continue
-            for i, piece, value in into[at]:
-                made += 1
-                heapq.heappush(heap, (-(score[i] + value + after), made, i, value + after, (piece, path)))
+            ids: list[int] = []
+            while path is not None:
+                ids.extend((path[0],) if path[0] >= 0 else self.without_piece(word[-1 - path[0]]))
+                path = path[1]
+            out.append((after, tuple(ids)))
         return out
 
     def words(self, text: str) -> list[str]:
@@ -189,7 +213,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int
     """All rows and columns; ids (of the best segmentation), scores (of the n best), round_trip (ids decode to the text)."""
     ready(docs.sparkSession)
     data = Path(model).read_bytes()  # half a megabyte, sent with the job
-    names = [c for c in docs.columns if c not in ("ids", "scores", "round_trip")]
+    names = others(docs, "ids", "scores", "round_trip")
     place = names.index(text_col)
     schema = T.StructType([docs.schema[c] for c in names] + [
         T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())),
@@ -198,32 +222,33 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int
     def run(batches):
         kept = _of_worker("pieces")
         if kept.get("model") != (data, n):
-            kept.update(model=(data, n), pieces=Pieces.read(data), words={})
-        pieces, known = kept["pieces"], kept["words"]
+            kept.update(model=(data, n), pieces=Pieces.read(data), words={}, odd=set())
+        pieces, known, odd = kept["pieces"], kept["words"], kept["odd"]
         for batch in batches:
             ids, scores, same = [], [], []
             for text in raw(batch.column(place)):
                 words = pieces.words(text.decode("utf-8", "replace"))
                 if len(known) > WORDS:
                     known.clear()
-                for w in set(words).difference(known):
+                    odd.clear()
+                times = Counter(words)
+                for w in set(times).difference(known):
                     found = pieces.best(w, n)
                     # ids, best score, losses of the others
-                    known[w] = (np.array(found[0][1], np.int32).tobytes(), found[0][0], tuple(found[0][0] - s for s, _ in found[1:]))
-                hits = [known[w] for w in words]
-                own = b"".join([h[0] for h in hits])
-                base = sum([h[1] for h in hits])
-                if n > 1:
-                    few = heapq.nsmallest(n - 1, [h[2] for h in hits if h[2]])
-                    ways = chosen([(0.0, *g) for g in few], n)
-                else:
-                    ways = [(0.0, {})]
-                numbers = np.frombuffer(own, np.int32)
-                ids.append(numbers)
-                scores.append([base - loss for loss, _ in ways])
-                plain = b"".join(map(pieces.plain.__getitem__, numbers.tolist()))
-                same.append((plain[1:] if pieces.prefix else plain) == text)
+                    known[w] = struct.pack(f"{len(found[0][1])}i", *found[0][1]), found[0][0], tuple([found[0][0] - s for s, _ in found[1:]])
+                    if b"".join([pieces.plain[i] for i in found[0][1]]) != w.replace(SPACE, " ").encode():
+                        odd.add(w)
+                solved = {w: known[w] for w in times}
+                base = sum([solved[w][1] * k for w, k in times.items()])
+                # a word can supply each of its places, but no more than n - 1 places are of use
+                few = heapq.nsmallest(n - 1, [solved[w][2] for w in times if solved[w][2]]) if n > 1 else []
+                least = [w for w in times if solved[w][2] and solved[w][2] <= few[-1]] if few else []
+                places = [(0.0, *solved[w][2]) for w in least for _ in range(min(times[w], n - 1))]
+                ids.append(np.frombuffer(b"".join([solved[w][0] for w in words]), np.int32))
+                scores.append([base - loss for loss, _ in chosen(places, n)])
+                # decoding joins what the words decode to, so each word is decoded and compared once
+                same.append(SIGN not in text and (odd.isdisjoint(times) if odd else True))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())),
                                               pa.array(same, pa.bool_())], [f.name for f in schema])
 
-    return docs.select(*[column(c) for c in names]).mapInArrow(run, schema)
+    return map_batches(docs.select(*[column(c) for c in names]), run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrymill.llm.common import column, raw, ready
+from sentrymill.llm.common import column, map_batches, others, raw, ready
 
 RUN, SHORTEST = 128, 16
 MOST_TOXIC, MOST_CLEAN = 1_000, 3_000
@@ -86,10 +86,10 @@ class _Means:
         self.row, self.col, self.weight, self.shape = row, col, weight.astype(np.float32), shape
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.row, self.weight * x[self.col, k], self.shape[0]) for k in range(x.shape[1])], 1)
+        return np.stack([np.bincount(self.row, self.weight * x[self.col, k], self.shape[0]).astype(float) for k in range(x.shape[1])], 1)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.col, self.weight * g[self.row, k], self.shape[1]) for k in range(g.shape[1])], 1)
+        return np.stack([np.bincount(self.col, self.weight * g[self.row, k], self.shape[1]).astype(float) for k in range(g.shape[1])], 1)
 
 
 def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -> Model:
@@ -100,29 +100,31 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -
     per_doc = [t.lower().split() for t in texts]
     for words in per_doc:
         in_docs.update(set(words))
-    known = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= 2))}
+    known = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= 3))}
     # n-grams whose share of documents differs between the classes by more than chance; others stay zero vectors, so that
     # wrong labels are not learned by heart
     in_toxic = Counter(w for words, label in zip(per_doc, labels, strict=True) if label for w in set(words))
-    of_word = [grams(w.decode("utf-8", "replace")) for w in known]
     seen, seen_toxic = Counter(), Counter()
-    for w, gs in zip(known, of_word, strict=True):
-        for g in set(gs):
+    for w in known:
+        for g in set(grams(w.decode("utf-8", "replace"))):
             seen[g] += in_docs[w]
-            seen_toxic[g] += in_toxic[w]
+            if in_toxic[w]:
+                seen_toxic[g] += in_toxic[w]
     all_words, toxic_words = sum(in_docs.values()), sum(in_toxic.values())
     rate = toxic_words / all_words
     apart = {g: (seen_toxic[g] - n * rate) / np.sqrt(n * rate * (1 - rate)) for g, n in seen.items() if n >= 3}
     kept = sorted((g for g, z in apart.items() if abs(z) >= APART), key=lambda g: (-abs(apart[g]), g))[:MOST_GRAMS]
     gram = {g: i for i, g in enumerate(kept)}
     row, col, weight = [], [], []
-    for i, gs in enumerate(of_word):
+    del seen, seen_toxic, apart
+    for w, i in known.items():
+        gs = grams(w.decode("utf-8", "replace"))  # made again: all n-grams of all words would not stay in memory
         ids = [gram[g] for g in gs if g in gram]
         row += [i] * len(ids)
         col += ids
         weight += [1 / len(gs)] * len(ids)
     words_of = _Means(np.array(row, np.int32), np.array(col, np.int32), np.array(weight), (len(known), len(gram)))
-    del of_word, seen, in_docs, row, col, weight
+    del in_docs, in_toxic, row, col, weight
 
     rng = np.random.default_rng(seed)
     run_row, run_word, run_weight, run_doc = [], [], [], []
@@ -208,7 +210,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns, with score and predicted."""
     ready(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = others(docs, "score", "predicted")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     place = names.index(text_col)
 
@@ -219,4 +221,4 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                                              [f.name for f in schema])
 
-    return docs.select(*[column(c) for c in names]).mapInArrow(run, schema)
+    return map_batches(docs.select(*[column(c) for c in names]), run, schema)
