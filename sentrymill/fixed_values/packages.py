@@ -57,5 +57,4 @@ CVSS3_WEIGHTS = {
 CVSS3_PRIVILEGES = {"U": {"N": 0.85, "L": 0.62, "H": 0.27}, "C": {"N": 0.85, "L": 0.68, "H": 0.5}}
 
 LOOKUP_BATCH = 100
-SUMMARY_CHARS = 200
 # --- end of fixed values ----------------------------------------------------

@@ -32,15 +32,8 @@ REDIRECT_PARAMS = ["redirect", "redirect_uri", "redirect_url", "url", "next", "r
                    "continue", "dest", "destination", "go", "target"]
 
 TYPO_TLDS = ["com", "net", "org", "co", "io", "app", "dev", "xyz"]
-TYPO_CAP = 20
-SUBDOMAIN_CAP = 100
-MIXED_CONTENT_CAP = 15
-CVE_CAP = 10
 HSTS_MIN_AGE = 15552000
 PWNED_HIGH = 1000
-BODY_SECURITY_TXT = 4000
-BODY_EXPOSED = 2048
-BODY_PAGE = 500000
 
 MIXED_ATTRIBUTE = r"""(?i)(?:src|href)\s*=\s*['"]http://[^'"]+['"]"""
 MIXED_ASSET = r"""(?i)['"]http://[^'"]+\.(?:js|css|png|jpe?g|gif|svg|woff2?|mp4|webp)['"]"""

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sentrymill.session import let
+
 # Special-purpose IPv4 blocks (IANA registry) that are not public.
 PRIVATE_V4 = [
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
     ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
     ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 ]
-# IPv6 prefixes: loopback, unspecified, unique-local, link-local, multicast, documentation, mapped IPv4
-PRIVATE_V6 = r"(?i)\A(?:::1?|f[cd][0-9a-f]{0,2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{0,2}:.*|2001:db8:.*|::ffff:.*)\z"
+# IPv6 blocks of the same registry.  Only 2000::/3 is assigned to public unicast; of it these are not public
+# (the first one except for the blocks after it).
+GLOBAL_V6 = ("2000::", 3)
+PROTOCOL_V6 = ("2001::", 23)
+PUBLIC_IN_PROTOCOL_V6 = [("2001:1::1", 128), ("2001:1::2", 128), ("2001:3::", 32), ("2001:4:112::", 48), ("2001:20::", 28), ("2001:30::", 28)]
+PRIVATE_V6 = [("2001:db8::", 32), ("2002::", 16), ("3fff::", 20)]
 
 
 def has_scheme(target: Column) -> Column:
@@ -46,14 +54,59 @@ def _block(address: str, bits: int) -> tuple[int, int]:
     return low, low + (1 << (32 - bits)) - 1
 
 
+def ipv6_hex(address: Column) -> Column:
+    """An IPv6 address as 32 lower-case hex digits, which compare like numbers; null when unparsable.
+
+    A zone is left out, an embedded IPv4 address counts as two groups, ``::`` as the groups that are missing.
+    """
+    bare = F.lower(F.regexp_replace(address, "%.*", ""))
+    tail = F.regexp_extract(bare, r":([0-9.]+)\z", 1)
+    number = F.when(F.contains(tail, F.lit(".")), ipv4_number(tail))
+    pair = F.concat(F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)))
+    plain = F.when(~F.contains(bare, F.lit(".")), bare).otherwise(F.concat(F.regexp_replace(bare, r"[0-9.]+\z", ""), pair))
+
+    def groups(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+    def expanded(text: Column) -> Column:
+        gaps = F.size(F.split(text, "::"))
+        left, right = groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1))
+        missing = 8 - F.size(left) - F.size(right)
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        every = F.when(gaps == 1, F.split(text, ":")).when((gaps == 2) & (missing > 0), F.concat(left, zeros, right))
+        sound = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
+        return F.when(sound, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return expanded(plain)
+
+
+def _between_v6(digits: Column, block: tuple[str, int]) -> Column:
+    net = ipaddress.ip_network(f"{block[0]}/{block[1]}", strict=False)
+    return digits.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+
+
 def is_public(address: Column) -> Column:
     """True for a routable address, false for a special-purpose one, null when unparsable."""
+    def public_v4(number: Column) -> Column:
+        inside = F.lit(False)
+        for base, bits in PRIVATE_V4:
+            inside = inside | number.between(*_block(base, bits))
+        return ~inside
+
+    def public_v6(digits: Column) -> Column:
+        open_part = F.lit(False)
+        for block in PUBLIC_IN_PROTOCOL_V6:
+            open_part = open_part | _between_v6(digits, block)
+        closed = _between_v6(digits, PROTOCOL_V6) & ~open_part
+        for block in PRIVATE_V6:
+            closed = closed | _between_v6(digits, block)
+        mapped = F.startswith(digits, F.lit("0" * 20 + "ffff"))  # an IPv4 address in IPv6 form
+        return F.when(mapped, public_v4(F.conv(F.right(digits, F.lit(8)), 16, 10).cast("bigint"))).otherwise(
+            _between_v6(digits, GLOBAL_V6) & ~closed)
+
     number = ipv4_number(address)
-    inside = F.lit(False)
-    for base, bits in PRIVATE_V4:
-        inside = inside | number.between(*_block(base, bits))
-    return (F.when(number.isNotNull(), ~inside)
-            .when(F.contains(address, F.lit(":")) & address.rlike(r"(?i)\A[0-9a-f:.]+\z"), ~address.rlike(PRIVATE_V6)))
+    return F.when(number.isNotNull(), public_v4(number)).when(
+        F.contains(address, F.lit(":")), let(ipv6_hex(address), public_v6))
 
 
 def resolves_public(addresses: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrymill import schema
@@ -82,7 +82,7 @@ def dependency_findings(declared: DataFrame, advisories: DataFrame) -> DataFrame
     found = matched(declared, advisories)
     return found.select(
         "repo", "file", "package", "version", "ecosystem", "severity", "vuln_id",
-        F.substring("summary", 1, P.SUMMARY_CHARS).alias("summary"), "fixed_version",
+        "summary", "fixed_version",
         V.remediation(F.col("ecosystem"), F.col("package"), F.col("fixed_version")).alias("remediation"))
 
 
@@ -121,21 +121,32 @@ def package_lookup(targets: DataFrame, advisories: DataFrame) -> DataFrame:
     """Advisories of each ``target`` of the form ``[ecosystem:]name@version``."""
     specs = targets.select("target", once(parse_spec(F.col("target"))).alias("s")).where(F.col("s").isNotNull())
     found = matched(specs.select("target", "s.*"), advisories)
-    summary = F.when(F.col("summary") == P.NO_SUMMARY_TEXT, F.lit("")).otherwise(F.substring("summary", 1, 150))
+    summary = F.when(F.col("summary") == P.NO_SUMMARY_TEXT, F.lit("")).otherwise(F.col("summary"))
     fix = F.coalesce(F.concat(F.lit(" — fixed in "), F.col("fixed_version")), F.lit(""))
     return found.select("target", "severity", F.col("vuln_id").alias("title"), F.concat(summary, fix).alias("detail"))
 
 
-def cve_search(cves: DataFrame, keyword: str, cap: int) -> DataFrame:
-    """The first ``cap`` CVEs (by id) whose description holds the keyword, and how many there are.
+def cve_search(cves: DataFrame, keywords: DataFrame, cap: int | None = None) -> DataFrame:
+    """The CVEs whose description holds a keyword, one row per (keyword, CVE), and how many a keyword has.
 
-    ``cves``: (cve_id, description, v31, v30, v2) with base scores or nulls.
+    ``cves``: (cve_id, description, v31, v30, v2) with base scores or nulls; ``keywords``: (keyword).  Descriptions and
+    keywords meet on the first three characters of each, so only places that may begin a keyword are compared; keywords
+    shorter than that meet descriptions on their first character.  A caller may ask for the first ``cap`` CVEs (by id)
+    of each keyword.
     """
-    word = keyword.strip().lower()
-    found = cves.where(F.contains(F.lower("description"), F.lit(word)))
-    score = F.coalesce("v31", "v30", "v2")
-    shown = found.orderBy("cve_id").limit(cap)
-    total = found.agg(F.count("*").alias("total"))  # one row
-    return shown.crossJoin(F.broadcast(total)).select(
-        "cve_id", F.coalesce(V.label_of_score(score), F.lit("MEDIUM")).alias("severity"),
-        F.substring("description", 1, P.SUMMARY_CHARS).alias("detail"), "total")
+    words = keywords.select("keyword", F.trim(F.lower("keyword")).alias("_word")).where("_word <> ''").distinct()
+    words = words.withColumn("_start", F.left("_word", F.when(F.length("_word") < 3, F.lit(1)).otherwise(F.lit(3))))
+    low = F.lower("description")
+    places = F.sequence(F.lit(1), F.length("description"))
+    starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(
+        F.substring(low, i, F.lit(1)), F.substring(low, i, F.lit(3))))))
+    each = (cves.where(F.length("description") > 0)
+            .select("cve_id", "description", F.coalesce("v31", "v30", "v2").alias("_score"), F.explode(starts).alias("_start")))
+    found = spread_join(each, words, ["_start"], condition=F.contains(F.lower("description"), F.col("_word")))
+    totals = found.groupBy("keyword").agg(F.count("*").alias("total"))
+    if cap is not None:
+        rank = F.row_number().over(Window.partitionBy("keyword").orderBy("cve_id"))
+        found = found.withColumn("_rank", rank).where(F.col("_rank") <= cap)
+    return spread_join(found, totals, ["keyword"]).select(
+        "keyword", "cve_id", F.coalesce(V.label_of_score(F.col("_score")), F.lit("MEDIUM")).alias("severity"),
+        F.col("description").alias("detail"), "total")

@@ -14,10 +14,10 @@ from sentrymill import schema
 from sentrymill.fixed_values.guidance import GENERIC_GUIDANCE, GUIDANCE
 from sentrymill.functions.ids import location_key
 from sentrymill.functions.network import blob_url
-from sentrymill.session import literal_table, spread_join
+from sentrymill.session import durable, literal_table, spread_join
 
 STATUSES = ["pending", "approved", "disclosed", "dismissed"]
-DEFAULT_TARGET, MAX_REPOS = 10, 120  # fixed values of the feed job
+DEFAULT_TARGET = 10  # fixed value of the feed job
 
 
 def normalised_feeds(search_items: DataFrame, projects: DataFrame) -> DataFrame:
@@ -113,20 +113,26 @@ def guidance(findings: DataFrame, order: list[str]) -> DataFrame:
 
 
 def until_n(repos: DataFrame, findings: DataFrame, severities: list[str], target: int = DEFAULT_TARGET,
-            max_repos: int = MAX_REPOS, found: int = 0, scanned: int = 0) -> DataFrame:
+            max_repos: int | None = None, found: int = 0, scanned: int = 0) -> DataFrame:
     """The feed job: untracked repositories in arrival order until ``target`` findings are reached.
 
-    ``repos``: (repo, arrival).  The test comes before each repository, so the
-    last one may overshoot.  ``found`` and ``scanned`` continue an earlier step.  The job never looks at more than ``max_repos``
-    repositories; that bound is what makes one running sum enough.
+    ``repos``: (repo, arrival).  The test comes before each repository, so the last one may overshoot.  ``found``
+    and ``scanned`` continue an earlier step; a caller may stop the job after ``max_repos`` repositories.  The
+    running sum is counted within ranges of the order and from the sums of the ranges before, so no task
+    holds all repositories.
     """
-    looked_at = repos.orderBy("arrival", "repo").limit(max(max_repos - scanned, 0))
+    looked_at = repos if max_repos is None else repos.orderBy("arrival", "repo").limit(max(max_repos - scanned, 0))
     wanted = findings if not severities else findings.where(
         F.upper(F.coalesce("severity", F.lit(""))).isin([s.upper() for s in severities]))
     counted = (spread_join(wanted.select("repo"), looked_at, ["repo"], "left_semi")
                .groupBy("repo").agg(F.count("*").alias("found")))
     joined = looked_at.join(counted, "repo", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("bigint")))
-    before = F.coalesce(F.sum("found").over(
-        Window.orderBy("arrival", "repo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")) + F.lit(found)
-    return (joined.withColumn("found_before", before).where(F.col("found_before") < target)
+    ranged = durable(joined.repartitionByRange("arrival", "repo").withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    zero = F.lit(0).cast("bigint")
+    offsets = (ranged.groupBy("_part").agg(F.sum("found").alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(earlier), zero).alias("_offset")).where(F.col("_offset") + found < target))
+    inside = Window.partitionBy("_part").orderBy("arrival", "repo").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("found").over(inside), zero) + F.col("_offset") + F.lit(found)
+    return (ranged.join(offsets, "_part").withColumn("found_before", before).where(F.col("found_before") < target)
             .select("repo", "arrival", "found", "found_before", (F.col("found") > 0).alias("queued")))

@@ -124,7 +124,7 @@ def dns_health(dns: DataFrame) -> DataFrame:
 def security_txt(probes: DataFrame) -> DataFrame:
     """``probes``: (host, path, status, body).  The first listed path with status 200 decides."""
     place = F.array_position(F.array(*[F.lit(p) for p in V.SECURITY_TXT_PATHS]), F.col("path"))
-    contact = F.contains(F.lower(F.substring("body", 1, V.BODY_SECURITY_TXT)), F.lit("contact:"))
+    contact = F.contains(F.lower("body"), F.lit("contact:"))
     answer = F.when((F.col("status") == 200) & (place > 0), F.struct(place.alias("place"), contact.alias("contact")))
     first = probes.groupBy("host").agg(F.min(answer).alias("a"))
     return rows(first, "security-txt", "host", [
@@ -154,8 +154,8 @@ def typo_variants(name: Column, tld: Column) -> Column:
                                                   lambda v: (v != own) & ~F.startswith(v, F.lit(".")))))
 
 
-def typosquat(domains: DataFrame, registered: DataFrame, cap: int | None = V.TYPO_CAP) -> DataFrame:
-    """Look-alikes of each ``domain`` found in ``registered``; ``cap`` variants per domain are looked up."""
+def typosquat(domains: DataFrame, registered: DataFrame, cap: int | None = None) -> DataFrame:
+    """Look-alikes of each ``domain`` found in ``registered``; a caller may have only the first ``cap`` variants looked up."""
     bare = F.regexp_replace(hostname(F.col("domain")), r"\Awww\.", "")
     named = domains.select(bare.alias("domain")).where(F.contains("domain", F.lit("."))).distinct()
     variants = typo_variants(F.regexp_extract("domain", r"\A(.*)\.([^.]*)\z", 1), F.substring_index("domain", ".", -1))
@@ -204,11 +204,12 @@ def subdomain_names(entries: DataFrame) -> DataFrame:
             .where(F.endswith("name", F.concat(F.lit("."), F.col("domain")))).distinct())
 
 
-def subdomains(entries: DataFrame, cap: int = V.SUBDOMAIN_CAP) -> DataFrame:
-    """The first ``cap`` names per domain; rank filters run before the shuffle, so a huge domain sends few rows."""
-    names = subdomain_names(entries)
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy("name"))
-    shown = names.withColumn("_rank", rank).where(F.col("_rank") <= cap)
+def subdomains(entries: DataFrame, cap: int | None = None) -> DataFrame:
+    """All names per domain; a caller may ask for the first ``cap`` (the rank filters before the shuffle)."""
+    shown = subdomain_names(entries)
+    if cap is not None:
+        rank = F.row_number().over(Window.partitionBy("domain").orderBy("name"))
+        shown = shown.withColumn("_rank", rank).where(F.col("_rank") <= cap)
     return shown.select(F.lit("subdomains").alias("check_id"), F.col("domain").alias("target"),
                         F.lit("LOW").alias("severity"), F.col("name").alias("title"),
                         F.lit("Subdomain found in certificate transparency logs.").alias("detail"))
@@ -302,14 +303,17 @@ def cookies(http: DataFrame) -> DataFrame:
                 title("SameSite=None without Secure"), "SameSite=None requires the Secure attribute.")])
 
 
-def mixed_content(http: DataFrame, cap: int = V.MIXED_CONTENT_CAP) -> DataFrame:
-    """http:// resources of pages answered with 200: distinct, sorted, the first ``cap`` per page."""
-    body = F.substring("body", 1, V.BODY_PAGE)
+def mixed_content(http: DataFrame, cap: int | None = None) -> DataFrame:
+    """http:// resources of HTTPS pages answered with 200: distinct, sorted; a caller may ask for the first ``cap`` per page."""
+    body = F.col("body")
     quoted = F.array_union(F.regexp_extract_all(body, F.lit(V.MIXED_ATTRIBUTE), F.lit(0)),
                            F.regexp_extract_all(body, F.lit(V.MIXED_ASSET), F.lit(0)))
     urls = F.flatten(F.transform(quoted, lambda x: F.regexp_extract_all(x, F.lit(V.MIXED_URL), F.lit(0))))
-    shown = F.slice(F.array_sort(F.array_distinct(urls)), 1, cap)
-    each = http.where(F.col("status") == 200).select(host_of_url(F.col("url")).alias("host"), F.explode(shown).alias("u"))
+    shown = F.array_sort(F.array_distinct(urls))
+    if cap is not None:
+        shown = F.slice(shown, 1, cap)
+    secure = http.where((F.col("status") == 200) & F.startswith(F.lower("final_url"), F.lit("https://")))
+    each = secure.select(host_of_url(F.col("url")).alias("host"), F.explode(shown).alias("u"))
     return each.select(
         F.lit("mixed-content").alias("check_id"), F.col("host").alias("target"), F.lit("MEDIUM").alias("severity"),
         F.lit("Insecure (HTTP) resource on HTTPS page").alias("title"),
@@ -319,7 +323,7 @@ def mixed_content(http: DataFrame, cap: int = V.MIXED_CONTENT_CAP) -> DataFrame:
 def exposed_files(probes: DataFrame) -> DataFrame:
     """``probes``: (base, path, status, body)."""
     table = literal_table(probes.sparkSession, ["path", "marker"], V.EXPOSED_PATHS)
-    body = F.lower(F.substring("body", 1, V.BODY_EXPOSED))
+    body = F.lower("body")
     hit = probes.where(F.col("status") == 200).join(F.broadcast(table), "path").where(
         F.contains(body, F.lower("marker")))
     return hit.select(F.lit("exposed-files").alias("check_id"), F.col("base").alias("target"),
@@ -394,7 +398,7 @@ def caa(dns: DataFrame) -> DataFrame:
 
 def caa_summary(dns: DataFrame) -> DataFrame:
     listed = F.concat(F.size("issuers").cast("string"), F.lit(" CAA record(s): "),
-                      F.substring(F.array_join("issuers", "; "), 1, 200))
+                      F.array_join("issuers", "; "))
     return _caa(dns).select(F.col("domain").alias("target"),
                             F.when(F.size("issuers") > 0, listed).otherwise("No CAA records found.").alias("summary"))
 

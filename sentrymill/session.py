@@ -55,18 +55,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a plain file scan at least one partition per core.
-
-    Matching is CPU-bound, and a small table arrives as one split.  A scan that
-    already has enough splits is returned as it is, so nothing is shuffled at
-    scale.  Call it on scans only: it asks the plan for its partitions.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan if splits >= cores else scan.repartition(cores)
-
-
 def sql_literal(value) -> str:
     if value is None:
         return "NULL"
@@ -94,36 +82,17 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for a plan (an upper bound for file scans and projections)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)) if text != "-1" else -1
-
-
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                condition: Column | None = None, salts: int = SALTS) -> DataFrame:
+                condition: Column | None = None, salts: int | None = None) -> DataFrame:
     """Equi-join whose left side may have a key holding a large share of its rows.
 
-    Three cases, by the optimizer's estimates.  A right side within the
-    broadcast limit is broadcast by Spark and no left row moves.  One that is
-    small beside the left side is copied ``salts`` times while each left row
-    draws one salt, so a hot key becomes that many reduce groups; the copies
-    are limited to a quarter of the left side's size.  Two large sides are
-    joined as they are: adaptive execution measures the shuffled partitions and
-    splits the left part of any that is much larger than the median.  A stream
-    always draws salts against a static side it cannot broadcast.
-    ``keys`` must have the same names on both sides; ``condition`` is a
-    residual over both.
+    By default the join is left to adaptive execution, which broadcasts a side that it has measured to be small and splits
+    the left part of a partition that it has measured to be skewed.  A caller who knows the right side to be
+    small beside a skewed left one asks for ``salts``: each left row draws one, and the right side is copied for each.  A stream
+    always draws salts, as its micro-batches are not split adaptively.
+    ``keys`` must have the same names on both sides; ``condition`` is a residual over both.
     """
-    right_bytes = max(estimated_bytes(right), 1)
-    if right_bytes <= broadcast_limit(left.sparkSession):
-        salts = 1
-    elif not left.isStreaming:  # a stream has no size; its micro-batches are not split adaptively either
-        salts = min(salts, estimated_bytes(left) // (4 * right_bytes))
+    salts = salts or (SALTS if left.isStreaming else 1)
     if salts < 2:
         salted_left, salted_right, on = left, right, list(keys)
     else:

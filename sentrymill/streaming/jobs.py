@@ -82,8 +82,8 @@ PROGRESS = "repo string, arrival string, found bigint, found_before bigint, queu
 
 def case_feed(repos: DataFrame, findings_of: Callable[[DataFrame], DataFrame], store: str, checkpoint: str,
               severities: list[str], target: int = cases.DEFAULT_TARGET,
-              max_repos: int = cases.MAX_REPOS) -> DataStreamWriter:
-    """The feed job over arriving (repo, arrival) until ``target`` findings or ``max_repos`` repositories.
+              max_repos: int | None = None) -> DataStreamWriter:
+    """The feed job over arriving (repo, arrival) until ``target`` findings, or ``max_repos`` repositories.
 
     ``findings_of`` scans a batch of repositories.  Progress is the sum over
     earlier epochs, at most ``max_repos`` rows.

@@ -93,9 +93,9 @@ def test_typo_variants(spark):
     assert got == {k: independent(*k) for k in names}
     domains = spark.createDataFrame([("https://www.Example.com/x",), ("nodot",)], "domain string")
     registered = spark.createDataFrame([("exmple.com",), ("example.app",), ("zzz.com",)], "domain string")
-    hits = {r.title.split(": ")[1] for r in checks.typosquat(domains, registered, cap=None).collect()}
+    hits = {r.title.split(": ")[1] for r in checks.typosquat(domains, registered).collect()}
     assert hits == {"example.app", "exmple.com"}
-    capped = {r.title.split(": ")[1] for r in checks.typosquat(domains, registered).collect()}
+    capped = {r.title.split(": ")[1] for r in checks.typosquat(domains, registered, cap=20).collect()}
     assert capped == hits & set(independent("example", "com")[:20])
 
 
@@ -104,7 +104,8 @@ def test_subdomains(spark):
                                     "domain string, name_value string")
     assert [t for _, t in titles(checks.subdomains(entries))] == ["a.example.com", "b.example.com"]
     many = spark.range(250).selectExpr("'d.com' AS domain", "concat('s', lpad(id, 3, '0'), '.d.com') AS name_value")
-    assert [t for _, t in titles(checks.subdomains(many))] == [f"s{i:03d}.d.com" for i in range(100)]
+    assert [t for _, t in titles(checks.subdomains(many))] == [f"s{i:03d}.d.com" for i in range(250)]
+    assert [t for _, t in titles(checks.subdomains(many, cap=100))] == [f"s{i:03d}.d.com" for i in range(100)]
     assert checks.subdomain_totals(many).first().total == 250
 
 
@@ -112,7 +113,7 @@ def test_security_txt_order(spark):
     rows = [("a", "/security.txt", 200, "x"), ("a", "/.well-known/security.txt", 200, "CONTACT: y"), ("b", "/security.txt", 200, "x"),
             ("c", "/.well-known/security.txt", 404, "contact:"), ("d", "/.well-known/security.txt", 200, " " * 4000 + "contact:")]
     found = checks.security_txt(spark.createDataFrame(rows, "host string, path string, status int, body string"))
-    assert {r.target: r.title.split()[0] for r in found.collect()} == {"b": "security.txt", "c": "No", "d": "security.txt"}
+    assert {r.target: r.title.split()[0] for r in found.collect()} == {"b": "security.txt", "c": "No"}  # the whole body counts
 
 
 def test_redirects_and_hsts(spark):
@@ -134,9 +135,11 @@ def test_cookie_name_counts_as_flag(spark):
 
 def test_mixed_content(spark):
     body = "<a HREF = 'http://x/1'>" + '"http://cdn/a.JPEG"' + 'src="https://ok/"' + "".join(f'src="http://z/{i:02d}"' for i in range(30))
-    df = spark.createDataFrame([("https://h/", 200, body), ("https://g/", 404, body)], "url string, status int, body string")
+    df = spark.createDataFrame([("https://h/", 200, "x" * 600_000 + body, "https://h/"), ("https://g/", 404, body, "https://g/"), ("https://p/", 200, body, "http://p/")],
+                               "url string, status int, body string, final_url string")
     urls = [r.detail.split(" ")[0] for r in checks.mixed_content(df).collect()]
-    assert len(urls) == 15 and urls[0] == "http://cdn/a.JPEG" and "http://x/1" in urls
+    assert len(urls) == 32 and urls[0] == "http://cdn/a.JPEG" and "http://x/1" in urls  # whole body, HTTPS pages only
+    assert checks.mixed_content(df, cap=15).count() == 15
 
 
 def test_dns_and_caa(spark):

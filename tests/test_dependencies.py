@@ -197,5 +197,9 @@ def test_package_lookup(spark):
 def test_cve_search(spark):
     cves = spark.createDataFrame([(f"CVE-{i:02d}", f"OpenSSL bug {i}" + "x" * 300, None, 9.1 if i == 0 else None, 2.0) for i in range(12)],
                                  "cve_id string, description string, v31 double, v30 double, v2 double")
-    found = advisories.cve_search(cves, " openssl ", 10).orderBy("cve_id").collect()
-    assert len(found) == 10 and found[0].total == 12 and found[0].severity == "CRITICAL" and len(found[1].detail) == 200
+    words = spark.createDataFrame([(" openssl ",), ("bug 1",), ("x",), ("",), (None,), ("absent",)], "keyword string")
+    found = advisories.cve_search(cves, words).where(F.col("keyword") == " openssl ").orderBy("cve_id").collect()
+    assert len(found) == 12 and found[0].total == 12 and found[0].severity == "CRITICAL" and len(found[1].detail) > 300
+    counts = {r.keyword: r["count"] for r in advisories.cve_search(cves, words).groupBy("keyword").count().collect()}
+    assert counts == {" openssl ": 12, "bug 1": 3, "x": 12}
+    assert advisories.cve_search(cves, words, cap=10).where(F.col("keyword") == "x").count() == 10

@@ -246,7 +246,7 @@ def remediation() -> str:
 
 
 VULNERABLE = f"""
-vulnerable AS (SELECT p.repo, p.file, p.package, p.version, p.ecosystem, a.severity, a.vuln_id, substr(a.summary, 1, 200) AS summary,
+vulnerable AS (SELECT p.repo, p.file, p.package, p.version, p.ecosystem, a.severity, a.vuln_id, a.summary AS summary,
    a.fixed_version FROM packages p JOIN advisories a ON p.ecosystem = a.ecosystem AND p.package = a.package AND {in_range('p.version')}),
 dep_f AS (SELECT *, {remediation()} AS remediation FROM vulnerable)
 """

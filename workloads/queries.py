@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sentrymill import schema
 from sentrymill.fixed_values import packages as P
-from sentrymill.fixed_values import posture as checks_values
 from sentrymill.functions.suppress import scopes, suppressed
 from sentrymill.operators import advisories, bumps, classify, hygiene, ignore, manifests, match, secrets
 from sentrymill.session import tune
@@ -244,7 +243,7 @@ _SPECS = """specs AS (SELECT DISTINCT target, CASE WHEN pre = '' THEN 'PyPI' WHE
 
 
 @query(duck.with_(duck.ADVISORIES, _SPECS) + f"""SELECT target, severity, vuln_id AS title,
-     CASE WHEN summary = 'No summary available.' THEN '' ELSE substr(summary, 1, 150) END || coalesce(' — fixed in ' || fixed_version, '') AS detail
+     CASE WHEN summary = 'No summary available.' THEN '' ELSE summary END || coalesce(' — fixed in ' || fixed_version, '') AS detail
    FROM specs JOIN advisories a USING (ecosystem, package) WHERE {duck.in_range('version')}""")
 def package_lookup(spark, d):
     return advisories.package_lookup(views.package_specs(spark, d), _advisories(spark, d))
@@ -252,8 +251,10 @@ def package_lookup(spark, d):
 
 @query("""WITH c AS (SELECT 'CVE-2024-' || lpad(p_partkey::VARCHAR, 9, '0') AS cve_id, p_name || ' in ' || p_type AS detail,
      coalesce(CASE WHEN p_partkey % 4 = 0 THEN p_size / 5.0::DOUBLE END, CASE WHEN p_partkey % 3 = 0 THEN p_size / 6.0::DOUBLE END,
-              CASE WHEN p_partkey % 2 = 0 THEN p_size / 7.0::DOUBLE END) AS s FROM part), hit AS (SELECT * FROM c WHERE contains(lower(detail), 'ring'))
-   SELECT cve_id, CASE WHEN s >= 9 THEN 'CRITICAL' WHEN s >= 7 THEN 'HIGH' WHEN s >= 4 THEN 'MEDIUM' WHEN s IS NOT NULL THEN 'LOW' ELSE 'MEDIUM' END AS severity,
-     substr(detail, 1, 200) AS detail, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY cve_id LIMIT 10""")
+              CASE WHEN p_partkey % 2 = 0 THEN p_size / 7.0::DOUBLE END) AS s FROM part),
+   words AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS keyword FROM part UNION SELECT 'b' UNION SELECT ' ring '),
+   hit AS (SELECT * FROM c JOIN words ON contains(lower(detail), trim(lower(keyword))))
+   SELECT keyword, cve_id, CASE WHEN s >= 9 THEN 'CRITICAL' WHEN s >= 7 THEN 'HIGH' WHEN s >= 4 THEN 'MEDIUM' WHEN s IS NOT NULL THEN 'LOW' ELSE 'MEDIUM' END AS severity,
+     detail, count(*) OVER (PARTITION BY keyword) AS total FROM hit""")
 def cve_search(spark, d):
-    return advisories.cve_search(views.cves(spark, d), "Ring", checks_values.CVE_CAP)
+    return advisories.cve_search(views.cves(spark, d), views.cve_keywords(spark, d))

@@ -105,10 +105,10 @@ def https_redirect(spark, d):
 
 
 @query(rf"""{_H}, quoted AS (SELECT page_id, host, unnest(list_concat(regexp_extract_all(b, {q(V.MIXED_ATTRIBUTE)}), regexp_extract_all(b, {q(V.MIXED_ASSET)}))) AS x
-     FROM (SELECT page_id, host, substr(body, 1, 500000) AS b FROM http_obs WHERE status = 200)),
+     FROM (SELECT page_id, host, body AS b FROM http_obs WHERE status = 200 AND starts_with(lower(final_url), 'https://'))),
    urls AS (SELECT DISTINCT page_id, host, unnest(regexp_extract_all(x, {q(V.MIXED_URL)})) AS u FROM quoted)
    SELECT 'mixed-content' AS check_id, host AS target, 'MEDIUM' AS severity, 'Insecure (HTTP) resource on HTTPS page' AS title,
-     u || ' — browsers may block it or warn; load it over HTTPS.' AS detail FROM urls QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY u) <= 15""")
+     u || ' — browsers may block it or warn; load it over HTTPS.' AS detail FROM urls""")
 def mixed_content(spark, d):
     return checks.mixed_content(views.http_obs(spark, d))
 
@@ -193,7 +193,7 @@ _CT = r"""names AS (SELECT DISTINCT domain, name FROM (SELECT domain, ltrim(lowe
 
 
 @query(f"""{_H}, {_CT} SELECT 'subdomains' AS check_id, domain AS target, 'LOW' AS severity, name AS title, 'Subdomain found in certificate transparency logs.' AS detail
-   FROM names QUALIFY row_number() OVER (PARTITION BY domain ORDER BY name) <= 100""")
+   FROM names""")
 def subdomains(spark, d):
     return checks.subdomains(views.ct_entries(spark, d))
 
@@ -210,7 +210,7 @@ _TYPO = f"""dom AS (SELECT DISTINCT regexp_replace(host, '^www\\.', '') AS domai
    UNION SELECT domain, substr(name, 1, i - 1) || substr(name, i + 1, 1) || substr(name, i, 1) || substr(name, i + 2) || '.' || tld FROM pos WHERE i < length(name)
    UNION SELECT domain, substr(name, 1, i) || substr(name, i, 1) || substr(name, i + 1) || '.' || tld FROM pos
    UNION SELECT domain, name || '.' || t FROM nt, (VALUES {', '.join(f"('{t}')" for t in V.TYPO_TLDS)}) tl(t) WHERE t <> tld),
- top AS (SELECT domain, v FROM vars WHERE v <> domain AND NOT starts_with(v, '.') QUALIFY row_number() OVER (PARTITION BY domain ORDER BY v) <= 20),
+ top AS (SELECT domain, v FROM vars WHERE v <> domain AND NOT starts_with(v, '.')),
  reg AS (SELECT host AS r FROM hosts UNION SELECT regexp_extract(host, '^(.*)\\.[^.]*$', 1) || '.io' FROM hosts UNION SELECT regexp_extract(host, '^(.*)\\.[^.]*$', 1) || '.net' FROM hosts
    UNION SELECT substr(host, 2, 200) FROM hosts UNION SELECT host[1] || substr(host, 3, 200) FROM hosts UNION SELECT host[1] || host FROM hosts)"""
 

@@ -298,7 +298,7 @@ def case_guidance(spark, d):
     return cases.guidance(_case_findings(spark, d), ["kind", "file", "line", "type"])
 
 
-@query(f"""{_D}, looked AS (SELECT repo, row_number() OVER (ORDER BY repo) AS arrival FROM (SELECT repo FROM cases WHERE status <> 'dismissed') QUALIFY arrival <= 120),
+@query(f"""{_D}, looked AS (SELECT repo, row_number() OVER (ORDER BY repo) AS arrival FROM (SELECT repo FROM cases WHERE status <> 'dismissed')),
    n AS (SELECT l.repo, l.arrival, count(f.repo) AS found FROM looked l LEFT JOIN case_f f ON f.repo = l.repo AND f.severity IN ('CRITICAL', 'HIGH') GROUP BY ALL),
    s AS (SELECT *, coalesce(sum(found) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS found_before FROM n)
    SELECT repo, found, found_before, found > 0 AS queued FROM s WHERE found_before < 50""")
@@ -427,7 +427,7 @@ _EM = "CASE severity WHEN 'CRITICAL' THEN ':red_circle:' WHEN 'HIGH' THEN ':larg
    SELECT target, 'sentrymill: ' || n || ' new / ' || f || ' fixed on ' || target AS text, substr('*Target:* `' || target || '`' || chr(10) || ':warning: *' || n || ' new*   :white_check_mark: *' || f || ' fixed*   (' || u || ' unchanged)' || chr(10)
      || (SELECT string_agg(line, chr(10) ORDER BY part, rn) FROM l WHERE l.target = c.target), 1, 2900) AS detail FROM c WHERE n + f > 0""")
 def notify_payload(spark, d):
-    return exports.change_payload(_diff(spark, d))
+    return exports.change_payload(_diff(spark, d), text_chars=2900, fixed_shown=10)
 
 
 @query(f"""{_R} SELECT id, target, 'sentrymill scan complete: ' || target || ' — ' || total || ' findings' AS text,

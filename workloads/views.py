@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.operators.ignore import IGNORE_FILE
-from sentrymill.session import literal_table, spread, spread_join
+from sentrymill.session import literal_table, spread_join
 from workloads import planted
 
 FAMILIES = {"code": planted.CODE, "docker": planted.DOCKER, "iac": planted.IAC, "ci": planted.WORKFLOW}
@@ -18,7 +18,7 @@ FAMILIES = {"code": planted.CODE, "docker": planted.DOCKER, "iac": planted.IAC,
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a given table."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def planted_table(spark: SparkSession) -> DataFrame:
@@ -511,3 +511,9 @@ def resolved_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                      "2606:4700::1111"]]), (F.col("doc_id") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "documents", "doc_id", "text").select(
         F.concat(F.lit("host-"), F.col("doc_id").cast("string")).alias("host"), F.concat(found, F.array(more)).alias("addresses"))
+
+
+def cve_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(keyword): the first word of every part type, and two more."""
+    first = table(spark, sf_dir, "part", "p_type").select(F.substring_index("p_type", " ", 1).alias("keyword"))
+    return first.distinct().unionByName(literal_table(spark, ["keyword"], [("b",), (" ring ",)]))
