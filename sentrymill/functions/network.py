@@ -20,7 +20,7 @@ PRIVATE_V4 = [
 GLOBAL_V6 = ("2000::", 3)
 PROTOCOL_V6 = ("2001::", 23)
 PUBLIC_IN_PROTOCOL_V6 = [("2001:1::1", 128), ("2001:1::2", 128), ("2001:3::", 32), ("2001:4:112::", 48), ("2001:20::", 28), ("2001:30::", 28)]
-PRIVATE_V6 = [("2001:db8::", 32), ("2002::", 16), ("3fff::", 20)]
+PRIVATE_V6 = [("2001:db8::", 32), ("2002::", 16)]
 
 
 def has_scheme(target: Column) -> Column:
@@ -74,7 +74,7 @@ def ipv6_hex(address: Column) -> Column:
         missing = 8 - F.size(left) - F.size(right)
         zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
         every = F.when(gaps == 1, F.split(text, ":")).when((gaps == 2) & (missing > 0), F.concat(left, zeros, right))
-        sound = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
+        sound = (F.size(every) == 8) & ~F.contains(text, F.lit(":::")) & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
         return F.when(sound, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
     return expanded(plain)
@@ -100,9 +100,7 @@ def is_public(address: Column) -> Column:
         closed = _between_v6(digits, PROTOCOL_V6) & ~open_part
         for block in PRIVATE_V6:
             closed = closed | _between_v6(digits, block)
-        mapped = F.startswith(digits, F.lit("0" * 20 + "ffff"))  # an IPv4 address in IPv6 form
-        return F.when(mapped, public_v4(F.conv(F.right(digits, F.lit(8)), 16, 10).cast("bigint"))).otherwise(
-            _between_v6(digits, GLOBAL_V6) & ~closed)
+        return _between_v6(digits, GLOBAL_V6) & ~closed
 
     number = ipv4_number(address)
     return F.when(number.isNotNull(), public_v4(number)).when(

@@ -184,3 +184,26 @@ def test_verdicts(spark):
 def test_registry_is_complete(spark):
     ids = [r.check_id for r in registry.list_checks(spark).orderBy("position").collect()]
     assert len(ids) == 19 and set(ids) == set(registry.FUNCTIONS)
+
+
+def test_public_addresses_agree_with_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(7)
+    some = ["0:0:0:0:0:0:0:1", "0::1", "2001:0db8::1", "100::1", "64:ff9b:1::1", "64:ff9b::1", "0:0:0:0:0:ffff:10.0.0.1", "::ffff:8.8.8.8", "2002:a00:1::", "fe80::1",
+            "2001:4860:4860::8888", "2001:1::1", "2001:1::3", "2001:20::5", "2001:3::", "2001:4:112::7", "3fff::1", "ff02::1", "::", "1::2::3", "1:2:3", ":::", "12345::",
+            "::1.2.3.4", "2001:db8:0:0:0:0:0:0:1", "fc00::", "2000::", "4000::1", "1:2:3:4:5:6:7::", "::ffff:999.1.1.1"]
+    some += [str(ipaddress.IPv6Address((0x2001 << 112 if rng.random() < 0.5 else 0) | rng.getrandbits(rng.choice([128, 112, 100, 40])) % (1 << 128))) for _ in range(300)]
+    some += [ipaddress.IPv6Address(x).exploded.upper() for x in some[-20:]]
+
+    def expected(text):
+        try:
+            x = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return not (x.is_private or x.is_loopback or x.is_link_local or x.is_reserved or x.is_multicast or x.is_unspecified)
+
+    got = {r.a: r.p for r in spark.createDataFrame([(a,) for a in some + ["fe80::1%eth0"]], "a string").select("a", is_public(F.col("a")).alias("p")).collect()}
+    assert {a: got[a] for a in some} == {a: expected(a) for a in some}
+    assert got["fe80::1%eth0"] is False

@@ -504,11 +504,18 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(named(table(spark, sf_dir, "part", "p_name"), F.col("p_name"))).distinct())
 
 
+ADDRESSES = [
+    "10.1.2.3", "8.8.8.8", "not-an-address", "172.32.0.1", "::1", "2606:4700::1111",
+    "0:0:0:0:0:0:0:1", "0::1", "2001:0db8::1", "100::1", "64:ff9b:1::1", "0:0:0:0:0:ffff:10.0.0.1",
+    "::ffff:8.8.8.8", "2002:a00:1::", "fe80::1%eth0", "2001:4860:4860::8888", "2001:20::5", "2001:10::5",
+    "fd00::1", "3fff:1::1", "ff02::1", "1:2:3", "2a00:1450:4001:81b::200e", "::",
+]
+
+
 def resolved_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, addresses) per document: the addresses its text mentions and one more."""
     found = F.regexp_extract_all("text", F.lit(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), F.lit(0))
-    more = F.element_at(F.array(*[F.lit(a) for a in ["10.1.2.3", "8.8.8.8", "not-an-address", "172.32.0.1", "::1",
-                                                     "2606:4700::1111"]]), (F.col("doc_id") % 6 + 1).cast("int"))
+    more = F.element_at(F.array(*[F.lit(a) for a in ADDRESSES]), (F.col("doc_id") % len(ADDRESSES) + 1).cast("int"))
     return table(spark, sf_dir, "documents", "doc_id", "text").select(
         F.concat(F.lit("host-"), F.col("doc_id").cast("string")).alias("host"), F.concat(found, F.array(more)).alias("addresses"))
 
