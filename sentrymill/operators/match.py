@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from sentrymill.fixed_values import rules as R
 from sentrymill.functions.suppress import suppressed
-from sentrymill.functions.text import contains_any_sql, context, raw_pieces, regex, split_lines
+from sentrymill.functions.text import contains_any_sql, context, regex
+from sentrymill.operators.lines import lines
+from sentrymill.operators.secrets import mask_lines
 from sentrymill.session import literal_table, sql_literal
 
 RULE_COLUMNS = ["rule", "issue_type", "category", "severity", "description"]
@@ -25,20 +27,6 @@ COMMENTED = ("iac", "workflow")  # kinds in which a line starting with # is skip
 FINDING = ["repo", "path", "line_no", "issue_type", "category", "severity", "description", "context"]
 
 
-def lines(files: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """One row per line, numbered from 1.
-
-    Matching never needs empty lines after the first; with ``keep_empty`` the
-    result is exactly the lines of the file.
-    """
-    others = [c for c in files.columns if c != "content"]
-    pieces = split_lines(F.col("content")) if keep_empty else raw_pieces(F.col("content"))
-    exploded = files.select(*others, F.posexplode(pieces).alias("_pos", "line"))
-    if not keep_empty:
-        exploded = exploded.where((F.col("line") != "") | (F.col("_pos") == 0))
-    return exploded.select(*others, (F.col("_pos") + 1).alias("line_no"), "line")
-
-
 def hits(rule: Sequence) -> str:
     """SQL condition over ``line`` and its lower-cased form ``low``.
 
@@ -92,7 +80,9 @@ def line_findings(files: DataFrame, rule_sets: dict[str, Sequence[Sequence]] = R
                          & (F.col("rule").isin(whole_file) | ~suppressed(F.col("line"), "code")))
     table = literal_table(files.sparkSession, RULE_COLUMNS,
                           [(i, r[0], r[1], r[2], r[4]) for i, r in enumerate(rules)])
-    return kept.join(F.broadcast(table), "rule").withColumn("context", context(F.col("line"))).select(*FINDING)
+    # the line is masked before it is cut: half a secret at the cut would match no rule
+    named = kept.join(F.broadcast(table), "rule").withColumnRenamed("line", "shown")
+    return mask_lines(named, "shown").withColumn("context", context(F.col("shown"))).select(*FINDING)
 
 
 def code_findings(files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentrymill.fixed_values.secrets import SECRET_RULES
 from sentrymill.functions.suppress import suppressed
 from sentrymill.functions.text import contains_any, contains_any_sql, context, regex
-from sentrymill.operators.match import lines
+from sentrymill.operators.lines import lines
 from sentrymill.session import literal_table, once, spread_join, sql_literal
 
 COLUMNS = ["repo", "path", "line_no", "secret_type", "category", "severity", "matched_value", "masked_context"]

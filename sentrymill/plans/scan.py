@@ -32,10 +32,10 @@ def _unified(df: DataFrame, phase: str, kind: str, **columns: str) -> DataFrame:
 def code_phase(files: DataFrame, visible: DataFrame) -> DataFrame:
     """Line rules over the visible files, and ignore-file hygiene over all files of a repository.
 
-    A reported line may hold a secret too, so its context is masked here.
+    A reported line may hold a secret too; ``match`` masks it.
     """
     found = match.line_findings(classify.classified(visible)).unionByName(hygiene.gitignore_findings(files))
-    return _unified(secrets.mask_lines(found, "context"), "code", "Code", file="path", line_no="line_no",
+    return _unified(found, "code", "Code", file="path", line_no="line_no",
                     issue_type="issue_type", category="category", description="description", context="context")
 
 

@@ -23,7 +23,7 @@ def scan_files(files: DataFrame, rules: DataFrame | None = None, use_defaults: b
     code = match.line_findings(classify.classified(visible))
     secret = secrets.secret_findings(visible.where(~classify.skipped_for_code(F.col("path"))))
     shared = ["repo", "path", "line_no", "issue_type", "category", "severity", "context"]
-    return secrets.mask_lines(code, "context").select(F.lit("code").alias("phase"), *shared).unionByName(
+    return code.select(F.lit("code").alias("phase"), *shared).unionByName(
         secret.select(F.lit("secrets").alias("phase"), "repo", "path", "line_no",
                       F.col("secret_type").alias("issue_type"), "category", "severity",
                       F.col("masked_context").alias("context")))

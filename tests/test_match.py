@@ -93,3 +93,12 @@ def test_hygiene(make_files):
     assert kinds({".env": "", ".gitignore": "# .env\n"}) == [".env"]
     assert kinds({".env": "", "sub/.gitignore": ".env\n"}) == [".env"]  # only the root file counts
     assert kinds({"node_modules/.env": ""}) == []
+
+
+def test_a_secret_across_the_cut_is_masked(spark, make_files):
+    key = "AKIA" + "1234567890ABCDEF"
+    line = "eval(x)  # " + "y" * 97 + " " + key + " tail"
+    assert line.index(key) < 120 < line.index(key) + len(key)
+    files = classify.classified(make_files({"a.py": line + "\n", "Dockerfile": "FROM a\nENV K=" + key + "\nRUN sudo x " + key + "\n"}))
+    shown = [r.context for r in match.line_findings(files).collect()]
+    assert len(shown) >= 2 and not any(key[:5] in c for c in shown) and any("AKIA****" in c for c in shown)

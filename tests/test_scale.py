@@ -82,7 +82,8 @@ def test_numbered_equals_window(spark):
 
 def test_no_query_shows_a_planted_value(spark):
     from workloads import planted
-    names = ["secret_findings_masked", "history_only_secrets", "all_findings", "disclosure_findings", "notice_text"]
+    names = ["secret_findings_masked", "history_only_secrets", "all_findings", "disclosure_findings", "notice_text", "code_findings",
+             "docker_findings", "iac_findings", "workflow_findings", "explain_prompts"]
     for name in names:
         shown = "\n".join(QUERIES[name](spark, SF).select(F.to_json(F.struct("*")).alias("j")).toPandas()["j"])
         assert not [v for v in planted.RAW_VALUES if v in shown], name

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions.suppress import scopes, suppressed
 from sentrymill.functions.text import SPACE, decode, split_lines, strip
-from sentrymill.operators.match import lines
+from sentrymill.operators.lines import lines
 
 BREAKS = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 

@@ -106,7 +106,20 @@ def rule_values(rules) -> str:
                   "rule, issue_type, category, severity, description")
 
 
-CONTEXT = r"substr(trim(line, ' ' || chr(9)), 1, 120)"
+
+
+def masked_context(line: str = "line") -> str:
+    """A line with every value of a secret rule masked, longest first, then trimmed and cut."""
+    from sentrymill.fixed_values.secrets import SECRET_RULES
+    found = ", ".join(f"regexp_extract_all({line}, {q(r[3])}, {r[4]})" for r in SECRET_RULES)
+    longest = (f"list_reverse_sort(list_transform(list_distinct(list_filter(flatten([{found}]), lambda v: v <> '')), "
+               "lambda v: lpad(length(v)::VARCHAR, 6, '0') || v))")
+    masked = (f"list_reduce(list_concat([{line}], list_transform({longest}, lambda v: substr(v, 7))), "
+              "lambda acc, v: replace(acc, v, left(v, 4) || '****'))")
+    return f"substr(trim({masked}, ' ' || chr(9)), 1, 120)"
+
+
+CONTEXT = masked_context()
 FINDING = "repo, path, line_no, issue_type, category, severity, description, context"
 
 
@@ -126,8 +139,8 @@ def docker_sql() -> str:
       FROM (WITH ls AS {lines_of('kinds', where="file_kind = 'dockerfile'")} {' UNION ALL '.join(branches)}) m
       JOIN {rule_values(R.DOCKER_RULES)} USING (rule) WHERE NOT {suppressed('code')}
       UNION ALL SELECT repo, path, 1, {q(name)}, {q(cat)}, {q(sev)}, {q(desc)},
-        substr(trim(string_split(content, chr(10))[1], ' ' || chr(9)), 1, 120)
-      FROM kinds WHERE file_kind = 'dockerfile' AND NOT regexp_matches(content, '(?im)^\\s*USER\\s+\\S+')""".replace("\\\\s", "\\s").replace("\\\\S", "\\S")
+        {masked_context('string_split(content, chr(10))[1]')}
+      FROM kinds WHERE file_kind = 'dockerfile' AND NOT regexp_matches(content, '(?im)^\\s*USER\\s+\\S+')"""
 
 
 CODE_ALL = f"""

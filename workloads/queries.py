@@ -9,6 +9,7 @@ from sentrymill import schema
 from sentrymill.fixed_values import packages as P
 from sentrymill.functions.suppress import scopes, suppressed
 from sentrymill.operators import advisories, bumps, classify, hygiene, ignore, manifests, match, secrets
+from sentrymill.operators.lines import lines
 from sentrymill.session import tune
 from workloads import duck, planted, views
 
@@ -82,7 +83,7 @@ def ignored_paths(spark, d):
    {duck.suppressed('code')} AS code, {duck.suppressed('secret')} AS secret, {duck.suppressed('dep')} AS dep
    FROM {duck.lines_of('files')} WHERE regexp_matches(line, '(?i)(?:#|//|/\\*|<!--)\\s*nosec\\b')""")
 def suppressed_lines(spark, d):
-    marked = match.lines(views.files(spark, d)).withColumn("_s", scopes(F.col("line"))).where(F.col("_s").isNotNull())
+    marked = lines(views.files(spark, d)).withColumn("_s", scopes(F.col("line"))).where(F.col("_s").isNotNull())
     return marked.select("repo", "path", "line_no", F.array_join(F.array_sort("_s"), ",").alias("scopes"),
                          *[suppressed(F.col("line"), s).alias(s) for s in ("code", "secret", "dep")])
 
@@ -90,7 +91,7 @@ def suppressed_lines(spark, d):
 @query(duck.with_(duck.FILES) + f"""SELECT repo, path, line_no, line FROM {duck.lines_of('files')} l
    WHERE NOT (line = '' AND line_no = (SELECT len(string_split(content, chr(10))) FROM files f WHERE f.repo = l.repo AND f.path = l.path))""")
 def file_lines(spark, d):
-    return match.lines(views.files(spark, d), keep_empty=True).select("repo", "path", "line_no", "line")
+    return lines(views.files(spark, d), keep_empty=True).select("repo", "path", "line_no", "line")
 
 
 _HYG = """sens AS (SELECT DISTINCT repo, CASE WHEN regexp_matches(path, '(^|/)\\.env$') THEN '.env' WHEN ends_with(path, '.pem') THEN '*.pem'

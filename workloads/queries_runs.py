@@ -165,8 +165,6 @@ def _null(names: str) -> str:
     return ", ".join(f"NULL AS {n}" for n in names.split())
 
 
-_HIDE = """substr(trim(line, ' ' || chr(9)), 1, 120)"""
-# context masking of code findings is checked in the unit tests; SQL compares the other columns
 _CODE_UNION = f"""
 hyg AS (SELECT repo, '.gitignore' AS path, 0 AS line_no, 'Sensitive file type not git-ignored: ' || kind AS issue_type, 'hygiene' AS category, 'MEDIUM' AS severity,
    'Files matching ''' || kind || ''' are present but not covered by .gitignore — they risk being committed. Add an ignore rule.' AS description, '' AS context
@@ -174,8 +172,8 @@ hyg AS (SELECT repo, '.gitignore' AS path, 0 AS line_no, 'Sensitive file type no
    WHERE kind IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT repo, trim(line) AS e FROM (SELECT repo, unnest(string_split(lower(content), chr(10))) AS line FROM files WHERE path = '.gitignore')
       WHERE NOT starts_with(line, '#') AND trim(line) <> '') gi WHERE gi.repo = s.repo AND (contains(e, ltrim(kind, '*')) OR contains(kind, ltrim(e, '*'))))),
 code_u AS (SELECT * FROM code_f UNION ALL SELECT * FROM docker_f UNION ALL SELECT * FROM iac_f UNION ALL SELECT * FROM ci_f UNION ALL SELECT * FROM hyg),
-cs AS (SELECT repo AS target, 'code' AS phase, 'Code' AS kind, path AS file, line_no, issue_type, category, severity, description, NULL AS matched_value FROM code_u
-  UNION ALL SELECT repo, 'secrets', 'Secret', path, line_no, secret_type, category, severity, NULL, matched_value FROM secret_f)
+cs AS (SELECT repo AS target, 'code' AS phase, 'Code' AS kind, path AS file, line_no, issue_type, category, severity, description, NULL AS matched_value, context FROM code_u
+  UNION ALL SELECT repo, 'secrets', 'Secret', path, line_no, secret_type, category, severity, NULL, matched_value, masked_context FROM secret_f)
 """
 _CS = duck.with_(duck.FILES, duck.FILE_KINDS, duck.CODE_ALL, duck.secret_ctes("files"), _CODE_UNION)
 _ALL = duck.with_(duck.FILES, duck.FILE_KINDS, duck.CODE_ALL, duck.secret_ctes("files"), _CODE_UNION, _LIC[5:], duck.ADVISORIES, duck.VULNERABLE,
@@ -183,11 +181,11 @@ _ALL = duck.with_(duck.FILES, duck.FILE_KINDS, duck.CODE_ALL, duck.secret_ctes("
                   duck.secret_ctes("current_files", "repo, path", "now_"), """
 hist_f AS (SELECT p.* FROM past_secret_f p WHERE NOT EXISTS (SELECT 1 FROM now_secret_f n WHERE n.repo = p.repo AND n.path = p.path AND n.secret_type = p.secret_type AND n.value = p.value)),
 everything AS (
- SELECT target, phase, kind, file, line_no, issue_type, category, severity, description, NULL AS package, NULL AS version, NULL AS vuln_id, NULL AS license, matched_value FROM cs
- UNION ALL SELECT repo, 'deps', 'Dependency', file, NULL, NULL, 'dep', severity, summary, package, version, vuln_id, NULL, NULL FROM dep_f
- UNION ALL SELECT repo, 'licenses', 'License', file, NULL, NULL, 'license', severity, reason, package, version, NULL, license, NULL FROM license_f
- UNION ALL SELECT repo, 'git_history', 'Secret', path, line_no, secret_type, category, severity, NULL, NULL, NULL, NULL, NULL, matched_value FROM hist_f)""")
-_EVERY = "target phase kind file line_no issue_type category severity description package version vuln_id license matched_value"
+ SELECT target, phase, kind, file, line_no, issue_type, category, severity, description, NULL AS package, NULL AS version, NULL AS vuln_id, NULL AS license, matched_value, context FROM cs
+ UNION ALL SELECT repo, 'deps', 'Dependency', file, NULL, NULL, 'dep', severity, summary, package, version, vuln_id, NULL, NULL, NULL FROM dep_f
+ UNION ALL SELECT repo, 'licenses', 'License', file, NULL, NULL, 'license', severity, reason, package, version, NULL, license, NULL, NULL FROM license_f
+ UNION ALL SELECT repo, 'git_history', 'Secret', path, line_no, secret_type, category, severity, NULL, NULL, NULL, NULL, NULL, matched_value, masked_context FROM hist_f)""")
+_EVERY = "target phase kind file line_no issue_type category severity description package version vuln_id license matched_value context"
 
 
 @query(f"{_ALL} SELECT {', '.join(_EVERY.split())} FROM everything")
