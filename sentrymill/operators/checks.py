@@ -55,10 +55,13 @@ def _expiry(days: Column) -> list[Column]:
             finding((days >= 15) & (days < 30), "MEDIUM", "TLS certificate expiring soon", left)]
 
 
-def website(http: DataFrame, certificates: DataFrame, now: Column) -> DataFrame:
-    """``http``: (url, final_url, headers, cookies); ``certificates``: (host, not_after), one per host."""
+def website(http: DataFrame, certificates: DataFrame, now: Column, target: str = "final_url") -> DataFrame:
+    """``http``: (url, final_url, headers, cookies); ``certificates``: (host, not_after), one per host.
+
+    ``target`` names the column that is reported: where the request ended, or the ``url`` it began with.
+    """
     secure = F.startswith("final_url", F.lit("https://"))
-    seen = http.select("final_url", "cookies", _lower_keys(F.col("headers")).alias("h"),
+    seen = http.select("url", "final_url", "cookies", _lower_keys(F.col("headers")).alias("h"),
                        F.when(secure, host_of_url(F.col("url"))).alias("host"))
     joined = spread_join(seen, certificates.select("host", "not_after"), ["host"], "left")
     h = F.col("h")
@@ -76,7 +79,7 @@ def website(http: DataFrame, certificates: DataFrame, now: Column) -> DataFrame:
         finding(F.exists("cookies", lambda c: ~F.contains(F.lower(c), F.lit("httponly"))), "LOW",
                 "Cookie without HttpOnly flag", "A cookie is readable by JavaScript (XSS risk).")]
     rules += _expiry(_days_left(F.col("not_after"), now))
-    return rows(joined, "website", "final_url", rules)
+    return rows(joined, "website", target, rules)
 
 
 def header_grades(http: DataFrame) -> DataFrame:

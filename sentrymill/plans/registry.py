@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,21 +11,93 @@ from pyspark.sql import functions as F
 
 from sentrymill import schema
 from sentrymill.fixed_values import posture as V
-from sentrymill.functions.network import host_of_url
+from sentrymill.functions.network import host_of_url, hostname
 from sentrymill.operators import advisories, checks
 from sentrymill.session import literal_table, spread_join
 
 VERDICTS = [*schema.SEVERITIES, "CLEAN", "ERROR"]
 
-# id -> the function over its observation tables; a new check is one entry here and one in CHECKS
-FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
-    "repo": checks.repo_rows, "website": checks.website, "dns": checks.dns_health,
-    "security-txt": checks.security_txt, "typosquat": checks.typosquat, "breach": checks.breach,
-    "pwned-password": checks.pwned_password, "subdomains": checks.subdomains, "tls": checks.tls,
-    "cors": checks.cors, "https-redirect": checks.https_redirect, "cookies": checks.cookies,
-    "mixed-content": checks.mixed_content, "exposed-files": checks.exposed_files,
-    "open-redirect": checks.open_redirect, "rdap": checks.rdap, "caa": checks.caa,
-    "package": advisories.package_lookup, "cve": advisories.cve_search,
+
+@dataclass(frozen=True)
+class Observations:
+    """What crawlers, resolvers and feeds saw; each check takes the tables it needs (see ``operators.checks``)."""
+
+    now: Column
+    http: DataFrame
+    plain: DataFrame
+    secure: DataFrame
+    certificates: DataFrame
+    dns: DataFrame
+    rdap: DataFrame
+    security_txt: DataFrame
+    certificate_log: DataFrame
+    registered: DataFrame
+    breaches: DataFrame
+    advisories: DataFrame
+    cves: DataFrame
+
+
+def _as_is(arg: Column) -> Column:
+    return arg
+
+
+def _bare_host(arg: Column) -> Column:
+    return F.regexp_replace(hostname(arg), r"\Awww\.", "")
+
+
+@dataclass(frozen=True)
+class Check:
+    """``find(observations, args)`` gives (check_id, target, severity, title, detail) for the arguments in ``args`` (arg).
+
+    ``reported`` is what the check reports as target for an argument.  ``observed`` has, as its first column, the targets that were
+    seen at all; the check of an argument that was not is an error.  Checks against complete feeds need none.
+    """
+
+    find: Callable[[Observations, DataFrame], DataFrame]
+    reported: Callable[[Column], Column] = _as_is
+    observed: Callable[[Observations], DataFrame] | None = None
+
+
+def _package(o: Observations, args: DataFrame) -> DataFrame:
+    found = advisories.package_lookup(args.withColumnRenamed("arg", "target"), o.advisories)
+    return found.select(F.lit("package").alias("check_id"), "target", "severity", "title", "detail")
+
+
+def _cve(o: Observations, args: DataFrame) -> DataFrame:
+    found = advisories.cve_search(o.cves, args.withColumnRenamed("arg", "keyword"))
+    return found.select(F.lit("cve").alias("check_id"), F.col("keyword").alias("target"), "severity",
+                        F.col("cve_id").alias("title"), "detail")
+
+
+def _pages(o: Observations) -> DataFrame:
+    return o.http.select("url")
+
+
+def _page_hosts(o: Observations) -> DataFrame:
+    return o.http.select(host_of_url(F.col("url")))
+
+
+def _redirect_hosts(o: Observations) -> DataFrame:
+    return o.plain.select("host").unionByName(o.secure.select("host"))
+
+
+# id -> how it runs; a new check is one entry here and one in CHECKS
+RUNS: dict[str, Check] = {
+    "website": Check(lambda o, _: checks.website(o.http, o.certificates, o.now, target="url"), observed=_pages),
+    "dns": Check(lambda o, _: checks.dns_health(o.dns), observed=lambda o: o.dns.select("domain")),
+    "security-txt": Check(lambda o, _: checks.security_txt(o.security_txt), host_of_url, lambda o: o.security_txt.select("host")),
+    "typosquat": Check(lambda o, args: checks.typosquat(args.withColumnRenamed("arg", "domain"), o.registered), _bare_host),
+    "breach": Check(lambda o, args: checks.breach(args.withColumnRenamed("arg", "email"), o.breaches)),
+    "subdomains": Check(lambda o, _: checks.subdomains(o.certificate_log), hostname),
+    "tls": Check(lambda o, _: checks.tls(o.certificates, o.now), observed=lambda o: o.certificates.select("host")),
+    "cors": Check(lambda o, _: checks.cors(o.http), observed=_pages),
+    "https-redirect": Check(lambda o, _: checks.https_redirect(o.plain, o.secure), host_of_url, _redirect_hosts),
+    "cookies": Check(lambda o, _: checks.cookies(o.http), host_of_url, _page_hosts),
+    "mixed-content": Check(lambda o, _: checks.mixed_content(o.http), host_of_url, _page_hosts),
+    "rdap": Check(lambda o, _: checks.rdap(o.rdap, o.now), observed=lambda o: o.rdap.select("domain")),
+    "caa": Check(lambda o, _: checks.caa(o.dns), observed=lambda o: o.dns.select("domain")),
+    "package": Check(_package),
+    "cve": Check(_cve),
 }
 
 
@@ -63,24 +136,52 @@ def union_of(results: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
 
 
+def run(work: DataFrame, observations: Observations) -> tuple[DataFrame, DataFrame]:
+    """Findings and errors of every (check_id, arg) in ``work``, both with the check's own argument.
+
+    A check may report a host where it was given a URL, so its findings are brought back to the arguments by what it
+    would report for them; a finding can not end beside its card.
+    """
+    used = work.select("check_id", "arg").distinct()
+    reported = F.lit(None).cast("string")
+    for check_id, check in RUNS.items():
+        reported = F.when(F.col("check_id") == check_id, check.reported(F.col("arg"))).otherwise(reported)
+    keyed = used.withColumn("target", F.coalesce(reported, F.col("arg")))
+    found = union_of([check.find(observations, used.where(F.col("check_id") == check_id).select("arg")) for check_id, check in RUNS.items()])
+    seen = union_of([check.observed(observations).toDF("target").distinct().select(F.lit(check_id).alias("check_id"), "target")
+                     for check_id, check in RUNS.items() if check.observed])
+    findings = spread_join(found, keyed, ["check_id", "target"]).select("check_id", "arg", "severity", "title", "detail")
+    needs_sight = F.col("check_id").isin([i for i, c in RUNS.items() if c.observed])
+    errors = spread_join(keyed.where(needs_sight), seen, ["check_id", "target"], "left_anti").select(
+        "check_id", "arg", F.lit("No observation.").alias("error"))
+    return findings, errors
+
+
 def verdicts(work: DataFrame, findings: DataFrame, errors: DataFrame) -> DataFrame:
     """One card per (target, check): severity counts and the worst severity, CLEAN, or ERROR.
 
-    ``findings`` and ``errors`` carry (check_id, target) with the check's own
-    argument as target; findings outrank errors.
+    ``findings`` and ``errors`` carry (check_id, arg); findings outrank errors.  Both are reduced to one row per key in one
+    aggregation, then joined once.
     """
-    keys = ["check_id", "arg"]
-    found = findings.groupBy("check_id", F.col("target").alias("arg")).agg(
-        *schema.severity_counts(F.col("severity")), F.min(schema.severity_rank(F.col("severity"))).alias("_rank"))
-    failed = errors.groupBy("check_id", F.col("target").alias("arg")).agg(F.count("*").alias("_errors"))
-    joined = spread_join(spread_join(work, found, keys, "left"), failed, keys, "left")
     zero = F.lit(0).cast("bigint")
+    marks = findings.select("check_id", "arg", "severity", zero.alias("_error")).unionByName(
+        errors.select("check_id", "arg", F.lit(None).cast("string").alias("severity"), F.lit(1).cast("bigint").alias("_error")))
+    known = marks.groupBy("check_id", "arg").agg(
+        *schema.severity_counts(F.col("severity")), F.sum("_error").alias("_errors"),
+        F.min(F.when(F.col("severity").isNotNull(), schema.severity_rank(F.col("severity")))).alias("_rank"))
+    joined = spread_join(work, known, ["check_id", "arg"], "left")
     calm = F.when(F.coalesce("_errors", zero) > 0, "ERROR").otherwise("CLEAN")
     worst = F.when(F.col("_rank").isNull(), calm).otherwise(schema.severity_of_rank(F.col("_rank"), "LOW"))
     return joined.select("target", "kind", "check_id", "position", "arg", worst.alias("worst"),
                          *[F.coalesce(s.lower(), zero).alias(s.lower()) for s in schema.SEVERITIES])
 
 
+def cards(targets: DataFrame, observations: Observations) -> DataFrame:
+    """Every applicable check of every target, as cards."""
+    work = applicable(targets)
+    return verdicts(work, *run(work, observations))
+
+
 def verdict_rank(worst: Column) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), worst)
 

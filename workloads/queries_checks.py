@@ -10,7 +10,7 @@ from sentrymill.functions.network import resolves_public
 from sentrymill.operators import advisories, checks
 from sentrymill.plans import registry
 from workloads import duck, views
-from workloads.queries import _SPECS, query
+from workloads.queries import _SPECS, ORACLE, query
 
 _H = duck.with_(duck.HTTP)
 _ORDER = ["check_id", "target", "severity", "title", "detail"]
@@ -72,10 +72,13 @@ def cors_policy(spark, d):
     return checks.cors(views.http_obs(spark, d))
 
 
-def _plain_and_secure(spark, d) -> tuple[DataFrame, DataFrame]:
-    """One plain and one TLS observation per page; the page id keeps them apart."""
-    pages = views.http_obs(spark, d)
+def _plain_and_secure(spark, d, per_host: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One plain and one TLS observation per page, which the page id keeps apart, or those of the first page of each host."""
+    pages = views.http_obs(spark, d).select("page_id", "host", "status", "location", "headers")
     host = F.concat_ws("#", "host", F.col("page_id").cast("string")).alias("host")
+    if per_host:
+        first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
+        pages, host = pages.join(first, ["host", "page_id"]), F.col("host")
     p = F.col("page_id")
     plain = pages.select(host, "status", "location", F.when(p % 11 == 0, "timed out").alias("error"))
     secure = pages.select(host, F.try_element_at("headers", F.lit("Strict-Transport-Security")).alias("hsts"),
@@ -87,7 +90,7 @@ _RD = """(SELECT host || '#' || page_id AS host, status, coalesce(location, '')
    CASE WHEN contains(hsts, 'max-age=31536000') THEN 31536000 WHEN contains(hsts, 'max-age=300') THEN 300 ELSE 0 END AS age FROM http_obs)"""
 
 
-@query(f"{_H} " + duck.union_rules(_RD, "https-redirect", "host", [
+_REDIRECT = [
     ("ok AND status BETWEEN 300 AND 399 AND NOT starts_with(location, 'https://')", "'MEDIUM'", "'HTTP redirects, but not to HTTPS'",
      "'HTTP responded ' || status || ' to ' || CASE location WHEN '' THEN '(no Location)' ELSE location END || '.'"),
     ("ok AND status = 200", "'HIGH'", "'HTTP served directly (no HTTPS redirect)'", "'Plain HTTP returns content instead of redirecting to HTTPS.'"),
@@ -99,7 +102,10 @@ _RD = """(SELECT host || '#' || page_id AS host, status, coalesce(location, '')
      "'Add includeSubDomains so subdomains are also protected.'"),
     ("sok AND hsts <> '' AND NOT contains(lower(hsts), 'preload')", "'LOW'", "'HSTS not preload-ready'",
      "'Add the preload directive and submit to hstspreload.org.'"),
-    ("NOT sok", "'LOW'", "'Could not reach site over HTTPS'", "'refused'")]))
+    ("NOT sok", "'LOW'", "'Could not reach site over HTTPS'", "'refused'")]
+
+
+@query(f"{_H} " + duck.union_rules(_RD, "https-redirect", "host", _REDIRECT))
 def https_redirect(spark, d):
     return checks.https_redirect(*_plain_and_secure(spark, d))
 
@@ -262,35 +268,48 @@ def applicable_checks(spark, d):
     return registry.applicable(views.targets(spark, d))
 
 
-_DOMAIN_SQL = " UNION ALL ".join([
-    duck.union_rules("hosts", "dns", "host", [("m > 3", "'MEDIUM'", "''", "''"), ("m = 3", "'HIGH'", "''", "''"), ("x > 1", "'MEDIUM'", "''", "''"), ("x = 0", "'LOW'", "''", "''"),
-                                              ("m % 2 <> 0", "'LOW'", "''", "''"), ("m = 4", "'LOW'", "''", "''")]),
-    duck.union_rules("hosts", "caa", "host", [("x <> 2", "'LOW'", "''", "''")]),
-    duck.union_rules("tls_obs", "tls", "host", [("tls10", "'HIGH'", "''", "''"), ("tls11", "'MEDIUM'", "''", "''"),
-                                                ("days < 0", "'CRITICAL'", "''", "''"), ("days >= 0 AND days < 15", "'HIGH'", "''", "''"), ("days >= 15 AND days < 30", "'MEDIUM'", "''", "''")]),
-    duck.union_rules("rd", "rdap", "host", [("m <> 5 AND age < 90", "'MEDIUM'", "''", "''"), ("m <> 0 AND past > -30", "'MEDIUM'", "''", "''")]),
-    "SELECT 'package', target, severity, '', '' FROM specs JOIN advisories USING (ecosystem, package) WHERE " + duck.in_range("version")])
-_CARDS = f"""found AS (SELECT check_id, target AS arg, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
-   count(*) FILTER (severity = 'LOW') AS low FROM ({_DOMAIN_SQL}) GROUP BY ALL),
- failed AS (SELECT DISTINCT check_id, arg FROM work WHERE check_id IN ('breach', 'cve')),
+def _of(name: str, check_id: str, target: str = "target") -> str:
+    return f"SELECT '{check_id}' AS check_id, {target} AS target, severity FROM ({ORACLE[name]})"
+
+
+_PAGE_CHECKS = (duck.union_rules("http_obs", "website", "url", _WEBSITE) + " UNION ALL "
+                + duck.union_rules("(SELECT url, days FROM http_obs JOIN tls_obs USING (host) WHERE starts_with(final_url, 'https://'))", "website", "url", duck.EXPIRY))
+_EVERY_CHECK = " UNION ALL ".join([
+    f"SELECT check_id, target, severity FROM ({_PAGE_CHECKS})",
+    _of("dns_posture", "dns"), _of("caa_records", "caa"), _of("tls_expiry", "tls"), _of("domain_age", "rdap"),
+    _of("security_txt", "security-txt"), _of("typosquat_hits", "typosquat"), _of("breached_accounts", "breach"), _of("subdomains", "subdomains"),
+    _of("cors_policy", "cors"), "SELECT check_id, target, severity FROM (" + duck.union_rules(
+        _RD.replace("host || '#' || page_id AS host", "host").replace("FROM http_obs)", "FROM http_obs QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1)"),
+        "https-redirect", "host", _REDIRECT) + ")",
+    _of("cookie_flags", "cookies"), _of("mixed_content", "mixed-content"),
+    _of("package_lookup", "package"),
+    """SELECT 'cve', keyword, CASE WHEN s >= 9 THEN 'CRITICAL' WHEN s >= 7 THEN 'HIGH' WHEN s >= 4 THEN 'MEDIUM' WHEN s IS NOT NULL THEN 'LOW' ELSE 'MEDIUM' END
+       FROM (SELECT p_name || ' in ' || p_type AS text, coalesce(CASE WHEN p_partkey % 4 = 0 THEN p_size / 5.0::DOUBLE END,
+         CASE WHEN p_partkey % 3 = 0 THEN p_size / 6.0::DOUBLE END, CASE WHEN p_partkey % 2 = 0 THEN p_size / 7.0::DOUBLE END) AS s FROM part)
+       JOIN (SELECT DISTINCT p_name AS keyword FROM part) ON contains(lower(text), trim(lower(keyword)))"""])
+_SEEN = " UNION ".join(
+    [f"SELECT '{c}' AS check_id, url AS target FROM http_obs" for c in ("website", "cors")]
+    + [f"SELECT '{c}', host FROM http_obs" for c in ("cookies", "mixed-content")]
+    + [f"SELECT '{c}', host FROM hosts" for c in ("https-redirect", "security-txt", "dns", "caa")]
+    + ["SELECT 'tls', host FROM tls_obs", "SELECT 'rdap', host FROM rd"])
+_CARDS = f"""keyed AS (SELECT DISTINCT check_id, arg, CASE WHEN check_id IN ('security-txt', 'https-redirect', 'cookies', 'mixed-content')
+     THEN lower(regexp_extract(arg, '^https?://([^/:?#]+)', 1)) WHEN check_id = 'typosquat' THEN regexp_replace(arg, '^www[.]', '') ELSE arg END AS target FROM work),
+ found AS (SELECT check_id, arg, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
+   count(*) FILTER (severity = 'LOW') AS low FROM ({_EVERY_CHECK}) JOIN keyed USING (check_id, target) GROUP BY ALL),
+ failed AS (SELECT check_id, arg FROM keyed WHERE check_id NOT IN ('typosquat', 'breach', 'subdomains', 'package', 'cve') AND (check_id, target) NOT IN ({_SEEN})),
  cards AS (SELECT w.target, kind, w.check_id, position, w.arg, CASE WHEN critical > 0 THEN 'CRITICAL' WHEN high > 0 THEN 'HIGH' WHEN medium > 0 THEN 'MEDIUM' WHEN low > 0 THEN 'LOW'
      WHEN e.arg IS NOT NULL THEN 'ERROR' ELSE 'CLEAN' END AS worst, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low
-   FROM work w LEFT JOIN found f ON f.check_id = w.check_id AND f.arg = w.arg LEFT JOIN failed e ON e.check_id = w.check_id AND e.arg = w.arg
-   WHERE w.check_id IN ('dns', 'caa', 'tls', 'rdap', 'package', 'breach', 'cve'))"""
-_CARDS_W = duck.with_(duck.HTTP, _RDAP, _TARGETS, duck.ADVISORIES, _CARDS)
+   FROM work w LEFT JOIN found f ON f.check_id = w.check_id AND f.arg = w.arg LEFT JOIN failed e ON e.check_id = w.check_id AND e.arg = w.arg)"""
+_CARDS_W = duck.with_(duck.HTTP, _RDAP, _TARGETS, _CARDS)
 
 
 def _cards(spark, d) -> DataFrame:
-    """Domain, package, e-mail and keyword checks of all targets; the last two have no source here and fail."""
-    dns = views.dns_obs(spark, d)
-    documents = advisories.parsed(views.advisory_documents(spark, d))
-    results = [checks.dns_health(dns), checks.caa(dns), checks.tls(views.tls_obs(spark, d), _now()),
-               checks.rdap(views.rdap_obs(spark, d), _now()),
-               advisories.package_lookup(views.package_specs(spark, d), documents).select(F.lit("package").alias("check_id"), *_ORDER[1:])]
-    work = registry.applicable(views.targets(spark, d)).where(
-        F.col("check_id").isin("dns", "caa", "tls", "rdap", "package", "breach", "cve"))
-    errors = work.where(F.col("check_id").isin("breach", "cve")).select("check_id", F.col("arg").alias("target"))
-    return registry.verdicts(work, registry.union_of(results), errors)
+    plain, secure = _plain_and_secure(spark, d, per_host=True)
+    return registry.cards(views.targets(spark, d), registry.Observations(
+        now=_now(), http=views.http_obs(spark, d), plain=plain, secure=secure, certificates=views.tls_obs(spark, d), dns=views.dns_obs(spark, d),
+        rdap=views.rdap_obs(spark, d), security_txt=views.security_txt_obs(spark, d), certificate_log=views.ct_entries(spark, d),
+        registered=views.registered_domains(spark, d), breaches=views.breaches(spark, d),
+        advisories=advisories.parsed(views.advisory_documents(spark, d)), cves=views.cves(spark, d)))
 
 
 @query(f"{_CARDS_W} SELECT * FROM cards")
