@@ -89,9 +89,11 @@ def depths(parents: DataFrame) -> DataFrame:
     """(_conv, _place, depth) from (_conv, _place, parent): a message without parent has depth 0."""
     now = stored(parents.select("_conv", "_place", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")))
     while not now.where("up is not null").isEmpty():
+        # messages that have reached their first ancestor are looked up, but look for nothing more
         above = now.select(F.col("_conv").alias("_c"), F.col("_place").alias("_p"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        now = stored(now.join(above, (F.col("_conv") == F.col("_c")) & (F.col("up") == F.col("_p")), "left")
-                     .select("_conv", "_place", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+        moved = (now.where("up is not null").join(above, (F.col("_conv") == F.col("_c")) & (F.col("up") == F.col("_p")))
+                 .select("_conv", "_place", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")))
+        now = stored(now.where("up is null").unionByName(moved))
     return now.select("_conv", "_place", "depth")
 
 
