@@ -32,7 +32,7 @@ def severity(scores: Column, qualitative: Column) -> Column:
 
 def summarised(advisories: DataFrame) -> DataFrame:
     """(vuln_id, severity, summary, fixed_version, ranges): computed once per advisory, before any join."""
-    events = F.flatten(F.flatten(F.transform("affected", lambda a: F.transform(a["ranges"], lambda r: r["events"]))))
+    events = F.flatten(F.flatten(F.transform("affected", lambda a: F.transform(_version_ranges(a), lambda r: r["events"]))))
     fixed = F.try_element_at(F.filter(events, lambda e: e["fixed"].isNotNull()), F.lit(1))["fixed"]
     text = F.when(F.coalesce(F.col("summary"), F.lit("")) == "", F.lit(P.NO_SUMMARY_TEXT)).otherwise(F.col("summary"))
     return advisories.select(
@@ -41,41 +41,55 @@ def summarised(advisories: DataFrame) -> DataFrame:
         text.alias("summary"), fixed.alias("fixed_version"), "affected")
 
 
+def _version_ranges(affected: Column) -> Column:
+    """The ranges over versions; those over commits say nothing about a version."""
+    ranges = F.coalesce(affected["ranges"], F.array().cast("array<struct<type:string,events:array<struct<"
+                                                           "introduced:string,fixed:string,last_affected:string>>>>"))
+    return F.filter(ranges, lambda r: F.coalesce(r["type"], F.lit("")) != "GIT")
+
+
 def _intervals(affected: Column) -> Column:
-    """(introduced, fixed) pairs: an introduction up to the fix that follows it, if any."""
+    """(introduced, fixed, last) triples: an introduction up to the fix or the last affected version that follows it, if any."""
     def of_range(r: Column) -> Column:
         events = r["events"]
         steps = F.transform(events, lambda e, i: F.struct(
-            e["introduced"].alias("introduced"), F.try_element_at(events, i + 2)["fixed"].alias("fixed")))
+            e["introduced"].alias("introduced"), F.try_element_at(events, i + 2)["fixed"].alias("fixed"),
+            F.try_element_at(events, i + 2)["last_affected"].alias("last")))
         return F.filter(steps, lambda s: s["introduced"].isNotNull())
 
-    return F.flatten(F.transform(affected["ranges"], of_range))
+    return F.flatten(F.transform(_version_ranges(affected), of_range))
 
 
 def ranges(summaries: DataFrame) -> DataFrame:
-    """(ecosystem, package, vuln_id, low, high, ...) with version keys ready for comparison."""
+    """(ecosystem, _name, vuln_id, spans, versions, ...): per advisory and package, intervals of match keys and listed versions."""
+    key = lambda v: F.when(v.isNotNull(), V.match_key(v))
+    # "0" introduces from the first version on, pre-releases of it included
+    spans = F.transform(_intervals(F.col("a")), lambda s: F.struct(
+        F.when(s["introduced"] != "0", V.match_key(s["introduced"])).alias("low"), key(s["fixed"]).alias("high"), key(s["last"]).alias("last")))
+    ecosystem, name = F.col("a.package.ecosystem"), F.col("a.package.name")
     each = summaries.select("vuln_id", "severity", "summary", "fixed_version", F.explode("affected").alias("a"))
-    pieces = each.select("vuln_id", "severity", "summary", "fixed_version",
-                         F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("package"),
-                         F.inline(_intervals(F.col("a"))))
-    return pieces.select("ecosystem", "package", "vuln_id", "severity", "summary", "fixed_version",
-                         V.version_key(F.col("introduced")).alias("low"),
-                         F.when(F.col("fixed").isNotNull(), V.version_key(F.col("fixed"))).alias("high"))
+    return (each.select("vuln_id", "severity", "summary", "fixed_version", ecosystem.alias("ecosystem"), V.matched_name(ecosystem, name).alias("_name"),
+                        spans.alias("spans"), F.coalesce("a.versions", F.array().cast("array<string>")).alias("versions"))
+            .where((F.size("spans") > 0) | (F.size("versions") > 0)))
 
 
 def matched(declared: DataFrame, advisories: DataFrame) -> DataFrame:
-    """``declared`` rows joined with every advisory whose range holds their version.
+    """``declared`` rows joined with every advisory one of whose ranges holds their version, or that lists it.
 
-    The equality on (ecosystem, package) moves the rows; the interval test is a
-    residual of the same join.  Keys of both sides are computed before it.  A
-    package is listed once per advisory even when two of its ranges hold.
+    The equality on (ecosystem, name as the ecosystem compares it) moves the rows; the tests are a residual of the same join.
+    Keys of both sides are computed before it.  A package is listed once per advisory even when two of its ranges hold.
     """
-    keyed = declared.withColumn("_key", V.version_key(F.col("version")))
+    keyed = (declared.withColumn("_key", V.match_key(F.col("version")))
+             .withColumn("_name", V.matched_name(F.col("ecosystem"), F.col("package"))))
     spans = (ranges(summarised(advisories))
-             .groupBy("ecosystem", "package", "vuln_id", "severity", "summary", "fixed_version")
-             .agg(F.collect_set(F.struct("low", "high")).alias("_spans")))  # the ranges of one advisory document
-    inside = F.exists("_spans", lambda s: (F.col("_key") >= s["low"]) & (s["high"].isNull() | (F.col("_key") < s["high"])))
-    return spread_join(keyed, spans, ["ecosystem", "package"], condition=inside).drop("_key", "_spans")
+             .groupBy("ecosystem", "_name", "vuln_id", "severity", "summary", "fixed_version")
+             .agg(F.flatten(F.collect_list("spans")).alias("_spans"),  # the ranges of one advisory document
+                  F.flatten(F.collect_list("versions")).alias("_versions")))
+    at = F.col("_key")
+    inside = F.exists("_spans", lambda s: (s["low"].isNull() | (at >= s["low"])) & (s["high"].isNull() | (at < s["high"]))
+                      & (s["last"].isNull() | (at <= s["last"])))
+    listed = F.array_contains("_versions", F.col("version"))
+    return spread_join(keyed, spans, ["ecosystem", "_name"], condition=inside | listed).drop("_key", "_name", "_spans", "_versions")
 
 
 def dependency_findings(declared: DataFrame, advisories: DataFrame) -> DataFrame:

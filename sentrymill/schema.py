@@ -22,7 +22,9 @@ ADVISORY = """
 id string, summary string,
 severity array<struct<type: string, score: string>>,
 affected array<struct<package: struct<ecosystem: string, name: string>,
-                      ranges: array<struct<events: array<struct<introduced: string, fixed: string>>>>>>,
+                      versions: array<string>,
+                      ranges: array<struct<type: string,
+                                           events: array<struct<introduced: string, fixed: string, last_affected: string>>>>>>,
 database_specific struct<severity: string>
 """
 

@@ -127,6 +127,34 @@ def test_range_edges(spark):
     assert sorted(f.version for f in found) == ["1.0", "1.5", "1.9", "2.0", "3"]  # 1.5 once though two ranges hold
 
 
+def test_match_keys_order_releases(spark):
+    order = ["0", "1.0.dev2", "1.0a1", "1.0-alpha.2", "1.0b1", "1.0rc1", "1.0", "1.0.1", "1.1-beta", "1.1", "2.0.0-rc.1", "2", "10.0"]
+    rows = spark.createDataFrame(list(enumerate(order)), "i int, v string").orderBy(V.match_key(F.col("v")), "i").collect()
+    assert [r.v for r in rows] == order
+    same = [("1.0", "1.0.0"), ("v2", "2.0.0"), ("1.0+local.5", "1"), ("1.0-post1", "1.0")]
+    df = spark.createDataFrame(same, "a string, b string")
+    assert df.where(V.match_key(F.col("a")) != V.match_key(F.col("b"))).count() == 0
+
+
+def test_advisory_ranges_names_and_lists(spark):
+    def affects(name, versions, ranges, listed=None, ecosystem="PyPI"):
+        adv = {"id": "A", "affected": [{"package": {"ecosystem": ecosystem, "name": name}, "ranges": ranges, **({"versions": listed} if listed else {})}]}
+        declared = spark.createDataFrame([("r", "f", p, v, ecosystem) for p, v in versions],
+                                         "repo string, file string, package string, version string, ecosystem string")
+        return sorted((f.package, f.version, f.fixed_version) for f in advisories.dependency_findings(declared, docs(spark, adv)).collect())
+
+    git = {"type": "GIT", "events": [{"introduced": "0"}, {"fixed": "9f8e7d6"}]}
+    to_last = {"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"last_affected": "0.5"}]}
+    to_fix = {"type": "ECOSYSTEM", "events": [{"introduced": "1.0"}, {"fixed": "2.0"}]}
+    assert affects("flask", [("flask", "1.0")], [git]) == []
+    assert affects("flask", [("flask", v) for v in ("0.4", "0.5", "0.5.1", "1.0")], [git, to_last]) == [("flask", "0.4", None), ("flask", "0.5", None)]
+    assert affects("Flask_X", [("flask-x", "1.0"), ("FLASK.x", "2.0rc1"), ("flask-x", "2.0")], [git, to_fix]) == [
+        ("FLASK.x", "2.0rc1", "2.0"), ("flask-x", "1.0", "2.0")]
+    assert affects("a/B", [("a/B", "1.5"), ("a/b", "1.5")], [to_fix], ecosystem="Go") == [("a/B", "1.5", "2.0")]
+    assert affects("p", [("p", "7.1"), ("p", "7.2")], [to_fix], listed=["7.1"]) == [("p", "7.1", "2.0")]
+    assert affects("p", [("p", "7.1"), ("p", "1.0b2")], [], listed=["7.1", "1.0b2"]) == [("p", "1.0b2", None), ("p", "7.1", None)]
+
+
 def test_hot_package_without_broadcast(spark, no_broadcast):
     declared = spark.range(5000).selectExpr("concat('r', id) AS repo", "'f' AS file", "'requests' AS package",
                                             "concat(id % 4, '.0') AS version", "'PyPI' AS ecosystem")

@@ -245,8 +245,11 @@ advisories AS (SELECT p_partkey, 'ADV-' || p_partkey AS vuln_id, ecosystem, 'pkg
 
 
 def in_range(version: str) -> str:
-    return (f"(({vkey(version)} >= {vkey('introduced')} AND (fixed_version IS NULL OR {vkey(version)} < {vkey('fixed_version')}))"
-            f" OR (second_range AND {vkey(version)} >= {vkey(chr(39) + '45.0.0' + chr(39))}))")
+    def key(column: str) -> str:  # 1.0 and 1.0.0 are one version
+        return vkey(f"regexp_replace({column}, '(\\.0+)+$', '')")
+
+    return (f"(({key(version)} >= {key('introduced')} AND (fixed_version IS NULL OR {key(version)} < {key('fixed_version')}))"
+            f" OR (second_range AND {key(version)} >= {key(chr(39) + '45.0.0' + chr(39))}))")
 
 
 def remediation() -> str:
