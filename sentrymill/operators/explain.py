@@ -38,22 +38,21 @@ def uncached(prompted: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def generated(distinct_prompts: DataFrame, generate: Callable[[str], str | None]) -> DataFrame:
-    """(key, text) from a user-supplied generator, run in the executors over Arrow batches.
+    """(key, text, error) from a user-supplied generator, run in the executors over Arrow batches.
 
-    Prompts the generator fails on, or answers with nothing, give no row.
+    Every prompt gives a row: an answer, or the error of the generator ("no answer" if it answers with nothing).
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [_attempt(generate, prompt) for prompt in batch["prompt"]]
-            answered = pd.DataFrame({"key": batch["key"], "text": texts})
-            yield answered[answered["text"].notna()]
+            answers = [_attempt(generate, prompt) for prompt in batch["prompt"]]
+            yield pd.DataFrame({"key": batch["key"], "text": [a[0] for a in answers], "error": [a[1] for a in answers]})
 
-    return distinct_prompts.mapInPandas(run, "key string, text string")
+    return distinct_prompts.mapInPandas(run, "key string, text string, error string")
 
 
-def _attempt(generate: Callable[[str], str | None], prompt: str) -> str | None:
+def _attempt(generate: Callable[[str], str | None], prompt: str) -> tuple[str | None, str | None]:
     try:
-        text = generate(prompt)
-    except Exception:
-        return None
-    return text.strip() or None if text else None
+        text = (generate(prompt) or "").strip()
+    except Exception as error:  # one prompt's failure is a row, not the end of the job
+        return None, f"{type(error).__name__}: {error}"
+    return (text, None) if text else (None, "no answer")

@@ -29,7 +29,9 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty one before its first append."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # a store that can not be read is not an empty one
         return spark.createDataFrame([], schema)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from sentrymill.operators import cases, classify, diff, ignore, match, rollups, secrets
-from sentrymill.session import spread_join
+from sentrymill.session import durable, spread_join
 from sentrymill.sources import stores
 
 
@@ -49,30 +49,46 @@ def _write_epoch(df: DataFrame, path: str, epoch: int) -> None:
 
 
 DIFFS = "target string, id string, severity string, kind string, label string, state string"
+ARRIVED = f"{stores.FINGERPRINTS}, run_size bigint"
+LATEST = "target string, run_id bigint, created_at timestamp, at bigint"
+
+
+def _newest(spark, path: str, schema: str, epoch: int) -> DataFrame:
+    """The snapshot of the micro-batch before (they are numbered without gaps); older ones are not read."""
+    return stores.read(spark, path, f"{schema}, epoch bigint").where(F.col("epoch") == epoch - 1).drop("epoch")
 
 
 def continuous_diff(fingerprints: DataFrame, store: str, checkpoint: str) -> DataStreamWriter:
-    """Compare each arriving run with the newest stored run of its target.
+    """Compare each run with the newest earlier run of its target, as soon as all of its rows have arrived.
 
-    ``fingerprints``: stream of (run_id, target, kind, created_at, id, severity,
-    label), a micro-batch holding whole runs.  Each batch writes its own epoch
-    folder, so a replay replaces rather than repeats.
+    ``fingerprints``: stream of (run_id, target, kind, created_at, id, severity, label, run_size), ``run_size`` being the rows of
+    the run.  A run may be split over micro-batches; rows of unfinished runs wait in a snapshot, as does the place of each
+    target's newest run (target, run, the epoch that holds its rows).  A batch reads the newest snapshots and the epochs that its own
+    targets point to, whatever the history.  Each batch writes its own epoch folders, so a replay replaces rather than
+    repeats.  Of several finished runs of one target in a batch the newest counts; one older than the stored run is left out.
     """
     def process(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        past = _earlier(spark, f"{store}/fingerprints", stores.FINGERPRINTS, epoch)
-        # within the batch only the newest run of a target counts
-        current_runs = batch.groupBy("target").agg(F.max(F.struct("created_at", "run_id")).alias("r"))
-        current = spread_join(batch, current_runs.select("target", F.col("r.run_id").alias("run_id")),
-                              ["target", "run_id"], "left_semi")
-        last = (spread_join(past, current_runs.select("target"), ["target"], "left_semi")
-                .groupBy("target").agg(F.max(F.struct("created_at", "run_id")).alias("r")))
-        previous = spread_join(past, last.select("target", F.col("r.run_id").alias("run_id")),
-                               ["target", "run_id"], "left_semi")
+        waiting = _newest(spark, f"{store}/waiting", ARRIVED, epoch)
+        columns = waiting.columns
+        rows = durable(batch.select(*columns).unionByName(waiting).distinct())
+        sizes = rows.groupBy("target", "run_id", "created_at").agg(F.count("*").alias("_n"), F.max("run_size").alias("_size"))
+        whole = sizes.where(F.col("_n") >= F.col("_size")).select("target", "run_id", "created_at")
+        known = _newest(spark, f"{store}/latest", LATEST, epoch)
+        newest = (whole.groupBy("target").agg(F.max(F.struct("created_at", "run_id")).alias("r"))
+                  .select("target", F.col("r.run_id").alias("run_id"), F.col("r.created_at").alias("created_at")))
+        before = known.select("target", F.col("run_id").alias("_run"), F.col("created_at").alias("_when"), "at")
+        due = durable(newest.join(before, "target", "left")
+                      .where(F.col("_when").isNull() | (F.struct("created_at", "run_id") > F.struct("_when", "_run"))))
+        current = spread_join(rows, due.select("target", "run_id"), ["target", "run_id"], "left_semi").drop("run_size")
+        epochs = [r["at"] for r in due.where("at is not null").select("at").distinct().collect()]  # of this batch's targets
+        past = _earlier(spark, f"{store}/fingerprints", stores.FINGERPRINTS, epoch).where(F.col("epoch").isin(epochs)).drop("epoch")
+        previous = spread_join(past, due.select("target", F.col("_run").alias("run_id")), ["target", "run_id"], "left_semi")
         _write_epoch(diff.run_diff(previous, current), f"{store}/diffs", epoch)
         _write_epoch(current, f"{store}/fingerprints", epoch)
-        batch.unpersist()
+        moved = due.select("target", "run_id", "created_at", F.lit(epoch).cast("bigint").alias("at"))
+        _write_epoch(known.join(moved, "target", "left_anti").unionByName(moved), f"{store}/latest", epoch)
+        _write_epoch(spread_join(rows, whole.select("target", "run_id"), ["target", "run_id"], "left_anti"), f"{store}/waiting", epoch)
 
     return fingerprints.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
 

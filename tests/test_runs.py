@@ -133,7 +133,8 @@ def test_explain_hook(spark):
             raise RuntimeError("down")
         return " Quick fix: y "
 
-    assert [r.text for r in explain.generated(todo, generate).collect()] == ["Quick fix: y"]
+    answers = explain.generated(todo, generate).collect()
+    assert [r.text for r in answers if r.text] == ["Quick fix: y"] and all((r.text is None) != (r.error is None) for r in answers)
 
 
 def test_bills_of_materials(spark, tmp_path):
@@ -165,15 +166,15 @@ def test_bills_of_materials(spark, tmp_path):
 def test_change_payload_is_bounded_and_whole(spark):
     ids = [(f"{i:04d}", ["HIGH", "CRITICAL", "?"][i % 3], "") for i in range(1000)]
     changes = diff.run_diff(items(spark, [(f"f{i:02d}", "LOW", f"L{i}") for i in range(30)]), items(spark, ids))
-    got = exports.change_payload(changes).first()
+    got = exports.change_payload(changes, text_chars=2900, fixed_shown=10).first()
     lines = ["*Target:* `t`", ":warning: *1000 new*   :white_check_mark: *30 fixed*   (0 unchanged)"]
     for i, s, label in sorted(ids, key=lambda x: (x[1], x[0])):
         lines.append(f"  • _new_ {exports.EMOJI.get(s, '')} *{s}* — {label}")
     assert got.detail == "\n".join(lines)[:2900] and got.text == "sentrymill: 1000 new / 30 fixed on t"
     same = diff.run_diff(items(spark, ids[:2]), items(spark, ids[:2]))
-    assert exports.change_payload(same).count() == 0
+    assert exports.change_payload(same, text_chars=2900, fixed_shown=10).count() == 0
     few = diff.run_diff(items(spark, [(f"f{i:02d}", "LOW", f"L{i}") for i in range(30)]), items(spark, ids[:1]))
-    assert exports.change_payload(few).first().detail.count("_fixed_") == 10
+    assert exports.change_payload(few, text_chars=2900, fixed_shown=10).first().detail.count("_fixed_") == 10
 
 
 def test_sources_and_demo_tree(spark, tmp_path):
@@ -184,7 +185,9 @@ def test_sources_and_demo_tree(spark, tmp_path):
         target = tmp_path / "trees" / "demo" / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(content if isinstance(content, bytes) else content.encode())
+    left_out = file_source.oversized(spark, str(tmp_path / "trees"), 5000)
     files = file_source.read_trees(spark, str(tmp_path / "trees"), max_bytes=5000)
+    assert left_out.count() + files.count() == file_source.read_trees(spark, str(tmp_path / "trees")).count()
     assert {(r.repo, r.path) for r in files.collect()} == {("demo", p) for p in demo if p != "big.py"}
     assert {r.path: r.valid_utf8 for r in files.collect()}["bad.py"] is False
     found = scan.scan(files, ("secrets", "code")).collect()

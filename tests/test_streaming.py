@@ -68,23 +68,26 @@ def test_windowed_counts_drop_late_rows(spark, tmp_path):
 
 
 def test_continuous_diff(spark, tmp_path):
-    schema = "run_id bigint, target string, kind string, created_at timestamp, id string, severity string, label string"
+    schema = "run_id bigint, target string, kind string, created_at timestamp, id string, severity string, label string, run_size bigint"
 
-    def run(run_id, when, ids, target="t"):
-        return spark.createDataFrame([(run_id, target, "repo", i, "LOW", i) for i in ids],
-                                     "run_id bigint, target string, kind string, id string, severity string, label string").select(
-            "run_id", "target", "kind", F.lit(when).cast("timestamp").alias("created_at"), "id", "severity", "label")
+    def run(run_id, when, ids, target="t", size=None):
+        return spark.createDataFrame([(run_id, target, "repo", i, "LOW", i, size or len(ids)) for i in ids],
+                                     "run_id bigint, target string, kind string, id string, severity string, label string, run_size bigint").select(
+            "run_id", "target", "kind", F.lit(when).cast("timestamp").alias("created_at"), "id", "severity", "label", "run_size")
 
     source, store = tmp_path / "in", str(tmp_path / "store")
     write(run(1, "2024-01-01", ["a", "b"]), source, "b0")
-    write(run(2, "2024-01-02", ["b", "c"]), source, "b1")
-    write(run(3, "2024-01-03", ["x"], "u").unionByName(run(4, "2024-01-03", ["c"])), source, "b2")
+    write(run(2, "2024-01-02", ["b"], size=2), source, "b1")  # the first half of a run
+    write(run(3, "2024-01-03", ["x"], "u").unionByName(run(2, "2024-01-02", ["c"], size=2)), source, "b2")
     drain(jobs.continuous_diff(stream(spark, str(source), schema), store, str(tmp_path / "cp")).start())
+    write(run(4, "2024-01-04", ["c"]).unionByName(run(0, "2023-01-01", ["old"], "u")), source, "b3")
+    drain(jobs.continuous_diff(stream(spark, str(source), schema), store, str(tmp_path / "cp")).start())  # a restart goes on
     got = {}
     for r in spark.read.parquet(f"{store}/diffs").collect():
         got.setdefault(r.epoch, set()).add((r.target, r.id, r.state))
-    assert got == {0: {("t", "a", "new"), ("t", "b", "new")}, 1: {("t", "a", "fixed"), ("t", "b", "unchanged"), ("t", "c", "new")},
-                   2: {("t", "b", "fixed"), ("t", "c", "unchanged"), ("u", "x", "new")}}
+    assert got == {0: {("t", "a", "new"), ("t", "b", "new")},
+                   2: {("t", "a", "fixed"), ("t", "b", "unchanged"), ("t", "c", "new"), ("u", "x", "new")},
+                   3: {("t", "b", "fixed"), ("t", "c", "unchanged")}}
 
 
 def test_case_feed_stops(spark, tmp_path):
