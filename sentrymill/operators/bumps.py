@@ -77,3 +77,23 @@ def package_json_edits(files: DataFrame, bumps: DataFrame) -> DataFrame:
         F.concat(F.lit("^"), F.try_element_at(F.col("_fixes"), k)), v))
     return stacked.where(F.col("entries").isNotNull()).select(
         "repo", "path", "section", F.explode(fixed).alias("package", "version"))
+
+
+def rewrite_package_json(content: Column, fixes: Column) -> Column:
+    """The text with planned fixes as ``^`` ranges in its dependency sections; all else, order and layout included, stays."""
+    section = r'"(?:' + "|".join(SECTIONS) + r')"\s*:\s*\{[^{}]*\}'  # these sections hold plain names and ranges
+
+    def rewritten(text: Column) -> Column:
+        return F.aggregate(F.map_entries(fixes), text, lambda t, e: F.regexp_replace(
+            t, F.concat(F.lit(r'("\Q'), e["key"], F.lit(r'\E"\s*:\s*)"[^"]*"')),
+            F.concat(F.lit('$1"^'), F.regexp_replace(e["value"], r"([\\$])", r"\\$1"), F.lit('"'))))
+
+    return F.aggregate(F.array_distinct(F.regexp_extract_all(content, F.lit(section), F.lit(0))), content,
+                       lambda text, part: F.replace(text, part, rewritten(part)))
+
+
+def package_json_rewrites(files: DataFrame, bumps: DataFrame) -> DataFrame:
+    """(repo, path, content) of every package.json with a planned bump, rewritten.  Names are compared exactly here."""
+    wanted = files.where(basename(F.col("path")) == "package.json")
+    joined = spread_join(wanted, _per_file(bumps, "package"), ["repo", "path"])
+    return joined.select("repo", "path", rewrite_package_json(F.col("content"), F.col("_fixes")).alias("content"))

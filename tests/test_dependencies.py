@@ -231,3 +231,24 @@ def test_cve_search(spark):
     counts = {r.keyword: r["count"] for r in advisories.cve_search(cves, words).groupBy("keyword").count().collect()}
     assert counts == {" openssl ": 12, "bug 1": 3, "x": 12}
     assert advisories.cve_search(cves, words, cap=10).where(F.col("keyword") == "x").count() == 10
+
+
+def test_package_json_keeps_everything_else(spark):
+    text = """{
+  "name": "left",
+  "scripts": {"left": "1.0", "test": "x > {y}"},
+  "dependencies" : {
+    "@scope/a.b": "~1.0",
+    "left"   :  "1.0",
+    "lefty": "1.0"
+  },
+  "devDependencies": {"left": "1"}, "nested": {"left": "1.0"}
+}
+"""
+    files = spark.createDataFrame([("r", "w/package.json", text), ("r", "package.json", text)], "repo string, path string, content string")
+    plan = spark.createDataFrame([("r", "w/package.json", "left", "2.0.0"), ("r", "w/package.json", "@scope/a.b", "1.5")],
+                                 "repo string, file string, package string, new_version string")
+    (row,) = bumps.package_json_rewrites(files, plan).collect()
+    expected = text.replace('"~1.0"', '"^1.5"').replace('"left"   :  "1.0"', '"left"   :  "^2.0.0"').replace('"devDependencies": {"left": "1"}',
+                                                                                                   '"devDependencies": {"left": "^2.0.0"}')
+    assert row.content == expected and json.loads(row.content)["nested"] == {"left": "1.0"}

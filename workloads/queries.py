@@ -228,13 +228,12 @@ def manifest_rewrite(spark, d):
     return bumps.requirements_edits(views.manifests(spark, d), _bumps(spark, d))
 
 
-@query(f"""{_PA} SELECT m.repo, m.file AS path, sec AS section, k AS package,
-     coalesce('^' || b.new_version, json_extract_string(content, '$.' || sec || '."' || k || '"')) AS version
-   FROM (SELECT *, unnest(json_keys(content, '$.' || sec)) AS k FROM manifests, (VALUES ('dependencies'), ('devDependencies')) s(sec) WHERE fmt = 1) m
-   LEFT JOIN bumps b ON b.repo = m.repo AND b.file = m.file AND b.package = k
-   WHERE (m.repo, m.file) IN (SELECT repo, file FROM bumps)""")
+@query(rf"""{_PA}, planned AS (SELECT repo, file, list(package || '|' || new_version) AS fixes FROM bumps GROUP BY repo, file)
+   SELECT m.repo, m.file AS path, list_reduce(list_concat([content], fixes), lambda text, x:
+     regexp_replace(text, '("' || split_part(x, '|', 1) || '"\s*:\s*)"[^"]*"', '\1"^' || split_part(x, '|', 2) || '"', 'g')) AS content
+   FROM manifests m JOIN planned p ON p.repo = m.repo AND p.file = m.file WHERE fmt = 1""")
 def npm_manifest_rewrite(spark, d):
-    return bumps.package_json_edits(views.manifests(spark, d), _bumps(spark, d))
+    return bumps.package_json_rewrites(views.manifests(spark, d), _bumps(spark, d))
 
 
 _SPECS = """specs AS (SELECT DISTINCT target, CASE WHEN pre = '' THEN 'PyPI' WHEN pre IN ('pip:') THEN 'PyPI' WHEN pre = 'npm:' THEN 'npm'
