@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentrymill.fixed_values.rules import DEFAULT_IGNORES
 from sentrymill.functions import globs
 from sentrymill.functions.text import split_lines, unix_path
-from sentrymill.session import spread_join
+from sentrymill.session import SALTS, spread_join
 
 IGNORE_FILE = ".scanignore"
 
@@ -30,17 +30,24 @@ def flagged(files: DataFrame, use_defaults: bool = True, ignore_file: str | None
             rules: DataFrame | None = None) -> DataFrame:
     """``files`` with a boolean ``ignored``.
 
-    Built-in patterns are one constant expression; each repository's own file
-    becomes one expression joined by repository.  ``rules`` replaces the
-    expressions read from ``files``.
+    Built-in patterns are one constant expression.  Each repository's own file becomes one expression, which meets the
+    repository's paths alone; a large repository's paths are spread over copies of its one rule.  Rows of one rule come
+    together there, so it is compiled once per run of them.  Files then meet only the paths that are hidden, by (repo, path), so no
+    content moves by repository.  ``rules`` replaces the expressions read from ``files``.
     """
     path = unix_path(F.col("path"))
     ignored = built_in(path) if use_defaults else F.lit(False)
     if rules is None and ignore_file is None:
         return files.withColumn("ignored", ignored)
-    joined = spread_join(files, repo_rules(files, ignore_file) if rules is None else rules, ["repo"], "left")
-    own = F.coalesce(F.rlike(path, F.col("rule_regex")), F.lit(False))
-    return joined.withColumn("ignored", ignored | own).drop("rule_regex")
+    if files.isStreaming:  # a stream meets the static rules themselves
+        joined = spread_join(files, rules, ["repo"], "left")
+        own = F.coalesce(F.rlike(path, F.col("rule_regex")), F.lit(False))
+        return joined.withColumn("ignored", ignored | own).drop("rule_regex")
+    rules = repo_rules(files, ignore_file) if rules is None else rules
+    hidden = (spread_join(files.select("repo", "path").distinct(), rules, ["repo"], salts=SALTS)
+              .where(F.rlike(path, F.col("rule_regex"))).select("repo", "path", F.lit(True).alias("_own")))
+    joined = spread_join(files, hidden, ["repo", "path"], "left")
+    return joined.withColumn("ignored", ignored | F.coalesce("_own", F.lit(False))).drop("_own")
 
 
 def visible(files: DataFrame, use_defaults: bool = True, ignore_file: str | None = IGNORE_FILE) -> DataFrame:

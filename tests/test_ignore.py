@@ -95,3 +95,15 @@ def test_skipped_directories(spark):
     assert got == paths
     dep = {r.path: r.s for r in df.select("path", classify.skipped_for_dependencies(F.col("path")).alias("s")).collect()}
     assert dep == {**paths, ".git/x": False, "env/x.py": True}
+
+
+def test_contents_do_not_move_by_repository(spark, no_broadcast, make_files):
+    files = make_files({".scanignore": "secret/\n*.log\n", **{f"src/f{i}.py": "x" for i in range(30)}, "secret/a": "y", "b.log": "z"})
+    shown = ignore.visible(files)
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(repo" in plan
+    lines = plan.split("\n")
+    for line, below in zip(lines, lines[1:]):
+        if "Exchange hashpartitioning(repo" in line and "_salt" not in line and "path" not in line:
+            assert "partial_min" in below, below  # one rule per repository, not its files
+    assert {r.path for r in shown.collect()} == {".scanignore", *(f"src/f{i}.py" for i in range(30))}
