@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentrymill import schema
 from sentrymill.fixed_values import packages as P
 from sentrymill.functions.suppress import scopes, suppressed
+from sentrymill.functions.text import decode
 from sentrymill.operators import advisories, bumps, classify, hygiene, ignore, manifests, match, secrets
 from sentrymill.operators.lines import lines
 from sentrymill.session import tune
@@ -94,6 +95,34 @@ def file_lines(spark, d):
     return lines(views.files(spark, d), keep_empty=True).select("repo", "path", "line_no", "line")
 
 
+# a rule set of a user's own, written out in the SQL as well
+_USER_RULES = [("Opening question", "style", "LOW", r"(?i)^the\b.*\bof\b", "A line that begins so.", ("the",)),
+               ("Long number", "style", "MEDIUM", r"\b[0-9]{16}\b", "A number of sixteen digits.", ())]
+
+
+@query(duck.with_(duck.FILES, duck.FILE_KINDS) + rf"""SELECT repo, path, line_no,
+     CASE WHEN regexp_matches(line, '(?i)^the\b.*\bof\b') THEN 'Opening question' ELSE 'Long number' END AS issue_type,
+     CASE WHEN regexp_matches(line, '(?i)^the\b.*\bof\b') THEN 'LOW' ELSE 'MEDIUM' END AS severity
+   FROM {duck.lines_of('kinds', where="file_kind = 'code'")}
+   WHERE regexp_matches(line, '(?i)^the\b.*\bof\b|\b[0-9]{{16}}\b') AND NOT {duck.suppressed('code')}""")
+def user_rule_findings(spark, d):
+    return match.line_findings(_files(spark, d), {"code": _USER_RULES}).select("repo", "path", "line_no", "issue_type", "severity")
+
+
+@query("""SELECT 'doc-' || doc_id AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN left(text, 5) || chr(65533) || substr(text, 6) ELSE text END) AS content_sha256,
+     doc_id % 3 <> 0 AS valid_utf8 FROM documents""")
+def decoded_files(spark, d):
+    return views.file_bytes(spark, d).select("path", F.sha2(decode(F.col("content")), 256).alias("content_sha256"),
+                                             F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"))
+
+
+@query(duck.with_(duck.FILES, duck.secret_ctes("files")) + """SELECT repo, path, line_no, secret_type, matched_value
+   FROM secret_f WHERE NOT contains(lower(value), '7')""")
+def allowed_secrets(spark, d):
+    found = secrets.secret_findings(views.files(spark, d), allow_words=["7"])
+    return found.select("repo", "path", "line_no", "secret_type", "matched_value")
+
+
 _HYG = """sens AS (SELECT DISTINCT repo, CASE WHEN regexp_matches(path, '(^|/)\\.env$') THEN '.env' WHEN ends_with(path, '.pem') THEN '*.pem'
    WHEN ends_with(path, '/id_rsa') THEN 'id_rsa' END AS kind FROM files),
 gi AS (SELECT repo, trim(line) AS e FROM (SELECT repo, unnest(string_split(lower(content), chr(10))) AS line FROM files WHERE path = '.gitignore')

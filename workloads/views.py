@@ -524,3 +524,12 @@ def cve_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(keyword): the first word of every part type, and two more."""
     first = table(spark, sf_dir, "part", "p_type").select(F.substring_index("p_type", " ", 1).alias("keyword"))
     return first.distinct().unionByName(literal_table(spark, ["keyword"], [("b",), (" ring ",)]))
+
+
+def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content BINARY) per document; every third has a byte that is not UTF-8 after its fifth character."""
+    text = F.col("text")
+    broken = F.concat(F.left(text, F.lit(5)).cast("binary"), F.unhex(F.lit("FF")), F.substring(text, 6, 2147483647).cast("binary"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"),
+        F.when(F.col("doc_id") % 3 == 0, broken).otherwise(text.cast("binary")).alias("content"))
