@@ -4,8 +4,9 @@ The pieces of a text form a lattice; a segmentation's score is the sum of its pi
 gives each place its best score from the start, which is the exact remaining cost of a search that goes back from the
 end: A* then yields the segmentations in the order of their scores, as many as asked.
 
-No piece crosses from another character into a word start, nor a line break (both are read off the vocabulary; where it has
-such pieces, a text is one lattice), so the lattice of a text is a chain of those of its words.  Words are solved once and kept
+No piece crosses from another character into a word start, over a line break, or from a letter into a full stop or comma (all
+read off the vocabulary; where pieces cross into word starts, a text is one lattice), so the lattice of a text is a chain of
+those of its words, and a word before a full stop is solved as the word alone.  Words are solved once and kept
 per worker; the N best of a text follow exactly from the words with the least gaps to their next best.
 
 Characters without a piece become their bytes' pieces (or the unknown piece) and cost 10 less than the worst piece, as in the
@@ -108,6 +109,9 @@ class Pieces:
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         crossing = any(re.search(f"[^{SPACE}]{SPACE}|\n", n) for n, _ in used)
         self.cut = re.compile("(?s).+" if crossing else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        # full stops and commas that no piece holds behind a letter, and that are pieces: they part from a word before them
+        self.ends = {c: self.look[c] for c in ".,;:" if self.look.get(c) and not any(
+            n[i] == c and n[i - 1].isalpha() for n, _ in used for i in range(1, len(n)))}
         self.plain = [bytes([int(n[3:5], 16)]) if k == BYTE else n.replace(SPACE, " ").encode() if k in (NORMAL, USER)
                       else " ⁇ ".encode() if k == UNKNOWN else b"" for n, k in zip(self.names, self.kinds, strict=True)]
 
@@ -117,13 +121,13 @@ class Pieces:
 
     def best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one lattice, best first."""
-        size, look = len(word), self.look
+        size, get = len(word), self.look.get
         score = [0.0] + [-1e300] * size  # forward Viterbi: best score of the text up to here
         into: list[list] = [[] for _ in range(size + 1)]
         for i in range(size):
             here, single = score[i], False
             for j in range(i + 1, size + 1):
-                hit = look.get(word[i:j], 0)
+                hit = get(word[i:j], 0)
                 if hit is None:
                     continue
                 if hit == 0:
@@ -233,17 +237,25 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int
                     odd.clear()
                 times = Counter(words)
                 for w in set(times).difference(known):
-                    found = pieces.best(w, n)
-                    # ids, best score, losses of the others
-                    known[w] = struct.pack(f"{len(found[0][1])}i", *found[0][1]), found[0][0], tuple([found[0][0] - s for s, _ in found[1:]])
-                    if b"".join([pieces.plain[i] for i in found[0][1]]) != w.replace(SPACE, " ").encode():
-                        odd.add(w)
+                    end = pieces.ends.get(w[-1])
+                    head = w[:-1] if end and w[-2:-1].isalpha() else w
+                    if head not in known:
+                        found = pieces.best(head, n)
+                        # ids, best score, losses of the others
+                        known[head] = (struct.pack(f"{len(found[0][1])}i", *found[0][1]), found[0][0],
+                                       tuple([found[0][0] - s for s, _ in found[1:]]))
+                        if b"".join([pieces.plain[i] for i in found[0][1]]) != head.replace(SPACE, " ").encode():
+                            odd.add(head)
+                    if head is not w:
+                        data_of, score, gaps = known[head]
+                        known[w] = data_of + struct.pack("i", end[0]), score + end[1], gaps
+                        if head in odd:
+                            odd.add(w)
                 solved = {w: known[w] for w in times}
                 base = sum([solved[w][1] * k for w, k in times.items()])
                 # a word can supply each of its places, but no more than n - 1 places are of use
-                few = heapq.nsmallest(n - 1, [solved[w][2] for w in times if solved[w][2]]) if n > 1 else []
-                least = [w for w in times if solved[w][2] and solved[w][2] <= few[-1]] if few else []
-                places = [(0.0, *solved[w][2]) for w in least for _ in range(min(times[w], n - 1))]
+                few = heapq.nsmallest(n - 1, [(solved[w][2], w) for w in times if solved[w][2]]) if n > 1 else []
+                places = [(0.0, *gaps) for gaps, w in few for _ in range(min(times[w], n - 1))]
                 ids.append(np.frombuffer(b"".join([solved[w][0] for w in words]), np.int32))
                 scores.append([base - loss for loss, _ in chosen(places, n)])
                 # decoding joins what the words decode to, so each word is decoded and compared once
