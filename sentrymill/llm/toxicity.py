@@ -97,7 +97,8 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -
     if len(texts) == 0 or labels.min() == labels.max():
         return Model(float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     in_docs: Counter = Counter()
-    per_doc = [t.lower().split() for t in texts]
+    one: dict[bytes, bytes] = {}  # equal words share one object
+    per_doc = [[one.setdefault(w, w) for w in t.lower().split()] for t in texts]
     for words in per_doc:
         in_docs.update(set(words))
     known = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= 3))}
