@@ -109,7 +109,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_forest.secret_findings(given(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "at", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+    return found.select(F.col("id").alias("doc_id"), "at", "run", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
 
 
 @query()

@@ -1,7 +1,7 @@
 """Secret candidates judged by a random forest.
 
-Built-in expressions and Spark's own forest only.  A candidate is a word with a run of ``LEAST`` or more token characters, a digit
-among them.  Its features:
+Built-in expressions and Spark's own forest only.  A candidate is a run of ``LEAST`` or more token characters, a digit among them; a
+word gives all of its runs (name="value", URLs, minified JSON).  Its features:
 
 - length, share of digits, distinct characters, case changes;
 - mean log probability of its character transitions, by counts over all words of all texts;
@@ -41,18 +41,36 @@ FEATURES = ["size", "digits", "distinct", "changes", "transitions", "coverage",
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", least: int = LEAST) -> DataFrame:
-    """(id, path, at, candidate, before2, before, word, after), one row per candidate word; at counts words from 0."""
+    """(id, path, at, run, candidate, before2, before, lead, tail, after), one row per candidate; at counts words from 0, run the
+    candidates of the word.
+
+    lead and tail are the word's own text around the candidate, up to the run before and to the run after it, inside one field of
+    a list.  Neighbouring words stand with the word's first and last candidate only, so a long word is not copied for each of its
+    candidates; the others keep what names a credential there, as before2.
+    """
     words = F.split(column(text_col).cast("string"), r"[\x20\x09-\x0D]+")
     fits = lambda w: (F.length(w) >= least) & w.rlike("[0-9]") & w.rlike(_TOKEN % least)
     at = F.filter(F.transform("_words", lambda w, i: F.when(fits(w), i)), lambda i: i.isNotNull())
     word = lambda k: F.coalesce(F.get("_words", F.col("at") + k), F.lit(""))
-    token = F.regexp_extract(word(0), f"({_TOKEN % least})", 1)
+    runs, between = F.col("_runs"), F.col("_between")  # a run has the text before it at its own place
+    fields = lambda c: F.translate(c, ";&{}", ",,,,")
+    every = F.transform(F.sequence(F.lit(0), F.size(runs) - 1), lambda k: F.struct(
+        F.get(runs, k).alias("candidate"),
+        F.substring_index(fields(F.concat(F.coalesce(F.get(runs, k - 1), F.lit("")), F.get(between, k))), ",", -1).alias("lead"),
+        F.substring_index(fields(F.get(between, k + 1)), ",", 1).alias("tail")))
+    first, last = F.col("run") == 0, F.col("run") == F.col("_n") - 1
+    named = F.regexp_extract(F.concat_ws(" ", "_before2", "_before"), CREDENTIAL, 0)
     return (docs.select(column(id_col).alias("id"), column(path_col).cast("string").alias("path"), words.alias("_words"))
             .withColumn("_at", at).where(F.size("_at") > 0)
             .select("id", "path", "_words", F.explode("_at").alias("at"))
-            .select("id", "path", "at", token.alias("candidate"), word(-2).alias("before2"), word(-1).alias("before"),
-                    word(0).alias("word"), word(1).alias("after"))
-            .where(F.col("candidate").rlike("[0-9]")))
+            .select("id", "path", "at", word(-2).alias("_before2"), word(-1).alias("_before"), word(1).alias("_after"),
+                    F.regexp_extract_all(word(0), F.lit(f"({_TOKEN % least})"), 1).alias("_runs"),
+                    F.split(word(0), _TOKEN % least, -1).alias("_between"))
+            .withColumn("_found", F.filter(every, lambda c: c["candidate"].rlike("[0-9]")))
+            .select("id", "path", "at", "_before2", "_before", "_after", F.size("_found").alias("_n"), F.posexplode("_found").alias("run", "_one"))
+            .select("id", "path", "at", "run", "_one.candidate", F.when(first, F.col("_before2")).otherwise(named).alias("before2"),
+                    F.when(first, F.col("_before")).otherwise("").alias("before"), "_one.lead", "_one.tail",
+                    F.when(last, F.col("_after")).otherwise("").alias("after")))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -93,7 +111,7 @@ def measured(found: DataFrame, known: list[str], table: list[float]) -> DataFram
     at = lambda i: F.instr(F.lit(_LETTERS), F.substring(token, i, F.lit(1)))
     steps = F.aggregate(F.sequence(F.lit(1), size - 1), F.lit(0.0), lambda s, i: s + F.get(chance, at(i) * _KINDS + at(i + 1)))
     changes = F.length(F.regexp_replace("candidate", r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])", "\u0001")) - size
-    context = F.concat_ws(" ", "before2", "before", F.regexp_replace("word", _TOKEN % LEAST, ""))
+    context = F.concat_ws(" ", "before2", "before", F.concat("lead", "tail"))
     path = F.coalesce("path", F.lit(""))
     return found.withColumns({
         "size": size.cast("double"), "digits": F.length(F.regexp_replace("candidate", "[^0-9]", "")) / size,
@@ -102,7 +120,7 @@ def measured(found: DataFrame, known: list[str], table: list[float]) -> DataFram
         "path_depth": F.length(F.regexp_replace(path, "[^/]", "")).cast("double"), "path_quiet": path.rlike(QUIET).cast("double"),
         "before_known": in_dictionary(F.col("before")), "after_known": in_dictionary(F.col("after")),
         "names_credential": context.rlike(CREDENTIAL).cast("double"),
-        "assigned": (F.col("before").rlike(r"[=:]$") | F.col("word").rlike(r"[=:][\"']?[A-Za-z0-9+/]")).cast("double")})
+        "assigned": (F.col("before").rlike(r"[=:]$") | F.concat("lead", "candidate", "tail").rlike(r"[=:][\"']?[A-Za-z0-9+/]")).cast("double")})
 
 
 def train(labelled: DataFrame, label_col: str = "label", most: int = MOST, seed: int = 5):
@@ -132,8 +150,8 @@ def judged(found: DataFrame, model, cut: float = 0.5) -> DataFrame:
 def context_label() -> Column:
     """A label for findings that no one has labelled: 1 if the candidate is the quoted value of a named credential, 0 if
     nothing near it names or assigns one, else null (such findings are judged, not learned from)."""
-    quoted = F.col("word").rlike(r"^(.*[=:])?[\"']" + _TOKEN % LEAST + r"[\"']")
-    named = F.concat_ws(" ", "before2", "before", F.regexp_extract("word", "^(.*[=:])", 1)).rlike(CREDENTIAL)
+    quoted = F.col("lead").rlike(r"(^|[=:])[\"']$") & F.col("tail").rlike(r"^[\"']")
+    named = F.concat_ws(" ", "before2", "before", F.regexp_extract(F.concat("lead", "candidate", "tail"), "^(.*[=:])", 1)).rlike(CREDENTIAL)
     return F.when(quoted & named, 1).when(~quoted & ~named, 0)
 
 

@@ -188,6 +188,25 @@ def test_secret_forest(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    a, b = "9f8e7d6c5b4a39281706", "0a1b2c3d4e5f60718293"
+    texts = [f'private_key="{a}"', f'client_secret:"{a}"', f"see https://dashboard-internal.example.com/?token={a}&key={b} there",
+             f'secrets {{"api_token":"{a}","client_secret":"{b}"}} end', "dashboard-internal.example-company 12345", f"Bearer {a}.{b}.{a}"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = [tuple(r) for r in secret_forest.candidates(docs).select("id", "at", "run", "candidate").orderBy("id", "at", "run").collect()]
+    assert got == [(0, 0, 0, a), (1, 0, 0, a), (2, 1, 0, f"token={a}"), (2, 1, 1, f"key={b}"), (3, 1, 0, a), (3, 1, 1, b),
+                   (5, 1, 0, a), (5, 1, 1, b), (5, 1, 2, a)]
+    label = {(r["id"], r["run"]): r["label"] for r in secret_forest.candidates(docs).withColumn("label", secret_forest.context_label()).collect()}
+    assert [label[k] for k in ((0, 0), (1, 0), (3, 0), (3, 1))] == [1, 1, 1, 1]
+    assert 0 not in (label[5, 1], label[5, 2])  # parts of what the word before names
+    line = ",".join(f'"k{i}":"{a}{i}"' for i in range(3_000))  # minified JSON, a long word in front of another
+    long = secret_forest.candidates(spark.createDataFrame([(1, f"{{{line}}}\n{{{line}}}", "x")], "doc_id long, text string, source string"))
+    assert long.count() == 6_000
+    assert long.select(F.sum(F.length(F.concat_ws("", "before2", "before", "lead", "tail", "after")))).first()[0] < 5 * 2 * len(line)
+    found = secret_forest.secret_findings(docs)
+    assert found.count() == len(got) and found.select("id", "at", "run").distinct().count() == len(got)
+
+
 def test_pipeline_frame(spark, tmp_path):
     import corpus_pipeline
 
