@@ -37,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.encoded(docs).select(*docs.columns, "ids", "scores", "round_trip")
+    return tokens.encoded(docs).select(*docs.columns, "ids", "nbest_ids", "scores", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -12,8 +12,11 @@ per worker; the N best of a text follow exactly from the words with the least ga
 Characters without a piece become their bytes' pieces (or the unknown piece) and cost 10 less than the worst piece, as in the
 public library's unigram model.  Pieces of control and unused types are never made from a text.
 
+``encoded`` gives the ids of all N best; ``decoded`` turns ids into text, and round_trip compares what it makes of the ids that are
+given out with the text.
+
 Defined cases: null and empty text have no tokens and one segmentation of score 0; result columns replace columns of their name;
-other columns pass through.  A text that holds the word-start sign itself decodes with blanks in its place.
+other columns pass through.  Null ids decode to null; an id outside the vocabulary decodes as the unknown piece.  A text that holds the word-start sign itself decodes with blanks in its place.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentrymill.llm.common import column, map_batches, others, raw, ready
@@ -37,7 +41,6 @@ from sentrymill.llm.common import column, map_batches, others, raw, ready
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
 SPACE = "▁"
-SIGN = SPACE.encode()
 #: Words kept per worker; they change no result.
 WORDS = 800_000
 #: Characters up to which a search keeps all open ways.
@@ -185,9 +188,12 @@ class Pieces:
         turns = chosen([[f[0][0] - s for s, _ in f] for f in found], n)
         return [(base - gap, [x for at, f in enumerate(found) for x in f[which.get(at, 0)][1]]) for gap, which in turns]
 
+    def decode_bytes(self, ids) -> bytes:
+        out = b"".join(map(self.plain.__getitem__, ids))
+        return out[1:] if self.prefix and out[:1] == b" " else out
+
     def decode(self, ids) -> str:
-        out = b"".join([self.plain[i] for i in ids])
-        return (out[1:] if self.prefix and out[:1] == b" " else out).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 def chosen(gaps: list[list[float]], n: int) -> list[tuple[float, dict[int, int]]]:
@@ -213,54 +219,101 @@ def _of_worker(name: str) -> dict:
     return sys.modules.setdefault(f"_kept_{name}", types.ModuleType(name)).__dict__
 
 
+def _lists(parts: list[bytes]) -> pa.Array:
+    """A column of id lists from their bytes."""
+    ends = np.cumsum([0, *[len(p) >> 2 for p in parts]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def _texts(pieces: Pieces, ids: pa.Array) -> list[bytes | None]:
+    """What each id list of a column decodes to."""
+    flat, size = ids.flatten(), len(pieces.plain)
+    values = np.asarray(flat.fill_null(-1))
+    values = np.where((values < 0) | (values >= size), pieces.unknown, values).tolist()
+    ends = np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
+    found = ids.is_valid().to_pylist()
+    return [pieces.decode_bytes(values[ends[i]:ends[i + 1]]) if known else None for i, known in enumerate(found)]
+
+
+def decoded(df: DataFrame, ids: str = "ids", model: str = MODEL, text_col: str = "decoded") -> DataFrame:
+    """All rows and columns; ``text_col``, the text that the list ``ids`` stands for."""
+    ready(df.sparkSession)
+    data = Path(model).read_bytes()
+    names = others(df, text_col)
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(text_col, T.StringType())])
+
+    def run(batches):
+        kept = _of_worker("decoder")
+        if kept.get("model") != data:
+            kept.update(model=data, pieces=Pieces.read(data))
+        for batch in batches:
+            texts = _texts(kept["pieces"], batch.column(len(names)).cast(pa.list_(pa.int32())))
+            texts = [t if t is None else t.decode("utf-8", "replace") for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [f.name for f in schema])
+
+    return map_batches(df.select(*[column(c) for c in names], column(ids).cast("array<int>").alias("_ids")), run, schema)
+
+
 def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int = BEST) -> DataFrame:
-    """All rows and columns; ids (of the best segmentation), scores (of the n best), round_trip (ids decode to the text)."""
+    """All rows and columns; ids (of the best segmentation), nbest_ids and scores (of the n best, best first), round_trip (each of
+    nbest_ids decodes to the text)."""
     ready(docs.sparkSession)
     data = Path(model).read_bytes()  # half a megabyte, sent with the job
-    names = others(docs, "ids", "scores", "round_trip")
+    names = others(docs, "ids", "nbest_ids", "scores", "round_trip")
     place = names.index(text_col)
     schema = T.StructType([docs.schema[c] for c in names] + [
-        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())),
+        T.StructField("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("scores", T.ArrayType(T.DoubleType())),
         T.StructField("round_trip", T.BooleanType())])
 
     def run(batches):
         kept = _of_worker("pieces")
         if kept.get("model") != (data, n):
-            kept.update(model=(data, n), pieces=Pieces.read(data), words={}, odd=set())
-        pieces, known, odd = kept["pieces"], kept["words"], kept["odd"]
+            kept.update(model=(data, n), pieces=Pieces.read(data), words={})
+        pieces, known = kept["pieces"], kept["words"]
         for batch in batches:
-            ids, scores, same = [], [], []
-            for text in raw(batch.column(place)):
+            ids, scores, numbers, texts = [], [], [], raw(batch.column(place))
+            for text in texts:
                 words = pieces.words(text.decode("utf-8", "replace"))
                 if len(known) > WORDS:
                     known.clear()
-                    odd.clear()
                 times = Counter(words)
                 for w in set(times).difference(known):
                     end = pieces.ends.get(w[-1])
                     head = w[:-1] if end and w[-2:-1].isalpha() else w
                     if head not in known:
                         found = pieces.best(head, n)
-                        # ids, best score, losses of the others
+                        # ids, best score, losses of the others, their ids
                         known[head] = (struct.pack(f"{len(found[0][1])}i", *found[0][1]), found[0][0],
-                                       tuple([found[0][0] - s for s, _ in found[1:]]))
-                        if b"".join([pieces.plain[i] for i in found[0][1]]) != head.replace(SPACE, " ").encode():
-                            odd.add(head)
+                                       tuple([found[0][0] - s for s, _ in found[1:]]),
+                                       tuple([struct.pack(f"{len(x)}i", *x) for _, x in found[1:]]))
                     if head is not w:
-                        data_of, score, gaps = known[head]
-                        known[w] = data_of + struct.pack("i", end[0]), score + end[1], gaps
-                        if head in odd:
-                            odd.add(w)
+                        data_of, score, gaps, more = known[head]
+                        last = struct.pack("i", end[0])
+                        known[w] = data_of + last, score + end[1], gaps, tuple([x + last for x in more])
                 solved = {w: known[w] for w in times}
                 base = sum([solved[w][1] * k for w, k in times.items()])
                 # a word can supply each of its places, but no more than n - 1 places are of use
                 few = heapq.nsmallest(n - 1, [(solved[w][2], w) for w in times if solved[w][2]]) if n > 1 else []
-                places = [(0.0, *gaps) for gaps, w in few for _ in range(min(times[w], n - 1))]
-                ids.append(np.frombuffer(b"".join([solved[w][0] for w in words]), np.int32))
-                scores.append([base - loss for loss, _ in chosen(places, n)])
-                # decoding joins what the words decode to, so each word is decoded and compared once
-                same.append(SIGN not in text and (odd.isdisjoint(times) if odd else True))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())),
-                                              pa.array(same, pa.bool_())], [f.name for f in schema])
-
-    return map_batches(docs.select(*[column(c) for c in names]), run, schema)
+                spots = [(gaps, w, nth) for gaps, w in few for nth in range(min(times[w], n - 1))]
+                ways = chosen([(0.0, *gaps) for gaps, _, _ in spots], n)
+                parts = [solved[w][0] for w in words]
+                for _, way in ways:
+                    mine = list(parts) if way else parts
+                    for spot, which in way.items():
+                        _, w, nth = spots[spot]
+                        at = -1
+                        for _ in range(nth + 1):
+                            at = words.index(w, at + 1)
+                        mine[at] = solved[w][3][which - 1]
+                    ids.append(b"".join(mine))
+                scores.append([base - loss for loss, _ in ways])
+                numbers.append(len(ways))
+            lists = _lists(ids)
+            made = iter(_texts(pieces, lists))
+            same = [all([next(made) == text for _ in range(k)]) for text, k in zip(texts, numbers, strict=True)]
+            best = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *numbers]), pa.int32()), lists)
+            yield pa.RecordBatch.from_arrays([*batch.columns, best, pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
+                                             [f.name for f in schema])
+
+    out = map_batches(docs.select(*[column(c) for c in names]), run, schema)
+    return out.select(*[column(c) for c in names], F.get("nbest_ids", F.lit(0)).alias("ids"), "nbest_ids", "scores", "round_trip")

@@ -292,6 +292,26 @@ def test_encoded_round_trip(docs, rows, nothing):
     assert tokens.encoded(nothing).count() == 0
 
 
+def test_encoded_keeps_and_decodes_all_segmentations(spark):
+    pieces = tokens.load()
+    texts = ["the reading of the reading room, and the end.", "one", "", None, "naïve\n  lines ☃ here", "a sign ▁ inside", "the the the the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in tokens.encoded(df).collect()}
+    for i, text in enumerate(texts):
+        best = pieces.nbest(text or "", 3)
+        assert got[i]["scores"] == pytest.approx([s for s, _ in best]) and len(got[i]["nbest_ids"]) == len(best)
+        assert len({tuple(x) for x in got[i]["nbest_ids"]}) == len(best) and got[i]["ids"] == got[i]["nbest_ids"][0] == best[0][1]
+        if all(0 <= pieces.kinds[x] != 6 for ids in got[i]["nbest_ids"] for x in ids):  # bytes cost as a character, not as pieces
+            assert [sum(pieces.scores[x] for x in ids) for ids in got[i]["nbest_ids"]] == pytest.approx(got[i]["scores"])
+        assert got[i]["round_trip"] == (i != 5)
+    each = tokens.encoded(df).select("doc_id", "text", F.explode("nbest_ids").alias("ids"))
+    back = tokens.decoded(each).collect()
+    assert len(back) == sum(len(r["scores"]) for r in got.values()) > 12
+    assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in back)
+    odd = spark.createDataFrame([(1, None), (2, [10**6, None]), (3, [])], "n long, ids array<int>")
+    assert [r["decoded"] for r in tokens.decoded(odd).orderBy("n").collect()] == [None, pieces.decode([0, 0]), ""]
+
+
 def test_toxicity_learns_stems(spark, nothing):
     rng = np.random.default_rng(6)
     bad = ["stupid", "worthless", "idiot"]
