@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.llm import jaccard, lines, mixing, tokens, toxicity
 from sentrymill.llm.common import stored
+from sentrymill.session import numbered
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -28,7 +29,14 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(docs).where("kept").select(*docs.columns)
+    """One row of each group.  A document is a (doc_id, text), a null doc_id included: its repeated rows are one, and texts that share
+    an id are compared as documents of their own.  Documents are numbered by doc_id, null last, so a group keeps its first."""
+    body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_body")
+    once = (docs.select(body, F.col("doc_id").cast("long").alias("_id"), F.col("doc_id").isNull().alias("_no_id"),
+                        mixing.text_of("text").alias("_of"))
+            .withColumn("_id", F.coalesce("_id", F.lit(0).cast("long"))).dropDuplicates(["_no_id", "_id", "_of"]))
+    placed = stored(numbered(once, [], ["_no_id", "_id", "_of"], "_place"))
+    return jaccard.jaccard_groups(placed.select("_body.*", "_place"), "_place").where("kept").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,11 +159,16 @@ def first_words(text: bytes, n: int) -> bytes:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix as documents: one row, with all columns, for each pass that takes words of a document; the text is whole, or
-    where the target ends inside it, its first words."""
+    where the target ends inside it, its first words.  Rows that agree in id, source and text are one row here too, any of them."""
     documents, mix = mixed_pieces(docs, id_col, text_col, source_col, **options)
-    used = mix.groupBy("doc", "source", "of", "pass").agg(F.sum("words").alias("_words")).toDF("_doc", "_source", "_of", "_pass", "_words")
-    same = (column(id_col).cast("long").eqNullSafe(F.col("_doc")) & column(source_col).cast("string").eqNullSafe(F.col("_source"))
-            & (text_of(text_col) == F.col("_of")))
+    used = mix.groupBy("doc", "source", "of", "pass").agg(F.sum("words").alias("_words"))
+    key = lambda doc, source: [F.coalesce(doc, F.lit(0).cast("long")).alias("_doc"), doc.isNull().alias("_no_doc"),
+                               F.coalesce(source, F.lit("")).alias("_source"), source.isNull().alias("_no_source")]
+    keys = ["_doc", "_no_doc", "_source", "_no_source", "_of"]  # without nulls, so that one shuffle serves both steps
+    body = [F.struct(*[column(c) for c in docs.columns]).alias("_body")]
+    once = (docs.select(*body, *key(column(id_col).cast("long"), column(source_col).cast("string")), text_of(text_col).alias("_of"))
+            .dropDuplicates(keys))
+    found = once.join(used.select(*key(F.col("doc"), F.col("source")), F.col("of").alias("_of"), "_words"), keys)
     place, schema = docs.columns.index(text_col), docs.schema
 
     def cut(batches):
@@ -173,5 +178,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-
-    return map_batches(docs.join(used, same).select(*[column(c) for c in docs.columns], "_words"), cut, schema)
+    return map_batches(found.select(*[F.col(f"_body.`{c}`").alias(c) for c in docs.columns], "_words"), cut, schema)

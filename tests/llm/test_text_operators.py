@@ -182,6 +182,36 @@ def test_mixing(docs, rows, nothing):
     assert mixing.taken(*mixing.mixed_pieces(nothing)).count() == 0
 
 
+def test_repeated_rows_are_mixed_once(docs, rows):
+    documents, mix = mixing.mixed_pieces(docs, block=64)
+    used = {(r["doc"], r["source"], r["of"]): r["taken"] for r in mixing.taken(documents, mix).collect()}
+    whole = mixing.mixed_documents(docs, block=64)  # with its repeated rows
+    assert whole.columns == docs.columns
+    words, size = collections.Counter(), collections.Counter()
+    for r in whole.collect():
+        words[r["source"]] += len(r["text"].encode().split())
+        size[r["doc_id"], r["source"]] += len(r["text"].encode().split())
+    of_source = collections.Counter()
+    for (_, source, _), n in used.items():
+        of_source[source] += n
+    assert words == +of_source
+    assert sum(size.values()) == sum(used.values()) and len(rows) > len(set(rows))
+    again = mixing.mixed_documents(docs.unionByName(docs).repartition(5), block=64)
+    assert collections.Counter(map(str, again.collect())) == collections.Counter(map(str, whole.collect()))
+
+
+def test_near_copies_leave_one_row(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    data = [(7, a), (7, a), (7, a), (3, b), (3, b), (9, b), (9, c), (9, d), (None, d), (None, d), (None, a + " end"), (11, c), (12, None), (12, None)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.one_of_near_copies(spark, df, "")
+    assert got.columns == df.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter([(7, a), (3, b), (9, c), (9, d), (12, None)])
+
+
 def test_targets_share_and_stop():
     assert mixing.targets([10, 10], [5, 2]) == [20.0, 10.0]
     assert mixing.targets([], []) == [] and mixing.targets([0, 5], [5, 2]) == [0.0, 7.5]
