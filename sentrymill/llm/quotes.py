@@ -2,8 +2,9 @@
 
 Built-in expressions only.  A line that starts with n signs ``>`` is quoted n levels deep; neighbouring lines of one level are a
 passage.  A passage and each of its lines are normalised (blanks collapsed, lower case) and hashed; so are every message's own text,
-own passages and own lines.  Equal hashes within a conversation link a quoted passage to the first message that holds it
-itself, if that is an earlier one; of several, the one with the most quoted characters counts, then the latest.
+own passages and own lines.  A passage that equals a whole own text or own passage links at any length; single lines link from ``least``
+normalised code points on, as short ones are found in many messages.  Equal hashes within a conversation link a quoted passage to the
+first message that holds it itself, if that is an earlier one; of several, the one with the most quoted characters counts, then the latest.
 
 A message replies to the message that its first-level passages quote, else to the one before it.  Depths come from
 pointer doubling over these links (a chain of n replies takes log n rounds).  The reply order of a conversation is by depth, then
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from sentrymill.llm.common import column, others, own_name, ready, stored
 from sentrymill.session import numbered
 
-#: Normalised code points from which a passage or line is distinctive enough to link by.
+#: Normalised code points from which a single line is distinctive enough to link by.
 LEAST = 12
 _MARK = r"^[ \t]*((?:>[ \t]?)+)"
 
@@ -61,22 +62,23 @@ def own_text(runs: Column) -> Column:
     return F.regexp_replace(F.array_join(F.flatten(F.transform(mine, lambda r: r["lines"])), "\n"), r"^\s*\n|\s+$", "")
 
 
-def _units(wholes: Column) -> Column:
-    """Normalised texts worth linking, of an array of arrays of lines: all lines of each together, and each line."""
-    joined = F.transform(wholes, lambda lines: F.array_join(lines, " "))
-    return F.filter(F.array_distinct(F.transform(F.concat(joined, F.flatten(wholes)), normalised)), lambda t: F.length(t) >= LEAST)
+def _units(wholes: Column, least: int) -> Column:
+    """Normalised texts worth linking, of an array of arrays of lines: all lines of each together, and each line of ``least``."""
+    joined = F.transform(wholes, lambda lines: normalised(F.array_join(lines, " ")))
+    single = F.filter(F.transform(F.flatten(wholes), normalised), lambda t: F.length(t) >= least)
+    return F.filter(F.array_distinct(F.concat(joined, single)), lambda t: t != "")
 
 
-def links(placed: DataFrame) -> DataFrame:
+def links(placed: DataFrame, least: int = LEAST) -> DataFrame:
     """(_conv, _place, passage, level, original): each quoted passage whose original is known."""
     mine = F.transform(F.filter("_runs", lambda r: r["level"] == 0), lambda r: r["lines"])
     # own text as a whole, own passages, own lines; the first place that holds a unit stands for it
-    held = (placed.select("_conv", "_place", F.explode(_units(F.concat(F.array(F.flatten(mine)), mine))).alias("unit"))
+    held = (placed.select("_conv", "_place", F.explode(_units(F.concat(F.array(F.flatten(mine)), mine), least)).alias("unit"))
             .groupBy("_conv", F.xxhash64("unit").alias("hash"), F.xxhash64(F.reverse("unit")).alias("hash2"))
             .agg(F.min("_place").alias("original")))
     quoted = (placed.where(F.exists("_runs", lambda r: r["level"] > 0))
               .select("_conv", "_place", F.posexplode("_runs").alias("passage", "run")).where("run.level > 0")
-              .select("_conv", "_place", "passage", F.col("run.level").alias("level"), F.explode(_units(F.array("run.lines"))).alias("unit"))
+              .select("_conv", "_place", "passage", F.col("run.level").alias("level"), F.explode(_units(F.array("run.lines"), least)).alias("unit"))
               .select("_conv", "_place", "passage", "level", F.length("unit").alias("size"),
                       F.xxhash64("unit").alias("hash"), F.xxhash64(F.reverse("unit")).alias("hash2")))
     found = quoted.join(held, ["_conv", "hash", "hash2"]).where("original < _place")
@@ -97,9 +99,11 @@ def depths(parents: DataFrame) -> DataFrame:
     return now.select("_conv", "_place", "depth")
 
 
-def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text",
+                  least: int = LEAST) -> DataFrame:
     """All rows and columns; own_text, place (by turn, from 0), parent (the place replied to), depth, position (in reply order),
-    quote_levels (deepest level), n_linked (quoted passages whose original is known)."""
+    quote_levels (deepest level), n_linked (quoted passages whose original is known).  Single lines
+    of fewer than ``least`` normalised code points link nothing by themselves."""
     ready(messages.sparkSession)
     results = ["own_text", "place", "parent", "depth", "position", "quote_levels", "n_linked"]
     given = others(messages, *results)
@@ -109,7 +113,7 @@ def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     known = rows.where("_conv is not null").withColumn("_tie", F.xxhash64("_text"))
     # only numbers and hashes are range-partitioned twice; texts once
     placed = stored(parsed(numbered(known, ["_conv"], ["_turn", "_tie"], "_place"), "_text"))
-    linked = stored(links(placed))
+    linked = stored(links(placed, least))
     answered = (linked.where("level = 1").groupBy("_conv", "_place", "original").agg(F.sum("size").alias("size"))
                 .groupBy("_conv", "_place").agg(F.max(F.struct("size", "original")).alias("_best"))
                 .select("_conv", "_place", F.col("_best.original").alias("original")))

@@ -150,6 +150,19 @@ def test_quotations(spark):
     assert quotes.reply_ordered(df.where("false")).count() == 0
 
 
+def test_short_quotes_link(spark):
+    mail = [(0, "Yes, please"), (1, "Which day suits you all?\nNo idea\nTell me soon, it is urgent."), (2, "Let us ask the others."),
+            (3, "> yes,  PLEASE\nGood."), (4, "> Good.\n>> Yes, please\nOk"), (5, "> No idea\nA line of a longer passage is too short."),
+            (6, "> Ok\nNo."), (7, "> \n> never said\nBlank and unknown"), (8, "> No.\n> Ok\nNot a passage of anyone")]
+    df = spark.createDataFrame([(1, *r) for r in mail], "conv_id long, turn long, text string")
+    got = {r["turn"]: r for r in quotes.reply_ordered(df).collect()}
+    assert [got[t]["parent"] for t in range(9)] == [None, 0, 1, 0, 3, 4, 4, 6, 7]
+    assert [got[t]["n_linked"] for t in range(9)] == [0, 0, 0, 1, 2, 0, 1, 0, 0]
+    assert got[3]["depth"] == 1 and got[4]["depth"] == 2
+    low = {r["turn"]: r for r in quotes.reply_ordered(df, least=3).collect()}
+    assert (low[5]["parent"], low[5]["n_linked"], low[8]["parent"]) == (1, 1, 6)
+
+
 def test_quoted_view_links_back(spark):
     turns = spark.createDataFrame([(c, t, "user", f"Message number {c * 100 + t} of this talk.\nIts second line {c}-{t} ends.")
                                    for c in range(3) for t in range(20)], "conv_id long, turn long, role string, text string")
