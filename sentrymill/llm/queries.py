@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import jaccard, lines, mixing, quality, quotes, secret_forest, tokens, toxicity, vectors, warc
-from sentrymill.session import checkpoint_folder
+from sentrymill.llm import byte_pairs, jaccard, lines, mixing, negatives, periodic, quality, quotes, secret_forest, tokens, toxicity, vectors, warc
+from sentrymill.llm.common import WORD
+from sentrymill.session import checkpoint_folder, let
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +120,48 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, given(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_pairs.encoded(given(spark, sf_dir, "documents").select("doc_id", "text"), packed=True)
+    found = byte_pairs.decoded(found.select("doc_id", "ids"))
+    return found.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents, a tenth of them with a passage that repeats: h = crc32(doc_id), g = h div 10; where h ends in 0, each word i from
+    a = g % n on becomes word a + (i - a) % p, p = 1 + (n - a) div (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+
+        def of(places):
+            a, p = places["a"], places["p"]
+            return F.transform(words, lambda _, i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+
+        start = let(F.when(n > 0, g % n), lambda a: F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")))
+        return F.array_join(let(start, of), " ")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text")))
+
+
+@query()
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(given(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    best = periodic.longest(F.col("runs"))
+    lines_ = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                    F.sha2(F.array_join(lines_, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words"))
+
+
+@query()
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(given(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
