@@ -29,15 +29,15 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def token_digest(ids):
-    """Hex SHA-256 of the ids, joined by commas."""
-    return F.sha2(F.array_join(ids, ","), 256)
+    """Hex SHA-256 of packed ids."""
+    return F.sha2(ids, 256)
 
 
 @query()
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens.encoded(given(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = tokens.encoded(given(spark, sf_dir, "documents").select("doc_id", "text"), packed=True)
     found = found.withColumn("nbest_sha256", F.transform("nbest_ids", token_digest))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.get("nbest_sha256", F.lit(0)).alias("ids_sha256"), "scores",
+    return found.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.get("nbest_sha256", F.lit(0)).alias("ids_sha256"), "scores",
                         "nbest_sha256", "round_trip")
 
 

@@ -7,7 +7,9 @@ end: A* then yields the segmentations in the order of their scores, as many as a
 No piece crosses from another character into a word start, over a line break, or from a letter into a full stop or comma (all
 read off the vocabulary; where pieces cross into word starts, a text is one lattice), so the lattice of a text is a chain of
 those of its words, and a word before a full stop is solved as the word alone.  Words are solved once and kept
-per worker; the N best of a text follow exactly from the words with the least gaps to their next best.
+per worker; the N best of a text follow exactly from the words with the least gaps to their next best.  So the forward pass
+keeps the two best scores of each place, which give a word's best way and the gap to its next, and A* runs only for the n - 1
+words of a text with the least gaps.
 
 Characters without a piece become their bytes' pieces (or the unknown piece) and cost 10 less than the worst piece, as in the
 public library's unigram model.  Pieces of control and unused types are never made from a text.
@@ -42,7 +44,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
 SPACE = "▁"
 #: Words kept per worker; they change no result.
-WORDS = 800_000
+WORDS = 250_000
 #: Characters up to which a search keeps all open ways.
 SHORT = 64
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -175,6 +177,40 @@ class Pieces:
             out.append((after, tuple(ids)))
         return out
 
+    def two_best(self, word: str) -> tuple[tuple[int, ...], float, float | None]:
+        """Ids and score of the best segmentation, and what the second loses to it (None where there is no second)."""
+        size, get = len(word), self.look.get
+        best, second = [0.0] + [-1e300] * size, [-1e300] * (size + 1)
+        back: list = [None] * (size + 1)
+        for i in range(size):
+            here, next_here, single = best[i], second[i], False
+            for j in range(i + 1, size + 1):
+                hit = get(word[i:j], 0)
+                if hit is None:
+                    continue
+                if hit == 0:
+                    break
+                piece, value = hit
+                single |= j == i + 1
+                score = here + value
+                if score > best[j] + 1e-9:
+                    second[j] = max(best[j], next_here + value)
+                    best[j], back[j] = score, (i, piece)
+                elif score > second[j]:
+                    second[j] = score
+            if not single:
+                score = here + self.worst
+                if score > best[i + 1] + 1e-9:
+                    second[i + 1] = max(best[i + 1], next_here + self.worst)
+                    best[i + 1], back[i + 1] = score, (i, -1 - i)
+                elif score > second[i + 1]:
+                    second[i + 1] = score
+        parts, at = [], size
+        while at:
+            at, piece = back[at]
+            parts.append((piece,) if piece >= 0 else self.without_piece(word[-1 - piece]))
+        return tuple([x for part in reversed(parts) for x in part]), best[size], best[size] - second[size] if second[size] > -1e299 else None
+
     def words(self, text: str) -> list[str]:
         if not text:
             return []
@@ -188,8 +224,11 @@ class Pieces:
         turns = chosen([[f[0][0] - s for s, _ in f] for f in found], n)
         return [(base - gap, [x for at, f in enumerate(found) for x in f[which.get(at, 0)][1]]) for gap, which in turns]
 
+    def plain_bytes(self, ids) -> bytes:
+        return b"".join(map(self.plain.__getitem__, ids))
+
     def decode_bytes(self, ids) -> bytes:
-        out = b"".join(map(self.plain.__getitem__, ids))
+        out = self.plain_bytes(ids)
         return out[1:] if self.prefix and out[:1] == b" " else out
 
     def decode(self, ids) -> str:
@@ -254,15 +293,28 @@ def decoded(df: DataFrame, ids: str = "ids", model: str = MODEL, text_col: str =
     return map_batches(df.select(*[column(c) for c in names], column(ids).cast("array<int>").alias("_ids")), run, schema)
 
 
-def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int = BEST) -> DataFrame:
+def _parted(pieces: Pieces, word: str) -> tuple[str, tuple[int, float] | None]:
+    """A word, and the piece of a full stop or comma that parts from its end."""
+    end = pieces.ends.get(word[-1])
+    return (word[:-1], end) if end and word[-2:-1].isalpha() else (word, None)
+
+
+def _ways(pieces: Pieces, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best segmentations of a word, its end included."""
+    head, end = _parted(pieces, word)
+    found = pieces.best(head, n)
+    return [(score + end[1], (*ids, end[0])) for score, ids in found] if end else found
+
+
+def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int = BEST, packed: bool = False) -> DataFrame:
     """All rows and columns; ids (of the best segmentation), nbest_ids and scores (of the n best, best first), round_trip (each of
-    nbest_ids decodes to the text)."""
+    nbest_ids decodes to the text).  ``packed``: ids as 4 bytes each, least byte first, instead of lists."""
     ready(docs.sparkSession)
     data = Path(model).read_bytes()  # half a megabyte, sent with the job
     names = others(docs, "ids", "nbest_ids", "scores", "round_trip")
     place = names.index(text_col)
     schema = T.StructType([docs.schema[c] for c in names] + [
-        T.StructField("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("scores", T.ArrayType(T.DoubleType())),
+        T.StructField("nbest_ids", T.ArrayType(T.BinaryType() if packed else T.ArrayType(T.IntegerType()))), T.StructField("scores", T.ArrayType(T.DoubleType())),
         T.StructField("round_trip", T.BooleanType())])
 
     def run(batches):
@@ -271,46 +323,49 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int
             kept.update(model=(data, n), pieces=Pieces.read(data), words={})
         pieces, known = kept["pieces"], kept["words"]
         for batch in batches:
-            ids, scores, numbers, texts = [], [], [], raw(batch.column(place))
+            ids, scores, numbers, same, texts = [], [], [], [], raw(batch.column(place))
             for text in texts:
                 words = pieces.words(text.decode("utf-8", "replace"))
                 if len(known) > WORDS:
                     known.clear()
                 times = Counter(words)
                 for w in set(times).difference(known):
-                    end = pieces.ends.get(w[-1])
-                    head = w[:-1] if end and w[-2:-1].isalpha() else w
+                    head, end = _parted(pieces, w)
                     if head not in known:
-                        found = pieces.best(head, n)
-                        # ids, best score, losses of the others, their ids
-                        known[head] = (struct.pack(f"{len(found[0][1])}i", *found[0][1]), found[0][0],
-                                       tuple([found[0][0] - s for s, _ in found[1:]]),
-                                       tuple([struct.pack(f"{len(x)}i", *x) for _, x in found[1:]]))
-                    if head is not w:
-                        data_of, score, gaps, more = known[head]
-                        last = struct.pack("i", end[0])
-                        known[w] = data_of + last, score + end[1], gaps, tuple([x + last for x in more])
+                        found, score, gap = pieces.two_best(head)
+                        known[head] = struct.pack(f"{len(found)}i", *found), score, gap
+                    if end:
+                        packed_ids, score, gap = known[head]
+                        known[w] = packed_ids + struct.pack("i", end[0]), score + end[1], gap
                 solved = {w: known[w] for w in times}
                 base = sum([solved[w][1] * k for w, k in times.items()])
                 # a word can supply each of its places, but no more than n - 1 places are of use
-                few = heapq.nsmallest(n - 1, [(solved[w][2], w) for w in times if solved[w][2]]) if n > 1 else []
-                spots = [(gaps, w, nth) for gaps, w in few for nth in range(min(times[w], n - 1))]
-                ways = chosen([(0.0, *gaps) for gaps, _, _ in spots], n)
+                few = heapq.nsmallest(n - 1, [(solved[w][2], w) for w in times if solved[w][2] is not None]) if n > 1 else []
+                deep = {w: _ways(pieces, w, n) for _, w in few}
+                spots = [(w, nth) for _, w in few for nth in range(min(times[w], n - 1))]
+                ways = chosen([[deep[w][0][0] - score for score, _ in deep[w]] for w, _ in spots], n)
                 parts = [solved[w][0] for w in words]
-                for _, way in ways:
-                    mine = list(parts) if way else parts
+                for w, ((_, found), *_) in deep.items():  # of ways that score alike the search's first
+                    if struct.pack(f"{len(found)}i", *found) != solved[w][0]:
+                        parts = [struct.pack(f"{len(found)}i", *found) if x == w else p for x, p in zip(words, parts, strict=True)]
+                ids.append(b"".join(parts))
+                sound = pieces.decode_bytes(np.frombuffer(ids[-1], np.int32).tolist()) == text
+                for _, way in ways[1:]:
+                    mine = list(parts)
                     for spot, which in way.items():
-                        _, w, nth = spots[spot]
+                        w, nth = spots[spot]
                         at = -1
                         for _ in range(nth + 1):
                             at = words.index(w, at + 1)
-                        mine[at] = solved[w][3][which - 1]
+                        found = deep[w][which][1]
+                        # lists decode piece by piece, so they agree where the pieces that differ do
+                        sound &= pieces.plain_bytes(found) == pieces.plain_bytes(deep[w][0][1])
+                        mine[at] = struct.pack(f"{len(found)}i", *found)
                     ids.append(b"".join(mine))
+                same.append(sound)
                 scores.append([base - loss for loss, _ in ways])
                 numbers.append(len(ways))
-            lists = _lists(ids)
-            made = iter(_texts(pieces, lists))
-            same = [all([next(made) == text for _ in range(k)]) for text, k in zip(texts, numbers, strict=True)]
+            lists = pa.array(ids, pa.binary()) if packed else _lists(ids)
             best = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *numbers]), pa.int32()), lists)
             yield pa.RecordBatch.from_arrays([*batch.columns, best, pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
                                              [f.name for f in schema])

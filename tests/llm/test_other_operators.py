@@ -266,3 +266,25 @@ def test_pipeline_frame(spark, tmp_path):
         rows_of[r["doc_id"]] += 1
     assert all(abs(got[s] - target[s]) <= 1 for s in order) and max(rows_of.values()) <= 2
     assert 50 not in rows_of and 51 not in rows_of  # a copy, and a row without text
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    extra = ["kept", "_place", "Score", "a.b", "PREDICTED", "n_lines", "_body", "group_id", "c1_", "_key", "a b`c", "TEXT_"]
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 500, 40)), "s", *[f"{c}{i}" for c in extra]) for i in range(20)]
+    schema = "doc_id long, text string, source string, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in extra)
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[:len(docs.columns)] == docs.columns
+        got = out.collect()
+        assert got or name == "toxicity"
+        for r in got:
+            assert r[3:3 + len(extra)] == tuple(f"{c}{r[0]}" for c in extra)
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    clash = docs.withColumn("IDS", F.lit(1))
+    out = corpus_pipeline.encoded(spark, clash, "")
+    assert out.columns == [*docs.columns, *corpus_pipeline.RESULTS]
