@@ -17,34 +17,6 @@ def version_key(version: Column) -> Column:
     return F.when(version.rlike(r"\d"), key).otherwise(F.array(F.lit(0).cast("decimal(38,0)")))
 
 
-# Names of stages before a release, in their order.
-STAGES_BEFORE = [["dev"], ["a", "alpha"], ["b", "beta"], ["rc", "c", "pre", "preview", "m"]]
-
-
-def match_key(version: Column) -> Column:
-    """A key for range tests: release numbers without trailing zeros, then 0 for a release, or -1, stage and number before it.
-
-    Arrays compare number by number, so 2.0rc1 < 2.0 = 2.0.0 < 2.0.1.  A suffix that names a stage, or that follows a hyphen and does
-    not start with a digit or ``post``, stands before the release; build data after a plus sign does not count.
-    """
-    big = "decimal(38,0)"
-    bare = F.regexp_replace(F.lower(F.trim(version)), r"\+.*", "")
-    release = F.regexp_extract(bare, r"(\d+(?:\.\d+)*)", 1)
-    suffix = F.regexp_extract(bare, r"\d+(?:\.\d+)*(.*)\z", 1)
-    numbers = F.regexp_replace(release, r"(?:\.0+)+\z", "")
-    limit = F.lit("9" * 38).cast(big)
-    parts = F.transform(F.regexp_extract_all(numbers, F.lit(r"\d+"), F.lit(0)), lambda x: F.coalesce(x.try_cast(big), limit))
-    parts = F.when(F.size(parts) == 1, F.filter(parts, lambda x: x != 0)).otherwise(parts)
-    stage = F.regexp_extract(suffix, r"\A[-_.]?([a-z]+)", 1)
-    rank = F.lit(len(STAGES_BEFORE))  # a stage of another name
-    for i, names in enumerate(STAGES_BEFORE):
-        rank = F.when(stage.isin(names), i).otherwise(rank)
-    before = (rank < len(STAGES_BEFORE)) | (suffix.rlike(r"\A-[a-z]") & (stage != "post"))
-    step = F.coalesce(F.regexp_extract(suffix, r"\A[-_.]?[a-z]+[-_.]?(\d+)", 1).try_cast(big), F.lit(0).cast(big))
-    ending = F.when(before, F.array(F.lit(-1).cast(big), rank.cast(big), step)).otherwise(F.array(F.lit(0).cast(big)))
-    return F.when(version.rlike(r"\d"), F.concat(parts, ending)).otherwise(F.array(F.lit(0).cast(big)))
-
-
 def matched_name(ecosystem: Column, name: Column) -> Column:
     """The form in which an ecosystem compares package names."""
     return (F.when(ecosystem == "PyPI", F.regexp_replace(F.lower(name), "[-_.]+", "-"))

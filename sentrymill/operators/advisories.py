@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from sentrymill import schema
 from sentrymill.fixed_values import packages as P
 from sentrymill.functions import versions as V
+from sentrymill.functions.version_order import order_key
 from sentrymill.session import let, once, spread_join
 
+#: What an event of a range can say of its version.
+EVENTS = ("introduced", "fixed", "last_affected")
+
 
 def parsed(documents: DataFrame, column: str = "doc") -> DataFrame:
-    """One row per advisory document (nested JSON text); unreadable or empty ones drop out."""
+    """One row per advisory document (nested JSON text); unreadable, empty and withdrawn ones drop out."""
     return (documents.select(once(F.from_json(column, schema.ADVISORY)).alias("a"))
-            .where(F.col("a.id").isNotNull()).select("a.*"))
+            .where(F.col("a.id").isNotNull() & (F.coalesce("a.withdrawn", F.lit("")) == "")).select("a.*").drop("withdrawn"))
 
 
 def severity(scores: Column, qualitative: Column) -> Column:
@@ -48,48 +52,95 @@ def _version_ranges(affected: Column) -> Column:
     return F.filter(ranges, lambda r: F.coalesce(r["type"], F.lit("")) != "GIT")
 
 
-def _intervals(affected: Column) -> Column:
-    """(introduced, fixed, last) triples: an introduction up to the fix or the last affected version that follows it, if any."""
-    def of_range(r: Column) -> Column:
-        events = r["events"]
-        steps = F.transform(events, lambda e, i: F.struct(
-            e["introduced"].alias("introduced"), F.try_element_at(events, i + 2)["fixed"].alias("fixed"),
-            F.try_element_at(events, i + 2)["last_affected"].alias("last")))
-        return F.filter(steps, lambda s: s["introduced"].isNotNull())
+def range_events(summaries: DataFrame) -> DataFrame:
+    """(ecosystem, _name, vuln_id, _range, version, kind): the events of each version range of each package of an advisory."""
+    each = (summaries.select("vuln_id", F.posexplode("affected").alias("_i", "a"))
+            .select("vuln_id", "_i", F.col("a.package.ecosystem").alias("ecosystem"),
+                    V.matched_name(F.col("a.package.ecosystem"), F.col("a.package.name")).alias("_name"),
+                    F.posexplode(_version_ranges(F.col("a"))).alias("_j", "r"))
+            .select("vuln_id", "ecosystem", "_name", F.struct("_i", "_j").alias("_range"), F.explode("r.events").alias("e")))
+    kinds = F.array(*[F.struct(F.col(f"e.{name}").alias("version"), F.lit(name).alias("kind")) for name in EVENTS])
+    return each.select("ecosystem", "_name", "vuln_id", "_range", F.inline(kinds)).where(F.col("version").isNotNull())
+
+
+def spans(events: DataFrame) -> DataFrame:
+    """(ecosystem, _name, vuln_id, low, high, top): stretches of places from an introduction to the next end.
+
+    ``events`` have a ``place``, two apart for versions that differ, so that a last affected version ends behind its own place.  Whatever
+    order a document lists its events in, they count by place; where a fix and an introduction share one, the fix wins.
+    """
+    at = F.col("place") + (F.col("kind") == "last_affected").cast("long")
+    # the events of one range of one document
+    of_range = (events.groupBy("ecosystem", "_name", "vuln_id", "_range", "top")
+                .agg(F.collect_set(F.when(F.col("kind") == "introduced", at)).alias("on"),
+                     F.collect_set(F.when(F.col("kind") != "introduced", at)).alias("off")))
+    begun = F.filter("on", lambda x: ~F.array_contains("off", x))
+    each = F.transform(begun, lambda x: F.struct(x.alias("low"), F.coalesce(
+        F.array_min(F.filter("off", lambda y: y > x)), F.col("top")).alias("high")))
+    return of_range.select("ecosystem", "_name", "vuln_id", "top", F.inline(F.array_distinct(each)))
+
 
-    return F.flatten(F.transform(_version_ranges(affected), of_range))
+def _levels(top: Column) -> Column:
+    """0, 1, ... up to the level whose one block holds all places below ``top``."""
+    return F.sequence(F.lit(0), F.length(F.bin(top)))
 
 
-def ranges(summaries: DataFrame) -> DataFrame:
-    """(ecosystem, _name, vuln_id, spans, versions, ...): per advisory and package, intervals of match keys and listed versions."""
-    key = lambda v: F.when(v.isNotNull(), V.match_key(v))
+def _blocks(low: Column, high: Column, top: Column) -> Column:
+    """The aligned blocks, of lengths 1, 2, 4, ..., that fill the stretch from ``low`` up to ``high``: two a level at most."""
+    def of_level(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        first, last = F.floor((low + size - 1) / size), F.floor(high / size)
+        block = lambda n: F.struct(k.alias("level"), n.cast("long").alias("block"))
+        return F.when(first < last, F.concat(F.when(first % 2 == 1, F.array(block(first))).otherwise(F.array()),
+                                             F.when(last % 2 == 1, F.array(block(last - 1))).otherwise(F.array())))
+
+    return F.flatten(F.filter(F.transform(_levels(top), of_level), lambda b: b.isNotNull()))
+
+
+def affected(coordinates: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(ecosystem, _name, version, vuln_id) of the distinct ``coordinates`` that a range of an advisory holds, or that it lists.
+
+    Versions and the ends of ranges are put in one order per package, so a range is a stretch of places.  A stretch is cut into the few aligned
+    blocks that fill it, and a version meets the block that it lies in on each level: an interval join that is an equality join, with
+    exactly the pairs that hold as its rows, however many advisories and versions a package has.
+    """
+    events = range_events(summaries)
+    package = ["ecosystem", "_name"]
+    known = coordinates.join(events.select(*package).distinct(), package, "left_semi")
+    nothing = F.lit(None)
+    both = events.unionByName(known.select(*package, nothing.cast("string").alias("vuln_id"), nothing.cast(events.schema["_range"].dataType).alias("_range"),
+                                           "version", F.lit("version").alias("kind")))
     # "0" introduces from the first version on, pre-releases of it included
-    spans = F.transform(_intervals(F.col("a")), lambda s: F.struct(
-        F.when(s["introduced"] != "0", V.match_key(s["introduced"])).alias("low"), key(s["fixed"]).alias("high"), key(s["last"]).alias("last")))
-    ecosystem, name = F.col("a.package.ecosystem"), F.col("a.package.name")
-    each = summaries.select("vuln_id", "severity", "summary", "fixed_version", F.explode("affected").alias("a"))
-    return (each.select("vuln_id", "severity", "summary", "fixed_version", ecosystem.alias("ecosystem"), V.matched_name(ecosystem, name).alias("_name"),
-                        spans.alias("spans"), F.coalesce("a.versions", F.array().cast("array<string>")).alias("versions"))
-            .where((F.size("spans") > 0) | (F.size("versions") > 0)))
+    first = (F.col("kind") == "introduced") & (F.col("version") == "0")
+    keyed = both.select("*", once(F.when(~first, order_key(F.col("ecosystem"), F.col("version")))).alias("_key"))
+    rank = F.dense_rank().over(Window.partitionBy(*package).orderBy(F.col("_key").asc_nulls_first())).cast("long")
+    placed = keyed.withColumn("place", F.when(F.col("_key").isNull(), F.lit(0).cast("long")).otherwise(2 * rank))
+    top = F.max("place").over(Window.partitionBy(*package)) + 2
+    placed = placed.withColumn("top", top).drop("_key")
+    stretches = spans(placed.where("kind <> 'version'"))
+    blocks = stretches.select(*package, "vuln_id", F.inline(_blocks(F.col("low"), F.col("high"), F.col("top"))))
+    points = placed.where("kind = 'version'").select(*package, "version", "place", F.explode(_levels(F.col("top"))).alias("level"))
+    points = points.withColumn("block", F.floor(F.col("place") / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))))
+    held = spread_join(points, blocks, [*package, "level", "block"]).select(*package, "version", "vuln_id")
+    listed = (summaries.select("vuln_id", F.explode("affected").alias("a"))
+              .select(F.col("a.package.ecosystem").alias("ecosystem"), V.matched_name(F.col("a.package.ecosystem"), F.col("a.package.name")).alias("_name"),
+                      F.explode("a.versions").alias("version"), "vuln_id"))
+    named = coordinates.join(listed, [*package, "version"]).select(*package, "version", "vuln_id")
+    return held.unionByName(named).distinct()
 
 
 def matched(declared: DataFrame, advisories: DataFrame) -> DataFrame:
     """``declared`` rows joined with every advisory one of whose ranges holds their version, or that lists it.
 
-    The equality on (ecosystem, name as the ecosystem compares it) moves the rows; the tests are a residual of the same join.
-    Keys of both sides are computed before it.  A package is listed once per advisory even when two of its ranges hold.
+    Distinct (ecosystem, name as the ecosystem compares it, version) are matched once; declared rows then meet their advisories by
+    equality.  A package is listed once per advisory even when two of its ranges hold.  ``declared`` is read twice: rows that are
+    costly to make are better passed as a stored table.
     """
-    keyed = (declared.withColumn("_key", V.match_key(F.col("version")))
-             .withColumn("_name", V.matched_name(F.col("ecosystem"), F.col("package"))))
-    spans = (ranges(summarised(advisories))
-             .groupBy("ecosystem", "_name", "vuln_id", "severity", "summary", "fixed_version")
-             .agg(F.flatten(F.collect_list("spans")).alias("_spans"),  # the ranges of one advisory document
-                  F.flatten(F.collect_list("versions")).alias("_versions")))
-    at = F.col("_key")
-    inside = F.exists("_spans", lambda s: (s["low"].isNull() | (at >= s["low"])) & (s["high"].isNull() | (at < s["high"]))
-                      & (s["last"].isNull() | (at <= s["last"])))
-    listed = F.array_contains("_versions", F.col("version"))
-    return spread_join(keyed, spans, ["ecosystem", "_name"], condition=inside | listed).drop("_key", "_name", "_spans", "_versions")
+    summaries = summarised(advisories)
+    named = declared.withColumn("_name", V.matched_name(F.col("ecosystem"), F.col("package")))
+    found = affected(named.select("ecosystem", "_name", "version").distinct(), summaries)
+    found = spread_join(found, summaries.drop("affected"), ["vuln_id"])
+    return spread_join(named, found, ["ecosystem", "_name", "version"]).drop("_name")
 
 
 def dependency_findings(declared: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -89,12 +89,12 @@ def scan(files: DataFrame, phases: Iterable[str] = ALL_PHASES, advisory_table: D
          ignore_file: str | None = ignore.IGNORE_FILE) -> DataFrame:
     """Findings of the requested phases; a phase that is not requested is not in the plan.
 
-    Two phases that read the manifests share one extraction, kept durably.
+    The phases that read the manifests share one extraction, kept durably.
     """
     phases = tuple(phases)
     if {"deps", "licenses"} & set(phases):
         declared = declared_packages(files, use_default_ignores, ignore_file)
-        if {"deps", "licenses"} <= set(phases):
+        if "deps" in phases:
             declared = durable(declared)
     visible = ignore.visible(files, use_default_ignores, ignore_file)
     parts = []

@@ -19,7 +19,7 @@ FINDING_COLUMNS = {
 }
 
 ADVISORY = """
-id string, summary string,
+id string, summary string, withdrawn string,
 severity array<struct<type: string, score: string>>,
 affected array<struct<package: struct<ecosystem: string, name: string>,
                       versions: array<string>,

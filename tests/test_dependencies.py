@@ -1,10 +1,14 @@
+import collections
 import itertools
 import json
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sentrymill.fixed_values import packages as P
+from sentrymill.functions.version_order import order_key
 from sentrymill.functions import versions as V
 from sentrymill.operators import advisories, bumps, manifests
 
@@ -127,13 +131,118 @@ def test_range_edges(spark):
     assert sorted(f.version for f in found) == ["1.0", "1.5", "1.9", "2.0", "3"]  # 1.5 once though two ranges hold
 
 
-def test_match_keys_order_releases(spark):
-    order = ["0", "1.0.dev2", "1.0a1", "1.0-alpha.2", "1.0b1", "1.0rc1", "1.0", "1.0.1", "1.1-beta", "1.1", "2.0.0-rc.1", "2", "10.0"]
-    rows = spark.createDataFrame(list(enumerate(order)), "i int, v string").orderBy(V.match_key(F.col("v")), "i").collect()
-    assert [r.v for r in rows] == order
-    same = [("1.0", "1.0.0"), ("v2", "2.0.0"), ("1.0+local.5", "1"), ("1.0-post1", "1.0")]
-    df = spark.createDataFrame(same, "a string, b string")
-    assert df.where(V.match_key(F.col("a")) != V.match_key(F.col("b"))).count() == 0
+ORDERS = {
+    "npm": ["0", "0.1.0", "1.0.0-0.3.7", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11",
+            "1.0.0-rc.1", "v1.0.0", "1.0.1", "1.10", "2.0.0-rc.1", "2", "10.0"],
+    "Go": ["0.0.0-20190308221718-c2843e01d9a2", "0.0.0-20211202192323-5770296d904e", "v0.1.0", "v0.1.1-0.20200101000000-abcdefabcdef", "v0.1.1",
+           "v2.0.0-pre.0.20200101000000-abcdefabcdef", "v2.0.0+incompatible"],
+    "PyPI": ["0", "1.0.dev2", "1.0a1.dev1", "1.0a1", "1.0a1.post1", "1.0-alpha.2", "1.0b1", "1.0rc1", "1.0", "1.0+local.5", "1.0.post1.dev1",
+             "1.0-1", "1.0.post2", "1.0.1", "1.1-beta", "1.1", "2", "10.0", "1!0.1", "1!1.0", "2!0"],
+    "RubyGems": ["1.0.a", "1.0.a.2", "1.0.a.10", "1.0.b1", "1.0.0-rc1", "1.0.rc1", "1.0", "1.0.1.pre", "1.0.1", "1.2", "1.10"],
+    "Packagist": ["1.0.0-dev", "1.0-alpha", "1.0.0-alpha2", "v1.0.0-beta1", "1.0.0-RC1", "1.0", "1.0.0-patch1", "1.0.1", "1.10.0"],
+    "Maven": ["1-alpha", "1.0-alpha-2", "1-beta-1", "1.0-m1", "1-rc1", "1.0-SNAPSHOT", "1.0.0.Final", "1-sp1", "1-foo", "1-1", "1.1", "1.2", "1.10"],
+}
+
+
+def keys_of(spark, rows):
+    df = spark.createDataFrame(rows, "e string, v string")
+    return {(r.e, r.v): r.k for r in df.select("e", "v", order_key(F.col("e"), F.col("v")).alias("k")).collect()}
+
+
+def test_version_order_of_each_ecosystem(spark):
+    keys = keys_of(spark, [(e, v) for e, order in ORDERS.items() for v in order])
+    for ecosystem, order in ORDERS.items():
+        found = [keys[ecosystem, v] for v in order]
+        assert all(a < b for a, b in zip(found, found[1:], strict=False)), ecosystem
+    same = [("PyPI", "1.0", "1.0.0"), ("PyPI", "v2", "2.0.0"), ("PyPI", "1.0-post1", "1.0.post1"), ("PyPI", "1.0_C2", "1.0rc2"), ("PyPI", "1.0.r3", "1.0-3"),
+            ("npm", "1.0.0+build.5", "1"), ("npm", "v0.0", "0.0.0"), ("Go", "v1.2.0+incompatible", "1.2"), ("RubyGems", "1.0.0", "1"),
+            ("Packagist", "v1.0.0-RC1", "1.0-rc1"), ("Maven", "1.0.ga", "1"), ("Odd", "release-1.20", "1.20")]
+    keys = keys_of(spark, [(e, v) for e, *two in same for v in two])
+    assert all(keys[e, a] == keys[e, b] for e, a, b in same)
+    assert set(keys_of(spark, [(e, v) for e in ORDERS for v in ("", "x", "dev-master")]).values()) == {""}
+    assert keys_of(spark, [("PyPI", None)])["PyPI", None] is None
+    big = keys_of(spark, [("npm", "9" * 50), ("npm", "1" + "0" * 50)])
+    assert big["npm", "9" * 50] < big["npm", "1" + "0" * 50]
+
+
+def test_python_versions_compare_as_published(spark):
+    version = pytest.importorskip("packaging.version")
+    rng = random.Random(3)
+
+    def drawn():
+        out = rng.choice(["", "", "", "1!", "v"]) + ".".join(str(rng.choice([0, 0, 1, 2, 10])) for _ in range(rng.randint(1, 4)))
+        for share, choices in ((0.4, ["a1", ".alpha", "-b10", "_beta2", "c3", "rc.3", "pre", ".preview1"]), (0.3, [".post1", "-1", "post", "-r2", ".post10"]),
+                               (0.3, [".dev0", ".dev10", "dev"]), (0.2, ["+abc", "+1", "+abc.1", "+10.x", "+ubuntu-1"])):
+            out += rng.choice(choices) if rng.random() < share else ""
+        return out
+
+    versions = sorted({drawn() for _ in range(800)})
+    keys = keys_of(spark, [("PyPI", v) for v in versions])
+    parsed = {v: version.Version(v) for v in versions}
+    for _ in range(50_000):
+        a, b = rng.choice(versions), rng.choice(versions)
+        assert (parsed[a] < parsed[b]) == (keys["PyPI", a] < keys["PyPI", b]) and (parsed[a] == parsed[b]) == (keys["PyPI", a] == keys["PyPI", b]), (a, b)
+
+
+def semantic(version):
+    """Precedence of a semantic version by its published rules."""
+    core, _, stage = version.partition("-")
+    names = [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in stage.split(".")] if stage else []
+    return tuple(map(int, core.split("."))), not stage, names
+
+
+def test_semantic_versions_compare_as_published(spark):
+    rng = random.Random(4)
+    part = lambda: rng.choice(["0", "1", "10", "alpha", "beta", "rc", "x-y", "B", "20190308221718-c2843e01d9a2"])
+    versions = sorted({".".join(str(rng.choice([0, 1, 2, 10])) for _ in range(3)) + ("-" + ".".join(part() for _ in range(rng.randint(1, 3))) if rng.random() < 0.6 else "")
+                       for _ in range(600)})
+    keys = keys_of(spark, [("npm", v) for v in versions])
+    assert sorted(versions, key=semantic) == sorted(versions, key=lambda v: keys["npm", v])
+
+
+def test_ranges_follow_version_order(spark):
+    def hit(ecosystem, events, versions, **more):
+        adv = {"id": "A", "affected": [{"package": {"ecosystem": ecosystem, "name": "p"}, "ranges": [{"type": "ECOSYSTEM", "events": events}]}], **more}
+        declared = spark.createDataFrame([("r", "f", "p", v, ecosystem) for v in versions], "repo string, file string, package string, version string, ecosystem string")
+        return sorted(r.version for r in advisories.dependency_findings(declared, docs(spark, adv)).collect())
+
+    to = lambda fix: [{"introduced": "0"}, {"fixed": fix}]
+    assert hit("Go", to("0.0.0-20211202192323-5770296d904e"), ["0.0.0-20190308221718-c2843e01d9a2", "0.0.0-20211202192323-5770296d904e", "0.1.0"]) == [
+        "0.0.0-20190308221718-c2843e01d9a2"]
+    assert hit("PyPI", to("1!1.5"), ["9.0", "1!1.0", "1!1.5", "2!0"]) == ["1!1.0", "9.0"]
+    assert hit("PyPI", to("1.0.post2"), ["1.0", "1.0.post1", "1.0.post2", "1.1"]) == ["1.0", "1.0.post1"]
+    assert hit("npm", to("1.0.0"), ["1.0.0-0.3.7", "1.0.0-5", "1.0.0", "0.9.0"]) == ["0.9.0", "1.0.0-0.3.7", "1.0.0-5"]
+    assert hit("PyPI", [{"fixed": "2.0"}, {"introduced": "1.0"}], ["0.5", "1.5", "2.5"]) == ["1.5"]
+    mixed = [{"introduced": "3.0"}, {"fixed": "2.0"}, {"last_affected": "3.2"}, {"introduced": "1.0"}, {"introduced": "1.1"}, {"introduced": "5"}, {"fixed": "5"}]
+    assert hit("PyPI", mixed, ["0.9", "1.0", "1.9", "2.0", "3.0", "3.2", "3.2.1", "5", "6"]) == ["1.0", "1.9", "3.0", "3.2"]
+    assert hit("PyPI", to("2"), ["1"], withdrawn="2021-01-01T00:00:00Z") == []
+    assert hit("PyPI", to("2"), ["1", "1"], withdrawn="") == ["1", "1"]
+    assert hit("PyPI", [{"introduced": "0"}], ["x", "1"]) == ["1", "x"] and hit("PyPI", [], ["1"]) == []
+
+
+def test_blocks_fill_stretches(spark):
+    rows = [(a, b, 70) for a in range(0, 66, 3) for b in range(a, 66, 5)]
+    df = spark.createDataFrame(rows, "low long, high long, top long")
+    for r in df.select("low", "high", advisories._blocks(F.col("low"), F.col("high"), F.col("top")).alias("b")).collect():
+        covered = [x for level, block in r.b for x in range(block << level, block + 1 << level)]
+        assert sorted(covered) == list(range(r.low, r.high)) and max(collections.Counter(b.level for b in r.b).values(), default=0) <= 2
+
+
+def test_hot_package_with_many_advisories(spark, no_broadcast):
+    """Random ranges of one package against a plain test of each pair, and rows made in proportion to what holds."""
+    rng = random.Random(6)
+    adv, ranges = [], []
+    for i in range(300):
+        low = rng.randint(0, 400)
+        high = low + rng.randint(1, 40)
+        ranges.append((f"A{i}", low, high))
+        adv.append({"id": f"A{i}", "affected": [{"package": {"ecosystem": "npm", "name": "hot"}, "ranges": [{"events": [{"fixed": f"1.{high}.0"}, {"introduced": f"1.{low}.0"}]}]}]})
+    versions = [f"1.{n}.0" for n in range(450)]
+    declared = spark.createDataFrame([(f"r{i}", "f", "hot", v, "npm") for i, v in enumerate(versions)], "repo string, file string, package string, version string, ecosystem string")
+    found = advisories.dependency_findings(declared, docs(spark, *adv))
+    assert sorted((r.version, r.vuln_id) for r in found.collect()) == sorted((f"1.{n}.0", i) for n in range(450) for i, low, high in ranges if low <= n < high)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any(sign in line for line in joins for sign in (">=", "<=", " < ", " > "))  # equalities alone
 
 
 def test_advisory_ranges_names_and_lists(spark):

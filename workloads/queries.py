@@ -11,7 +11,7 @@ from sentrymill.functions.suppress import scopes, suppressed
 from sentrymill.functions.text import decode
 from sentrymill.operators import advisories, bumps, classify, hygiene, ignore, manifests, match, secrets
 from sentrymill.operators.lines import lines
-from sentrymill.session import tune
+from sentrymill.session import durable, tune
 from workloads import duck, planted, views
 
 QUERIES: dict = {}
@@ -206,7 +206,26 @@ def lookup_batches(spark, d):
 
 @query(f"{_PA} SELECT * FROM dep_f")
 def vulnerable_dependencies(spark, d):
-    return advisories.dependency_findings(_declared(spark, d), _advisories(spark, d))
+    return advisories.dependency_findings(durable(_declared(spark, d)), _advisories(spark, d))
+
+
+# what a range holds follows from the numbers that the versions were made of
+@query("""
+WITH i AS (SELECT l_orderkey, l_partkey, l_linenumber % 6 AS x, l_quantity::INT % 9 AS y, p_size % 5 AS a, p_partkey % 7 AS b, p_partkey % 8 AS kind
+   FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT 'repo-' || l_orderkey AS repo, 'shape-' || l_partkey AS package, 'SHP-' || l_partkey AS vuln_id,
+   CASE kind WHEN 0 THEN 'v0.0.0-2020010' || x || '10101' || y || '-ffffffffffff'
+     WHEN 1 THEN CASE WHEN x > 0 THEN x || '!' ELSE '' END || y || '.0.0'
+     WHEN 2 THEN CASE x WHEN 0 THEN '1.0' WHEN 1 THEN '1.0-' || y ELSE '1.0.post' || y END
+     WHEN 3 THEN CASE WHEN x = 0 THEN '1.0.0' ELSE '1.0.0-' || x || '.' || y END
+     WHEN 4 THEN x || '.' || y WHEN 6 THEN '1.' || x || '.rc' || y
+     ELSE '1.0-' || CASE x WHEN 0 THEN 'RC' ELSE 'beta' END || y END AS version
+FROM i WHERE CASE kind WHEN 0 THEN (x, y) < (a, b) WHEN 1 THEN (x, y) < (a, b) WHEN 2 THEN x = 0 OR y < b
+   WHEN 3 THEN x > 0 AND (x, y) >= (a, 3) WHEN 4 THEN (x, y) >= (a, 0) AND NOT (a <= b AND (x, y) >= (b, 5))
+   WHEN 6 THEN (x, y) <= (a, b) WHEN 7 THEN x > 0 AND y < 10 + b ELSE false END""")
+def version_shapes(spark, d):
+    found = advisories.matched(views.shaped_packages(spark, d), advisories.parsed(views.shaped_advisories(spark, d)))
+    return found.select("repo", "package", "vuln_id", "version")
 
 
 @query(duck.with_(duck.ADVISORIES) + "SELECT vuln_id, severity, summary, fixed_version FROM advisories")

@@ -170,6 +170,49 @@ def advisory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(word.alias("severity")).alias("database_specific"))).alias("doc"))
 
 
+def shaped_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc STRING: an advisory per part whose versions have the shape that p_partkey % 8 names; a = p_size % 5, b = p_partkey % 7."""
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    p, a, b = F.col("p_partkey"), (F.col("p_size") % 5).cast("string"), (F.col("p_partkey") % 7).cast("string")
+    kind = p % 8
+    eco = F.element_at(F.array(*[F.lit(e) for e in ("Go", "PyPI", "PyPI", "npm", "PyPI", "npm", "RubyGems", "Packagist")]), (kind + 1).cast("int"))
+    none = F.lit(None).cast("string")
+
+    def event(introduced=none, fixed=none, last=none) -> F.Column:
+        return F.struct(introduced.alias("introduced"), fixed.alias("fixed"), last.alias("last_affected"))
+
+    start = event(F.lit("0"))
+    # the document of kind 4 lists its fix first
+    events = (F.when(kind == 0, F.array(start, event(fixed=F.concat(F.lit("0.0.0-2020010"), a, F.lit("10101"), b, F.lit("-c2843e01d9a2")))))
+              .when(kind == 1, F.array(start, event(fixed=F.concat(a, F.lit("!"), b, F.lit(".0")))))
+              .when(kind == 2, F.array(start, event(fixed=F.concat(F.lit("1.0.post"), b))))
+              .when(kind == 3, F.array(event(F.concat(F.lit("1.0.0-"), a, F.lit(".3"))), event(fixed=F.lit("1.0.0"))))
+              .when(kind == 4, F.array(event(fixed=F.concat(b, F.lit(".5"))), event(F.concat(a, F.lit(".0")))))
+              .when(kind == 5, F.array(start, event(fixed=F.lit("99"))))
+              .when(kind == 6, F.array(start, event(last=F.concat(F.lit("1."), a, F.lit(".rc"), b))))
+              .otherwise(F.array(start, event(fixed=F.concat(F.lit("1.0.0-beta1"), b)))))
+    package = F.struct(eco.alias("ecosystem"), F.concat(F.lit("shape-"), p.cast("string")).alias("name"))
+    return parts.select(F.to_json(F.struct(
+        F.concat(F.lit("SHP-"), p.cast("string")).alias("id"), F.when(kind == 5, "2021-01-01T00:00:00Z").alias("withdrawn"),
+        F.array(F.struct(package.alias("package"), F.array(F.struct(events.alias("events"))).alias("ranges"))).alias("affected"))).alias("doc"))
+
+
+def shaped_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, package, ecosystem, version) of each line item in the shape of its part; x = l_linenumber % 6, y = l_quantity % 9."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    p, x, y = F.col("l_partkey"), (F.col("l_linenumber") % 6).cast("string"), (F.col("l_quantity").cast("int") % 9).cast("string")
+    kind = p % 8
+    eco = F.element_at(F.array(*[F.lit(e) for e in ("Go", "PyPI", "PyPI", "npm", "PyPI", "npm", "RubyGems", "Packagist")]), (kind + 1).cast("int"))
+    version = (F.when(kind == 0, F.concat(F.lit("v0.0.0-2020010"), x, F.lit("10101"), y, F.lit("-ffffffffffff")))
+               .when(kind == 1, F.concat(F.when(x != "0", F.concat(x, F.lit("!"))).otherwise(""), y, F.lit(".0.0")))
+               .when(kind == 2, F.when(x == "0", "1.0").when(x == "1", F.concat(F.lit("1.0-"), y)).otherwise(F.concat(F.lit("1.0.post"), y)))
+               .when(kind == 3, F.when(x == "0", "1.0.0").otherwise(F.concat(F.lit("1.0.0-"), x, F.lit("."), y)))
+               .when(kind == 4, F.concat(x, F.lit("."), y)).when(kind == 5, "1.0.0")
+               .when(kind == 6, F.concat(F.lit("1."), x, F.lit(".rc"), y)).otherwise(F.concat(F.lit("1.0-"), F.when(x == "0", "RC").otherwise("beta"), y)))
+    return items.select(F.concat(F.lit("repo-"), F.col("l_orderkey").cast("string")).alias("repo"), F.concat(F.lit("shape-"), p.cast("string")).alias("package"),
+                        eco.alias("ecosystem"), version.alias("version"))
+
+
 LICENCE_CHOICES = [["MIT"], ["GPL-3.0"], ["AGPL-3.0-only"], ["LGPL-2.1"], ["MPL-2.0"], [""], ["NOASSERTION"],
                    ["Apache-2.0"], ["gpl-3.0"], ["EPL-2.0"], [], None, ["MIT", "GPL-2.0"]]
 
