@@ -42,10 +42,12 @@ def hostname(target: Column) -> Column:
 
 def ipv4_number(address: Column) -> Column:
     """The address as an integer; null unless it is a dotted quad within range."""
-    ok = address.rlike(r"\A(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|\z)){4}\z") & ~F.endswith(
-        address, F.lit("."))
-    part = [F.regexp_extract(address, r"\A(\d+)\.(\d+)\.(\d+)\.(\d+)\z", i).try_cast("bigint") for i in range(1, 5)]
-    return F.when(ok, part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3])
+    quad = address.rlike(r"\A(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|\z)){4}(?<!\.)\z")
+
+    def number(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n * 256 + x.cast("bigint"))
+
+    return F.when(quad, number(F.split(address, r"\.")))
 
 
 def _block(address: str, bits: int) -> tuple[int, int]:
@@ -59,25 +61,32 @@ def ipv6_hex(address: Column) -> Column:
 
     A zone is left out, an embedded IPv4 address counts as two groups, ``::`` as the groups that are missing.
     """
-    bare = F.lower(F.regexp_replace(address, "%.*", ""))
-    tail = F.regexp_extract(bare, r":([0-9.]+)\z", 1)
-    number = F.when(F.contains(tail, F.lit(".")), ipv4_number(tail))
-    pair = F.concat(F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)))
-    plain = F.when(~F.contains(bare, F.lit(".")), bare).otherwise(F.concat(F.regexp_replace(bare, r"[0-9.]+\z", ""), pair))
+    def with_quad(bare: Column) -> Column:
+        def as_groups(number: Column) -> Column:
+            return F.concat(F.regexp_replace(bare, r"[0-9.]+\z", ""), F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)))
+
+        quad = let(ipv4_number(F.substring_index(bare, ":", -1)), as_groups)
+        return F.when(F.contains(bare, F.lit(".")), quad).otherwise(bare)
 
     def groups(text: Column) -> Column:
         return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
-    def expanded(text: Column) -> Column:
+    def listed(text: Column) -> Column:
+        def around(sides: Column) -> Column:
+            left, right = sides["left"], sides["right"]
+            missing = 8 - F.size(left) - F.size(right)
+            return F.when(missing > 0, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+
         gaps = F.size(F.split(text, "::"))
-        left, right = groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1))
-        missing = 8 - F.size(left) - F.size(right)
-        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
-        every = F.when(gaps == 1, F.split(text, ":")).when((gaps == 2) & (missing > 0), F.concat(left, zeros, right))
-        sound = (F.size(every) == 8) & ~F.contains(text, F.lit(":::")) & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
+        sides = F.struct(groups(F.substring_index(text, "::", 1)).alias("left"), groups(F.substring_index(text, "::", -1)).alias("right"))
+        return (F.when(F.contains(text, F.lit(":::")), F.lit(None).cast("array<string>"))
+                .when(gaps == 1, F.split(text, ":")).when(gaps == 2, let(sides, around)))
+
+    def joined(every: Column) -> Column:
+        sound = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
         return F.when(sound, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
-    return expanded(plain)
+    return let(let(let(F.lower(F.substring_index(address, "%", 1)), with_quad), listed), joined)
 
 
 def _between_v6(digits: Column, block: tuple[str, int]) -> Column:
@@ -102,9 +111,11 @@ def is_public(address: Column) -> Column:
             closed = closed | _between_v6(digits, block)
         return _between_v6(digits, GLOBAL_V6) & ~closed
 
-    number = ipv4_number(address)
-    return F.when(number.isNotNull(), public_v4(number)).when(
-        F.contains(address, F.lit(":")), let(ipv6_hex(address), public_v6))
+    def of_number(number: Column) -> Column:
+        return F.when(number.isNotNull(), public_v4(number)).when(
+            F.contains(address, F.lit(":")), let(ipv6_hex(address), public_v6))
+
+    return let(ipv4_number(address), of_number)
 
 
 def resolves_public(addresses: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrymill.functions.text import basename, regex, split_lines, strip, unix_path
@@ -79,21 +79,38 @@ def package_json_edits(files: DataFrame, bumps: DataFrame) -> DataFrame:
         "repo", "path", "section", F.explode(fixed).alias("package", "version"))
 
 
-def rewrite_package_json(content: Column, fixes: Column) -> Column:
-    """The text with planned fixes as ``^`` ranges in its dependency sections; all else, order and layout included, stays."""
-    section = r'"(?:' + "|".join(SECTIONS) + r')"\s*:\s*\{[^{}]*\}'  # these sections hold plain names and ranges
+# A string, a sign, white space, anything else; a quote that nothing closes stands alone.
+_TOKEN = r'''"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:,]|[ \t\r\n]++|[^"{}\[\]:, \t\r\n]++|"'''
 
-    def rewritten(text: Column) -> Column:
-        return F.aggregate(F.map_entries(fixes), text, lambda t, e: F.regexp_replace(
-            t, F.concat(F.lit(r'("\Q'), e["key"], F.lit(r'\E"\s*:\s*)"[^"]*"')),
-            F.concat(F.lit('$1"^'), F.regexp_replace(e["value"], r"([\\$])", r"\\$1"), F.lit('"'))))
 
-    return F.aggregate(F.array_distinct(F.regexp_extract_all(content, F.lit(section), F.lit(0))), content,
-                       lambda text, part: F.replace(text, part, rewritten(part)))
+def _edited(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """(key, _texts): the tokens of each text in their order, planned versions in place.
+
+    A version is the string behind a name and a colon, in an object two levels deep that a section's name and a colon stand in front of.
+    Depth, the section that is open and the tokens before are windows over a text's tokens that are not blank.
+    """
+    order = Window.partitionBy(*key, "_blank").orderBy("_at")
+    token = F.col("_token")
+    step = F.when(token.isin("{", "["), 1).when(token.isin("}", "]"), -1).otherwise(0)
+    placed = (tokens.withColumn("_blank", F.trim(token, F.lit(" \t\r\n")) == "")
+              .withColumn("_depth", F.sum(step).over(order) - F.when(step > 0, 1).otherwise(0))
+              .withColumn("_before", F.lag("_token", 1).over(order)).withColumn("_name", F.lag("_token", 2).over(order)))
+    named = (F.col("_before") == ":") & F.startswith("_name", F.lit('"'))
+    opened = F.when((step > 0) & (F.col("_depth") == 1), F.when((token == "{") & named, F.col("_name")).otherwise(""))
+    placed = placed.withColumn("_section", F.last(opened, ignorenulls=True).over(order))
+    fix = F.try_element_at(F.col("_fixes"), F.substring("_name", F.lit(2), F.length("_name") - 2))
+    hit = (~F.col("_blank") & F.startswith(token, F.lit('"')) & (F.col("_depth") == 2) & named
+           & F.col("_section").isin([f'"{s}"' for s in SECTIONS]) & fix.isNotNull())
+    text = F.when(hit, F.concat(F.lit('"^'), fix, F.lit('"'))).otherwise(token)
+    return placed.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", text.alias("text")))).alias("_texts"))
 
 
 def package_json_rewrites(files: DataFrame, bumps: DataFrame) -> DataFrame:
-    """(repo, path, content) of every package.json with a planned bump, rewritten.  Names are compared exactly here."""
-    wanted = files.where(basename(F.col("path")) == "package.json")
+    """(repo, path, content) of every package.json with a planned bump: planned fixes as ``^`` ranges in its own dependency sections; all else,
+    order, layout and objects that only look like sections, stays.  Names are compared exactly here."""
+    wanted = files.where((basename(F.col("path")) == "package.json") & F.col("content").isNotNull())
     joined = spread_join(wanted, _per_file(bumps, "package"), ["repo", "path"])
-    return joined.select("repo", "path", rewrite_package_json(F.col("content"), F.col("_fixes")).alias("content"))
+    key = ["repo", "path", "_of"]
+    tokens = joined.select("repo", "path", F.xxhash64("content").alias("_of"), "_fixes", F.posexplode(
+        F.regexp_extract_all("content", F.lit(_TOKEN), F.lit(0))).alias("_at", "_token"))
+    return _edited(tokens, key).select("repo", "path", F.array_join(F.col("_texts.text"), "").alias("content"))

@@ -257,9 +257,15 @@ def cors(http: DataFrame, probe_origin: str = PROBE_ORIGIN) -> DataFrame:
 
 
 def https_redirect(plain: DataFrame, secure: DataFrame) -> DataFrame:
-    """``plain``: (host, status, location, error) of http://host/; ``secure``: (host, hsts, error) of https://host/."""
-    both = plain.select("host", F.struct("status", "location", "error").alias("p")).join(
-        secure.select("host", F.struct("hsts", "error").alias("s")), "host", "full")
+    """``plain``: (host, status, location, error) of http://host/; ``secure``: (host, hsts, error) of https://host/.
+
+    Several observations of a host and side count as one: one that was answered, of these that of the least values.
+    """
+    def one(side: DataFrame, name: str, *fields: str) -> DataFrame:
+        found = F.struct(F.col("error").isNotNull().alias("failed"), *fields, "error")
+        return side.groupBy("host").agg(F.min(found).alias(name))
+
+    both = one(plain, "p", "status", "location").join(one(secure, "s", "hsts"), "host", "full")
     location, hsts = F.coalesce("p.location", F.lit("")), F.coalesce("s.hsts", F.lit(""))
     answered = F.col("p").isNotNull() & F.col("p.error").isNull()
     age = F.coalesce(F.regexp_extract(hsts, r"(?i)max-age\s*=\s*(\d+)", 1).try_cast("decimal(38,0)"),

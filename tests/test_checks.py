@@ -210,3 +210,15 @@ def test_public_addresses_agree_with_the_standard_library(spark):
     got = {r.a: r.p for r in spark.createDataFrame([(a,) for a in some + ["fe80::1%eth0"]], "a string").select("a", is_public(F.col("a")).alias("p")).collect()}
     assert {a: got[a] for a in some} == {a: expected(a) for a in some}
     assert got["fe80::1%eth0"] is False
+
+
+def test_https_redirect_counts_a_host_once(spark):
+    plain = spark.createDataFrame([("a", 200, None, None), ("a", 200, None, None), ("a", None, None, "timeout")], "host string, status int, location string, error string")
+    secure = spark.createDataFrame([("a", "", None)] * 4, "host string, hsts string, error string")
+    found = titles(checks.https_redirect(plain, secure))
+    assert sorted(t for _, t in found) == ["HTTP served directly (no HTTPS redirect)", "No HSTS header"]
+
+
+def test_public_addresses_are_parsed_once(spark):
+    plan = spark.createDataFrame([("1.2.3.4",)], "a string").select(is_public(F.col("a")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("RLIKE") + plan.lower().count("rlike") < 30

@@ -351,7 +351,9 @@ def test_package_json_keeps_everything_else(spark):
     "left"   :  "1.0",
     "lefty": "1.0"
   },
-  "devDependencies": {"left": "1"}, "nested": {"left": "1.0"}
+  "devDependencies": {"left": "1"}, "nested": {"left": "1.0", "dependencies": {"left": "1.0"}},
+  "x": "\\"dependencies\\": {\\"left\\": \\"1.0\\"}", "list": [{"dependencies": {"left": "1.0"}}, "left", "1.0"],
+  "y": {"dependencies": {"left": "1.0"}}, "dependenciesMeta": {"left": "1.0", "deep": {"left": "1"}}
 }
 """
     files = spark.createDataFrame([("r", "w/package.json", text), ("r", "package.json", text)], "repo string, path string, content string")
@@ -360,4 +362,11 @@ def test_package_json_keeps_everything_else(spark):
     (row,) = bumps.package_json_rewrites(files, plan).collect()
     expected = text.replace('"~1.0"', '"^1.5"').replace('"left"   :  "1.0"', '"left"   :  "^2.0.0"').replace('"devDependencies": {"left": "1"}',
                                                                                                    '"devDependencies": {"left": "^2.0.0"}')
-    assert row.content == expected and json.loads(row.content)["nested"] == {"left": "1.0"}
+    assert row.content == expected and json.loads(row.content)["nested"] == {"left": "1.0", "dependencies": {"left": "1.0"}}
+    odd = ['{"dependencies": {"left": "1.0"', '"dependencies": {"left": "1.0"}', "", "[]", '{"dependencies": {"left": {"left": "1.0"}, "left": "1.0" }}']
+    files = spark.createDataFrame([("r", f"{i}/package.json", t) for i, t in enumerate(odd)] + [("r", "9/package.json", None)],
+                                  "repo string, path string, content string")
+    plan = spark.createDataFrame([("r", f"{i}/package.json", "left", "2.0") for i in range(10)], "repo string, file string, package string, new_version string")
+    got = {r.path[0]: r.content for r in bumps.package_json_rewrites(files, plan).collect()}
+    assert got["0"] == '{"dependencies": {"left": "^2.0"' and got["1"] == odd[1] and got["3"] == "[]"
+    assert got["4"] == '{"dependencies": {"left": {"left": "1.0"}, "left": "^2.0" }}' and "9" not in got
