@@ -191,23 +191,34 @@ def package_lookup(targets: DataFrame, advisories: DataFrame) -> DataFrame:
     return found.select("target", "severity", F.col("vuln_id").alias("title"), F.concat(summary, fix).alias("detail"))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text, and its single characters."""
+    places = F.sequence(F.lit(1), F.length(text))
+    return F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(
+        F.substring(text, i, F.lit(1)), F.substring(text, i, F.lit(3))))))
+
+
 def cve_search(cves: DataFrame, keywords: DataFrame, cap: int | None = None) -> DataFrame:
     """The CVEs whose description holds a keyword, one row per (keyword, CVE), and how many a keyword has.
 
-    ``cves``: (cve_id, description, v31, v30, v2) with base scores or nulls; ``keywords``: (keyword).  Descriptions and
-    keywords meet on the first three characters of each, so only places that may begin a keyword are compared; keywords
-    shorter than that meet descriptions on their first character.  A caller may ask for the first ``cap`` CVEs (by id)
+    ``cves``: (cve_id, description, v31, v30, v2) with base scores or nulls; ``keywords``: (keyword).  A keyword is looked up by
+    the run of three of its characters that the fewest descriptions hold (by its first character where it has fewer); postings carry row numbers
+    alone, and descriptions are joined back for the rows found and tested whole.  A caller may ask for the first ``cap`` CVEs (by id)
     of each keyword.
     """
     words = keywords.select("keyword", F.trim(F.lower("keyword")).alias("_word")).where("_word <> ''").distinct()
-    words = words.withColumn("_start", F.left("_word", F.when(F.length("_word") < 3, F.lit(1)).otherwise(F.lit(3))))
-    low = F.lower("description")
-    places = F.sequence(F.lit(1), F.length("description"))
-    starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(
-        F.substring(low, i, F.lit(1)), F.substring(low, i, F.lit(3))))))
-    each = (cves.where(F.length("description") > 0)
-            .select("cve_id", "description", F.coalesce("v31", "v30", "v2").alias("_score"), F.explode(starts).alias("_start")))
-    found = spread_join(each, words, ["_start"], condition=F.contains(F.lower("description"), F.col("_word")))
+    runs = F.when(F.length("_word") < 3, F.array(F.left("_word", F.lit(1)))).otherwise(
+        F.filter(_grams(F.col("_word")), lambda g: F.length(g) == 3))
+    asked = words.select("keyword", "_word", F.explode(runs).alias("_gram"))
+    rows = (cves.where(F.length("description") > 0)
+            .select("cve_id", "description", F.coalesce("v31", "v30", "v2").alias("_score"), F.xxhash64("cve_id", "description").alias("_row")))
+    postings = rows.select("_row", F.explode(_grams(F.lower("description"))).alias("_gram"))
+    held = postings.join(asked.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (asked.join(held, "_gram", "left").groupBy("keyword", "_word")
+              .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")))
+    # equal rows share a number, so pairs are made distinct before the rows come back
+    candidates = spread_join(postings, rarest, ["_gram"]).select("_row", "keyword", "_word").distinct()
+    found = spread_join(candidates, rows, ["_row"], condition=F.contains(F.lower("description"), F.col("_word")))
     totals = found.groupBy("keyword").agg(F.count("*").alias("total"))
     if cap is not None:
         rank = F.row_number().over(Window.partitionBy("keyword").orderBy("cve_id"))

@@ -370,3 +370,18 @@ def test_package_json_keeps_everything_else(spark):
     got = {r.path[0]: r.content for r in bumps.package_json_rewrites(files, plan).collect()}
     assert got["0"] == '{"dependencies": {"left": "^2.0"' and got["1"] == odd[1] and got["3"] == "[]"
     assert got["4"] == '{"dependencies": {"left": {"left": "1.0"}, "left": "^2.0" }}' and "9" not in got
+
+
+def test_cve_postings_carry_no_descriptions(spark, no_broadcast):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Overflow", "in", "the", "parser", "of", "é", "xx", "aaa"]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, texts_twice := "aaa parser"]
+    rows = [(None if i % 20 == 19 else f"C{i % 50}", t, None, 5.0, None) for i, t in enumerate([*texts, texts_twice])]
+    cves = spark.createDataFrame(rows, "cve_id string, description string, v31 double, v30 double, v2 double")
+    words = ["parser of", "é", "aaaa", "aa", "THE", " overflow ", "", "zzz", "n the p"]
+    keywords = spark.createDataFrame([(w,) for w in words], "keyword string")
+    found = advisories.cve_search(cves, keywords)
+    expected = collections.Counter((w, i, t) for w in words if w.strip() for i, t, *_ in rows if t and w.strip().lower() in t.lower())
+    assert collections.Counter((r.keyword, r.cve_id, r.detail) for r in found.collect()) == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate explode(array_distinct" in line]
+    assert generated and not any("description" in line.split("], ")[-1] for line in generated)
