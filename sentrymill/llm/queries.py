@@ -81,8 +81,8 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS first FROM d)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to FROM m""")
+       CASE WHEN n >= 1000 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM m""")
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark).rstrip('/')}/llm-warc-{uuid.uuid4().hex}"
     warc.write_archives(given(spark, sf_dir, "pages"), folder)

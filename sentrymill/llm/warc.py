@@ -16,8 +16,8 @@ index and no reading from a file's start is needed.
 
 Files are opened through Arrow's file systems by the paths that Spark lists, so archives must lie in a store that these know.
 
-Defined cases: a null payload is empty; a null id is written with an empty id and read back as null, and is never referred to unless
-it is the only holder; a null URI is left out; no rows give no records; rows of one id are records of their own; damaged bytes between
+Defined cases: a null payload is empty; a null id is written with an empty id and read back as null; it is never
+referred to, and revisits the row with an id that holds its payload; a null URI is left out; no rows give no records; rows of one id are records of their own; damaged bytes between
 members are skipped.  Extra columns are not written.
 """
 
@@ -93,11 +93,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
                .agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
                .select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")))
     # only ids move by digest, and a digest that many rows hold goes to SPREAD tasks; payloads move once, by id
-    refers = (digests.where((F.col("size") >= least) & F.col("id").isNotNull())
+    refers = (digests.where(F.col("size") >= least).select("id", "digest").distinct()
               .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(holders, ["digest", "salt"])
-              .where("id <> first").select("id", F.col("digest").alias("of"), "first").distinct())
-    joined = (rows.withColumn("digest", F.sha1("payload")).join(refers.withColumnRenamed("id", "_id"),
-                                                                (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("of")), "left")
+              .where("not (id <=> first)").select(F.col("id").alias("_id"), F.col("digest").alias("of"), "first"))
+    joined = (rows.withColumn("digest", F.sha1("payload"))
+              .join(refers, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("of")), "left")
               .select("id", "uri", "payload", "digest", "first"))
 
     def members(batches):
@@ -165,8 +165,9 @@ def read_archives(spark: SparkSession, folder: str, span: int = RANGE) -> DataFr
     ready(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     ranges = (files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1,
-                                                                                       F.lit(span).cast("long"))).alias("start"))
-              .repartition(F.col("path"), F.col("start")))
+                                                                                       F.lit(span).cast("long"))).alias("start")))
+    # a task for each range: rows of a few bytes would be merged into one task without a number
+    ranges = ranges.repartitionByRange(max(1, ranges.count()), "path", "start")
 
     def run(batches):
         from pyarrow import fs

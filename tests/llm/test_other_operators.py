@@ -288,3 +288,17 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
     clash = docs.withColumn("IDS", F.lit(1))
     out = corpus_pipeline.encoded(spark, clash, "")
     assert out.columns == [*docs.columns, *corpus_pipeline.RESULTS]
+
+
+def test_warc_null_ids_revisit_and_ranges_are_tasks(spark, tmp_path):
+    rows = [(None, "u", "x" * 2000), (5, "u", "x" * 2000), (9, "u", "x" * 2000), (None, "u", "y" * 2000), (None, "u", "y" * 2000), (7, "u", "short")]
+    rng = np.random.default_rng(8)
+    rows += [(100 + i, "u", "".join(map(chr, rng.integers(97, 123, 3000)))) for i in range(40)]
+    folder = str(tmp_path / "archives")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    records = warc.read_archives(spark, folder, span=4096)
+    found = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.pages_of(records).collect()]
+    assert collections.Counter(f for f in found if f[0] is None or f[0] < 100) == collections.Counter(
+        [(None, "revisit", 9), (5, "revisit", 9), (9, "response", None), (None, "response", None), (None, "response", None), (7, "response", None)])
+    length = sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder) if f.startswith("part-"))
+    assert length > 10 * 4096 and records.rdd.getNumPartitions() >= length // 4096
