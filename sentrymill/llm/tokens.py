@@ -107,8 +107,13 @@ class Pieces:
         for name, i in used:
             for end in range(1, len(name)):
                 self.look.setdefault(name[:end], None)
+        self.trie: dict = {}  # character: (what follows, piece, score)
         for name, i in used:
             self.look[name] = (i, self.scores[i])
+            below = self.trie
+            for c in name[:-1]:
+                below = below.setdefault(c, ({}, None, 0.0))[0]
+            below[name[-1]] = (below[name[-1]][0] if name[-1] in below else {}, i, self.scores[i])
         self.worst = min((self.scores[i] for _, i in used), default=0.0) - 10
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if self.kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -179,32 +184,34 @@ class Pieces:
 
     def two_best(self, word: str) -> tuple[tuple[int, ...], float, float | None]:
         """Ids and score of the best segmentation, and what the second loses to it (None where there is no second)."""
-        size, get = len(word), self.look.get
+        size, root, worst = len(word), self.trie, self.worst
         best, second = [0.0] + [-1e300] * size, [-1e300] * (size + 1)
         back: list = [None] * (size + 1)
         for i in range(size):
-            here, next_here, single = best[i], second[i], False
-            for j in range(i + 1, size + 1):
-                hit = get(word[i:j], 0)
-                if hit is None:
-                    continue
-                if hit == 0:
+            here, single, below = best[i], None, root
+            for j in range(i, size):
+                node = below.get(word[j])
+                if node is None:
                     break
-                piece, value = hit
-                single |= j == i + 1
+                below, piece, value = node
+                if piece is None:
+                    continue
+                if j == i:
+                    single = piece
+                j += 1
                 score = here + value
                 if score > best[j] + 1e-9:
-                    second[j] = max(best[j], next_here + value)
+                    second[j] = max(best[j], second[i] + value)
                     best[j], back[j] = score, (i, piece)
                 elif score > second[j]:
                     second[j] = score
-            if not single:
-                score = here + self.worst
-                if score > best[i + 1] + 1e-9:
-                    second[i + 1] = max(best[i + 1], next_here + self.worst)
-                    best[i + 1], back[i + 1] = score, (i, -1 - i)
-                elif score > second[i + 1]:
-                    second[i + 1] = score
+            if single is None:
+                score, j = here + worst, i + 1
+                if score > best[j] + 1e-9:
+                    second[j] = max(best[j], second[i] + worst)
+                    best[j], back[j] = score, (i, -1 - i)
+                elif score > second[j]:
+                    second[j] = score
         parts, at = [], size
         while at:
             at, piece = back[at]
