@@ -9,7 +9,7 @@ read off the vocabulary; where pieces cross into word starts, a text is one latt
 those of its words, and a word before a full stop is solved as the word alone.  Words are solved once and kept
 per worker; the N best of a text follow exactly from the words with the least gaps to their next best.  So the forward pass
 keeps the two best scores of each place, which give a word's best way and the gap to its next, and A* runs only for the n - 1
-words of a text with the least gaps.
+words of a text with the least gaps.  The forward pass goes over tables of words side by side.
 
 Characters without a piece become their bytes' pieces (or the unknown piece) and cost 10 less than the worst piece, as in the
 public library's unigram model.  Pieces of control and unused types are never made from a text.
@@ -24,11 +24,12 @@ other columns pass through.  Null ids decode to null; an id outside the vocabula
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 import re
 import struct
 import sys
 import types
-from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -43,8 +44,9 @@ from sentrymill.llm.common import column, map_batches, others, raw, ready
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
 SPACE = "▁"
-#: Words kept per worker; they change no result.
-WORDS = 250_000
+#: Words kept per worker, words whose n best are kept, bytes of text taken together, and places of a table of the forward pass.
+#: They change no result.
+WORDS, DEEP, TOGETHER, PLACES = 250_000, 20_000, 2 << 20, 1 << 16
 #: Characters up to which a search keeps all open ways.
 SHORT = 64
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -114,6 +116,7 @@ class Pieces:
             for c in name[:-1]:
                 below = below.setdefault(c, ({}, None, 0.0))[0]
             below[name[-1]] = (below[name[-1]][0] if name[-1] in below else {}, i, self.scores[i])
+        self.levels = self._levels(used)
         self.worst = min((self.scores[i] for _, i in used), default=0.0) - 10
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if self.kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -125,6 +128,19 @@ class Pieces:
         self.plain = [bytes([int(n[3:5], 16)]) if k == BYTE else n.replace(SPACE, " ").encode() if k in (NORMAL, USER)
                       else " ⁇ ".encode() if k == UNKNOWN else b"" for n, k in zip(self.names, self.kinds, strict=True)]
 
+    def _levels(self, used) -> list[tuple[np.ndarray, ...]]:
+        """The trie by depth: sorted keys (node above, character), the node of each, its piece (-1: none) and score."""
+        number = {"": 0} | {name: i for i, name in enumerate(self.look, 1)}
+        deep: dict[int, list] = {}
+        for name, hit in self.look.items():
+            piece, score = hit or (-1, -np.inf)
+            deep.setdefault(len(name), []).append((number[name[:-1]] << 21 | ord(name[-1]), number[name], piece, score))
+        found = []
+        for depth in range(1, max(deep, default=0) + 1):
+            keys, nodes, ids, scores = zip(*sorted(deep[depth]), strict=True)
+            found.append((np.array(keys), np.array(nodes), np.array(ids, np.int32), np.array(scores, np.float64)))
+        return found
+
     def without_piece(self, char: str) -> tuple[int, ...]:
         raw_bytes = char.encode("utf-8", "surrogatepass")
         return tuple(self.bytes[b] for b in raw_bytes) if self.bytes else (self.unknown,)
@@ -218,6 +234,85 @@ class Pieces:
             parts.append((piece,) if piece >= 0 else self.without_piece(word[-1 - piece]))
         return tuple([x for part in reversed(parts) for x in part]), best[size], best[size] - second[size] if second[size] > -1e299 else None
 
+    def solved(self, words: list[str]) -> list[tuple[bytes, float, float]]:
+        """two_best of many words, ids packed and inf for no second: one forward pass for a table of words."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))  # the words that reach a place come first
+        at = 0
+        while at < len(order):
+            size = len(words[order[at]])
+            take = order[at:at + max(1, PLACES // max(size, 1))]
+            at += len(take)
+            ways = [None] * len(take) if size > SHORT or not size else self._table([words[k] for k in take])
+            for k, way in zip(take, ways, strict=True):
+                if way is None:  # long words, and those with characters without a piece
+                    ids, score, gap = self.two_best(words[k])
+                    way = struct.pack(f"{len(ids)}i", *ids), score, np.inf if gap is None else gap
+                out[k] = way
+        return out
+
+    def _table(self, words: list[str]) -> list[tuple[bytes, float, float] | None]:
+        """Words, longest first, side by side: column w of each table belongs to word w, row t to its place t."""
+        width, size = len(words), len(words[0])
+        codes = np.frombuffer("".join([w.ljust(size, "\0") for w in words]).encode("utf-32-le"), np.uint32)
+        codes = codes.reshape(width, size).T.ravel().astype(np.int64)
+        lengths = np.array([len(w) for w in words])
+        pieces, values = [], []  # by depth: piece and score of each place as its start
+        places, nodes = np.arange(size * width), np.zeros(size * width, np.int64)
+        for depth, (keys, below, ids, scores) in enumerate(self.levels[:size], 1):
+            inside = places < (size - depth + 1) * width
+            places, nodes = places[inside], nodes[inside]
+            wanted = nodes << 21 | codes[places + (depth - 1) * width]
+            spot = np.searchsorted(keys, wanted)
+            spot[spot == len(keys)] = 0
+            hit = keys[spot] == wanted
+            places, spot = places[hit], spot[hit]
+            nodes = below[spot]
+            piece, value = np.full(size * width, -1, np.int32), np.full(size * width, -np.inf)
+            piece[places], value[places] = ids[spot], scores[spot]
+            if depth == 1:
+                value[piece < 0] = self.worst
+            pieces.append(piece.reshape(size, width))
+            values.append(value.reshape(size, width))
+            if not len(places):
+                break
+        if not pieces:
+            return [None] * width
+        best, second = np.full((size + 1, width), -1e300), np.full((size + 1, width), -1e300)
+        best[0], back = 0.0, np.zeros((size + 1, width), np.int32)
+        reach = [int((lengths >= t).sum()) for t in range(size + 1)]
+        for t in range(1, size + 1):
+            m = reach[t]
+            first, other, taken = best[t, :m], second[t, :m], back[t, :m]
+            for depth in range(min(t, len(pieces)), 0, -1):
+                value = values[depth - 1][t - depth, :m]
+                score = best[t - depth, :m] + value
+                better = score > first + 1e-9
+                np.copyto(other, np.where(better, np.maximum(first, second[t - depth, :m] + value), np.maximum(other, score)))
+                np.copyto(first, score, where=better)
+                taken[better] = depth
+        column = np.arange(width)
+        top, next_one = best[lengths, column], second[lengths, column]
+        made, plain = np.full((width, size), -2, np.int32), np.ones(width, bool)
+        where, turn, going = lengths.copy(), size, column
+        while len(going):
+            turn -= 1
+            depth = back[where[going], going]
+            where[going] -= depth
+            found = np.empty(len(going), np.int32)
+            for d in np.unique(depth):
+                those = depth == d
+                found[those] = pieces[d - 1][where[going[those]], going[those]]
+            plain[going[found < 0]] = False
+            made[going, turn] = found
+            going = going[where[going] > 0]
+        kept = made != -2
+        ends = np.concatenate([[0], np.cumsum(kept.sum(1))]) * 4
+        packed, ends = made[kept].tobytes(), ends.tolist()
+        gaps = np.where(next_one > -1e299, top - next_one, np.inf)
+        return [(packed[a:b], score, gap) if sound else None for a, b, score, gap, sound in
+                zip(ends, ends[1:], top.tolist(), gaps.tolist(), plain.tolist(), strict=False)]
+
     def words(self, text: str) -> list[str]:
         if not text:
             return []
@@ -313,6 +408,103 @@ def _ways(pieces: Pieces, word: str, n: int) -> list[tuple[float, tuple[int, ...
     return [(score + end[1], (*ids, end[0])) for score, ids in found] if end else found
 
 
+def _together(texts: list[bytes]):
+    """The texts in runs of about TOGETHER bytes; a longer one is alone."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > TOGETHER:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
+class Words:
+    """The words that a worker has solved: a number each, and by number ids, score and gap to the next best."""
+
+    def __init__(self, pieces: Pieces, n: int):
+        self.pieces, self.n, self.deep = pieces, n, {}
+        self.clear()
+
+    def clear(self):
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.ids: list[bytes] = []
+        self.scores, self.gaps = np.empty(0), np.empty(0)
+
+    def add(self, words) -> None:
+        new = sorted(set(words).difference(self.number))
+        if not new:
+            return
+        parted = [_parted(self.pieces, w) for w in new]
+        heads = sorted({head for head, _ in parted})
+        ways = dict(zip(heads, self.pieces.solved(heads), strict=True))
+        found = [(ways[head], end) for head, end in parted]
+        self.number.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
+        self.names += new
+        self.ids += [ids + struct.pack("i", end[0]) if end else ids for (ids, _, _), end in found]
+        self.scores = np.append(self.scores, [score + end[1] if end else score for (_, score, _), end in found])
+        self.gaps = np.append(self.gaps, [gap for (_, _, gap), _ in found])
+
+    def ways(self, word: str) -> list[tuple[float, bytes]]:
+        """The n best of one word."""
+        if word not in self.deep:
+            if len(self.deep) > DEEP:
+                self.deep.clear()
+            self.deep[word] = [(score, struct.pack(f"{len(ids)}i", *ids)) for score, ids in _ways(self.pieces, word, self.n)]
+        return self.deep[word]
+
+    def least(self, found: np.ndarray) -> list[str]:
+        """Of a text's distinct words the n - 1 with the least gaps, equal ones by word."""
+        gaps = self.gaps[found]
+        found, gaps = found[gaps < np.inf], gaps[gaps < np.inf]
+        if self.n - 1 < len(found):
+            near = gaps <= np.partition(gaps, self.n - 2)[self.n - 2] if self.n > 1 else gaps < -np.inf
+            found, gaps = found[near], gaps[near]
+        return [w for _, w in sorted(zip(gaps.tolist(), [self.names[k] for k in found.tolist()], strict=True))[:self.n - 1]]
+
+    def encoded(self, texts: list[bytes]):
+        """(packed ids of the n best, scores, whether they decode to the text) of each text."""
+        pieces, n = self.pieces, self.n
+        split = [pieces.words(text.decode("utf-8", "replace")) for text in texts]
+        if len(self.names) > WORDS:
+            self.clear()
+        self.add(itertools.chain.from_iterable(split))
+        for text, words in zip(texts, split, strict=True):
+            nums = list(map(self.number.__getitem__, words))
+            found, times = np.unique(np.array(nums, np.int64), return_counts=True)
+            base = math.fsum((self.scores[found] * times).tolist())  # in whatever order the words got their numbers
+            few = self.least(found)
+            deep = {w: self.ways(w) for w in few}
+            times = dict(zip(found.tolist(), times.tolist(), strict=True))
+            # a word can supply each of its places, but no more than n - 1 places are of use
+            spots = [(w, nth) for w in few for nth in range(min(times[self.number[w]], n - 1))]
+            ways = chosen([[deep[w][0][0] - score for score, _ in deep[w]] for w, _ in spots], n)
+            parts = list(map(self.ids.__getitem__, nums))
+            for w, ((_, ids), *_) in deep.items():  # of ways that score alike the search's first
+                if ids != self.ids[self.number[w]]:
+                    parts = [ids if x == w else p for x, p in zip(words, parts, strict=True)]
+            lists = [b"".join(parts)]
+            sound = pieces.decode_bytes(np.frombuffer(lists[0], np.int32).tolist()) == text
+            for _, way in ways[1:]:
+                mine = list(parts)
+                for spot, which in way.items():
+                    w, nth = spots[spot]
+                    at = -1
+                    for _ in range(nth + 1):
+                        at = words.index(w, at + 1)
+                    mine[at] = deep[w][which][1]
+                    # lists decode piece by piece, so they agree where the pieces that differ do
+                    sound &= self.plain(mine[at]) == self.plain(deep[w][0][1])
+                lists.append(b"".join(mine))
+            yield lists, [base - loss for loss, _ in ways], sound
+
+    def plain(self, ids: bytes) -> bytes:
+        return self.pieces.plain_bytes(np.frombuffer(ids, np.int32).tolist())
+
+
 def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int = BEST, packed: bool = False) -> DataFrame:
     """All rows and columns; ids (of the best segmentation), nbest_ids and scores (of the n best, best first), round_trip (each of
     nbest_ids decodes to the text).  ``packed``: ids as 4 bytes each, least byte first, instead of lists."""
@@ -327,51 +519,17 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int
     def run(batches):
         kept = _of_worker("pieces")
         if kept.get("model") != (data, n):
-            kept.update(model=(data, n), pieces=Pieces.read(data), words={})
-        pieces, known = kept["pieces"], kept["words"]
+            kept.update(model=(data, n), pieces=Pieces.read(data))
+            kept["words"] = Words(kept["pieces"], n)
+        known = kept["words"]
         for batch in batches:
-            ids, scores, numbers, same, texts = [], [], [], [], raw(batch.column(place))
-            for text in texts:
-                words = pieces.words(text.decode("utf-8", "replace"))
-                if len(known) > WORDS:
-                    known.clear()
-                times = Counter(words)
-                for w in set(times).difference(known):
-                    head, end = _parted(pieces, w)
-                    if head not in known:
-                        found, score, gap = pieces.two_best(head)
-                        known[head] = struct.pack(f"{len(found)}i", *found), score, gap
-                    if end:
-                        packed_ids, score, gap = known[head]
-                        known[w] = packed_ids + struct.pack("i", end[0]), score + end[1], gap
-                solved = {w: known[w] for w in times}
-                base = sum([solved[w][1] * k for w, k in times.items()])
-                # a word can supply each of its places, but no more than n - 1 places are of use
-                few = heapq.nsmallest(n - 1, [(solved[w][2], w) for w in times if solved[w][2] is not None]) if n > 1 else []
-                deep = {w: _ways(pieces, w, n) for _, w in few}
-                spots = [(w, nth) for _, w in few for nth in range(min(times[w], n - 1))]
-                ways = chosen([[deep[w][0][0] - score for score, _ in deep[w]] for w, _ in spots], n)
-                parts = [solved[w][0] for w in words]
-                for w, ((_, found), *_) in deep.items():  # of ways that score alike the search's first
-                    if struct.pack(f"{len(found)}i", *found) != solved[w][0]:
-                        parts = [struct.pack(f"{len(found)}i", *found) if x == w else p for x, p in zip(words, parts, strict=True)]
-                ids.append(b"".join(parts))
-                sound = pieces.decode_bytes(np.frombuffer(ids[-1], np.int32).tolist()) == text
-                for _, way in ways[1:]:
-                    mine = list(parts)
-                    for spot, which in way.items():
-                        w, nth = spots[spot]
-                        at = -1
-                        for _ in range(nth + 1):
-                            at = words.index(w, at + 1)
-                        found = deep[w][which][1]
-                        # lists decode piece by piece, so they agree where the pieces that differ do
-                        sound &= pieces.plain_bytes(found) == pieces.plain_bytes(deep[w][0][1])
-                        mine[at] = struct.pack(f"{len(found)}i", *found)
-                    ids.append(b"".join(mine))
-                same.append(sound)
-                scores.append([base - loss for loss, _ in ways])
-                numbers.append(len(ways))
+            ids, scores, numbers, same = [], [], [], []
+            for texts in _together(raw(batch.column(place))):
+                for lists, values, sound in known.encoded(texts):
+                    ids.extend(lists)
+                    scores.append(values)
+                    numbers.append(len(lists))
+                    same.append(sound)
             lists = pa.array(ids, pa.binary()) if packed else _lists(ids)
             best = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *numbers]), pa.int32()), lists)
             yield pa.RecordBatch.from_arrays([*batch.columns, best, pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],

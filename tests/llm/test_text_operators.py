@@ -296,6 +296,40 @@ def test_nbest_matches_every_segmentation(text):
     assert all(pieces.decode(ids) == text for _, ids in got)
 
 
+def test_forward_pass_over_tables_matches_single_words():
+    import random
+
+    random_of = random.Random(4)
+    signs = "▁▁aabbcé☃\0\U0001f600."
+    words = ["", "a" * 300, "ab" * 32, *["".join(random_of.choices(signs, k=random_of.randint(1, 80))) for _ in range(500)]]
+    for pieces in (toy(), tokens.load(), tokens.Pieces(["<unk>"], [0.0], [2])):
+        for word, (packed, score, gap) in zip(words, pieces.solved(words), strict=True):
+            ids, expected, loss = pieces.two_best(word)
+            assert np.frombuffer(packed, np.int32).tolist() == list(ids) and score == expected
+            assert gap == (np.inf if loss is None else loss)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_texts_from_kept_words_match_whole_lattices(n, monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 40)  # words are forgotten between runs of texts
+    monkeypatch.setattr(tokens, "DEEP", 3)
+    monkeypatch.setattr(tokens, "TOGETHER", 200)
+    rng = np.random.default_rng(n)
+    pieces = tokens.load()
+    texts = ["", "the", "the the. the", "\n\n", "a" * 150, *[prose(rng, int(rng.integers(1, 40))) + ", and so on." for _ in range(60)]]
+    known = tokens.Words(pieces, n)
+    got = [x for run in tokens._together([t.encode() for t in texts]) for x in known.encoded(run)]
+    assert len(got) == len(texts)
+    for text, (lists, scores, sound) in zip(texts, got, strict=True):
+        best = pieces.nbest(text, n)
+        assert scores == pytest.approx([s for s, _ in best]) and sound and len(set(lists)) == len(best)
+        for ids, score in zip(lists, scores, strict=True):
+            ids = np.frombuffer(ids, np.int32).tolist()
+            assert pieces.decode(ids) == text
+            if all(pieces.kinds[i] != 6 for i in ids):  # bytes cost as a character, not as pieces
+                assert sum(pieces.scores[i] for i in ids) == pytest.approx(score)
+
+
 def test_nbest_matches_public_library():
     """The same vocabulary as a unigram model of the public library."""
     import sentencepiece
