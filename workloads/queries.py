@@ -70,12 +70,15 @@ def workflow_findings(spark, d):
 
 # --- ignore rules, suppression, hygiene, secrets ---------------------------------------------
 
-@query(duck.with_(duck.FILES) + f"""SELECT repo, path,
+_IGNORED = f"""SELECT repo, path,
    (regexp_matches(path, '^(?:examples(?:/.*)?|(?:.*/)?[^/]*\\.min\\.js)$')
     OR (dot = {duck.q(planted.IGNORE_FILES[1])} AND ends_with(path, '.php'))
     OR (dot = {duck.q(planted.IGNORE_FILES[2])} AND (starts_with(path, 'infra/') OR regexp_matches(path, '^(.*/)?app_[^/]\\.js$')
         OR regexp_matches(path, '^core/[^/]*\\.java$')))) AS ignored
-   FROM files LEFT JOIN (SELECT repo, content AS dot FROM files WHERE path = '{ignore.IGNORE_FILE}') USING (repo)""")
+   FROM files LEFT JOIN (SELECT repo, content AS dot FROM files WHERE path = '{ignore.IGNORE_FILE}') USING (repo)"""
+
+
+@query(duck.with_(duck.FILES) + _IGNORED)
 def ignored_paths(spark, d):
     return ignore.flagged(views.files(spark, d)).select("repo", "path", "ignored")
 

@@ -12,7 +12,7 @@ from sentrymill.operators import cases, diff, explain, exports, manifests, rollu
 from sentrymill.plans import scan
 from sentrymill.session import durable, spread_join
 from workloads import duck, views
-from workloads.queries import _LIC, _PA, _bumps, _declared, _advisories, query
+from workloads.queries import _IGNORED, _LIC, _PA, _bumps, _declared, _advisories, query
 
 _R = duck.with_(duck.RUNS)
 
@@ -199,6 +199,14 @@ def target_counts(spark, d):
     return rollups.severity_counts(_everything(spark, d))
 
 
+@query(f"""{_CS}, hidden AS (SELECT repo, path FROM ({_IGNORED}) WHERE ignored)
+   SELECT target, phase, file, line_no, issue_type, severity FROM cs
+   WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE hidden.repo = cs.target AND hidden.path = cs.file)""")
+def visible_findings(spark, d):
+    """Code and secret findings with the built-in ignore patterns and the ignore files of the repositories."""
+    return scan.scan(_scan_files(spark, d), ("secrets", "code")).select("target", "phase", "file", "line_no", "issue_type", "severity")
+
+
 _FP = """fp AS (SELECT target, severity, CASE phase WHEN 'secrets' THEN 'secret' WHEN 'deps' THEN 'dependency' WHEN 'licenses' THEN 'license' ELSE phase END AS kind,
   substr(sha1(CASE phase WHEN 'secrets' THEN concat('secret|', issue_type, '|', file, '|', line_no) WHEN 'code' THEN concat('code|', issue_type, '|', file, '|', line_no)
     WHEN 'deps' THEN concat('dep|', package, '|', version, '|', vuln_id) WHEN 'git_history' THEN concat('git|', issue_type, '|', file)
