@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill import schema
-from sentrymill.operators import advisories, classify, hygiene, ignore, manifests, match, secrets
+from sentrymill.operators import advisories, classify, hygiene, ignore, line_scan, manifests, match, secrets
 from sentrymill.session import durable
 
 ALL_PHASES = ("secrets", "deps", "code")
 
 
-def _unified(df: DataFrame, phase: str, kind: str, **columns: str) -> DataFrame:
+def _unified(df: DataFrame, phase: str | Column, kind: str | Column, **columns: str) -> DataFrame:
     """``df`` in the findings schema; ``columns`` names the source of each filled column."""
     given = {"target": "repo", "severity": "severity", **columns}
     out = []
@@ -29,14 +29,19 @@ def _unified(df: DataFrame, phase: str, kind: str, **columns: str) -> DataFrame:
     return df.select(*out)
 
 
-def code_phase(files: DataFrame, visible: DataFrame) -> DataFrame:
-    """Line rules over the visible files, and ignore-file hygiene over all files of a repository.
+_LINE = {"file": "path", "line_no": "line_no", "issue_type": "issue_type", "category": "category", "description": "description",
+         "context": "context"}
+
+
+def hygiene_phase(files: DataFrame) -> DataFrame:
+    """Ignore-file hygiene over all files of a repository, hidden ones too."""
+    return _unified(hygiene.gitignore_findings(files), "code", "Code", **_LINE)
 
-    A reported line may hold a secret too; ``match`` masks it.
-    """
-    found = match.line_findings(classify.classified(visible)).unionByName(hygiene.gitignore_findings(files))
-    return _unified(found, "code", "Code", file="path", line_no="line_no",
-                    issue_type="issue_type", category="category", description="description", context="context")
+
+def code_phase(files: DataFrame, visible: DataFrame) -> DataFrame:
+    """Line rules over the visible files, and hygiene.  A reported line may hold a secret too; ``match`` masks it."""
+    found = _unified(match.line_findings(classify.classified(visible)), "code", "Code", **_LINE)
+    return found.unionByName(hygiene_phase(files))
 
 
 def _secret_columns(found: DataFrame, phase: str, **more: str) -> DataFrame:
@@ -49,6 +54,13 @@ def secrets_phase(visible: DataFrame) -> DataFrame:
     return _secret_columns(secrets.secret_findings(shown), "secrets")
 
 
+def line_phases(files: DataFrame, visible: DataFrame) -> DataFrame:
+    """The secrets and the code phase together: visible files are split into lines once."""
+    kind = F.when(F.col("phase") == "code", "Code").otherwise("Secret")
+    found = _unified(line_scan.tagged_findings(visible), F.col("phase"), kind, **_LINE, matched_value="matched_value")
+    return found.unionByName(hygiene_phase(files))
+
+
 def declared_packages(files: DataFrame, use_default_ignores: bool, ignore_file: str | None) -> DataFrame:
     """Declared packages with two flags: hidden from the dependency phase, and from the licence phase.
 
@@ -89,16 +101,21 @@ def scan(files: DataFrame, phases: Iterable[str] = ALL_PHASES, advisory_table: D
          ignore_file: str | None = ignore.IGNORE_FILE) -> DataFrame:
     """Findings of the requested phases; a phase that is not requested is not in the plan.
 
-    The phases that read the manifests share one extraction, kept durably.
+    The phases that read the manifests share one extraction, kept durably; those that read lines share one split of the text.
     """
     phases = tuple(phases)
+    together = {"secrets", "code"} <= set(phases)
     if {"deps", "licenses"} & set(phases):
         declared = declared_packages(files, use_default_ignores, ignore_file)
         if "deps" in phases:
             declared = durable(declared)
     visible = ignore.visible(files, use_default_ignores, ignore_file)
     parts = []
+    if together:
+        parts.append(line_phases(files, visible))
     for phase in phases:
+        if phase in ("secrets", "code") and together:
+            continue
         if phase == "secrets":
             parts.append(secrets_phase(visible))
         elif phase == "deps":

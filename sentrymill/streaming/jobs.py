@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from sentrymill.operators import cases, classify, diff, ignore, match, rollups, secrets
+from sentrymill.operators import cases, diff, ignore, line_scan, rollups
 from sentrymill.session import durable, spread_join
 from sentrymill.sources import stores
 
@@ -20,13 +20,7 @@ def scan_files(files: DataFrame, rules: DataFrame | None = None, use_defaults: b
     (repo, rule_regex)); the built-in patterns are a constant.
     """
     visible = ignore.flagged(files, use_defaults, None, rules).where(~F.col("ignored")).drop("ignored")
-    code = match.line_findings(classify.classified(visible))
-    secret = secrets.secret_findings(visible.where(~classify.skipped_for_code(F.col("path"))))
-    shared = ["repo", "path", "line_no", "issue_type", "category", "severity", "context"]
-    return code.select(F.lit("code").alias("phase"), *shared).unionByName(
-        secret.select(F.lit("secrets").alias("phase"), "repo", "path", "line_no",
-                      F.col("secret_type").alias("issue_type"), "category", "severity",
-                      F.col("masked_context").alias("context")))
+    return line_scan.tagged_findings(visible).select("phase", "repo", "path", "line_no", "issue_type", "category", "severity", "context")
 
 
 def deduplicated(findings: DataFrame, time: str, delay: str) -> DataFrame:

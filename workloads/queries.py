@@ -9,7 +9,7 @@ from sentrymill import schema
 from sentrymill.fixed_values import packages as P
 from sentrymill.functions.suppress import scopes, suppressed
 from sentrymill.functions.text import decode
-from sentrymill.operators import advisories, bumps, classify, hygiene, ignore, manifests, match, secrets
+from sentrymill.operators import advisories, bumps, classify, hygiene, ignore, line_scan, manifests, match, secrets
 from sentrymill.operators.lines import lines
 from sentrymill.session import durable, tune
 from workloads import duck, planted, views
@@ -112,6 +112,20 @@ def user_rule_findings(spark, d):
     return match.line_findings(_files(spark, d), {"code": _USER_RULES}).select("repo", "path", "line_no", "issue_type", "severity")
 
 
+# a thousand rules, one for each three syllables that a word may begin with
+_SYLLABLES = ["th", "he", "in", "er", "an", "re", "nd", "on", "en", "at"]
+_MANY_RULES = [(f"Word {a}{b}{c}", "style", "LOW", rf"\b{a}{b}{c}[a-z]*ing\b", "A word that begins so and ends in ing.", (a + b + c,))
+               for a in _SYLLABLES for b in _SYLLABLES for c in _SYLLABLES]
+
+
+@query(duck.with_(duck.FILES) + rf"""SELECT repo, path, line_no, 'Word ' || {_SYLLABLES}[r // 100 + 1] || {_SYLLABLES}[r // 10 % 10 + 1] || {_SYLLABLES}[r % 10 + 1] AS issue_type
+   FROM (SELECT *, list_min(list_transform(regexp_extract_all(line, '\b(?:{"|".join(_SYLLABLES)}){{3}}[a-z]*ing\b'), lambda w:
+     100 * list_position({_SYLLABLES}, substr(w, 1, 2)) + 10 * list_position({_SYLLABLES}, substr(w, 3, 2)) + list_position({_SYLLABLES}, substr(w, 5, 2)) - 111)) AS r
+     FROM {duck.lines_of('files')}) WHERE r IS NOT NULL AND NOT {duck.suppressed('code')}""")
+def thousand_rule_findings(spark, d):
+    return line_scan.indexed_findings(views.files(spark, d), _MANY_RULES).select("repo", "path", "line_no", "issue_type")
+
+
 @query("""SELECT 'doc-' || doc_id AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN left(text, 5) || chr(65533) || substr(text, 6) ELSE text END) AS content_sha256,
      doc_id % 3 <> 0 AS valid_utf8 FROM documents""")
 def decoded_files(spark, d):
