@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from sentrymill import schema
 from sentrymill.fixed_values.guidance import GENERIC_GUIDANCE, GUIDANCE
 from sentrymill.operators import cases, diff, explain, exports, manifests, rollups, schedules
 from sentrymill.plans import scan
-from sentrymill.session import durable, spread_join
+from sentrymill.session import checkpoint_folder, durable, spread_join
+from sentrymill.sources import stores
 from workloads import duck, views
 from workloads.queries import _IGNORED, _LIC, _PA, _bumps, _declared, _advisories, query
 
@@ -436,6 +439,41 @@ def notify_payload(spark, d):
     return exports.change_payload(_diff(spark, d), text_chars=2900, fixed_shown=10)
 
 
+@query(f"""{_R}, c AS (SELECT target, count(*) FILTER (state = 'new') AS n, count(*) FILTER (state = 'fixed') AS f, count(*) FILTER (state = 'unchanged') AS u FROM diff GROUP BY target)
+   SELECT target, 0 AS part, '' AS "order", '' AS id, '*Target:* `' || target || '`' || chr(10) || ':warning: *' || n || ' new*   :white_check_mark: *' || f || ' fixed*   (' || u || ' unchanged)' AS text FROM c WHERE n + f > 0
+   UNION ALL SELECT target, 1, severity, id, '  • _new_ ' || {_EM} || ' *' || severity || '* — ' || label FROM diff WHERE state = 'new'
+   UNION ALL SELECT target, 2, '', id, '  • _fixed_ :white_check_mark: ' || label FROM diff WHERE state = 'fixed'""")
+def change_messages(spark, d):
+    return exports.change_pieces(_diff(spark, d))
+
+
+def _new_store(spark) -> str:
+    return f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+@query(f"{_R} SELECT {_RUN} FROM scan_runs")
+def stored_runs(spark, d):
+    """All runs through the store, repository runs first, the others appended."""
+    runs, path = views.scan_runs(spark, d), _new_store(spark)
+    is_repo = F.coalesce(F.col("kind") == "repo", F.lit(False))
+    stores.append_runs(runs.where(is_repo), path)
+    stores.append_runs(runs.where(~is_repo), path)
+    return stores.read(spark, path, stores.RUNS).select(*_RUN.split(", "))
+
+
+@query(f"{_D} SELECT repo, owner, repo_url, status FROM cases")
+def stored_cases(spark, d):
+    """All cases through the store: added twice, and then under the status of their newest valid event."""
+    given, path, events = views.cases(spark, d), _new_store(spark), _new_store(spark)
+    candidates = given.select("repo", "owner", "repo_url")
+    stores.add_cases(candidates, path)
+    stores.add_cases(candidates, path)  # tracked by now
+    event = given.select(F.sha1("repo").alias("id"), "status", F.col("created_at").alias("ts"))
+    stores.set_status(event.withColumn("status", F.lit("dismissed")).withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY")), events)
+    stores.set_status(event.unionByName(event.withColumn("status", F.lit("unheard of")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))), events)
+    return stores.current_cases(spark, path, events).select("repo", "owner", "repo_url", "status")
+
+
 @query(f"""{_R} SELECT id, target, 'sentrymill scan complete: ' || target || ' — ' || total || ' findings' AS text,
    ':red_circle: Critical: *' || critical || '*  :large_orange_circle: High: *' || high || '*  :large_yellow_circle: Medium: *' || medium || '*  :large_blue_circle: Low: *' || low || '*' AS line,
    '{{"event":"scan_complete","target":"' || target || '","counts":{{"CRITICAL":' || critical || ',"HIGH":' || high || ',"MEDIUM":' || medium || ',"LOW":' || low || '}},"total":' || total || '}}' AS body FROM scan_runs""")
