@@ -232,3 +232,16 @@ def test_findings_json(spark):
     assert got["fixed_version"] is None and got["package"] == "p"
     errors = spark.createDataFrame([("t", ["no .git"])], "target string, errors array<string>")
     assert json.loads(exports.scan_summary_json(findings(spark, rows), errors).first().json)["errors"] == ["no .git"]
+
+
+def test_change_pieces_are_the_whole_message(spark):
+    rows = [("t", f"i{k:03d}", ["HIGH", "LOW", None][k % 3], "x", None if k % 5 == 0 else f"label {k}", ["new", "fixed", "unchanged"][k % 7 % 3]) for k in range(90)]
+    rows += [("quiet", "a", "LOW", "x", "same", "unchanged")]
+    changes = spark.createDataFrame(rows, "target string, id string, severity string, kind string, label string, state string")
+    pieces = exports.change_pieces(changes).orderBy("target", "part", "order", "id").collect()
+    whole = exports.change_payload(changes).collect()
+    assert [r.target for r in whole] == ["t"] and {r.target for r in pieces} == {"t"}
+    assert "\n".join(r.text for r in pieces) == whole[0].detail
+    text = exports.change_pieces(changes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "collect_list" not in text
+    assert exports.change_pieces(changes.where("false")).count() == 0
