@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import itertools
 import json
 import math
@@ -385,3 +386,23 @@ def test_cve_postings_carry_no_descriptions(spark, no_broadcast):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     generated = [line for line in plan.splitlines() if "Generate explode(array_distinct" in line]
     assert generated and not any("description" in line.split("], ")[-1] for line in generated)
+
+
+@pytest.mark.parametrize("few", [0, advisories.FEW_GRAMS])
+def test_cve_postings_are_never_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(advisories, "FEW_GRAMS", few)
+    numbers = spark.range(12000)
+    # a table that estimates take for small; its postings are not
+    cves = numbers.select(F.concat(F.lit("C"), "id").alias("cve_id"), F.sha2(F.col("id").cast("string"), 256).alias("description"),
+                          F.lit(None).cast("double").alias("v31"), F.lit(5.0).alias("v30"), F.lit(None).cast("double").alias("v2"))
+    texts = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(12000)]
+    keywords = spark.createDataFrame([("a0b1",), ("c",), ("ffff",)], "keyword string")
+    old = spark.conf.get("spark.sql.maxBroadcastTableSize", None)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "60m")
+    try:
+        rows = advisories.cve_search(cves, keywords).select("keyword", "cve_id", "total").collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize") if old is None else spark.conf.set("spark.sql.maxBroadcastTableSize", old)
+    expected = {w: {f"C{i}" for i, t in enumerate(texts) if w in t} for w in ("a0b1", "c", "ffff")}
+    assert sorted((r.keyword, r.cve_id) for r in rows) == sorted((w, i) for w, ids in expected.items() for i in ids)
+    assert all(r.total == len(expected[r.keyword]) for r in rows)
