@@ -406,3 +406,12 @@ def test_cve_postings_are_never_broadcast(spark, monkeypatch, few):
     expected = {w: {f"C{i}" for i, t in enumerate(texts) if w in t} for w in ("a0b1", "c", "ffff")}
     assert sorted((r.keyword, r.cve_id) for r in rows) == sorted((w, i) for w, ids in expected.items() for i in ids)
     assert all(r.total == len(expected[r.keyword]) for r in rows)
+
+
+def test_lines_searched_at_once_stay_apart(make_files):
+    mark = '[[package]]\nname = "a\x00b"\nversion = "1"\n[[package]]\nname = "c"\nversion = "2"\n'
+    assert pairs(make_files, "Cargo.lock", mark) == [("a\x00b", "1"), ("c", "2")]
+    text = "a==1\r\nb==2\x0b c >= 3 \u2028#d==4\n\nhttp==5\ne\n==6\nf\x1f==7\n"
+    assert pairs(make_files, "requirements.txt", text) == [("a", "1"), ("b", "2"), ("c", "3")]
+    assert pairs(make_files, "go.mod", "require (\n\ta v1.0\n\tb\n\tv2.0\n)\nrequire c\u3000v3\n") == [("a", "1.0"), ("c", "3")]
+    assert pairs(make_files, "Gemfile.lock", "    a (1.0)\u3000\n    b (1\n)\n    c (2)x\n") == [("a", "1.0")]
