@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sentrymill import schema
 from sentrymill.fixed_values import packages as P
 from sentrymill.functions.version_order import order_key
 from sentrymill.functions import versions as V
@@ -415,3 +416,32 @@ def test_lines_searched_at_once_stay_apart(make_files):
     assert pairs(make_files, "requirements.txt", text) == [("a", "1"), ("b", "2"), ("c", "3")]
     assert pairs(make_files, "go.mod", "require (\n\ta v1.0\n\tb\n\tv2.0\n)\nrequire c\u3000v3\n") == [("a", "1.0"), ("c", "3")]
     assert pairs(make_files, "Gemfile.lock", "    a (1.0)\u3000\n    b (1\n)\n    c (2)x\n") == [("a", "1.0")]
+
+
+def test_manifest_texts_are_searched_in_a_projection(spark):
+    """A generator interprets its own expression, so the extraction stands in front of it; no line of a text is a row of a lambda."""
+    files = spark.createDataFrame([("r", "requirements.txt", "a==1\n")], schema.FILES)
+    plan = manifests.packages(files)._jdf.queryExecution().executedPlan().toString()
+    generates = [line for line in plan.splitlines() if "Generate" in line]
+    assert generates and not any("regexp" in line for line in generates)
+
+
+def test_lines_that_separators_and_blanks_surround(spark):
+    texts = [("requirements.txt", "\x1f a==1.0\x1f \u3000\r\n\u00a0b >= 2\x1f3 # x\x85c~=4\x1f;d\x0b#e==5\rgit+f==6"),
+             ("go.mod", "\trequire a v1.0\x1f\nb v2\nrequire x v9 (\n c v3 // n\nrequire d v4\nrequire e v5 (\n ) \nf v6\nrequire (\n)\nrequire (\ng v7"),
+             ("Gemfile.lock", "    a (1.0)\x85    b (2)\u2028    c (3)\n    d (x)")]
+    rows = manifests.packages(spark.createDataFrame([("r", *t) for t in texts], schema.FILES)).collect()
+    found = {name: sorted((r.package, r.version) for r in rows if r.file == name) for name, _ in texts}
+    assert found == {"requirements.txt": [("a", "1.0"), ("b", "2\x1f3"), ("c", "4\x1f")],
+                     "go.mod": [("a", "1.0"), ("c", "3"), ("d", "4"), ("g", "7")], "Gemfile.lock": [("a", "1.0"), ("b", "2"), ("c", "3")]}
+
+
+def test_coordinates_and_targets_are_evaluated_once(spark):
+    """Targets are parsed, and versions get their keys, before the joins that read them twice."""
+    doc = '{"id": "A", "affected": [{"package": {"ecosystem": "PyPI", "name": "p"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "2.0"}]}]}]}'
+    parsed = advisories.parsed(spark.createDataFrame([(doc,)], "doc string"))
+    targets = spark.createDataFrame([("p@1.0",), ("p@1.0",), ("p@3.0",), (None,)], "target string")
+    found = advisories.package_lookup(targets, parsed)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^:@]" not in plan and "dense_rank" not in plan
+    assert [r.title for r in found.collect()] == ["A", "A"]
