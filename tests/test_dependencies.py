@@ -123,6 +123,21 @@ def test_advisory_findings(spark, make_files):
     assert advisories.dependency_findings(declared.limit(0), docs(spark, ADVISORY)).count() == 0
 
 
+def test_declared_rows_are_read_once(spark, make_files, tmp_path):
+    folder = str(tmp_path / "declared")
+    manifests.packages(make_files({"requirements.txt": "requests==2.19.1\nflask==1.0\n"})).write.parquet(folder)
+    found = advisories.matched(spark.read.parquet(folder), docs(spark, ADVISORY))
+    assert [r.version for r in found.collect()] == ["2.19.1"]
+    # what follows the one pass goes over the stored rows of packages with an advisory
+    assert not [f for f in found.inputFiles() if f"{folder}/" in f]
+
+
+def test_quotes_of_toml_values(make_files):
+    lock = "".join(f"[[package]]\nname = {n}\nversion = {v}\n" for n, v in [
+        ('"a"', "'1'"), ("'b\"c'", '"2\'3"'), ("\"d'", '"4"'), ("'e\"", "'5'"), ('"f', '"6"'), ('""', '"7"'), ('"g"', '"8" # "9"'), ("'h''i'", '"10"')])
+    assert pairs(make_files, "Cargo.lock", lock) == [("a", "1"), ('b"c', "2'3"), ("g", "8"), ("h", "10")]
+
+
 def test_range_edges(spark):
     adv = {"id": "A", "affected": [{"package": {"ecosystem": "npm", "name": "p"}, "ranges": [
         {"events": [{"introduced": "1.0"}, {"fixed": "1.10"}, {"introduced": "2.0"}]}, {"events": [{"introduced": "1.5"}, {"fixed": "1.6"}]}]}]}

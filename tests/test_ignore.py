@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from sentrymill.fixed_values import rules
 from sentrymill.functions import globs
 from sentrymill.operators import classify, ignore
 
@@ -107,3 +108,16 @@ def test_contents_do_not_move_by_repository(spark, no_broadcast, make_files):
         if "Exchange hashpartitioning(repo" in line and "_salt" not in line and "path" not in line:
             assert "partial_min" in below, below  # one rule per repository, not its files
     assert {r.path for r in shown.collect()} == {".scanignore", *(f"src/f{i}.py" for i in range(30))}
+
+
+def test_byte_searches_before_expressions(spark):
+    for pattern in [*PATTERNS, *rules.DEFAULT_IGNORES]:
+        for path in PATHS:
+            if independent(pattern, path):
+                assert globs.fragment(pattern) in path
+    odd = [*PATHS, None, "", "/", "env", "env/x", "a/env/x", "a/env", "environ/x", "a\\vendor\\x", "x/testdata/y", "a\nvendor/x", "a\nb/dist/c", ".git/x", "x.git/y"]
+    df = spark.createDataFrame([(p,) for p in odd], "path string").select("path", F.concat("path", F.lit("")).alias("made"))
+    skip = [r"(?:\A|/)(?:" + "|".join(map(re.escape, names)) + ")/" for names in (rules.CODE_SKIP_DIRS, rules.DEPENDENCY_SKIP_DIRS)]
+    whole = F.replace("path", F.lit("\\"), F.lit("/")).rlike(globs.ignore_regex(rules.DEFAULT_IGNORES))
+    got = df.select(ignore.built_in(F.col("made")), classify.skipped_for_code(F.col("made")), classify.skipped_for_dependencies(F.col("made"))).collect()
+    assert got == df.select(whole, *[F.col("path").rlike(s) for s in skip]).collect()
