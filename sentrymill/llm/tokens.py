@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import operator
 import re
 import struct
 import sys
@@ -50,6 +51,7 @@ WORDS, DEEP, TOGETHER, PLACES = 250_000, 20_000, 2 << 20, 1 << 16
 #: Characters up to which a search keeps all open ways.
 SHORT = 64
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
+LAST = operator.itemgetter(-1)
 
 
 def _fields(data: bytes):
@@ -127,6 +129,9 @@ class Pieces:
             n[i] == c and n[i - 1].isalpha() for n, _ in used for i in range(1, len(n)))}
         self.plain = [bytes([int(n[3:5], 16)]) if k == BYTE else n.replace(SPACE, " ").encode() if k in (NORMAL, USER)
                       else " ⁇ ".encode() if k == UNKNOWN else b"" for n, k in zip(self.names, self.kinds, strict=True)]
+        self.plain_size = np.array([len(p) for p in self.plain], np.int64)
+        self.plain_start = np.cumsum(self.plain_size) - self.plain_size
+        self.plain_row = np.frombuffer(b"".join(self.plain), np.uint8)
 
     def _levels(self, used) -> list[tuple[np.ndarray, ...]]:
         """The trie by depth: sorted keys (node above, character), the node of each, its piece (-1: none) and score."""
@@ -235,24 +240,39 @@ class Pieces:
         return tuple([x for part in reversed(parts) for x in part]), best[size], best[size] - second[size] if second[size] > -1e299 else None
 
     def solved(self, words: list[str]) -> list[tuple[bytes, float, float]]:
-        """two_best of many words, ids packed and inf for no second: one forward pass for a table of words."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda k: -len(words[k]))  # the words that reach a place come first
+        """two_best of many words, ids packed and inf for no second."""
+        ids, scores, gaps = self.columns(words)
+        return list(zip(ids, scores.tolist(), gaps.tolist(), strict=True))
+
+    def columns(self, words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """``solved`` as columns: one forward pass for a table of words."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-lengths, kind="stable").tolist()  # the words that reach a place come first
+        packed, scores, gaps = [], [], []
         at = 0
         while at < len(order):
             size = len(words[order[at]])
-            take = order[at:at + max(1, PLACES // max(size, 1))]
+            take = [words[k] for k in order[at:at + max(1, PLACES // max(size, 1))]]
             at += len(take)
-            ways = [None] * len(take) if size > SHORT or not size else self._table([words[k] for k in take])
-            for k, way in zip(take, ways, strict=True):
-                if way is None:  # long words, and those with characters without a piece
-                    ids, score, gap = self.two_best(words[k])
-                    way = struct.pack(f"{len(ids)}i", *ids), score, np.inf if gap is None else gap
-                out[k] = way
-        return out
-
-    def _table(self, words: list[str]) -> list[tuple[bytes, float, float] | None]:
-        """Words, longest first, side by side: column w of each table belongs to word w, row t to its place t."""
+            if size > SHORT or not size:
+                ids, score, gap, plain = [b""] * len(take), np.zeros(len(take)), np.zeros(len(take)), np.zeros(len(take), bool)
+            else:
+                ids, score, gap, plain = self._table(take)
+            for k in np.flatnonzero(~plain).tolist():  # long words, and those with characters without a piece
+                best, score[k], second = self.two_best(take[k])
+                ids[k], gap[k] = struct.pack(f"{len(best)}i", *best), np.inf if second is None else second
+            packed += ids
+            scores.append(score)
+            gaps.append(gap)
+        turn = np.empty(len(order), np.int64)
+        turn[order] = np.arange(len(order))
+        return list(map(packed.__getitem__, turn.tolist())), np.concatenate([[], *scores])[turn], np.concatenate([[], *gaps])[turn]
+
+    def _table(self, words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, longest first, side by side: column w of each table belongs to word w, row t to its place t.
+
+        Columns: ids, score, gap, and whether all characters have pieces, without which the others do not count.
+        """
         width, size = len(words), len(words[0])
         codes = np.frombuffer("".join([w.ljust(size, "\0") for w in words]).encode("utf-32-le"), np.uint32)
         codes = codes.reshape(width, size).T.ravel().astype(np.int64)
@@ -277,7 +297,7 @@ class Pieces:
             if not len(places):
                 break
         if not pieces:
-            return [None] * width
+            return [b""] * width, np.zeros(width), np.zeros(width), np.zeros(width, bool)
         best, second = np.full((size + 1, width), -1e300), np.full((size + 1, width), -1e300)
         best[0], back = 0.0, np.zeros((size + 1, width), np.int32)
         reach = [int((lengths >= t).sum()) for t in range(size + 1)]
@@ -309,9 +329,7 @@ class Pieces:
         kept = made != -2
         ends = np.concatenate([[0], np.cumsum(kept.sum(1))]) * 4
         packed, ends = made[kept].tobytes(), ends.tolist()
-        gaps = np.where(next_one > -1e299, top - next_one, np.inf)
-        return [(packed[a:b], score, gap) if sound else None for a, b, score, gap, sound in
-                zip(ends, ends[1:], top.tolist(), gaps.tolist(), plain.tolist(), strict=False)]
+        return [packed[a:b] for a, b in itertools.pairwise(ends)], top, np.where(next_one > -1e299, top - next_one, np.inf), plain
 
     def words(self, text: str) -> list[str]:
         if not text:
@@ -327,7 +345,12 @@ class Pieces:
         return [(base - gap, [x for at, f in enumerate(found) for x in f[which.get(at, 0)][1]]) for gap, which in turns]
 
     def plain_bytes(self, ids) -> bytes:
-        return b"".join(map(self.plain.__getitem__, ids))
+        """What the ids stand for, side by side."""
+        ids = np.asarray(ids, np.int64)
+        size = self.plain_size[ids]
+        ends = np.cumsum(size)
+        # each byte's place in the row of all pieces: its piece's start, and how far it is behind that
+        return self.plain_row[np.repeat(self.plain_start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
     def decode_bytes(self, ids) -> bytes:
         out = self.plain_bytes(ids)
@@ -435,18 +458,29 @@ class Words:
         self.scores, self.gaps = np.empty(0), np.empty(0)
 
     def add(self, words) -> None:
-        new = sorted(set(words).difference(self.number))
+        new = list(set(words).difference(self.number))
         if not new:
             return
-        parted = [_parted(self.pieces, w) for w in new]
-        heads = sorted({head for head, _ in parted})
-        ways = dict(zip(heads, self.pieces.solved(heads), strict=True))
-        found = [(ways[head], end) for head, end in parted]
+        # words with a full stop or comma that parts from them: their place, and its piece
+        ended = [(k, _parted(self.pieces, new[k])) for k in np.flatnonzero(np.fromiter(
+            map(self.pieces.ends.__contains__, map(LAST, new)), bool, len(new))).tolist()]
+        heads = new.copy()
+        for k, (head, _) in ended:
+            heads[k] = head
+        number = dict(zip(heads, itertools.repeat(0)))
+        number.update(zip(number, range(len(number))))
+        ids, scores, gaps = self.pieces.columns(list(number))
+        spots = list(map(number.__getitem__, heads))
+        ids, scores, gaps = list(map(ids.__getitem__, spots)), scores[spots], gaps[spots]
+        for k, (_, end) in ended:
+            if end:
+                ids[k] += struct.pack("i", end[0])
+                scores[k] += end[1]
         self.number.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
         self.names += new
-        self.ids += [ids + struct.pack("i", end[0]) if end else ids for (ids, _, _), end in found]
-        self.scores = np.append(self.scores, [score + end[1] if end else score for (_, score, _), end in found])
-        self.gaps = np.append(self.gaps, [gap for (_, _, gap), _ in found])
+        self.ids += ids
+        self.scores = np.append(self.scores, scores)
+        self.gaps = np.append(self.gaps, gaps)
 
     def ways(self, word: str) -> list[tuple[float, bytes]]:
         """The n best of one word."""
@@ -478,16 +512,15 @@ class Words:
             base = math.fsum((self.scores[found] * times).tolist())  # in whatever order the words got their numbers
             few = self.least(found)
             deep = {w: self.ways(w) for w in few}
-            times = dict(zip(found.tolist(), times.tolist(), strict=True))
             # a word can supply each of its places, but no more than n - 1 places are of use
-            spots = [(w, nth) for w in few for nth in range(min(times[self.number[w]], n - 1))]
+            spots = [(w, nth) for w in few for nth in range(min(int(times[np.searchsorted(found, self.number[w])]), n - 1))]
             ways = chosen([[deep[w][0][0] - score for score, _ in deep[w]] for w, _ in spots], n)
             parts = list(map(self.ids.__getitem__, nums))
             for w, ((_, ids), *_) in deep.items():  # of ways that score alike the search's first
                 if ids != self.ids[self.number[w]]:
                     parts = [ids if x == w else p for x, p in zip(words, parts, strict=True)]
             lists = [b"".join(parts)]
-            sound = pieces.decode_bytes(np.frombuffer(lists[0], np.int32).tolist()) == text
+            sound = pieces.decode_bytes(np.frombuffer(lists[0], np.int32)) == text
             for _, way in ways[1:]:
                 mine = list(parts)
                 for spot, which in way.items():
@@ -502,7 +535,7 @@ class Words:
             yield lists, [base - loss for loss, _ in ways], sound
 
     def plain(self, ids: bytes) -> bytes:
-        return self.pieces.plain_bytes(np.frombuffer(ids, np.int32).tolist())
+        return self.pieces.plain_bytes(np.frombuffer(ids, np.int32))
 
 
 def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", n: int = BEST, packed: bool = False) -> DataFrame:

@@ -402,3 +402,22 @@ def test_toxicity_learns_stems(spark, nothing):
     assert toxicity.scored(nothing, none).count() == 0
 
 
+
+
+def test_words_and_bytes_as_columns():
+    """Words side by side are those alone, full stops and characters without a piece included; ids decode as their pieces do."""
+    pieces = tokens.load()
+    words = ["▁the", "▁end.", "end.", ".", "▁a,b", "▁naïve:", "▁", "\n", "▁\U0001f600x.", "▁" + "long" * 40 + ";", "▁the"]
+    known = tokens.Words(pieces, 3)
+    known.add(words[:4])
+    known.add(words)
+    assert sorted(known.names) == sorted(set(words))
+    for word in words:
+        k = known.number[word]
+        best, second = [*tokens._ways(pieces, word, 2), None][:2]
+        assert known.ids[k] == np.array(best[1], np.int32).tobytes() and abs(known.scores[k] - best[0]) < 1e-9
+        assert abs(known.gaps[k] - (best[0] - second[0])) < 1e-9 if second else known.gaps[k] == np.inf
+    ids, scores, gaps = pieces.columns([])
+    assert ids == [] and len(scores) == len(gaps) == 0
+    for ids in ([], [0], list(range(len(pieces.plain)))[::-1]):
+        assert pieces.plain_bytes(ids) == b"".join(pieces.plain[i] for i in ids)
