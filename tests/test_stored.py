@@ -1,14 +1,41 @@
 """What is stored, what is sent to the driver, and how often inputs are read."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from sentrymill.operators import advisories
 from sentrymill.session import durable
+from workloads import views
+
+DOC = ('{{"id": "A-{0}", "summary": "flaw {0}", "affected": [{{"package": {{"ecosystem": "PyPI", "name": "p{0}"}}, '
+       '"versions": ["9.9"], "ranges": [{{"type": "ECOSYSTEM", "events": [{{"introduced": "1"}}, {{"fixed": "3"}}]}}]}}]}}')
+PACKAGES = "repo string, file string, package string, version string, ecosystem string"
 
 
 def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def documents(spark):
+    return spark.createDataFrame([(DOC.format(n),) for n in range(40)], "doc string")
+
+
+@pytest.fixture
+def declared(spark):
+    rows = [(f"r{n % 3}", f"f{n}", f"P{n % 100}", f"{v}.0", "PyPI") for n in range(200) for v in (1, 3)]
+    return spark.createDataFrame(rows + [("r", "f", "p7", "9.9", "PyPI"), ("r", "f", "p8", "2", "npm"), ("r", "f", None, "2", "PyPI"),
+                                         ("r", "f", "p9", "2", None), ("r", "f", "p9", None, "PyPI")], PACKAGES)
+
+
+def found_pairs(df) -> list:
+    return sorted((r.file, r.package, r.version, r.vuln_id) for r in df.collect())
+
+
+def expected() -> list:
+    return sorted([(f"f{n}", f"P{n % 100}", "1.0", f"A-{n % 100}") for n in range(200) if n % 100 < 40] + [("f", "p7", "9.9", "A-7")])
+
+
 def test_stored_rows_come_back(spark):
     df = spark.sql("""SELECT id, if(id % 2 = 0, null, struct(id AS a, 'x' AS b)) AS s, array(id, null) AS a, timestamp'1001-01-01 00:00:00' AS t,
                       map('k', cast(null AS string)) AS m, cast(id AS decimal(38, 10)) AS d, '' AS e FROM range(50)""")
@@ -24,3 +51,34 @@ def test_stored_rows_come_back(spark):
 def test_stored_columns_are_small(spark):
     wide = spark.range(20000).selectExpr("concat('repository-', id % 50) AS repo", "repeat(concat('path/', id % 100), 5) AS file", "id")
     assert "id" not in physical(durable(wide).select("repo")).split("ReadSchema")[1]
+
+
+def test_no_advisory_is_broadcast(spark, documents, declared):
+    """Every table here is small, so all of them would be taken for small by a plan's estimate."""
+    parsed = advisories.parsed(documents)
+    for found in (advisories.dependency_findings(declared, parsed), advisories.matched(declared, parsed)):
+        assert "Broadcast" not in physical(found)
+    targets = spark.createDataFrame([("p1@1.0",), ("pip:p2@2",)], "target string")
+    assert "Broadcast" not in physical(advisories.package_lookup(targets, parsed))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 12, 1 << 26])
+def test_matches_do_not_depend_on_the_bits(documents, declared, monkeypatch, bits):
+    monkeypatch.setattr(advisories, "NAME_BITS", bits)
+    assert found_pairs(advisories.dependency_findings(declared, advisories.parsed(documents))) == expected()
+
+
+def test_bits_keep_all_members_and_few_others(spark):
+    rows = spark.range(20000).selectExpr("cast(id AS string) AS k", "id")
+    others = spark.range(0, 20000, 10).selectExpr("cast(id AS string) AS k")
+    kept = advisories.maybe_among(rows, others, ["k"])
+    assert kept.columns == rows.columns
+    assert kept.where("id % 10 = 0").count() == 2000 and kept.count() < 2100
+    assert advisories.maybe_among(rows, others.where("k = ''"), ["k"]).count() == 0
+
+
+def test_parts_are_dealt_out(spark):
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    for made in (views.advisory_documents(spark, sf), views.cves(spark, sf)):
+        assert "hashpartitioning(p_partkey" in physical(made) and made.count() == n
