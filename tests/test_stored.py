@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  (registers all queries)
 from sentrymill.operators import advisories
 from sentrymill.session import durable
 from workloads import views
+from workloads.queries import QUERIES
 
 DOC = ('{{"id": "A-{0}", "summary": "flaw {0}", "affected": [{{"package": {{"ecosystem": "PyPI", "name": "p{0}"}}, '
        '"versions": ["9.9"], "ranges": [{{"type": "ECOSYSTEM", "events": [{{"introduced": "1"}}, {{"fixed": "3"}}]}}]}}]}}')
@@ -77,6 +79,12 @@ def test_bits_keep_all_members_and_few_others(spark):
     assert advisories.maybe_among(rows, others.where("k = ''"), ["k"]).count() == 0
 
 
+def test_cards_read_the_targets_once(spark):
+    sf = "/root/testdata/sf0.001"
+    text = physical(QUERIES["target_verdicts"](spark, sf))
+    assert "customer.parquet" not in text  # only the targets come from customers
+
+
 def test_parts_are_dealt_out(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/part.parquet").count()
