@@ -1,11 +1,12 @@
 """What is stored, what is sent to the driver, and how often inputs are read."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers all queries)
-from sentrymill.operators import advisories
-from sentrymill.session import durable
+from sentrymill.operators import advisories, manifests
+from sentrymill.session import durable, numbered
 from workloads import views
 from workloads.queries import QUERIES
 
@@ -85,8 +86,28 @@ def test_cards_read_the_targets_once(spark):
     assert "customer.parquet" not in text  # only the targets come from customers
 
 
+def test_numbers_by_a_broadcast_table(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('G', id % 40)) AS g", "concat('A', (id * 7919) % 3001) AS o", "id")
+    order = [F.lower("o"), F.col("id")]
+    want = df.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long") - 1)
+    for few in (10, 1_000_000):
+        got = numbered(df, ["g"], [F.lower("o"), "id"], "at", few)
+        assert got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
+def test_components_are_stored_without_what_follows_from_them(spark, declared, no_broadcast):
+    ordered = manifests.ordered_components(declared.dropna())
+    assert ordered.columns == ["repo", "ecosystem", "name", "version", "file", "purl", "position"]
+    text = physical(ordered)
+    assert "purl" not in text.split("ReadSchema")[1] and "_name" not in text
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+    first = ordered.where("repo = 'r0' AND position = 0").first()
+    assert (first.name, first.version, first.purl) == ("P0", "1.0", "pkg:pypi/P0@1.0")
+
+
 def test_parts_are_dealt_out(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/part.parquet").count()
     for made in (views.advisory_documents(spark, sf), views.cves(spark, sf)):
         assert "hashpartitioning(p_partkey" in physical(made) and made.count() == n
+
